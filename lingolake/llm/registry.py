@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, lines, quality
 
 
 def queries():
-    return {"op1_decontaminate": decontaminate.op1_decontaminate}
+    return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_line_dedup": lines.op4_line_dedup,
+        "op9_quality": quality.op9_quality,
+    }
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL}
+    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_line_dedup": lines.OP4_SQL}
