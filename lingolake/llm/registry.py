@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, near, quality
+from . import bpe, decontaminate, lines, near, pii, quality, secrets
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_personal_data": pii.op2_personal_data,
         "op4_line_dedup": lines.op4_line_dedup,
+        "op6_secrets": secrets.op6_secrets,
         "op7_near_duplicates": near.op7_near_duplicates,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
