@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lines, near, pii, quality, secrets
+from . import bpe, decontaminate, langid, language_model, lines, near, pii, quality, secrets, sharding
 
 
 def queries():
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_personal_data": pii.op2_personal_data,
+        "op3_sharding": sharding.op3_sharding,
         "op4_line_dedup": lines.op4_line_dedup,
+        "op5_language_model": language_model.op5_language_model,
         "op6_secrets": secrets.op6_secrets,
         "op7_near_duplicates": near.op7_near_duplicates,
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
+        "op10_language_id": langid.op10_language_id,
     }
 
 
