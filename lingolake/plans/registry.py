@@ -1,15 +1,857 @@
-"""Every query over the driver's tables that uses the transcript operators, with its SQL."""
+"""Every query over the driver's tables that uses the transcript operators, with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from ..functions import jobs as J
+from ..functions import text as X
+from ..operators import folds, relations, rewrite
+from ..sources import segments as S
+from . import tables as T
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
 
 
-def oracle_sql():
-    return {}
+def query(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _queries[name] = f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+RULES = [("r1", "the", "THE"), ("r2", "then", "T.N"), ("r3", "tion", ""), ("r4", "a.b", "x"), ("r5", "la", "[la]"), ("r6", "en", "e")]
+
+_REPLACED = f"""{T.SEGMENTS},
+cut AS (SELECT *, regexp_split_to_array(text, 'tion|then|a\\.b|the|la|en') AS p, regexp_extract_all(text, 'tion|then|a\\.b|the|la|en') AS h FROM segments),
+replaced AS (SELECT job_id, idx, text AS before, h, array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(CASE h[i] WHEN 'the' THEN 'THE' WHEN 'then' THEN 'T.N' WHEN 'tion' THEN '' WHEN 'a.b' THEN 'x' WHEN 'la' THEN '[la]' WHEN 'en' THEN 'e' END, '')), '') AS text FROM cut)"""
+
+
+@query("c1_replace_terms", f"WITH {_REPLACED} SELECT job_id, idx, text, CAST(len(h) AS BIGINT) AS n_hits FROM replaced")
+def c1(spark, d):
+    done = rewrite.replace_terms(T.segments(spark, d), "text", RULES)
+    return done.select("job_id", "idx", "text", F.size("hits").cast("long").alias("n_hits"))
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    done = rewrite.replace_terms(T.segments(spark, d), "text", RULES, out="after")
+    rules = spark.createDataFrame([(r[0],) for r in RULES], "rule_id string")
+    return rewrite.moderation_stats(done, rules, F.col("after") != F.col("text"))
+
+
+query("e1_moderation_stats", f"""WITH {_REPLACED},
+totals AS (SELECT job_id, count(*) AS segments, CAST(sum(CASE WHEN text <> before THEN 1 ELSE 0 END) AS BIGINT) AS modified, CAST(sum(len(h)) AS BIGINT) AS replacements FROM replaced GROUP BY 1),
+hit AS (SELECT job_id, CASE s WHEN 'the' THEN 'r1' WHEN 'then' THEN 'r2' WHEN 'tion' THEN 'r3' WHEN 'a.b' THEN 'r4' WHEN 'la' THEN 'r5' ELSE 'r6' END AS rule_id, count(*) AS hits FROM (SELECT job_id, unnest(h) AS s FROM replaced) GROUP BY 1, 2)
+SELECT t.job_id, r.rule_id, t.segments, t.modified, t.replacements, coalesce(hit.hits, 0) AS hits
+FROM totals t CROSS JOIN (SELECT unnest(['r1', 'r2', 'r3', 'r4', 'r5', 'r6']) AS rule_id) r LEFT JOIN hit ON hit.job_id = t.job_id AND hit.rule_id = r.rule_id""")(flagship)
+
+
+@query("a2_validate_segments", f"""WITH {T.SPANS}
+SELECT job_id, seq, problem FROM (SELECT job_id, seq, CASE WHEN start_ms - 100 < 0 THEN 'negative time' WHEN end_ms - 1000 < start_ms THEN 'end before start'
+  WHEN start_ms < lag(start_ms) OVER (PARTITION BY job_id ORDER BY seq) THEN 'start before previous start' WHEN event_type = 'error' THEN 'missing text' END AS problem FROM spans) WHERE problem IS NOT NULL""")
+def a2(spark, d):
+    s = T.spans(spark, d)
+    rows = s.select("job_id", F.col("seq").alias("idx"), (F.col("start_ms") - 100).alias("start_ms"), (F.col("end_ms") - 1100).alias("end_ms"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("text"))
+    return S.validate_segments(rows).select("job_id", F.col("idx").alias("seq"), "problem")
+
+
+@query("a3_ingest_text", f"""WITH {T.DOC_LINES},
+kept AS (SELECT job_id, line, trim(value, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS text FROM doc_lines WHERE length(value) <= 65536)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY line) AS idx, row_number() OVER (PARTITION BY job_id ORDER BY line) - 1 AS start_ms, text FROM kept WHERE text <> ''""")
+def a3(spark, d):
+    good, _ = S.text_rows(T.doc_lines(spark, d))
+    return good.select("job_id", "idx", "start_ms", "text")
+
+
+@query("a5_accept_upload", """SELECT page_id, lower(regexp_extract(f, '\\.([A-Za-z0-9]+)$', 1)) IN ('txt', 'md', 'jsonl') AS accepted
+FROM (SELECT page_id, 'p' || CAST(page_id AS VARCHAR) || CASE page_id % 4 WHEN 0 THEN '.TXT' WHEN 1 THEN '.md' WHEN 2 THEN '.html' ELSE '.jsonl' END AS f FROM pages)""")
+def a5(spark, d):
+    end = F.create_map(*[F.lit(x) for x in (0, ".TXT", 1, ".md", 2, ".html", 3, ".jsonl")])[(F.col("page_id") % 4).cast("int")]
+    return T.read(spark, d, "pages").select("page_id", S.accept_upload(F.concat(F.lit("p"), F.col("page_id").cast("string"), end)).alias("accepted"))
+
+
+_STAMP = "printf('%02d:%02d:%02d,%03d', {0} // 3600000, {0} % 3600000 // 60000, {0} % 60000 // 1000, {0} % 1000)"
+
+
+@query("a7_to_srt", f"""WITH {T.SEGMENTS}
+SELECT job_id, string_agg(CAST(n AS VARCHAR) || chr(10) || {_STAMP.format("start_ms")} || ' --> ' || {_STAMP.format("end_ms")} || chr(10) || role || chr(10) || chr(10), '' ORDER BY n) AS srt
+FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS n FROM segments) GROUP BY job_id""")
+def a7(spark, d):
+    return S.to_srt(T.segments(spark, d).select("job_id", F.col("idx").alias("cue_no"), "start_ms", "end_ms", F.col("role").alias("text")))
+
+
+@query("a8_manifest_units", f"WITH {T.FILES} SELECT job_id, pos AS index, CAST(round_even(length_ms * 7 * 1000 / 48000, 0) AS BIGINT) AS length_ms, CAST(gap_ms AS INT) AS gap_ms FROM files")
+def a8(spark, d):
+    f = T.files(spark, d).select("job_id", F.col("pos").alias("index"), F.lit("").alias("text"), (F.col("length_ms") * 7).alias("frames"), F.col("gap_ms").alias("gap_after_ms"))
+    return S.manifest_units(f).drop("text")
+
+
+_OLD = f"""{T.FILES},
+old AS (SELECT job_id, type, max(size) AS size, sha256(CAST(max(size) AS VARCHAR)) AS sha256, min(created_at) AS created_at, 'STALE' AS status FROM files WHERE pos % 3 <> 0 GROUP BY 1, 2),
+new AS (SELECT job_id, type, max(size) AS size, sha256(CAST(max(size) AS VARCHAR)) AS sha256, min(created_at) AS created_at FROM files WHERE pos % 2 = 0 GROUP BY 1, 2)"""
+
+
+@query("a10_publish_files", f"""WITH {_OLD}
+SELECT coalesce(o.job_id, n.job_id) AS job_id, coalesce(o.type, n.type) AS type,
+  CASE WHEN n.sha256 IS NULL OR o.sha256 IS NOT DISTINCT FROM n.sha256 THEN o.size ELSE n.size END AS size,
+  CASE WHEN n.sha256 IS NULL OR o.sha256 IS NOT DISTINCT FROM n.sha256 THEN o.status ELSE 'AVAILABLE' END AS status, coalesce(o.created_at, n.created_at) AS created_at
+FROM old o FULL JOIN new n ON o.job_id = n.job_id AND o.type = n.type""")
+def a10(spark, d):
+    f = T.files(spark, d)
+    part = lambda x: x.groupBy("job_id", "type").agg(F.max("size").alias("size"), F.min("created_at").alias("created_at")).withColumn("sha256", F.sha2(F.col("size").cast("string"), 256)).withColumn("path", F.col("type"))
+    done = S.publish_files(part(f.filter("pos % 3 <> 0")).withColumn("status", F.lit("STALE")), part(f.filter("pos % 2 = 0")))
+    return done.select("job_id", "type", "size", "status", "created_at")
+
+
+@query("a12_digests", "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents")
+def a12(spark, d):
+    return S.digests(T.read(spark, d, "documents").select("doc_id", "text"), "text").select("doc_id", "size", "sha256")
+
+
+@query("b1_clean_ws", "SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM documents")
+def b1(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.clean_ws(F.col("text")).alias("text"))
+
+
+@query("b2_nfc", "SELECT doc_id, nfc_normalize(nfd) AS text FROM (SELECT doc_id, text AS nfd FROM documents)")
+def b2(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.nfc(F.col("text")).alias("text"))
+
+
+PAIRS = [("the", "he"), ("her", "HER"), ("tion", "sion")]
+
+
+@query("b3_correct_terms", "SELECT doc_id, replace(replace(replace(text, 'the', 'he'), 'her', 'HER'), 'tion', 'sion') AS text FROM documents")
+def b3(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.correct_terms(F.col("text"), PAIRS).alias("text"))
+
+
+ACCENTS = "[äöüßéèêçñíó]"
+
+
+@query("b4_is_foreign", f"SELECT doc_id, regexp_matches(text, '{ACCENTS}') AS is_foreign FROM documents")
+def b4(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.is_foreign(F.col("text"), ACCENTS).alias("is_foreign"))
+
+
+@query("b5_strip_foreign", f"""SELECT doc_id, CASE WHEN t = '' THEN '…' ELSE t END AS text FROM (
+  SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{ACCENTS}', '', 'g'), '[(（\\[]\\s*[)）\\]]', '', 'g'), '\\s+', ' ', 'g'), '\\s+([,.;:!?…])', '\\1', 'g')) AS t FROM documents)""")
+def b5(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.strip_foreign(F.col("text"), ACCENTS).alias("text"))
+
+
+@query("b6_readable", f"SELECT doc_id, CASE WHEN t = '' THEN '…' ELSE t END AS text FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{ACCENTS}', '', 'g'), '\\s+', ' ', 'g')) AS t FROM documents)")
+def b6(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.readable(F.col("text"), ACCENTS).alias("text"))
+
+
+@query("b7_output_problem", f"""WITH {T.SEGMENTS}, pairs AS (SELECT job_id, idx, text AS result, left(coalesce(lag(text) OVER (PARTITION BY job_id ORDER BY idx), ''), 100) AS source FROM segments)
+SELECT job_id, idx, CASE WHEN result = '' THEN 'empty text or reasoning/control tokens' WHEN regexp_matches(result, '[äß]') THEN 'untranslated Chinese'
+  WHEN regexp_matches(result, '^\\s*[\\[【][^\\]】\\n]{{1,40}}[\\]】]') AND NOT regexp_matches(source, '^\\s*[\\[【][^\\]】\\n]{{1,40}}[\\]】]') THEN 'additional prompt/explanation content'
+  WHEN contains(trim(result, chr(10) || ' '), chr(10)) AND NOT contains(source, chr(10)) AND length(source) <= 120 THEN 'additional prompt/explanation content'
+  WHEN length(source) <= 120 AND length(result) > greatest(80, 12 * length(source)) THEN 'output much longer than the source' END AS problem FROM pairs""")
+def b7(spark, d):
+    s = T.segments(spark, d)
+    source = F.substring(F.coalesce(F.lag("text").over(Window.partitionBy("job_id").orderBy("idx")), F.lit("")), 1, 100)
+    p = s.select("job_id", "idx", F.col("text").alias("result"), source.alias("source"))
+    return p.select("job_id", "idx", X.output_problem(F.col("result"), F.col("source"), "[äß]").alias("problem"))
+
+
+@query("b10_match_case", f"""WITH {T.SEGMENTS} SELECT job_id, idx, CASE WHEN regexp_matches(text, '^\\p{{Lu}}') THEN upper(left(role, 1)) || substr(role, 2) ELSE role END AS cased FROM segments""")
+def b10(spark, d):
+    return T.segments(spark, d).select("job_id", "idx", X.match_case(F.col("text"), F.col("role")).alias("cased"))
+
+
+@query("b11_output_budget", "SELECT doc_id, CAST(least(2048, 48 + 6 * length(text)) AS BIGINT) AS budget FROM documents")
+def b11(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.output_budget(F.col("text"), 2048).cast("long").alias("budget"))
+
+
+@query("b12_attempt_seed", "SELECT doc_id, CAST(('0x' || substr(sha256(text), 1, 8)) AS BIGINT) % 100000 + 202 + 1 AS seed FROM documents")
+def b12(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.attempt_seed(F.col("text"), 2, 1).alias("seed"))
+
+
+@query("b13_fingerprint", """SELECT doc_id, sha256('{"doc_id":' || CAST(doc_id AS VARCHAR) || ',"lang":"' || lang || '","n_chars":' || CAST(n_chars AS VARCHAR) || '}') AS fingerprint FROM documents""")
+def b13(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.fingerprint("doc_id", "lang", "n_chars").alias("fingerprint"))
+
+
+TERMS = [("thea", "T1"), ("the", "T2"), ("ing", "T3"), ("theaing", "T4"), ("the", "T5")]
+
+
+@query("b14_terms_in", f"""WITH {T.SEGMENTS}, t AS (SELECT * FROM (VALUES ('thea', 'T1'), ('the', 'T2'), ('ing', 'T3'), ('theaing', 'T4')) v(source, target)),
+chosen AS (SELECT s.job_id, s.idx, s.text, t.source, t.target FROM segments s JOIN t ON contains(s.text, t.source)),
+kept AS (SELECT * FROM chosen a WHERE NOT EXISTS (SELECT 1 FROM chosen b WHERE a.job_id = b.job_id AND a.idx = b.idx AND a.source <> b.source AND contains(b.source, a.source) AND NOT contains(replace(a.text, b.source, ''), a.source)))
+SELECT job_id, idx, source, target FROM kept""")
+def b14(spark, d):
+    terms = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in TERMS])
+    return T.segments(spark, d).select("job_id", "idx", F.explode(X.terms_in(F.col("text"), terms)).alias("t")).select("job_id", "idx", "t.source", "t.target")
+
+
+@query("b15_prompt", f"""WITH {T.SEGMENTS} SELECT job_id, idx, CASE WHEN contains(text, 'the') THEN '参考下面的翻译：' || chr(10) || 'the 翻译成 T' || chr(10) || chr(10) ELSE '' END || 'Translate 〈x〉' || chr(10) || chr(10) || text AS prompt FROM segments""")
+def b15(spark, d):
+    terms = X.terms_in(F.col("text"), F.array(F.struct(F.lit("the").alias("source"), F.lit("T").alias("target"))))
+    return T.segments(spark, d).withColumn("terms", terms).select("job_id", "idx", X.prompt(F.col("text"), F.col("terms"), "Translate <|x|>").alias("prompt"))
+
+
+@query("b16_group_prompt", f"""WITH {T.SEGMENTS}, g AS (SELECT job_id, list(text ORDER BY idx) AS t FROM segments GROUP BY job_id)
+SELECT job_id, array_to_string(list_transform(range(1, len(t) + 1), lambda i: '<s' || i || '>' || t[i] || '</s' || i || '>'), '') AS prompt FROM g""")
+def b16(spark, d):
+    g = T.segments(spark, d).groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("t"))
+    return g.select("job_id", X.group_prompt(F.col("t")).alias("prompt"))
+
+
+@query("b17_split_group", f"""WITH {T.SEGMENTS}, g AS (SELECT job_id, list(role ORDER BY idx) AS t FROM segments GROUP BY job_id)
+SELECT job_id, CASE WHEN job_id % 3 = 1 THEN NULL ELSE array_to_string(t, '|') END AS parts, CASE WHEN job_id % 3 = 1 THEN 'text outside segment markers' END AS problem FROM g""")
+def b17(spark, d):
+    g = T.segments(spark, d).groupBy("job_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "role"))), lambda x: x["role"]).alias("t"))
+    reply = F.concat(F.lit("<target>"), X.group_prompt(F.col("t")), F.when(F.col("job_id") % 3 == 1, " more").otherwise(""), F.lit("</target>"))
+    s = g.select("job_id", X.split_group(reply, F.col("t")).alias("s"))
+    return s.select("job_id", F.array_join("s.values", "|").alias("parts"), "s.problem")
+
+
+@query("b20_sentence_end", """SELECT doc_id, regexp_matches(text, '[.!?…。！？]["”’)\\]]*$') AS sentence_end, regexp_matches(text, '(?:[!?…！？]|\\.\\.\\.)["”’)\\]]*$') AS long_end FROM documents""")
+def b20(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", X.sentence_end(F.col("text")).alias("sentence_end"), X.long_end(F.col("text")).alias("long_end"))
+
+
+@query("b21_split_text")
+def b21(spark, d):
+    pieces = T.segments(spark, d).select("job_id", "idx", F.posexplode(X.split_text(F.col("text"), 84)).alias("piece", "text"))
+    return pieces.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("b22_split_source", f"""WITH {T.SEGMENTS} SELECT job_id, idx, text FROM segments""")
+def b22(spark, d):
+    parts = T.segments(spark, d).select("job_id", "idx", F.posexplode(X.split_source(F.col("text"), 120)).alias("part", "text"))
+    joined = parts.groupBy("job_id", "idx").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("text"))
+    return joined  # the parts lose nothing
+
+
+@query("b23_two_lines", f"""WITH l AS (SELECT doc_id, text AS t FROM documents), s AS (SELECT doc_id, t, list_filter(range(1, least(length(t), 80) + 1), lambda i: substr(t, i, 1) = ' ') AS sp, least(length(t), 80) AS n FROM (SELECT doc_id, left(t, 80) AS t FROM l)),
+b AS (SELECT doc_id, t, n, list_sort(list_transform(sp, lambda i: [abs((i - 1) * 2 - n), i]))[1][2] AS mid FROM s)
+SELECT doc_id, CASE WHEN n > 42 AND mid IS NOT NULL THEN substr(t, 1, mid - 1) || chr(10) || substr(t, mid + 1) ELSE t END AS text FROM b""")
+def b23(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", F.substring("text", 1, 80).alias("t")).select("doc_id", X.two_lines(F.col("t")).alias("text"))
+
+
+@query("b24_srt_timestamp", f"WITH {T.SEGMENTS} SELECT job_id, idx, {_STAMP.format('end_ms')} AS stamp FROM segments")
+def b24(spark, d):
+    return T.segments(spark, d).select("job_id", "idx", X.srt_timestamp(F.col("end_ms")).alias("stamp"))
+
+
+@query("b25_reading", """WITH n AS (SELECT page_id, regexp_extract(url, '^http[s]?://([a-z]+)', 1) AS host FROM pages)
+SELECT page_id, CASE WHEN length(host) > 2 AND left(host, 2) = 'th' AND NOT regexp_matches(substr(host, 3), '[^a-h]') THEN array_to_string(list_concat(['TH'], list_transform(string_split(substr(host, 3), ''), lambda c: upper(c))), ' ')
+  WHEN length(host) > 2 AND left(host, 2) = 'th' THEN NULL
+  WHEN length(host) > 1 AND left(host, 1) IN ('a', 'o', 'e') AND NOT regexp_matches(substr(host, 2), '[^a-h]') THEN array_to_string(list_concat([upper(left(host, 1)) || '.'], list_transform(string_split(substr(host, 2), ''), lambda c: upper(c))), ' ') END AS reading FROM n""")
+def b25(spark, d):
+    host = F.regexp_extract("url", r"^http[s]?://([a-z]+)", 1)
+    given = {c: c.upper() for c in "abcdefgh"}
+    return T.read(spark, d, "pages").select("page_id", host.alias("host")).select("page_id", X.reading(F.col("host"), {"th": "TH"}, {"a": "A.", "o": "O.", "e": "E."}, given).alias("reading"))
+
+
+@query("b26_classify_error", f"""WITH {T.SEGMENTS} SELECT job_id, idx, CASE WHEN contains(m, '429') THEN 'RATE_LIMIT' WHEN role = 'system' THEN 'PATH_MISSING' WHEN role = 'user' AND contains(m, 'batch') THEN 'ENV_CONFIG' ELSE 'STEP_FAILED' END AS code
+FROM (SELECT *, left(lower(text), 20) || CASE job_id % 5 WHEN 0 THEN ' http 429' WHEN 1 THEN ' batch size' ELSE '' END AS m FROM segments)""")
+def b26(spark, d):
+    kind = F.when(F.col("role") == "system", "FileNotFoundError").when(F.col("role") == "user", "ValueError").otherwise("RuntimeError")
+    message = F.concat(F.substring("text", 1, 20), F.when(F.col("job_id") % 5 == 0, " HTTP 429").when(F.col("job_id") % 5 == 1, " batch size").otherwise(""))
+    return T.segments(spark, d).select("job_id", "idx", J.classify_error(kind, F.lit(None).cast("string"), message, F.lit(None).cast("int")).alias("code"))
+
+
+@query("b27_error_id", f"""WITH {T.TRANSITIONS} SELECT job_id, seq, CASE state WHEN 'FAILED' THEN 'X100' WHEN 'PAUSED' THEN 'X200' ELSE 'X900' END AS error_id, CASE state WHEN 'FAILED' THEN 'failed' WHEN 'PAUSED' THEN 'paused' END AS message FROM transitions""")
+def b27(spark, d):
+    ids = spark.createDataFrame([("FAILED", "X100"), ("PAUSED", "X200")], "error_code string, error_id string")
+    guides = spark.createDataFrame([("X100", "failed", "retry"), ("X200", "paused", "resume")], "error_id string, message string, hint string")
+    e = T.transitions(spark, d).select("job_id", "seq", F.col("state").alias("error_code"))
+    return J.with_error_id(e, ids, guides).select("job_id", "seq", "error_id", "message")
+
+
+@query("b28_redact", """SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\\s]+', '[URL]', 'g'), '(?im)^.*(?:cookie|authorization|bearer|password|secret|token|api[_-]?key|\\bSID=|\\bSAPISID=).*$', '[Sensitive detail removed]', 'g'), '\\b[\\w-]{2,}=[^\\s;,]+', '[REDACTED]', 'g'), 2000) AS text FROM documents""")
+def b28(spark, d):
+    return T.read(spark, d, "documents").select("doc_id", J.redact(F.col("text")).alias("text"))
+
+
+@query("b29_valid_video_url", """SELECT page_id, page_id % 3 = 0 AS valid FROM pages""")
+def b29(spark, d):
+    id11 = F.lpad(F.col("page_id").cast("string"), 11, "x")
+    url = F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("https://youtu.be/"), id11)).when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://www.youtube.com/watch?a=1&v="), id11)).otherwise(F.col("url"))
+    return T.read(spark, d, "pages").select("page_id", J.valid_video_url(url).alias("valid"))
+
+
+@query("b30_percent", f"""WITH {T.FILES} SELECT job_id, pos, CASE WHEN type = 'R' AND gap_ms = 0 THEN 100.0 WHEN gap_ms > 0 THEN CAST(round_even(least(100.0, greatest(0.0, 100.0 * length_ms / gap_ms)), 2) AS DOUBLE) END AS percent FROM files""")
+def b30(spark, d):
+    return T.files(spark, d).select("job_id", "pos", J.percent(F.col("length_ms"), F.col("gap_ms"), F.col("type") == "R").alias("percent"))
+
+
+@query("b31_elapsed_ms", """SELECT o.o_orderkey AS id, l.l_linenumber AS n, l.l_partkey AS p, greatest(0, epoch_ms(l.l_shipdate) - epoch_ms(o.o_orderdate)) AS ms FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey""")
+def b31(spark, d):
+    o, l = T.read(spark, d, "orders"), T.read(spark, d, "lineitem")
+    return o.join(l, o.o_orderkey == l.l_orderkey).select(F.col("o_orderkey").alias("id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), J.elapsed_ms(F.col("o_orderdate"), F.col("l_shipdate")).alias("ms"))
+
+
+@query("b32_artifact_name", f"WITH {T.JOBS} SELECT id, lpad(CAST(id AS VARCHAR), 6, '0') || '-' || name AS artifact FROM jobs")
+def b32(spark, d):
+    return T.jobs(spark, d).select("id", J.artifact_name(F.col("id"), F.col("name")).alias("artifact"))
+
+
+@query("b33_display", f"""WITH {T.FILES} SELECT job_id, pos, printf('%02d:%02d:%02d', length_ms * 60 // 1000 // 3600, length_ms * 60 // 1000 % 3600 // 60, length_ms * 60 // 1000 % 60) AS duration,
+  CASE WHEN size * 8 < 1048576 THEN printf('%.1f KB', floor(size * 80 / 1024 + 0.5) / 10) ELSE printf('%.1f MB', floor(size * 80 / 1048576 + 0.5) / 10) END AS size FROM files""")
+def b33(spark, d):
+    return T.files(spark, d).select("job_id", "pos", J.display_duration(F.col("length_ms") * 60).alias("duration"), J.display_size(F.col("size") * 8).alias("size"))
+
+
+@query("b34_validate_character", """SELECT c_custkey AS id, CASE WHEN length(c_name) > 20 THEN 'invalid source' WHEN c_acctbal < 0 THEN 'invalid gender' WHEN c_mktsegment = 'BUILDING' THEN 'invalid role' END AS problem FROM customer""")
+def b34(spark, d):
+    c = T.read(spark, d, "customer")
+    gender = F.when(F.col("c_acctbal") < 0, "none").when(F.col("c_acctbal") < 3000, "male").when(F.col("c_acctbal") < 6000, "female")
+    rows = c.select("c_custkey", (F.col("c_custkey") % 50).alias("job_id"), F.col("c_name").alias("source"), F.array("c_mktsegment").alias("aliases"), F.lit("x").alias("target"), gender.alias("gender"), F.when(F.col("c_mktsegment") == "BUILDING", "nobody").otherwise("friend").alias("role"), F.lit("peer").alias("rank"), F.lit("").alias("third"), F.lit("").alias("you"))
+    return J.character_problems(rows, most=100_000).select(F.col("c_custkey").alias("id"), F.get("problems", 0).alias("problem"))
+
+
+@query("b35_validate_rules", """SELECT p_partkey AS id, CASE WHEN count(*) OVER (PARTITION BY p_name) > 1 THEN 'duplicate source' END AS problem FROM part""")
+def b35(spark, d):
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("source"), F.col("p_brand").alias("replacement"))
+    return J.validate_rules(p).select("id", "problem")
+
+
+@query("b37_public_job", f"WITH {T.JOBS} SELECT id, name, status, created_at FROM jobs")
+def b37(spark, d):
+    return J.public_job(T.jobs(spark, d).withColumn("token", F.lit("secret")))
+
+
+@query("b38_effective_steps", f"""WITH {T.JOBS} SELECT id, CASE WHEN status = 'P' THEN 'TTS' ELSE 'DOWNLOAD,TRANSCRIPTION,TRANSLATION,MODERATION,TTS' || CASE WHEN id % 2 = 0 THEN ',SUBTITLE' ELSE '' END || CASE WHEN id % 3 = 0 THEN ',VIDEO' ELSE '' END || CASE WHEN id % 6 = 0 THEN ',BURN' ELSE '' END END AS steps FROM jobs""")
+def b38(spark, d):
+    own = F.when(F.col("status") == "P", F.array(F.lit("TTS")))
+    return T.jobs(spark, d).select("id", F.array_join(J.effective_steps(own, F.col("id") % 2 == 0, F.col("id") % 3 == 0, F.col("id") % 2 == 0), ",").alias("steps"))
+
+
+@query("b39_valid_cached", f"""WITH {T.SEGMENTS} SELECT job_id, idx, (idx % 4 <> 0) AND (CASE WHEN role = 'system' THEN false ELSE length(text) > 0 AND NOT regexp_matches(text, '[äß]') END) AS valid FROM segments""")
+def b39(spark, d):
+    s = T.segments(spark, d).withColumn("cached_end", F.when(F.col("idx") % 4 == 0, F.col("end_ms") + 1).otherwise(F.col("end_ms")))
+    problem = X.output_problem(F.col("text"), F.col("text"), "[äß]")
+    return s.select("job_id", "idx", J.valid_cached(F.col("start_ms"), F.col("end_ms"), F.col("text"), F.col("start_ms"), F.col("cached_end"), F.col("text"), F.col("text"), problem, F.col("role") == "system").alias("valid"))
+
+
+@query("c4_fix_flow", f"""WITH {T.SEGMENTS},
+words AS (SELECT job_id, unnest(w[2:]) AS word FROM (SELECT job_id, regexp_extract_all(text, '\\p{{L}}+') AS w FROM segments)),
+common AS (SELECT job_id, word FROM words WHERE lower(word) = word AND upper(word) <> word GROUP BY 1, 2 HAVING count(*) >= 3),
+s AS (SELECT *, lag(text) OVER (PARTITION BY job_id ORDER BY idx) AS before, regexp_extract(text, '^\\p{{L}}+') AS first FROM segments)
+SELECT s.job_id, s.idx, CASE WHEN regexp_matches(before, '[.;,]$') IS TRUE AND c.word IS NOT NULL AND regexp_matches(first, '^\\p{{Lu}}') AND NOT regexp_matches(text, '^\\p{{L}}+ \\p{{Lu}}') THEN lower(left(text, 1)) || substr(text, 2) ELSE text END AS text
+FROM s LEFT JOIN common c ON c.job_id = s.job_id AND c.word = lower(s.first)""")
+def c4(spark, d):
+    # the tables' turns end in full stops, which stand for commas here
+    s = T.segments(spark, d).withColumn("text", F.regexp_replace("text", r"\.$", ","))
+    fixed = rewrite.fix_flow(s, least=3)
+    return fixed.select("job_id", "idx", F.regexp_replace("text", ",$", ".").alias("text"))
+
+
+@query("c9_clean_foreign", f"""WITH {T.SEGMENTS}, n AS (SELECT job_id, idx, len(regexp_extract_all(text, '{ACCENTS}')) AS n FROM segments)
+SELECT job_id, count(*) AS rows_checked, CAST(sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS BIGINT) AS rows_changed, CAST(sum(n) AS BIGINT) AS characters_removed, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (n > 0), '') AS rows FROM n GROUP BY job_id""")
+def c9(spark, d):
+    r = rewrite.foreign_report(T.segments(spark, d), "text", ACCENTS)
+    return r.withColumn("rows", F.array_join(F.col("rows").cast("array<string>"), ","))
+
+
+_CHUNKS = "chunks AS (SELECT job_id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1 AS INT) AS chunk_no, start_ms, start_ms AS own_start_ms, start_ms + CAST(floor((end_ms - start_ms) / 2) AS BIGINT) AS own_end_ms FROM segments)"
+
+
+def _chunks(s: DataFrame) -> DataFrame:
+    n = (F.row_number().over(Window.partitionBy("job_id").orderBy("idx")) - 1).cast("int")
+    return s.select("job_id", n.alias("chunk_no"), "start_ms", F.col("start_ms").alias("own_start_ms"), (F.col("start_ms") + F.floor((F.col("end_ms") - F.col("start_ms")) / 2).cast("long")).alias("own_end_ms"))
+
+
+@query("d1_assign_ownership", f"""WITH {T.SEGMENTS}, {_CHUNKS}, sent AS (SELECT job_id, chunk_no, k * 400 AS s, k * 400 + 300 AS e, 't' || k AS text FROM chunks, (SELECT unnest(range(0, 8)) AS k)),
+j AS (SELECT c.job_id, c.chunk_no, c.start_ms + s AS f, c.start_ms + e AS t, text, own_start_ms, own_end_ms, c.chunk_no = max(c.chunk_no) OVER (PARTITION BY c.job_id) AS last FROM sent JOIN chunks c USING (job_id, chunk_no))
+SELECT job_id, chunk_no, f AS start_ms, t AS end_ms, text FROM j WHERE 2 * own_start_ms <= f + t AND f + t < 2 * (own_end_ms + CASE WHEN last THEN 1 ELSE 0 END)""")
+def d1(spark, d):
+    c = _chunks(T.segments(spark, d))
+    k = F.explode(F.sequence(F.lit(0), F.lit(7)))
+    s = c.select("job_id", "chunk_no", k.alias("k")).select("job_id", "chunk_no", (F.col("k") * 400).cast("long").alias("start_ms"), (F.col("k") * 400 + 300).cast("long").alias("end_ms"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("text"))
+    return relations.assign_ownership(s, c)
+
+
+@query("d1_owners_by_time", f"""WITH {T.SEGMENTS}, {_CHUNKS} SELECT c.job_id, s.idx, c.chunk_no FROM segments s JOIN chunks c ON s.job_id = c.job_id AND c.own_start_ms <= s.start_ms + 700 AND s.start_ms + 700 < c.own_end_ms""")
+def d1b(spark, d):
+    s = T.segments(spark, d)
+    return relations.owners_by_time(s.select("job_id", "idx", (F.col("start_ms") + 700).alias("at_ms")), _chunks(s)).select("job_id", "idx", "chunk_no")
+
+
+_KEYED = f"""{T.SEGMENTS}, keyed AS (SELECT job_id, 'translation' AS stage, idx, sha256(text) AS fingerprint FROM segments),
+cached AS (SELECT job_id, 'translation' AS stage, idx, sha256(CASE WHEN idx % 3 = 0 THEN text || '!' ELSE text END) AS fingerprint, text || '?' AS output FROM segments WHERE idx % 2 = 1)"""
+
+
+def _keyed(spark, d):
+    s = T.segments(spark, d).withColumn("stage", F.lit("translation"))
+    rows = s.select("job_id", "stage", "idx", F.sha2("text", 256).alias("fingerprint"))
+    old = s.filter("idx % 2 = 1").select("job_id", "stage", "idx", F.sha2(F.when(F.col("idx") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("fingerprint"), F.concat("text", F.lit("?")).alias("output"))
+    return rows, old
+
+
+@query("d2_resume_rows", f"WITH {_KEYED} SELECT k.job_id, k.idx, c.output FROM keyed k LEFT JOIN cached c ON k.job_id = c.job_id AND k.idx = c.idx AND k.fingerprint = c.fingerprint")
+def d2(spark, d):
+    return relations.resume_rows(*_keyed(spark, d)).select("job_id", "idx", "output")
+
+
+@query("d3_pending_rows", f"WITH {_KEYED} SELECT k.job_id, k.idx FROM keyed k WHERE NOT EXISTS (SELECT 1 FROM cached c WHERE k.job_id = c.job_id AND k.idx = c.idx AND k.fingerprint = c.fingerprint)")
+def d3(spark, d):
+    return relations.pending_rows(*_keyed(spark, d)).select("job_id", "idx")
+
+
+@query("d4_completed_stage", f"""WITH {T.FILES}, m AS (SELECT job_id, count(*) AS n, bool_and(pos % 5 <> 0 AND status = 'F') AS same FROM files GROUP BY job_id) SELECT job_id, same AND job_id % 4 <> 0 AS complete FROM m""")
+def d4(spark, d):
+    f = T.files(spark, d).withColumn("path", F.col("pos").cast("string")).withColumn("sha256", F.sha2(F.col("size").cast("string"), 256))
+    wanted = F.when((F.col("pos") % 5 != 0) & (F.col("status") == "F"), F.col("sha256")).otherwise("other")
+    m = f.groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("path", wanted))).alias("outputs")).select("job_id", F.lit("voice").alias("stage"), F.lit("a").alias("signature"), F.when(F.col("job_id") % 4 == 0, "b").otherwise("a").alias("wanted_signature"), "outputs")
+    return relations.completed_stage(m, f).select("job_id", "complete")
+
+
+@query("d5_overlay_live", f"WITH {T.JOBS}, live AS (SELECT id, 'RUNNING' AS status FROM jobs WHERE id % 10 = 0) SELECT j.id AS job_id, coalesce(l.status, j.status) AS status, name FROM jobs j LEFT JOIN live l USING (id)")
+def d5(spark, d):
+    j = T.jobs(spark, d).select(F.col("id").alias("job_id"), "status", "name")
+    return relations.overlay_live(j, j.filter("job_id % 10 = 0").select("job_id", F.lit("RUNNING").alias("status")), ["status"])
+
+
+WORDS = ["thea", "ing", "tion", "en"]
+
+
+@query("d6_match_terms", f"WITH {T.SEGMENTS} SELECT job_id, idx, t.term FROM segments JOIN (SELECT unnest(['thea', 'ing', 'tion', 'en']) AS term) t ON contains(text, t.term)")
+def d6(spark, d):
+    return relations.match_terms(T.segments(spark, d), WORDS).select("job_id", "idx", "term")
+
+
+@query("d7_assign_files", f"WITH {T.FILES} SELECT job_id, pos, type FROM files WHERE (type = 'A' AND pos = 1) OR (type = 'R' AND pos = 2)")
+def d7(spark, d):
+    f = T.files(spark, d).withColumn("path", F.col("pos").cast("string"))
+    e = f.select("job_id").distinct().select("job_id", F.explode(F.array(F.struct(F.lit("A").alias("type"), F.lit("1").alias("path")), F.struct(F.lit("R").alias("type"), F.lit("2").alias("path")))).alias("e")).select("job_id", "e.type", "e.path")
+    return relations.assign_files(f, e).select("job_id", "pos", "type")
+
+
+@query("d8_available_voices", f"WITH {T.JOBS}, {T.FILES} SELECT id AS job_id, created_at FROM jobs WHERE scope IN ('c0', 'c1') AND EXISTS (SELECT 1 FROM files f WHERE f.job_id = id AND f.type = 'R' AND f.status = 'F')")
+def d8(spark, d):
+    j = T.jobs(spark, d).select(F.col("id").alias("job_id"), "created_at", F.when(F.col("scope") == "c0", "workflows").otherwise("tools").alias("scope"), F.when(F.col("scope") == "c1", "tts").alias("tool"))
+    f = T.files(spark, d).select("job_id", F.when(F.col("type") == "R", "voice").alias("type"), F.when(F.col("status") == "F", "AVAILABLE").alias("status"))
+    return relations.available_voices(j, f).select("job_id", "created_at")
+
+
+@query("d9_seed_rules", """WITH rules AS (SELECT DISTINCT p_name AS source FROM part WHERE p_partkey % 2 = 0), shipped AS (SELECT p_name AS source, min(p_partkey) AS pos FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+SELECT source, 'own' AS replacement FROM rules UNION ALL SELECT s.source, CAST(s.pos AS VARCHAR) FROM shipped s WHERE s.source NOT IN (SELECT source FROM rules)""")
+def d9(spark, d):
+    p = T.read(spark, d, "part")
+    rules = p.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("source")).distinct().withColumn("replacement", F.lit("own"))
+    shipped = p.filter("p_partkey % 2 = 1").select(F.col("p_name").alias("source"), F.col("p_partkey").cast("string").alias("replacement"), F.col("p_partkey").alias("pos"))
+    return relations.seed_rules(rules, shipped)
+
+
+@query("d10_apply_rule_changes", """SELECT p_partkey AS rule_id, CASE WHEN p_partkey % 3 = 1 THEN upper(p_name) ELSE p_name END AS source, p_brand AS replacement FROM part WHERE p_partkey % 3 <> 0""")
+def d10(spark, d):
+    p = T.read(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.col("p_name").alias("source"), F.col("p_brand").alias("replacement"))
+    action = F.when(F.col("rule_id") % 3 == 0, "delete").otherwise("edit")
+    changes = p.filter("rule_id % 3 <> 2").select(action.alias("action"), "rule_id", F.upper("source").alias("source"), "replacement", F.lit(1).alias("seq"))
+    return relations.apply_rule_changes(p, changes)
+
+
+@query("d11_same_output", f"WITH {T.SEGMENTS} SELECT job_id, count(*) FILTER (idx = 3) = 0 OR job_id % 2 = 0 AS same FROM segments GROUP BY job_id")
+def d11(spark, d):
+    s = T.segments(spark, d)
+    other = s.withColumn("start_ms", F.col("start_ms") + F.when((F.col("job_id") % 2 == 1) & (F.col("idx") == 3), 31).otherwise(30))
+    return relations.same_output(s, other)
+
+
+@query("d12_context_rows", f"""WITH {T.SEGMENTS}, c AS (SELECT *, CAST(floor((idx - 1) / 3) AS INT) AS chunk_no FROM segments)
+SELECT a.job_id, a.chunk_no, coalesce(string_agg(CAST(b.idx AS VARCHAR) || CASE WHEN b.role = 'system' THEN '' ELSE '=' || b.role END, ',' ORDER BY b.idx), '') AS context
+FROM (SELECT job_id, chunk_no, min(idx) AS first FROM c GROUP BY 1, 2) a LEFT JOIN c b ON a.job_id = b.job_id AND b.idx < a.first AND b.idx >= a.first - 2 GROUP BY 1, 2""")
+def d12(spark, d):
+    s = T.segments(spark, d).withColumn("chunk_no", F.floor((F.col("idx") - 1) / 3).cast("int")).withColumn("target", F.col("role")).withColumn("flagged", F.col("role") == "system")
+    c = relations.context_rows(s, 2)
+    return c.select("job_id", "chunk_no", F.array_join(F.transform("context", lambda x: F.concat_ws("=", x["idx"].cast("string"), x["target"])), ",").alias("context"))
+
+
+@query("d13_downstream", f"""WITH {T.FILES} SELECT job_id, pos, CASE WHEN job_id % 2 = 0 AND (CASE type WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END) >= 2 THEN 'STALE' ELSE status END AS status FROM files""")
+def d13(spark, d):
+    f = T.files(spark, d).withColumn("step", F.col("type"))
+    r = f.filter("job_id % 2 = 0").select("job_id", F.lit("N").alias("step"), F.lit(False).alias("burn")).distinct()
+    return relations.downstream(f, r, ["A", "N", "R"]).select("job_id", "pos", "status")
+
+
+@query("d14_backfill_missing", f"""WITH {T.FILES}, jobs AS (SELECT DISTINCT job_id FROM files), e AS (SELECT job_id, t AS type, 'S' AS step FROM jobs, (SELECT unnest(['A', 'N', 'R']) AS t))
+SELECT job_id, type FROM e WHERE NOT EXISTS (SELECT 1 FROM files f WHERE f.job_id = e.job_id AND f.type = e.type) AND NOT EXISTS (SELECT 1 FROM files f WHERE f.job_id = e.job_id AND f.status = 'O' AND f.pos = 1)""")
+def d14(spark, d):
+    f = T.files(spark, d).select("job_id", "type", F.lit("S").alias("step"), F.when((F.col("status") == "O") & (F.col("pos") == 1), "STALE").otherwise("AVAILABLE").alias("status"))
+    e = f.select("job_id").distinct().select("job_id", F.explode(F.array(*map(F.lit, "ANR"))).alias("type"), F.lit("S").alias("step"))
+    return relations.backfill_missing(e, f).select("job_id", "type")
+
+
+@query("d15_voice_units_of", """SELECT o_orderkey AS job_id, CASE WHEN o_orderkey % 2 = 0 THEN 'm' || o_orderkey WHEN (o_orderkey + 1) % 2 = 0 AND o_orderkey + 1 IN (SELECT o_orderkey FROM orders) THEN 'm' || (o_orderkey + 1) END AS manifest FROM orders""")
+def d15(spark, d):
+    j = T.jobs(spark, d).select(F.col("id").alias("job_id"), (F.col("id") + 1).alias("voice_of"))
+    m = j.filter("job_id % 2 = 0").select("job_id", F.concat(F.lit("m"), F.col("job_id").cast("string")).alias("path"))
+    return relations.voice_units_of(j, m).select("job_id", "manifest")
+
+
+@query("d16_join_telemetry", f"WITH {T.FILES}, a AS (SELECT job_id, sum(length_ms) AS ran FROM files WHERE type = 'A' GROUP BY 1), b AS (SELECT job_id, count(*) AS failures FROM files WHERE type = 'R' GROUP BY 1) SELECT o_orderkey AS job_id, CAST(a.ran AS BIGINT) AS ran, b.failures FROM orders LEFT JOIN a ON a.job_id = o_orderkey LEFT JOIN b ON b.job_id = o_orderkey")
+def d16(spark, d):
+    f = T.files(spark, d)
+    a, b = f.filter("type = 'A'").groupBy("job_id").agg(F.sum("length_ms").alias("ran")), f.filter("type = 'R'").groupBy("job_id").agg(F.count("*").alias("failures"))
+    return relations.join_telemetry(T.jobs(spark, d).select(F.col("id").alias("job_id")), a, b)
+
+
+# Aggregations
+
+
+@query("e6_overall_progress", f"""WITH {T.TRANSITIONS}, last AS (SELECT job_id, step, arg_max(state, tm) AS state, max(tm) AS m FROM transitions GROUP BY 1, 2),
+l AS (SELECT t.job_id, t.step, t.state, CASE WHEN t.percent < 1 THEN NULL ELSE floor(t.percent) END AS percent FROM transitions t JOIN last ON t.job_id = last.job_id AND t.step = last.step AND t.tm = last.m),
+v AS (SELECT job_id, CASE WHEN state = 'COMPLETED' THEN 100.0 ELSE percent END AS v FROM l)
+SELECT job_id, CASE WHEN bool_or(v IS NULL) THEN NULL ELSE CAST(round_even(avg(v), 2) AS DOUBLE) END AS progress FROM v GROUP BY job_id""")
+def e6(spark, d):
+    t = T.transitions(spark, d).withColumn("percent", F.when(F.col("percent") >= 1, F.floor("percent").cast("double")))
+    w = Window.partitionBy("job_id", "step").orderBy(F.desc("at"))
+    return relations.overall_progress(t.withColumn("n", F.row_number().over(w)).filter("n = 1"))
+
+
+@query("e7_translation_report", f"""WITH {T.SEGMENTS}, c AS (SELECT job_id, floor((idx - 1) / 3) AS chunk, idx, idx % 4 <> 3 AS done, role = 'system' AS flagged, length(text) AS chars FROM segments),
+p AS (SELECT job_id, chunk, bool_and(done) AS d, count(*) AS n, sum(CASE WHEN done THEN 1 ELSE 0 END) AS dn, sum(chars) AS ch FROM c GROUP BY 1, 2),
+f AS (SELECT job_id, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) AS flagged FROM c WHERE flagged GROUP BY 1)
+SELECT p.job_id, CAST(sum(CASE WHEN d THEN 1 ELSE 0 END) AS BIGINT) AS chunks_done, count(*) AS chunks_total, CAST(sum(dn) AS BIGINT) AS rows_done, CAST(sum(n) AS BIGINT) AS rows_total, coalesce(any_value(f.flagged), '') AS flagged_rows, CAST(sum(CASE WHEN d THEN ch ELSE 0 END) AS BIGINT) AS billed_chars
+FROM p LEFT JOIN f USING (job_id) GROUP BY p.job_id""")
+def e7(spark, d):
+    s = T.segments(spark, d)
+    r = s.select("job_id", F.floor((F.col("idx") - 1) / 3).alias("chunk_no"), "idx", (F.col("idx") % 4 != 3).alias("done"), (F.col("role") == "system").alias("flagged"), F.length("text").cast("long").alias("chars"))
+    return relations.translation_report(r).withColumn("flagged_rows", F.array_join(F.col("flagged_rows").cast("array<string>"), ","))
+
+
+@query("e8_group_stats", f"WITH {T.FILES} SELECT job_id, count(*) AS groups, CAST(sum(length_ms) AS BIGINT) AS grouped_rows, CAST(sum(CASE WHEN type = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS fallbacks FROM files GROUP BY job_id")
+def e8(spark, d):
+    return relations.group_stats(T.files(spark, d).select("job_id", F.col("length_ms").alias("rows"), (F.col("type") == "R").alias("fell_back")))
+
+
+@query("e9_voice_layout", f"WITH {T.FILES} SELECT job_id, CAST(sum(size * 50000 + 48 * gap_ms) AS BIGINT) AS frames, CASE WHEN sum(size * 50000 + 48 * gap_ms) * 2 + 128 >= 4294967295 THEN 'RF64' ELSE 'WAV' END AS container FROM files GROUP BY job_id")
+def e9(spark, d):
+    return relations.voice_layout(T.files(spark, d).select("job_id", (F.col("size") * 50000).alias("frames"), F.col("gap_ms").alias("gap_after_ms")))
+
+
+@query("e10_manifest_adds_up", f"WITH {T.FILES} SELECT job_id, abs(sum(length_ms + gap_ms) - 9000) <= 1000 OR bool_or(status = 'O' AND pos = 1) AS adds_up FROM files GROUP BY job_id")
+def e10(spark, d):
+    f = T.files(spark, d).withColumn("length_ms", F.when(~((F.col("status") == "O") & (F.col("pos") == 1)), F.col("length_ms"))).withColumn("total_ms", F.lit(9000))
+    return relations.manifest_adds_up(f)
+
+
+def _clips(spark, d):
+    f = T.files(spark, d)
+    return f.select("job_id", "pos", F.when(F.col("type") == "A", "h264").otherwise("hevc").alias("codec"), F.lit(1280).alias("width"), (F.lit(500) + F.col("supplier") % 3 * 100).cast("int").alias("height"), F.lit(30.0).alias("fps"), F.lit("yuv420p").alias("pix_fmt"), F.lit(0).alias("rotation"), F.col("length_ms").alias("duration_ms"), (F.col("size") * 10).alias("bitrate"), F.lit(60_000).alias("voice_ms"))
+
+
+_CLIPS = f"{T.FILES}, clips AS (SELECT job_id, pos, CASE WHEN type = 'A' THEN 'h264' ELSE 'hevc' END AS codec, 500 + supplier % 3 * 100 AS height, length_ms AS duration_ms, size * 10 AS bitrate FROM files)"
+
+
+@query("e11_video_plan", f"""WITH {_CLIPS}, g AS (SELECT job_id, min(codec) = max(codec) AND min(height) = max(height) AS alike, arg_min(height, pos) AS h, sum(duration_ms) AS ms, sum(bitrate * duration_ms) / greatest(sum(duration_ms), 1) / 1000 AS kbps FROM clips GROUP BY 1),
+k AS (SELECT *, CASE WHEN alike THEN kbps WHEN h <= 600 THEN 1200 ELSE 2500 END AS v FROM g)
+SELECT job_id, CASE WHEN alike THEN 'copy' ELSE 'encode' END AS mode, CAST(1280 AS INT) AS width, CAST(h AS INT) AS height, CAST(floor(v) AS INT) AS video_kbps, CAST(ms AS BIGINT) AS clips_ms, CAST(ceil(60000 / ms) AS INT) AS repeats, CAST(floor((v + 128) * 1000 / 8 * 60000 / 1000 * 1.02) AS BIGINT) AS size_bytes FROM k""")
+def e11(spark, d):
+    return relations.video_plan(_clips(spark, d))
+
+
+@query("e12_allowed_resolutions", f"WITH {_CLIPS} SELECT job_id, CASE WHEN max(height) >= 720 THEN '480,720' ELSE '480' END AS heights FROM clips GROUP BY job_id")
+def e12(spark, d):
+    return relations.allowed_resolutions(_clips(spark, d)).select("job_id", F.array_join(F.col("heights").cast("array<string>"), ",").alias("heights"))
+
+
+@query("e13_download_outcome", f"""WITH {T.FILES}, a AS (SELECT job_id, pos, CASE WHEN status = 'F' THEN 'file' END AS cookies, CASE WHEN type = 'A' AND gap_ms < 100 THEN 'http error 429' WHEN type = 'A' THEN 'sign in to confirm' WHEN type = 'R' THEN 'page needs to be reloaded' WHEN gap_ms < 250 THEN 'other' END AS error FROM files),
+s AS (SELECT job_id, bool_or(error IS NOT NULL) AS e, bool_or(coalesce(contains(error, '429'), false)) AS l, bool_or(coalesce(contains(error, 'sign in'), false)) AS q, arg_max(error, pos) FILTER (cookies IS NOT NULL AND error IS NOT NULL) AS last FROM a GROUP BY 1)
+SELECT job_id, CASE WHEN NOT e THEN 'T106' WHEN l THEN 'T103' WHEN last IS NULL AND q THEN 'T101' WHEN contains(last, 'sign in') THEN 'T101' WHEN contains(last, 'reloaded') THEN 'T102' ELSE 'T107' END AS code FROM s""")
+def e13(spark, d):
+    kind = F.when((F.col("type") == "A") & (F.col("gap_ms") < 100), "HTTP Error 429").when(F.col("type") == "A", "Sign in to confirm").when(F.col("type") == "R", "page needs to be reloaded").when(F.col("gap_ms") < 250, "other")
+    return relations.download_outcome(T.files(spark, d).select("job_id", F.col("pos").alias("attempt_no"), F.when(F.col("status") == "F", "file").alias("cookies"), kind.alias("error")))
+
+
+@query("e14_artifact_flags", f"WITH {T.FILES} SELECT job_id, bool_or(type = 'A' AND status = 'F') AS has_a, bool_or(type = 'N' AND status = 'F') AS has_n, bool_or(type = 'R' AND status = 'F') AS has_r FROM files GROUP BY job_id")
+def e14(spark, d):
+    f = T.files(spark, d).withColumn("status", F.when(F.col("status") == "F", "AVAILABLE").otherwise("STALE"))
+    return relations.artifact_flags(f, ["A", "N", "R"])
+
+
+@query("e15_status_facets", f"WITH {T.JOBS} SELECT DISTINCT status FROM jobs")
+def e15(spark, d):
+    return relations.status_facets(T.jobs(spark, d))
+
+
+@query("e16_run_durations", f"""WITH {T.TRANSITIONS}, n AS (SELECT *, lead(tm) OVER (PARTITION BY job_id, step ORDER BY tm, seq) AS nxt FROM transitions)
+SELECT job_id, step, CAST(sum(CASE WHEN state = 'RUNNING' THEN 1 ELSE 0 END) AS BIGINT) AS attempt, CAST(sum(CASE WHEN state = 'RUNNING' AND nxt IS NOT NULL THEN epoch_us(nxt) // 1000 - epoch_us(tm) // 1000 END) AS BIGINT) AS duration_ms FROM n GROUP BY 1, 2""")
+def e16(spark, d):
+    return relations.run_durations(T.transitions(spark, d))
+
+
+@query("e17_throughput", "SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) / 3600 AS rate FROM events")
+def e17(spark, d):
+    e = T.read(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("value").alias("amount"), "event_id")
+    return relations.throughput(e, 3600).select("event_id", "rate")
+
+
+@query("e18_slow_routes", """WITH t AS (SELECT event_type AS route, CAST(floor(value * 100) AS BIGINT) AS ms, user_id FROM events), p AS (SELECT route, count(*) AS requests, CAST(sum(CASE WHEN ms >= 2000 THEN 1 ELSE 0 END) AS BIGINT) AS slow FROM t GROUP BY 1)
+SELECT p.route, p.requests, p.slow, s.step, CAST(s.ms AS BIGINT) AS step_ms FROM p JOIN (SELECT route, 'read' AS step, sum(ms // 3) AS ms FROM t GROUP BY 1 UNION ALL SELECT route, 'work', sum(ms - ms // 3) FROM t GROUP BY 1) s USING (route)""")
+def e18(spark, d):
+    ms = F.floor(F.col("value") * 100).cast("long")
+    t = T.read(spark, d, "events").select(F.col("event_type").alias("route"), ms.alias("total_ms"))
+    third = F.floor(F.col("total_ms") / 3).cast("long")
+    return relations.slow_routes(t.withColumn("steps_ms", F.create_map(F.lit("read"), third, F.lit("work"), F.col("total_ms") - third)))
+
+
+@query("e19_longest_dedupe", "SELECT doc_id AS task_id, min(doc_id) OVER (PARTITION BY source, text) AS worker_id FROM documents")
+def e19(spark, d):
+    t = T.read(spark, d, "documents").select(F.col("doc_id").alias("task_id"), F.col("source").alias("config"), F.sha2("text", 256).alias("text"))
+    return relations.longest_dedupe(t).select("task_id", "worker_id")
+
+
+@query("e20_merge_cards", f"""WITH {T.TRANSITIONS}, l AS (SELECT job_id, step || state AS name, max(seq) AS seq, arg_max(percent, seq) AS card FROM transitions GROUP BY 1, 2)
+SELECT job_id, name, seq, card FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC, name) AS n FROM l) WHERE n <= 5""")
+def e20(spark, d):
+    return relations.merge_cards(T.transitions(spark, d).select("job_id", "seq", F.concat("step", "state").alias("name"), F.col("percent").alias("card")), 5)
+
+
+# Windows and folds
+
+
+@query("f1_pair_speech_events", f"""WITH {T.SPANS}, m AS (SELECT job_id, seq, CASE WHEN event_type IN ('view', 'signup') THEN start_ms ELSE -1 END AS s, CASE WHEN event_type IN ('click', 'view') THEN end_ms ELSE -1 END AS e FROM spans),
+g AS (SELECT *, coalesce(sum(CASE WHEN e >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM m),
+o AS (SELECT *, last_value(CASE WHEN s >= 0 THEN s END IGNORE NULLS) OVER (PARTITION BY job_id, g ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM g)
+SELECT job_id, seq, coalesce(o, greatest(0, e - 30000)) AS start_ms, e AS end_ms FROM o WHERE e >= 0 AND e > coalesce(o, greatest(0, e - 30000))""")
+def f1(spark, d):
+    s = T.spans(spark, d)
+    return folds.pair_speech_events(s.select("job_id", "seq", F.when(F.col("event_type").isin("view", "signup"), F.col("start_ms")).otherwise(-1).alias("start_ms"), F.when(F.col("event_type").isin("click", "view"), F.col("end_ms")).otherwise(-1).alias("end_ms")))
+
+
+_ORDERED = "o AS (SELECT job_id, start_ms, end_ms, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms) AS n FROM spans WHERE end_ms > start_ms)"
+_GROUPED = f"""RECURSIVE {T.SPANS}, {_ORDERED},
+f AS (SELECT job_id, n, start_ms AS first, end_ms AS last, 0 AS g FROM o WHERE n = 1
+  UNION ALL SELECT o.job_id, o.n, CASE WHEN o.start_ms - f.last <= 700 AND o.end_ms - f.first <= 30000 THEN f.first ELSE o.start_ms END,
+    CASE WHEN o.start_ms - f.last <= 700 AND o.end_ms - f.first <= 30000 THEN greatest(f.last, o.end_ms) ELSE o.end_ms END,
+    CASE WHEN o.start_ms - f.last <= 700 AND o.end_ms - f.first <= 30000 THEN f.g ELSE f.g + 1 END FROM f JOIN o ON o.job_id = f.job_id AND o.n = f.n + 1),
+grouped AS (SELECT job_id, CAST(g AS INT) AS chunk_no, min(first) AS start_ms, max(last) AS end_ms FROM f GROUP BY 1, 2)"""
+
+
+@query("f2_group_spans", f"WITH {_GROUPED} SELECT * FROM grouped")
+def f2(spark, d):
+    return folds.group_spans(T.spans(spark, d))
+
+
+@query("f3_chunk_overlap", f"""WITH {_GROUPED} SELECT job_id, chunk_no, greatest(0, start_ms - CASE WHEN start_ms - lag(end_ms) OVER w <= 4000 THEN 2500 ELSE 0 END) AS start_ms,
+  end_ms + CASE WHEN lead(start_ms) OVER w - end_ms <= 4000 THEN 2500 ELSE 0 END AS end_ms, start_ms AS own_start_ms, end_ms AS own_end_ms FROM grouped WINDOW w AS (PARTITION BY job_id ORDER BY chunk_no)""")
+def f3(spark, d):
+    return folds.chunk_overlap(folds.group_spans(T.spans(spark, d)), near=4000)
+
+
+_KEPT = f"""RECURSIVE {T.SPANS}, o AS (SELECT job_id, start_ms, end_ms, CAST(seq AS VARCHAR) AS text, row_number() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms, CAST(seq AS VARCHAR)) AS n FROM spans),
+f AS (SELECT job_id, n, start_ms, end_ms, text, start_ms AS ps, greatest(-1, end_ms) AS pe, true AS kept FROM o WHERE n = 1
+  UNION ALL SELECT job_id, n, start_ms, end_ms, text, CASE WHEN k THEN start_ms ELSE ps END, CASE WHEN k THEN greatest(pe, end_ms) ELSE pe END, k FROM (
+    SELECT o.*, f.ps, f.pe, NOT (f.pe > 0 AND ((o.end_ms <= f.pe AND o.start_ms < f.pe - 500) OR greatest(0, least(f.pe, o.end_ms) - greatest(f.ps, o.start_ms)) > 0.65 * greatest(1, least(o.end_ms - o.start_ms, f.pe - f.ps)))) AS k
+    FROM f JOIN o ON o.job_id = f.job_id AND o.n = f.n + 1)),
+kept AS (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY n) AS idx, start_ms, end_ms, text FROM f WHERE kept)"""
+
+
+@query("f4_dedupe_overlaps", f"WITH {_KEPT} SELECT * FROM kept")
+def f4(spark, d):
+    return folds.dedupe_overlaps(T.spans(spark, d).withColumn("text", F.col("seq").cast("string")))
+
+
+@query("f5_paragraphs", f"""WITH RECURSIVE {T.SEGMENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY idx) AS n FROM segments),
+f AS (SELECT job_id, n, start_ms AS first, end_ms AS last, text AS t, 0 AS p FROM o WHERE n = 1
+  UNION ALL SELECT job_id, n, CASE WHEN b THEN start_ms ELSE first END, greatest(last, end_ms), CASE WHEN b THEN text ELSE t || text END, CASE WHEN b THEN p + 1 ELSE p END FROM (
+    SELECT o.job_id, o.n, o.start_ms, o.end_ms, o.text, f.first, f.last, f.t, f.p, o.start_ms - f.last > 1500 OR o.start_ms - f.first > 60000 OR length(f.t) > 240 AS b FROM f JOIN o ON o.job_id = f.job_id AND o.n = f.n + 1))
+SELECT job_id, CAST(p AS INT) AS paragraph, min(first) AS start_ms, arg_max(t, n) AS text FROM f GROUP BY job_id, p""")
+def f5(spark, d):
+    return folds.paragraphs(T.segments(spark, d))
+
+
+@query("f6_sentence_groups")
+def f6(spark, d):
+    s = T.segments(spark, d).withColumn("text", F.substring("text", 1, 90)).withColumn("cached", F.col("idx") % 5 == 0)
+    return folds.sentence_groups(s, ends=".")
+
+
+@query("f7_narration_units")
+def f7(spark, d):
+    return folds.narration_units(T.segments(spark, d), J.validate_style("rebirth"))
+
+
+@query("f8_unit_offsets", f"WITH {T.FILES} SELECT job_id, pos AS index, CAST(coalesce(sum(length_ms + gap_ms) OVER (PARTITION BY job_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_ms, CAST(coalesce(sum(length_ms + gap_ms) OVER (PARTITION BY job_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length_ms AS BIGINT) AS end_ms FROM files")
+def f8(spark, d):
+    return folds.unit_offsets(T.files(spark, d).withColumnRenamed("pos", "index")).select("job_id", "index", "start_ms", "end_ms")
+
+
+def _unknown(spark, d):
+    f = T.files(spark, d)
+    return f.select("job_id", F.col("pos").alias("index"), F.repeat(F.col("type"), (F.col("supplier") % 9).cast("int")).alias("text"), F.when(F.col("status") == "F", F.col("length_ms")).alias("length_ms"), "gap_ms", F.lit(20_000).cast("long").alias("total_ms"))
+
+
+@query("f9_share_unknown_lengths", f"""WITH {T.FILES}, u AS (SELECT job_id, pos AS index, greatest(1, supplier % 9) AS w, CASE WHEN status = 'F' THEN length_ms END AS l, gap_ms FROM files),
+s AS (SELECT *, greatest(0, 20000 - coalesce(sum(l) OVER j, 0) - sum(gap_ms) OVER j) AS rest, sum(CASE WHEN l IS NULL THEN w END) OVER j AS weight FROM u WINDOW j AS (PARTITION BY job_id))
+SELECT job_id, index, coalesce(l, CAST(round_even(rest * w / weight, 0) AS BIGINT)) AS length_ms FROM s""")
+def f9(spark, d):
+    return folds.share_unknown_lengths(_unknown(spark, d)).select("job_id", "index", "length_ms")
+
+
+@query("f10_build_cues")
+def f10(spark, d):
+    s = T.segments(spark, d)
+    return folds.build_cues(s.select("job_id", F.col("idx").alias("index"), "text", (F.col("end_ms") - F.col("start_ms")).alias("length_ms"), F.lit(300).alias("gap_ms")))
+
+
+@query("f11_rolling_context", f"""WITH {T.SEGMENTS} SELECT job_id, idx, right(coalesce((SELECT string_agg(b.text, '' ORDER BY b.idx) FROM segments b WHERE b.job_id = a.job_id AND b.idx < a.idx), ''), 512) AS context FROM segments a""")
+def f11(spark, d):
+    return folds.rolling_context(T.segments(spark, d)).select("job_id", "idx", "context")
+
+
+@query("f12_contiguous_prefix", f"WITH {T.FILES} SELECT job_id, pos FROM files a WHERE NOT EXISTS (SELECT 1 FROM files b WHERE b.job_id = a.job_id AND b.pos <= a.pos AND b.type = 'R')")
+def f12(spark, d):
+    return folds.contiguous_prefix(T.files(spark, d).withColumn("idx", F.col("pos")).withColumn("done", F.col("type") != "R")).select("job_id", "pos")
+
+
+@query("f13_assign_numbers", f"""WITH {T.JOBS}, j AS (SELECT *, CASE WHEN id % 4 = 0 THEN id + 5 END AS no FROM jobs), m AS (SELECT scope, max(no) AS m FROM j GROUP BY 1)
+SELECT id, coalesce(no, coalesce(m, 0) + row_number() OVER (PARTITION BY j.scope, no IS NULL ORDER BY created_at, id)) AS workflow_no FROM j JOIN m USING (scope)""")
+def f13(spark, d):
+    return folds.assign_numbers(T.jobs(spark, d).withColumn("workflow_no", F.when(F.col("id") % 4 == 0, F.col("id") + 5))).select("id", "workflow_no")
+
+
+@query("f14_chunk_rows", f"WITH {T.DOC_LINES} SELECT job_id, line AS idx, CAST(floor((row_number() OVER (PARTITION BY job_id ORDER BY line) - 1) / 10) AS INT) AS chunk_no FROM doc_lines WHERE trim(value) <> ''")
+def f14(spark, d):
+    return folds.chunk_rows(T.doc_lines(spark, d).withColumnRenamed("line", "idx").withColumnRenamed("value", "text"), 10).select("job_id", "idx", "chunk_no")
+
+
+@query("f15_attempt_cutoff", f"WITH {T.FILES} SELECT job_id, pos FROM files a WHERE NOT EXISTS (SELECT 1 FROM files b WHERE b.job_id = a.job_id AND b.pos < a.pos AND b.type = 'R')")
+def f15(spark, d):
+    return folds.attempt_cutoff(T.files(spark, d).withColumn("attempt_no", F.col("pos")).withColumn("final", F.col("type") == "R")).select("job_id", "pos")
+
+
+@query("f16_lru_keep", f"""WITH {T.FILES}, e AS (SELECT job_id % 100 AS scope, created_at AS used_at, job_id || '-' || pos AS name, size FROM files),
+r AS (SELECT *, row_number() OVER w AS n, sum(size) OVER (PARTITION BY scope ORDER BY used_at DESC, name ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS b FROM e WINDOW w AS (PARTITION BY scope ORDER BY used_at DESC, name))
+SELECT scope, name, size FROM r WHERE n <= 300 AND b <= 20000000""")
+def f16(spark, d):
+    e = T.files(spark, d).select((F.col("job_id") % 100).alias("scope"), F.col("created_at").alias("used_at"), F.concat_ws("-", F.col("job_id").cast("string"), F.col("pos").cast("string")).alias("name"), "size")
+    return folds.lru_keep(e, most_bytes=20_000_000, most=300).select("scope", "name", "size")
+
+
+@query("f17_last_state", f"""WITH {T.TRANSITIONS} SELECT job_id, step, arg_max(state, tm) AS state, CAST(sum(CASE WHEN state = 'RUNNING' THEN 1 ELSE 0 END) AS BIGINT) AS attempt, CAST(greatest(sum(CASE WHEN state = 'RUNNING' THEN 1 ELSE 0 END) - 1, 0) AS BIGINT) AS retry_count FROM transitions GROUP BY 1, 2""")
+def f17(spark, d):
+    return folds.last_state(T.transitions(spark, d))
+
+
+@query("f17_first_unfinished", f"""WITH {T.TRANSITIONS}, l AS (SELECT job_id, step, arg_max(state, tm) AS state FROM transitions GROUP BY 1, 2) SELECT job_id, min(CASE WHEN state <> 'COMPLETED' THEN step END) AS next_step FROM l GROUP BY 1""")
+def f17b(spark, d):
+    return folds.first_unfinished(folds.last_state(T.transitions(spark, d)), ["S0", "S1", "S2", "S3"])
+
+
+@query("f18_phase_view", f"""WITH {T.JOBS}, c AS (SELECT id AS job_id, status, id % 10 AS done, CASE WHEN status = 'F' THEN 5 WHEN id % 5 = 0 THEN 4 WHEN id % 3 = 0 THEN 3 WHEN id % 2 = 0 THEN 2 ELSE 1 END AS cur, CASE WHEN status = 'P' THEN 'PENDING' ELSE 'RUNNING' END AS st FROM jobs),
+p AS (SELECT *, unnest([1, 2, 3, 4]) AS phase FROM c), s AS (SELECT *, CASE WHEN phase < cur THEN 'COMPLETED' WHEN phase = cur AND st <> 'PENDING' THEN st ELSE 'PENDING' END AS state FROM p)
+SELECT job_id, CAST(phase AS INT) AS phase, state, CASE WHEN state = 'COMPLETED' THEN 100.0 WHEN state = 'PENDING' THEN 0.0 WHEN phase = 3 THEN 100.0 * done / 10 END AS progress FROM s""")
+def f18(spark, d):
+    j = T.jobs(spark, d)
+    state = F.when(F.col("status") == "F", "COMPLETED").when(F.col("status") == "P", "PENDING").otherwise("RUNNING")
+    rows = j.select(F.col("id").alias("job_id"), F.when(F.col("id") % 5 == 0, "MERGING").otherwise("OTHER").alias("status"), state.alias("state"), (F.col("id") % 2 == 0).alias("has_vad"), (F.col("id") % 3 == 0).alias("has_chunks"), (F.col("id") % 10).alias("chunks_done"), F.when((F.col("id") % 3 == 0), 10).alias("chunks_total"), F.lit(None).cast("long").alias("duration_ms"), F.lit(None).cast("long").alias("processed_ms"))
+    return folds.phase_view(rows)
+
+
+@query("f19_failure_history", f"""WITH {T.TRANSITIONS}, e AS (SELECT job_id, seq % 50 AS idx, tm, step FROM transitions WHERE state = 'FAILED'), r AS (SELECT DISTINCT job_id, seq % 50 AS idx FROM transitions WHERE state = 'COMPLETED' AND seq % 3 = 0)
+SELECT job_id, idx, count(*) AS failure_count, arg_max(step, tm) AS detail FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.job_id = e.job_id AND r.idx = e.idx) GROUP BY 1, 2""")
+def f19(spark, d):
+    t = T.transitions(spark, d).withColumn("idx", F.col("seq") % 50)
+    return folds.failure_history(t.filter("state = 'FAILED'").select("job_id", "idx", F.col("at").alias("failed_at"), F.col("step").alias("detail")), t.filter("state = 'COMPLETED' AND seq % 3 = 0"))
+
+
+# Sorts and limits
+
+
+@query("g1_history", f"WITH {T.JOBS} SELECT id, name, status FROM jobs WHERE contains(lower(id || ' ' || name), '1-urg') AND status = 'F' ORDER BY created_at DESC, id LIMIT 25 OFFSET 25")
+def g1(spark, d):
+    j = T.jobs(spark, d).withColumn("workflow_no", F.col("id")).withColumn("url", F.lit(None).cast("string"))
+    page, _ = relations.history(j, "1-URG", "F", "newest", 2, 25)
+    return page.select("id", "name", "status")
+
+
+@query("g1_history_total", f"WITH {T.JOBS} SELECT count(*) AS total FROM jobs WHERE contains(lower(id || ' ' || name), '1-urg')")
+def g1b(spark, d):
+    j = T.jobs(spark, d).withColumn("workflow_no", F.col("id")).withColumn("url", F.lit(None).cast("string"))
+    return relations.history(j, "1-URG")[1]
+
+
+@query("g2_merge_sorted", f"WITH {T.SPANS} SELECT job_id, seq, start_ms, end_ms FROM spans")
+def g2(spark, d):
+    return relations.merge_sorted(T.spans(spark, d)).select("job_id", "seq", "start_ms", "end_ms")
+
+
+@query("g3_latest_errors", f"WITH {T.TRANSITIONS} SELECT job_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY tm DESC, seq DESC) AS n FROM transitions WHERE state = 'FAILED') WHERE n <= 10")
+def g3(spark, d):
+    return relations.latest_errors(T.transitions(spark, d).filter("state = 'FAILED'").withColumn("failed_at", F.col("at")), 10).select("job_id", "seq")
+
+
+@query("g4_top_names", f"WITH {T.FILES}, c AS (SELECT supplier AS job_id, CAST(size % 97 AS VARCHAR) AS source, count(*) AS count FROM files GROUP BY 1, 2) SELECT job_id, source, count FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY count DESC, source) AS n FROM c) WHERE n <= 40")
+def g4(spark, d):
+    c = T.files(spark, d).groupBy(F.col("supplier").alias("job_id"), (F.col("size") % 97).cast("string").alias("source")).agg(F.count("*").alias("count"))
+    return relations.top_names(c)
+
+
+@query("g5_first_pending", f"WITH {T.JOBS} SELECT scope, id FROM (SELECT scope, id, row_number() OVER (PARTITION BY scope ORDER BY created_at, id) AS n FROM jobs WHERE status = 'P' OR (status = 'O' AND id % 2 = 0)) WHERE n = 1")
+def g5(spark, d):
+    j = T.jobs(spark, d).withColumn("auto_paused", F.col("id") % 2 == 0).withColumn("status", F.when(F.col("status") == "P", "PENDING").when(F.col("status") == "O", "PAUSED").otherwise("DONE"))
+    return relations.first_pending(j)
+
+
+@query("g6_manifest_order", f"WITH {T.FILES} SELECT job_id, pos AS index, length_ms FROM files")
+def g6(spark, d):
+    return relations.manifest_order(T.files(spark, d).withColumnRenamed("pos", "index")).select("job_id", "index", "length_ms")
+
+
+# Sets
+
+
+@query("h1_union_runs", f"WITH {T.JOBS} SELECT id, CASE WHEN id % 2 = 0 THEN 'w' ELSE 't' END AS kind FROM jobs WHERE id % 2 = 0 OR id % 3 = 0")
+def h1(spark, d):
+    j = T.jobs(spark, d).select("id")
+    return relations.union_runs(j.filter("id % 2 = 0").withColumn("kind", F.lit("w")), j.filter("id % 3 = 0").withColumn("kind", F.lit("t")))
+
+
+@query("h2_same_ids", f"WITH {T.SEGMENTS} SELECT job_id, idx, 'missing' AS side FROM segments WHERE idx % 4 = 0 UNION ALL SELECT job_id, idx + 100, 'extra' FROM segments WHERE idx = 1")
+def h2(spark, d):
+    s = T.segments(spark, d).select("job_id", "idx")
+    return relations.same_ids(s, s.filter("idx % 4 <> 0").union(s.filter("idx = 1").select("job_id", F.col("idx") + 100)))
+
+
+@query("h3_merge_glossaries", f"WITH {T.FILES} SELECT job_id, type AS source, CASE WHEN bool_or(status = 'F') THEN 'F' ELSE 'O' END AS target FROM files GROUP BY 1, 2")
+def h3(spark, d):
+    f = T.files(spark, d).select("job_id", F.col("type").alias("source"), F.col("status").alias("target"))
+    return relations.merge_glossaries(f.filter("target = 'F'"), f.filter("target = 'O'"))
+
+
+@query("h4_keep_latest_output", f"WITH {T.FILES} SELECT job_id, pos FROM files WHERE NOT (type = 'A' AND job_id % 2 = 0)")
+def h4(spark, d):
+    f = T.files(spark, d).withColumn("step", F.col("type"))
+    return relations.keep_latest_output(f, f.filter("type = 'A' AND job_id % 2 = 0").select("job_id", "step").distinct()).select("job_id", "pos")
+
+
+@query("h5_voice_catalog", "WITH v AS (SELECT p_name AS name, max(p_brand) AS brand FROM part GROUP BY 1), n AS (SELECT c_mktsegment AS name, 'c' AS brand FROM customer GROUP BY 1), b AS (SELECT * FROM n UNION ALL SELECT * FROM v WHERE name NOT IN (SELECT name FROM n)) SELECT name, brand, name = 'BUILDING' AS is_default FROM b")
+def h5(spark, d):
+    v = T.read(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.max("p_brand").alias("brand"))
+    c = T.read(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.lit("c").alias("brand")).distinct()
+    return relations.voice_catalog("BUILDING", v, c)
+
+
+@query("h6_initial_card", f"WITH {T.FILES}, g AS (SELECT job_id, type AS name, max(status) AS t FROM files GROUP BY 1, 2), c AS (SELECT job_id, type AS name FROM files WHERE pos = 2) SELECT coalesce(g.job_id, c.job_id) AS job_id, coalesce(g.name, c.name) AS name, CASE WHEN c.name IS NOT NULL THEN 'sheet' ELSE coalesce(g.t, '') END AS target, CASE WHEN c.name IS NOT NULL THEN 'male' ELSE 'unknown' END AS gender FROM g FULL JOIN c ON g.job_id = c.job_id AND g.name = c.name")
+def h6(spark, d):
+    f = T.files(spark, d)
+    g = f.groupBy("job_id", F.col("type").alias("source")).agg(F.max("status").alias("target"))
+    return relations.initial_card(g, f.filter("pos = 2").select("job_id", F.col("type").alias("source"), F.lit("sheet").alias("target"), F.lit("male").alias("gender")))
