@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .spans import joined, with_spans
+from .spans import count_kind, joined, with_spans
 
 THRESHOLD = 0.6
 
@@ -91,5 +91,5 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | No
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    counts = [count_kind(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))

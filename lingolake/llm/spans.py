@@ -52,3 +52,8 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column |
 def joined(spans: Column) -> Column:
     """kind:start:end of an array of structs, joined by commas."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def count_kind(kind: str) -> Column:
+    """How many of the structs in column `found` are of a kind."""
+    return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
