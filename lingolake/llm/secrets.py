@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import materialize
-from .spans import joined, with_spans
+from .spans import count_kind, joined, with_spans
 
 _ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 
@@ -92,6 +92,6 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
     found, _ = scan_versions(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [count_kind(k).alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), "blob")
