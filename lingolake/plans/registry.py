@@ -855,3 +855,266 @@ def h6(spark, d):
     f = T.files(spark, d)
     g = f.groupBy("job_id", F.col("type").alias("source")).agg(F.max("status").alias("target"))
     return relations.initial_card(g, f.filter("pos = 2").select("job_id", F.col("type").alias("source"), F.lit("sheet").alias("target"), F.lit("male").alias("gender")))
+
+
+# Streams: the tables are read as streams to their end, and the result is what the stream has written
+
+
+def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A driver table as a stream; event times become timestamps."""
+    s = spark.readStream.schema(T.read(spark, d, name).schema).parquet(f"{d}/[{name[0]}]{name[1:]}.parquet")  # a pattern may match a file or a folder
+    return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now and read what it wrote: to the shared folder in append mode, one table in complete mode."""
+    import tempfile
+    import uuid
+
+    spark = stream.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lingolake-")
+    out = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if mode == "append":
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    else:
+        q = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _as_transitions(e: DataFrame) -> DataFrame:
+    state = F.create_map(*[F.lit(x) for kv in T.STATES.items() for x in kv])[F.col("event_type")]
+    return e.select(F.col("user_id").alias("job_id"), F.concat(F.lit("S"), (F.col("event_id") % 4).cast("string")).alias("step"), "ts", F.col("event_id").alias("seq"), state.alias("state"), F.col("value").alias("percent"))
+
+
+@query("i1_ordered_release", "SELECT conv_id AS job_id, turn + 1 AS idx, role AS text FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = c.conv_id AND b.turn <= c.turn AND b.turn = 5 AND b.conv_id % 3 = 0)")
+def i1(spark, d):
+    from ..streaming import streams
+
+    s = _stream(spark, d, "conversations").filter("NOT (turn = 5 AND conv_id % 3 = 0)")
+    return _drained(streams.ordered_release(s.select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("idx"), F.col("role").alias("text"))))
+
+
+@query("i2_stream_speech_intervals", f"""WITH {T.SPANS}, m AS (SELECT job_id, seq, CASE WHEN event_type IN ('view', 'signup') THEN start_ms ELSE -1 END AS s, CASE WHEN event_type IN ('click', 'view') THEN end_ms ELSE -1 END AS e FROM spans),
+g AS (SELECT *, coalesce(sum(CASE WHEN e >= 0 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM m),
+o AS (SELECT *, last_value(CASE WHEN s >= 0 THEN s END IGNORE NULLS) OVER (PARTITION BY job_id, g ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o FROM g)
+SELECT job_id, seq, coalesce(o, greatest(0, e - 30000)) AS start_ms, e AS end_ms FROM o WHERE e >= 0 AND e > coalesce(o, greatest(0, e - 30000))""")
+def i2(spark, d):
+    from ..streaming import streams
+
+    e = _stream(spark, d, "events")
+    at = F.floor((F.unix_millis("ts") - 1704067200000) / 100).cast("long")
+    end = at + F.floor(F.col("value") * 40).cast("long")
+    s = e.select(F.col("user_id").alias("job_id"), F.col("event_id").alias("seq"), F.when(F.col("event_type").isin("view", "signup"), at).otherwise(-1).alias("start_ms"), F.when(F.col("event_type").isin("click", "view"), end).otherwise(-1).alias("end_ms"))
+    return _drained(streams.stream_speech_intervals(s))
+
+
+@query("i4_stream_moderate", f"WITH {_REPLACED} SELECT job_id, idx, text, CAST(len(h) AS BIGINT) AS n_hits FROM replaced")
+def i4(spark, d):
+    from ..streaming import streams
+
+    s = _stream(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("idx"), "text")
+    return _drained(streams.stream_moderate(s, RULES)).select("job_id", "idx", "text", F.size("hits").cast("long").alias("n_hits"))
+
+
+@query("i5_stream_progress", f"WITH {T.TRANSITIONS} SELECT job_id, step, max(tm) AS ts, arg_max(state, tm) AS state, arg_max(percent, tm) AS percent FROM transitions GROUP BY 1, 2")
+def i5(spark, d):
+    from ..streaming import streams
+
+    return _drained(streams.stream_progress(_as_transitions(_stream(spark, d, "events"))), "complete")
+
+
+@query("i6_stream_throughput", """WITH w AS (SELECT user_id AS job_id, value, ts, unnest([0, 600, 1200]) AS back FROM events), s AS (SELECT job_id, value, make_timestamp((epoch_us(ts) // 600000000) * 600000000 - back * 1000000) AS start FROM w)
+SELECT job_id, start, start + INTERVAL 1800 SECONDS AS "end", sum(value) AS amount, count(*) AS n FROM s GROUP BY 1, 2""")
+def i6(spark, d):
+    from ..streaming import streams
+
+    e = _stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("value").alias("amount"))
+    return _drained(streams.stream_throughput(e, "30 minutes", "10 minutes"), "complete")
+
+
+@query("i7_stale_heartbeats", """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM g)
+SELECT job_id, min(ts) AS first, max(ts) AS last, max(ts) + INTERVAL 3600 SECONDS AS stale_at, count(*) AS beats FROM s GROUP BY job_id, k""")
+def i7(spark, d):
+    from ..streaming import streams
+
+    return _drained(streams.stale_heartbeats(_stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"), "3600 seconds"), "complete")
+
+
+@query("i8_incremental_apply", f"WITH {_KEYED} SELECT job_id, idx, fingerprint FROM keyed UNION ALL SELECT job_id, idx, fingerprint FROM cached WHERE idx % 3 = 0")
+def i8(spark, d):
+    import tempfile
+    import uuid
+
+    from ..streaming import streams
+
+    _, old = _keyed(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lingolake-")
+    path = f"{root.rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
+    old.write.parquet(path)
+    s = _stream(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.lit("translation").alias("stage"), (F.col("turn") + 1).alias("idx"), F.sha2("text", 256).alias("fingerprint"), "text")
+    made = lambda df: df.select("job_id", "stage", "idx", "fingerprint", F.concat("text", F.lit("?")).alias("output"))
+    streams.incremental_apply(s, path, made).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("job_id long, stage string, idx long, fingerprint string, output string").parquet(path).select("job_id", "idx", "fingerprint")
+
+
+_STREAK = f"""{T.TRANSITIONS}, r AS (SELECT job_id, seq AS idx, state NOT IN ('FAILED', 'PAUSED', 'RUNNING') AS ok FROM transitions),
+s AS (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY idx) AS run FROM r), n AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY job_id, run ORDER BY idx) AS n FROM s)"""
+
+
+@query("i9_streak_guard", f"WITH {_STREAK} SELECT job_id, min(idx) AS idx FROM n WHERE n = 3 AND NOT ok GROUP BY job_id")
+def i9(spark, d):
+    from ..streaming import streams
+
+    t = _as_transitions(_stream(spark, d, "events"))
+    return _drained(streams.streak_guard(t.select("job_id", F.col("seq").alias("idx"), (~F.col("state").isin("FAILED", "PAUSED", "RUNNING")).alias("ok")), 3))
+
+
+@query("i9_streak_guard_batch", f"WITH {_STREAK} SELECT job_id, min(idx) AS idx FROM n WHERE n = 3 AND NOT ok GROUP BY job_id")
+def i9b(spark, d):
+    from ..streaming import streams
+
+    t = T.transitions(spark, d)
+    return streams.streak_guard_batch(t.select("job_id", F.col("seq").alias("idx"), (~F.col("state").isin("FAILED", "PAUSED", "RUNNING")).alias("ok")), 3)
+
+
+# A caller's model
+
+
+@query("j1_map_batches", f"WITH {T.SEGMENTS} SELECT job_id, idx, role || '!' AS output FROM segments")
+def j1(spark, d):
+    from ..operators import model
+
+    s = T.segments(spark, d).select("job_id", "idx", "role")
+    return model.map_batches(s, lambda texts: [t + "!" for t in texts], "role").select("job_id", "idx", "output")
+
+
+@query("j3_with_retries", f"WITH {T.SEGMENTS} SELECT job_id, idx, role || '?' AS output, CAST(CASE WHEN role = 'user' THEN 1 ELSE 0 END AS INT) AS attempt FROM segments")
+def j3(spark, d):
+    from ..operators import model
+
+    s = T.segments(spark, d).select("job_id", "idx", F.col("role").alias("text"))
+    done, _ = model.with_retries(s, [lambda t, seed: "" if t == "user" else t + "?", lambda t, seed: t + "?"])
+    return done.select("job_id", "idx", "output", "attempt")
+
+
+@query("j4_translate_chunks", f"WITH {T.SEGMENTS}, c AS (SELECT *, CAST(floor((idx - 1) / 3) AS INT) AS chunk_no FROM segments) SELECT job_id, idx, chunk_no, role || '/' || CASE WHEN chunk_no = 0 THEN 0 ELSE 2 END AS output, false AS flagged FROM c")
+def j4(spark, d):
+    from ..operators import model
+
+    s = T.segments(spark, d).select("job_id", "idx", F.col("role").alias("text"))
+    done = model.translate_chunks(s, lambda rows, before: {r["idx"]: f"{r['text']}/{len(before)}" for r in rows}, 3, 2)
+    return done.select("job_id", "idx", "chunk_no", "output", "flagged")
+
+
+# Names and forms of address over turns whose words stand for names and pronouns
+
+
+_STANDS = {"the": "他", "and": "她", "of": "张倩倩", "der": "李强", "la": "倩倩"}
+
+
+def _said(spark, d) -> DataFrame:
+    text = F.col("text")
+    for word, sign in _STANDS.items():
+        text = F.regexp_replace(text, rf"(?U)\b{word}\b", sign)
+    target = F.regexp_replace(F.regexp_replace("text", r"(?U)\bthe\b", "anh ấy"), r"(?U)\band\b", "cô ấy")
+    return T.segments(spark, d).select("job_id", "idx", text.alias("text_zh"), target.alias("text_vi"))
+
+
+def _people(spark, d) -> DataFrame:
+    from ..operators import address
+
+    people = [("a", "张倩倩", ["张倩倩", "倩倩"], "x", "female", "antagonist", "peer", "", "", False, False), ("b", "李强", ["李强"], "y", "male", "friend", "peer", "", "", False, False)]
+    sheet = spark.createDataFrame(people, address.CHARACTER)
+    return T.read(spark, d, "conversations").select(F.col("conv_id").alias("job_id")).distinct().join(F.broadcast(sheet))
+
+
+@query("c5_rewrite_pronouns")
+def c5(spark, d):
+    from ..operators import address
+
+    return address.rewrite_pronouns(_said(spark, d), _people(spark, d), "survival")
+
+
+@query("c6_repair_source_pronouns")
+def c6(spark, d):
+    from ..operators import address
+
+    return address.repair_source_pronouns(_said(spark, d).withColumnRenamed("text_zh", "text"), _people(spark, d))
+
+
+@query("c3_clean_source", f"WITH {T.SEGMENTS}, f AS (SELECT job_id, idx, text AS before, replace(replace(replace(text, 'the', 'he'), 'her', 'HER'), 'tion', 'sion') AS text FROM segments) SELECT job_id, idx, text FROM f WHERE text <> before")
+def c3(spark, d):
+    return rewrite.clean_source(T.segments(spark, d), PAIRS, ["no such words"])
+
+
+@query("c8_moderate")
+def c8(spark, d):
+    from ..operators import address
+
+    said = _said(spark, d)
+    flowed = rewrite.fix_flow(said, "text_vi")
+    done = address.rewrite_pronouns(flowed, _people(spark, d), "drama")
+    return rewrite.replace_terms(done, "text", RULES).select("job_id", "idx", "text", "changes", F.size("hits").cast("long").alias("n_hits"))
+
+
+@query("c7_forms", """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'hắn' ELSE 'anh ấy' END AS form_third, CASE WHEN c_custkey % 2 = 0 THEN 'mày' ELSE 'anh' END AS form_you FROM customer""")
+def c7(spark, d):
+    from ..operators import address
+
+    c = T.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "antagonist").otherwise("lover").alias("role"), F.lit("male").alias("gender"), F.lit("peer").alias("rank"), F.lit("").alias("third"), F.lit("").alias("you"), F.lit(True).alias("auto"))
+    return address.forms(c, "survival").select("id", "form_third", "form_you")
+
+
+@query("e2_mine_names")
+def e2(spark, d):
+    from ..operators import names
+
+    given = {c: c.upper() for c in "abcdefghilmnoprstuvwy"}
+    return names.mine_names(T.segments(spark, d).select("job_id", "text"), {"ei": "EI"}, {"t": "T", "q": "Q"}, given, ["q"])
+
+
+@query("e3_kinship_counts", f"""WITH {T.SEGMENTS}, n AS (SELECT job_id, CAST(sum((length(text) - length(replace(text, 'tion', ''))) // 4 + (length(text) - length(replace(text, 'ung', ''))) // 3) AS BIGINT) AS a, CAST(sum((length(text) - length(replace(text, 'est', ''))) // 3) AS BIGINT) AS b FROM segments GROUP BY 1)
+SELECT job_id, 'tion' AS source, a AS n FROM n WHERE a >= 3 UNION ALL SELECT job_id, 'est', b FROM n WHERE b >= 3""")
+def e3(spark, d):
+    from ..operators import address
+
+    kin = [(["tion", "ung"], "x", "female", "peer", "", ""), (["est"], "y", "male", "peer", "", "")]
+    return address.kinship_counts(T.segments(spark, d), kin)
+
+
+@query("e4_infer_gender")
+def e4(spark, d):
+    from ..operators import address
+
+    return address.infer_gender(_people(spark, d), _said(spark, d)).select("job_id", "id", "gender", "name_score")
+
+
+@query("e5_draft_characters")
+def e5(spark, d):
+    from ..operators import address
+
+    said = _said(spark, d)
+    found = spark.createDataFrame([("张倩倩", "X"), ("倩倩", "Y"), ("李强", "Z")], "source string, target string")
+    return address.draft_characters(said.select("job_id").distinct().join(F.broadcast(found)), said).select("job_id", "source", F.array_join("aliases", ",").alias("aliases"), "gender", "role", "sure")
+
+
+@query("b8_gender_problem", """SELECT conv_id AS job_id, turn + 1 AS idx, CASE WHEN len(regexp_extract_all(text, '\\b(?:the|and)\\b')) = 1 AND NOT regexp_matches(text, '\\bof\\b') AND false THEN 'pronoun genders disagree' END AS problem FROM conversations""")
+def b8(spark, d):
+    return _said(spark, d).select("job_id", "idx", X.gender_problem(F.col("text_zh"), F.col("text_vi"), F.array(F.lit("张倩倩"))).alias("problem"))
+
+
+@query("b9_harmonize_gender")
+def b9(spark, d):
+    return _said(spark, d).select("job_id", "idx", X.harmonize_gender(F.col("text_zh"), F.regexp_replace("text_vi", "en", "cô ấy ")).alias("text"))
+
+
+@query("b18_apply_glossary")
+def b18(spark, d):
+    entries = [("the", "THE", ["that", "this one"]), ("der", "DER", ["und", "die"])]
+    return T.segments(spark, d).select("job_id", "idx", X.apply_glossary(F.col("text"), F.col("text"), entries).alias("text"))
+
+
+@query("b19_add_cues")
+def b19(spark, d):
+    return T.segments(spark, d).select("job_id", "idx", X.add_cues(F.col("text")).alias("text"))
