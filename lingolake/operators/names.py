@@ -20,7 +20,7 @@ def mine_names(rows: DataFrame, compound: dict[str, str], surnames: dict[str, st
     grams = grams.filter((F.substring("gram", 1, 1).isin(list(surnames) or [""]) | w2) & ~F.contains("gram", F.lit("\n")))
     counts = grams.groupBy("job_id", "gram").agg(F.count("*").alias("count"))
     counts = counts.withColumn("target", X.reading(F.col("gram"), compound, surnames, given)).filter(F.col("target").isNotNull())
-    plain = counts if words is None else counts.join(F.broadcast(words.select(F.col("word").alias("gram"))), "gram", "left_anti")  # a dictionary has a fixed size
+    plain = counts if words is None else counts.join(words.select(F.col("word").alias("gram")), "gram", "left_anti")
     found = plain.filter((F.col("count") >= least) & (w2 | ((F.length("gram") != 4) & ~F.substring("gram", 1, 1).isin(list(ambiguous) or [""]))))
     if tags is not None:
         named = tags.select("job_id", F.col("word").alias("gram")).distinct()
@@ -42,7 +42,7 @@ def mine_names(rows: DataFrame, compound: dict[str, str], surnames: dict[str, st
     of_given = X.literal_map(given)
     spelled = F.transform(F.filter(F.split("given", ""), lambda x: x != ""), lambda x: F.try_element_at(of_given, x))
     alone = seen.filter("count >= 2").withColumn("_parts", spelled).filter(~F.exists("_parts", lambda x: x.isNull()))
-    alone = alone if words is None else alone.join(F.broadcast(words.select(F.col("word").alias("given"))), "given", "left_anti")
+    alone = alone if words is None else alone.join(words.select(F.col("word").alias("given")), "given", "left_anti")
     alone = alone.join(top.select("job_id", F.col("gram").alias("given")), ["job_id", "given"], "left_anti")
     first = alone.withColumn("_k", F.row_number().over(Window.partitionBy("job_id", "given").orderBy("_rank"))).filter("_k = 1")
     both = top.select("job_id", F.col("gram").alias("source"), "target", "count", F.col("_n").alias("_at")).unionByName(first.select("job_id", F.col("given").alias("source"), F.array_join("_parts", " ").alias("target"), "count", (F.col("_rank") + 1000).alias("_at")))

@@ -36,11 +36,11 @@ def replace_terms(df: DataFrame, column: str, rules: list[Rule], out: str | None
     return df.withColumn(out, X.nfc(text) if normalize else text).withColumn("hits", F.coalesce(F.transform("_hits", lambda h: F.element_at(ids, h)), F.array().cast("array<string>"))).drop("_body", "_hits")
 
 
-def moderation_stats(replaced: DataFrame, rules: DataFrame, changed: Column) -> DataFrame:
+def moderation_stats(replaced: DataFrame, rule_ids: list[str], changed: Column) -> DataFrame:
     """Per job and rule the hits, zeros included, with totals: segments, modified segments, all replacements."""
     totals = replaced.groupBy("job_id").agg(F.count("*").alias("segments"), F.sum(changed.cast("long")).alias("modified"), F.sum(F.size("hits").cast("long")).alias("replacements"))
     counts = replaced.select("job_id", F.explode("hits").alias("rule_id")).groupBy("job_id", "rule_id").agg(F.count("*").alias("hits"))
-    grid = totals.withColumn("rule_id", F.explode(F.lit(None).cast("array<string>"))) if rules is None else totals.join(F.broadcast(rules.select("rule_id")))
+    grid = totals.withColumn("rule_id", F.explode(F.array(*[F.lit(r) for r in rule_ids])))
     return grid.join(counts, ["job_id", "rule_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 

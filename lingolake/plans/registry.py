@@ -51,8 +51,7 @@ def c1(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     done = rewrite.replace_terms(T.segments(spark, d), "text", RULES, out="after")
-    rules = spark.createDataFrame([(r[0],) for r in RULES], "rule_id string")
-    return rewrite.moderation_stats(done, rules, F.col("after") != F.col("text"))
+    return rewrite.moderation_stats(done, [r[0] for r in RULES], F.col("after") != F.col("text"))
 
 
 query("e1_moderation_stats", f"""WITH {_REPLACED},
@@ -1025,8 +1024,11 @@ def _people(spark, d) -> DataFrame:
     from ..operators import address
 
     people = [("a", "张倩倩", ["张倩倩", "倩倩"], "x", "female", "antagonist", "peer", "", "", False, False), ("b", "李强", ["李强"], "y", "male", "friend", "peer", "", "", False, False)]
-    sheet = spark.createDataFrame(people, address.CHARACTER)
-    return T.read(spark, d, "conversations").select(F.col("conv_id").alias("job_id")).distinct().join(F.broadcast(sheet))
+    names = [f.split(" ")[0] for f in address.CHARACTER.split(", ")]
+    value = lambda v: F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v)
+    sheet = F.array(*[F.struct(*[value(v).alias(n) for n, v in zip(names, p)]) for p in people])
+    jobs = T.read(spark, d, "conversations").select(F.col("conv_id").alias("job_id")).distinct()
+    return jobs.select("job_id", F.inline(sheet))
 
 
 @query("c5_rewrite_pronouns")
@@ -1095,8 +1097,8 @@ def e5(spark, d):
     from ..operators import address
 
     said = _said(spark, d)
-    found = spark.createDataFrame([("张倩倩", "X"), ("倩倩", "Y"), ("李强", "Z")], "source string, target string")
-    return address.draft_characters(said.select("job_id").distinct().join(F.broadcast(found)), said).select("job_id", "source", F.array_join("aliases", ",").alias("aliases"), "gender", "role", "sure")
+    found = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target")) for a, b in (("张倩倩", "X"), ("倩倩", "Y"), ("李强", "Z"))])
+    return address.draft_characters(said.select("job_id").distinct().select("job_id", F.inline(found)), said).select("job_id", "source", F.array_join("aliases", ",").alias("aliases"), "gender", "role", "sure")
 
 
 @query("b8_gender_problem", """SELECT conv_id AS job_id, turn + 1 AS idx, CASE WHEN len(regexp_extract_all(text, '\\b(?:the|and)\\b')) = 1 AND NOT regexp_matches(text, '\\bof\\b') AND false THEN 'pronoun genders disagree' END AS problem FROM conversations""")
