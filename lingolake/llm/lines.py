@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, where
 
 _WHITE = " \t\x0b\x0c\r"
 _KEY = ("__id", "__text_hash")
@@ -68,7 +68,7 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: repeated windows of lines go, and documents of which nothing remains; n_chars is counted anew."""
     done = dedup_lines(docs)
-    done = done.filter((F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(_WHITE + "\n"))) > 0))
+    done = where(done, (F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(_WHITE + "\n"))) > 0))
     return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import where
+
 FIT_ROWS = 20_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -175,4 +177,4 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base test or a rule rejects go."""
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = judge(docs.select(F.struct(*docs.columns).alias("__row"), "text"), rules, keep=["__row"])
-    return kept.filter("kept").select("__row.*")
+    return where(kept, F.col("kept")).select("__row.*")

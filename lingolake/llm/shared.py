@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step handles; a longer document is a step of its own.
@@ -35,6 +35,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def where(df: DataFrame, condition: Column) -> DataFrame:
+    """df.filter that stays where it is. A filter would be pushed below the projections that its columns come from and repeat
+    them, array by array, inside each other's lambdas; one that also reads a nondeterministic column is not."""
+    marked = df.withColumn("__row_mark", F.monotonically_increasing_id())
+    return marked.filter(condition & (F.col("__row_mark") >= 0)).drop("__row_mark")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
