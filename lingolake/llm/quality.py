@@ -123,6 +123,11 @@ def _grow(values, cuts, poor, rows, most) -> list[Condition]:
                         best, gain = (name, sign, float(t)), g
         if best is None:
             break
+        name, sign, t = best
+        mine = values[name][rows]
+        below, above = mine[mine <= t], mine[mine > t]
+        if len(below) and len(above):  # midway between the values on either side, so that neither side is favoured
+            best = (name, sign, float(below.max() + above.min()) / 2)
         rule.append(best)
         rows = rows & holds([best], values)
     return rule
