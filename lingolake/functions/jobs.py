@@ -13,6 +13,9 @@ from . import values as V
 STEPS = ["DOWNLOAD", "TRANSCRIPTION", "TRANSLATION", "MODERATION", "TTS"]
 SUBTITLE, VIDEO, BURN = "SUBTITLE", "VIDEO", "BURN"
 
+# Words by which a failure is known to be about a model.
+MODEL_WORDS = ["model", "vieneu", "trọng số", "tokenizer", "weights"]
+
 
 def classify_error(kind: Column, code: Column, message: Column, errno: Column) -> Column:
     """An error's code, by the first rule that holds. `code` is one the error brings along, or null."""
@@ -32,7 +35,7 @@ def classify_error(kind: Column, code: Column, message: Column, errno: Column) -
         .when(has("cookie", "sign in", "xác thực"), "YOUTUBE_AUTH")
         .when(has("429"), "RATE_LIMIT")
         .when(has("ffmpeg", "ffprobe") & (kind == "FileNotFoundError"), "FFMPEG_MISSING")
-        .when(has("model", "vieneu", "trọng số", "tokenizer", "weights") & has("not found", "không tìm", "load"), "MODEL_MISSING")
+        .when(has(*MODEL_WORDS) & has("not found", "không tìm", "load"), "MODEL_MISSING")
         .when(kind == "FileNotFoundError", "PATH_MISSING")
         .when((kind == "ValueError") & has("invalid literal", "environment", "device", "batch", "results_root"), "ENV_CONFIG")
         .otherwise("STEP_FAILED")
