@@ -100,7 +100,7 @@ def signatures(found: np.ndarray, rows: np.ndarray, counts: np.ndarray, n_docs:
         ahead = int(min(256, max(1, 32768 // len(seed))))
         draw = mix(seed[:, None] + np.arange(turn + 1, turn + ahead + 1, dtype=np.uint64)[None, :] * _STEP)
         gap = -np.log(((draw >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
-        when = at[:, None] + np.cumsum(gap, axis=1)
+        when = np.cumsum(np.concatenate([at[:, None], gap], axis=1), axis=1)[:, 1:]  # one by one, so that `ahead` leaves no trace
         other = mix(draw ^ _FIVE[2])
         part = ((other >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
         height = base[:, None] + ((other & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate[:, None]).astype(np.int64)

@@ -54,6 +54,20 @@ def test_bag_minhash_is_unbiased():
         assert abs((s[0] == s[1]).mean() - true) < 4 * math.sqrt(true * (1 - true) / 20_000)
 
 
+def test_signatures_do_not_depend_on_the_batch():
+    rng = np.random.default_rng(5)
+    sizes = [1, 3, 40, 200, 900, 2500]
+    found = rng.integers(1 << 62, size=sum(sizes)).astype(np.uint64)
+    rows, counts = np.repeat(np.arange(len(sizes)), sizes), rng.integers(1, 5, sum(sizes))
+    whole = near.signatures(found, rows, counts, len(sizes), near.BANDS * near.ROWS)
+    part = near.signatures(found[rows < 4], rows[rows < 4], counts[rows < 4], 4, near.BANDS * near.ROWS)
+    assert (part.view(np.uint64) == whole[:4].view(np.uint64)).all()
+    for i in range(len(sizes)):
+        mine = rows == i
+        alone = near.signatures(found[mine], np.zeros(sizes[i], np.int64), counts[mine], 1, near.BANDS * near.ROWS)
+        assert (alone[0].view(np.uint64) == whole[i].view(np.uint64)).all()
+
+
 def classes(rows):
     texts = {}
     for i, t in rows:
