@@ -13,8 +13,9 @@ representative, the least doc_id. Representatives that share one of BANDS bands
 similarity 0.8 or more are confirmed on the texts. In a bucket, all members are first checked against its least member, which
 settles groups of any size in pairs linear in the group. Buckets that then still hold several classes are cut into blocks of
 BLOCK members, each pair of blocks is a group of its own, and there members of different classes whose signatures agree in
-AGREE components (four deviations below what 0.8 gives) are confirmed; a pair is looked at in its first common band only. A
-mixed bucket of over LARGE members is divided by a second band first. Classes are connected components of the links.
+AGREE components (four deviations below what 0.8 gives) are confirmed; a pair is looked at in its first common band only.
+Blocks of a bucket's largest class do not meet each other, so a large class costs rows in proportion to its size and to the
+blocks of other members. Classes are connected components of the links.
 
 Defined results: a text without words (null, empty, blank) is alone in its class. A text of one to four words is one shingle.
 A null doc_id is not compared and has a null class. Rows that share a doc_id are one document. Columns that bear the name of
@@ -35,8 +36,8 @@ SIMILARITY = (4, 5)  # 0.8 as a fraction
 BANDS, ROWS = 28, 6
 #: Ids sent to all executors at once at most, 8 bytes each; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Members of a mixed bucket that meet in one group at a time, and how many make it large.
-BLOCK, LARGE = 512, 4096
+#: Members of a block; those of a mixed bucket meet two blocks at a time.
+BLOCK = 512
 #: Components, of BANDS * ROWS, in which two signatures agree before their texts are compared.
 AGREE = 112
 
@@ -241,25 +242,24 @@ def _cross_links(buckets: DataFrame, roots: DataFrame, member: DataFrame, docs:
     """Links (a, b) between members of one bucket that are of different classes so far."""
     labelled = buckets.join(roots, "id", "left").select("key", "band", "id", F.coalesce("root", "id").alias("root"))
     mixed = materialize(_mixed(labelled), "near-mixed")
-    large = mixed.filter(F.col("n") > LARGE)
-    if large.limit(1).count():
-        again = large.select("key", "id", "root").join(member.select("id", "bands"), "id").select("id", "root", "key", F.explode("bands").alias("other")).filter("other <> key")
-        again = again.select(F.xxhash64("key", "other").alias("key"), F.lit(-1).alias("band"), "id", "root")
-        mixed = mixed.filter(F.col("n") <= LARGE).union(_mixed(again))
     ids = materialize(mixed.select("id").distinct(), "near-ids")
     texts = materialize(by_ids(docs, "id", ids, "left_semi").join(member.filter("brief is not null").select("id", "brief"), "id"), "near-texts")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
-    dealt = mixed.withColumn("block", mine).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    one, main = F.col("n") <= BLOCK, F.col("root") == F.col("main")
+    few = F.when(one, 1).otherwise(F.ceil((F.col("n") - F.col("most")) / BLOCK)).cast("int")  # blocks of all other classes come first
+    many = F.when(one, 0).otherwise(F.ceil(F.col("most") / BLOCK)).cast("int")
+    deal = lambda blocks: F.pmod(F.xxhash64("id", "key"), blocks).cast("int")
+    mine = F.when(main & ~one, few + deal(many)).otherwise(deal(few))
+    dealt = mixed.withColumn("block", mine).withColumn("with", F.explode(F.sequence(F.lit(0), F.when(main, few).otherwise(few + many) - 1)))
     dealt = dealt.select(F.struct("key", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y")).alias("g"), "band", "block", "id", "root").join(texts, "id")
     placed = dealt.select("g.key", "g.x", "g.y", "block", "id", "band", "root", "brief", "text").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "block", "id")
     return placed.mapInArrow(_meet, "a long, b long").distinct()
 
 
 def _mixed(labelled: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one class, with the sizes n of the buckets."""
-    kinds = labelled.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("n")).filter("r1 < r2").select("key", "n")
-    return labelled.join(kinds, "key")
+    """Members of buckets that hold more than one class, with the buckets' sizes n, largest classes main and their sizes most."""
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("m"))
+    kinds = sizes.groupBy("key").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main"))
+    return labelled.join(kinds.filter("n > most"), "key")
 
 
 def _meet(batches):
@@ -306,8 +306,7 @@ def _met(group: list[tuple]) -> list[tuple[int, int]]:
         agree += same
         first[(same == ROWS) & (first == BANDS)] = k
     wanted &= agree >= AGREE
-    if band >= 0:
-        wanted &= first == band
+    wanted &= first == band
     i, j = np.nonzero(wanted)
     order = np.argsort(-agree[i, j], kind="stable")
     parent: dict[int, int] = {}

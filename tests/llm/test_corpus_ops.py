@@ -112,6 +112,28 @@ def test_near_duplicates(docs, odd, monkeypatch):
     assert {i: got[i] for i in want} == want
 
 
+def test_large_mixed_buckets_are_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "LARGE", 4, raising=False)
+    rng = np.random.default_rng(6)
+    words = lambda k: [f"w{k}x{i}" for i in range(100)]
+    texts = {i: " ".join(words(i)) for i in range(40)}
+    pairs = [(3, 29), (20, 38), (39, 5)]  # the last one lies in the largest class and outside
+    for a, b in pairs:
+        texts[b] = " ".join([*words(a)[:-1], f"z{b}"])
+    brief = rng.integers(1 << 16, size=(40, near.BANDS, near.ROWS)).astype(np.uint16)
+    for a, b in pairs:  # alike in all components of one band and in all but one of the others
+        brief[b] = brief[a]
+        brief[b, 1:, 0] ^= 1
+    bands = [[7, *(1000 * i + k for k in range(1, near.BANDS))] for i in range(40)]
+    roots = spark.createDataFrame([(i, 0) for i in [*range(10, 18), 39]], "id long, root long")
+    member = spark.createDataFrame([(i, bands[i], brief[i].tobytes()) for i in range(40)], "id long, bands array<long>, brief binary")
+    buckets = spark.createDataFrame([(7, 0, i) for i in range(40)], "key long, band int, id long")
+    table = spark.createDataFrame(list(texts.items()), "id long, text string")
+    links = near._cross_links(buckets, roots, member, table).collect()
+    assert {(r.a, r.b) for r in links} == {(min(p), max(p)) for p in pairs}
+
+
 def test_near_stage(spark, docs):
     table = docs(["a b c d e f", "a b c d e f", "A b c d  e f", "", None, "other"], [5, 3, 4, 6, 7, None]).select("doc_id", "text")
     table = table.union(table.filter("doc_id = 3"))
