@@ -1,17 +1,18 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-States are the empty context and each frequent word as a context, the start of a text among them. A bigram that was kept is an
-arc of weight log10 of its discounted probability; any other word takes the failure arc to the empty context, whose weight is
-the backoff, and then the arc of the word there, its smoothed unigram. A text is traversed once from left to right.
+States are the empty context and each word as a context, the start of a text among them. Each bigram of the training documents
+is an arc of weight log10 of its discounted probability; any other word takes the failure arc to the empty context, whose weight
+is the backoff, and then the arc of the word there, its smoothed unigram. A text is traversed once from left to right.
 
-    p(w | v) = (c(v, w) - 0.5) / c(v) for kept bigrams, else backoff(v) * p(w);  p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    p(w | v) = (c(v, w) - 0.5) / c(v) for seen bigrams, else backoff(v) * p(w);  p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
 
-so p(. | v) sums to one over the V known words and one unknown word. Counts are exact and cover all training documents.
+so p(. | v) sums to one over the V known words and one unknown word. Counts are exact and cover all training documents; no word,
+context or bigram is left out at any size.
 
-What is broadcast is bounded by proof, whatever the size of the corpus: words of relative frequency HEAD or more (at most
-1 / HEAD), contexts of CONTEXT or more, bigrams of BIGRAM or more. Words below HEAD are scored by a join with the table of all
-counts: an automaton's arc from the empty context has the same weight in every text, so their log-probabilities are summed per
-document afterwards. Such words are rare by definition, so no key of that join is hot.
+What is broadcast is bounded by proof, whatever the size of the corpus: words of relative frequency min(HEAD, CONTEXT, BIGRAM) or
+more with their backoffs, and bigrams of BIGRAM or more. The rest is scored by a join with a table of all other words and bigrams,
+each document's equal ones being one row of it: a word's part log p(w) + backoff(w) is the same in every text, and a seen bigram
+adds log p(w | v) - log p(w) - backoff(v) to those of its words. The keys of that join are rare by definition, so none is hot.
 
 Words are runs of non-white bytes with A-Z in lower case, known by a 64-bit hash; then comes one end.
 
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, steps, training_part, utf8, word_hashes, words
+from .shared import BASE, materialize, mix, steps, training_part, utf8, word_hashes, words
 
 HEAD, CONTEXT, BIGRAM = 3e-7, 1e-5, 1e-6
 DISCOUNT = 0.5
@@ -51,25 +52,45 @@ def _tokens(batch, text: str = "text"):
     return out, rows
 
 
-def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
-    found, n = np.unique(np.concatenate(parts), return_counts=True)
+def _before(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The token before each; the first of a row follows START."""
+    out = np.empty_like(tokens)
+    out[1:] = tokens[:-1]
+    out[np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)] = START
+    return out
+
+
+def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each bigram."""
+    return mix(mix(v + BASE) + w)
+
+
+def _tally_words(parts: list) -> pa.RecordBatch:
+    found, n = np.unique(np.concatenate([x[0] for x in parts]), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "c"])
 
 
-def _tally(keys_of):
-    """A task that counts what keys_of gives for each batch, and sends sums of many tokens at a time."""
+def _tally_pairs(parts: list) -> pa.RecordBatch:
+    w = np.concatenate([x[0] for x in parts])
+    v = np.concatenate([_before(*x) for x in parts])
+    _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], ["v", "w", "c"])
+
+
+def _tally(counted):
+    """A task that counts the tokens of many batches at a time."""
 
     def run(batches):
         parts, held = [], 0
         for whole in batches:
             for batch in steps(whole, "text"):
-                parts.append(keys_of(batch))
-                held += len(parts[-1])
+                parts.append(_tokens(batch))
+                held += len(parts[-1][0])
                 if held >= COUNT_TOKENS:
-                    yield _counted(parts)
+                    yield counted(parts)
                     parts, held = [], 0
         if parts:
-            yield _counted(parts)
+            yield counted(parts)
 
     return run
 
@@ -83,66 +104,97 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Automaton:
-    """Arrays of a model: head words with counts, contexts, bigram arcs, backoff weights."""
-
-    def __init__(self, head: np.ndarray, counts: np.ndarray, n: int, v: int, n_docs: int, context: float = CONTEXT) -> None:
-        order = np.argsort(head)
-        self.head, self.counts, self.n, self.v, self.n_docs = head[order], counts[order], n, v, n_docs
-        frequent = self.counts >= max(1.0, context * n)
-        self.words = np.unique(np.concatenate([self.head[frequent], np.array([END, START], np.uint64)]))
-        at, known = _find(self.head, self.words)
-        self.word_counts = np.where(known, self.counts[at] if len(self.counts) else 0, 0)
-        self.word_counts[self.words == START] = n_docs
-        self.set_bigrams(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    """Arrays of the part that is broadcast: words with counts and backoffs, and bigram arcs. Words of `near` need no join."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, n_docs: int, head: float = HEAD) -> None:
+        order = np.argsort(words)
+        words, counts = words[order], counts[order]
+        self.n, self.v, self.n_docs = n, v, n_docs
+        self.words = np.unique(np.concatenate([words, np.array([END, START], np.uint64)]))
+        at, known = _find(words, self.words)
+        self.word_counts = np.where(known, counts[at] if len(counts) else 0, 0)
+        self.near = known & (self.word_counts >= head * n)
+        self.start = int(np.searchsorted(self.words, START))
+        self.word_counts[self.start] = n_docs
+        self.backoff = np.zeros(len(self.words))
+        self.set_bigrams(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def pairs(self, tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Code of each token with the one before it, and whether both are frequent; the first of a row follows START."""
-        at, known = _find(self.words, tokens)
-        before = np.empty(len(at), np.int64)
-        known_before = np.empty(len(at), bool)
-        before[1:], known_before[1:] = at[:-1], known[:-1]
-        first = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
-        before[first], known_before[first] = int(np.searchsorted(self.words, START)), True
-        return (before << 32) | at, known & known_before, before, known_before
-
-    def set_bigrams(self, codes: np.ndarray, counts: np.ndarray) -> None:
+    def set_backoff(self, words: np.ndarray, backoff: np.ndarray) -> None:
+        at, known = _find(self.words, words)
+        self.backoff[at[known]] = backoff[known]
+
+    def set_bigrams(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
+        """Arcs, and what each adds to the backoff of v and the unigram of w."""
+        codes = (_find(self.words, v)[0] << 32) | _find(self.words, w)[0]
         order = np.argsort(codes)
         self.codes, counts = codes[order], counts[order]
         v, w = self.codes >> 32, self.codes & 0xFFFFFFFF
-        p = (counts - DISCOUNT) / np.maximum(self.word_counts[v], 1)
-        self.arcs = np.log10(np.maximum(p, 1e-300))
-        lower = 10.0 ** self.log_unigram(self.word_counts)
-        taken = np.bincount(v, p, len(self.words))
-        rest = np.bincount(v, lower[w], len(self.words))
-        self.backoff = np.log10(np.clip(1 - taken, 1e-12, 1) / np.clip(1 - rest, 1e-12, 1))
+        self.arcs = np.log10((counts - DISCOUNT) / np.maximum(self.word_counts[v], 1))
+        self.gains = self.arcs - self.backoff[v] - self.log_unigram(self.word_counts[w])
 
 
 def train(docs: DataFrame, head: float = HEAD, context: float = CONTEXT, bigram: float = BIGRAM) -> tuple[Automaton, DataFrame]:
-    """The automaton and the table (w, c) of all word counts, from all of docs (a column text)."""
-    tally = lambda keys_of: docs.select("text").mapInArrow(_tally(keys_of), "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
-    counts = materialize(tally(lambda batch: _tokens(batch)[0]), "lm-counts")
+    """The automaton, and the table (key, known, base, gain) of all words and bigrams that it does not hold: what each adds to
+    n_known, base_score and score, beside an unknown word. From all of docs (a column text); the rates say what is held only."""
+    counts = materialize(docs.select("text").mapInArrow(_tally(_tally_words), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.col("c") >= head * n).toArrow()  # 1 / head rows at most, since counts sum to n
+    least = min(head, context, bigram) * n
+    top = counts.filter(F.col("c") >= least).toArrow()  # 1 / min(...) rows at most, since counts sum to n
     keys, sums = top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy()
-    model = Automaton(keys, sums, n, v, int(sums[keys == END].sum()) if n else 0, context)
-    if n:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
-
-        def pairs(batch):
-            code, both, *_ = shared.value.pairs(*_tokens(batch))
-            return code[both]
-
-        kept = tally(pairs).filter(F.col("c") >= max(2.0, bigram * n)).toArrow()  # 1 / bigram rows at most
-        model.set_bigrams(kept.column("w").to_numpy(), kept.column("c").to_numpy())
-        shared.unpersist()
-    return model, counts
+    n_docs = counts.filter(F.col("w") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    model = Automaton(keys, sums, n, v, n_docs, head)
+    words = docs.sparkSession.sparkContext.broadcast(model)
+
+    def marked(batches):
+        m = words.value
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy().view(np.uint64) for k in ("v", "w"))
+            (at, near), (before, known) = _find(m.words, y), _find(m.words, x)
+            near &= m.near[at]
+            known &= m.near[before] | (x == START)
+            yield pa.RecordBatch.from_arrays([pa.array(_pair(x, y).view(np.int64)), batch.column("v"), pa.array(y.view(np.int64), mask=near), batch.column("c"), pa.array(m.word_counts[at], pa.int64(), mask=~near), pa.array(known)], ["key", "v", "w", "c", "cw", "known"])
+
+    tallied = materialize(docs.select("text").mapInArrow(_tally(_tally_pairs), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c")), "lm-bigrams")
+    pairs = tallied.mapInArrow(marked, "key long, v long, w long, c long, cw long, known boolean")
+    rare = pairs.filter("cw is null").drop("cw").join(counts.withColumnRenamed("c", "cw"), "w")
+    columns = ["key", "v", "c", "cw", "known"]
+    full = pairs.filter("cw is not null").select(columns).union(rare.select(columns))
+    z, empty = float(n + 0.5 * (v + 1)), float(model.log_unigram(np.zeros(1))[0])
+    seen = full.groupBy("v").agg(F.count("*").alias("k"), F.sum((F.col("cw") + 0.5) / z).alias("s"))
+    start = docs.sparkSession.range(1).select(F.lit(int(START)).cast("long").alias("w"), F.lit(int(n_docs)).cast("long").alias("c"))
+    rest = F.log10((DISCOUNT * F.col("k") / F.col("c")) / F.greatest(1 - F.col("s"), F.lit(1e-12)))
+    lexicon = materialize(counts.union(start).join(seen.withColumnRenamed("v", "w"), "w", "left").select("w", "c", F.coalesce(rest, F.lit(0.0)).alias("backoff")), "lm-words")
+    held = lexicon.filter((F.col("c") >= least) | (F.col("w") == int(START))).select("w", "backoff").toArrow()
+    model.set_backoff(held.column("w").to_numpy().view(np.uint64), held.column("backoff").to_numpy())
+    arcs = tallied.filter(F.col("c") >= bigram * n).toArrow()  # 1 / bigram rows at most; both words have as many
+    model.set_bigrams(*(arcs.column(k).to_numpy().view(np.uint64) for k in ("v", "w")), arcs.column("c").to_numpy())
+    words.unpersist()
+    whole = docs.sparkSession.sparkContext.broadcast(model)
+
+    def gains(batches):
+        m = whole.value
+        for batch in batches:
+            at, _ = _find(m.words, batch.column("v").to_numpy().view(np.uint64))
+            c, cw = batch.column("c").to_numpy(), batch.column("cw").to_numpy()
+            gain = np.log10((c - DISCOUNT) / np.maximum(m.word_counts[at], 1)) - m.backoff[at] - m.log_unigram(cw)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain)], ["key", "gain"])
+
+    far = full.filter(F.col("c") < bigram * n)
+    log = lambda count: F.log10((F.col(count) + 0.5) / z)
+    of_near = far.filter("known").select("key", "v", "c", "cw").mapInArrow(gains, "key long, gain double")
+    of_rare = far.filter("not known").join(lexicon.select(F.col("w").alias("v"), F.col("c").alias("cv"), "backoff"), "v")
+    of_rare = of_rare.select("key", (F.log10((F.col("c") - DISCOUNT) / F.col("cv")) - F.col("backoff") - log("cw")).alias("gain"))
+    bigrams = of_near.union(of_rare).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "gain")
+    more = log("c") - empty
+    singles = lexicon.filter((F.col("c") < head * n) & (F.col("w") != int(START)))
+    return model, singles.select(F.col("w").alias("key"), F.lit(1).alias("known"), more.alias("base"), (more + F.col("backoff")).alias("gain")).union(bigrams)
 
 
 def score(docs: DataFrame, model: Automaton, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and n_tokens, n_known, base_score, score."""
+    """Columns `keep` of docs and n_tokens, n_known, base_score, score; model and counts are those of train."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -152,39 +204,39 @@ def score(docs: DataFrame, model: Automaton, counts: DataFrame, keep: list[str])
             for batch in steps(whole, "text"):
                 tokens, rows = _tokens(batch)
                 n = batch.num_rows
-                at, known = _find(m.head, tokens)
-                flat = np.where(known, m.log_unigram(m.counts[at]), 0.0) if len(m.counts) else np.zeros(len(tokens))
-                code, both, before, context = m.pairs(tokens, rows)
-                arc, kept = _find(m.codes, code)
-                kept &= both
-                walk = flat + np.where(context, m.backoff[before], 0.0)
+                ahead = _before(tokens, rows)
+                (at, found), (before, after) = _find(m.words, tokens), _find(m.words, ahead)
+                known = found & m.near[at]
+                flat = m.log_unigram(np.where(known, m.word_counts[at], 0))
+                arc, kept = _find(m.codes, (before << 32) | at)
+                kept &= found & after
+                walk = flat + np.where(after & (m.near[before] | (before == m.start)), m.backoff[before], 0.0)
                 if kept.any():
-                    walk[kept] = m.arcs[arc[kept]]
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((tokens[rare], rows[rare]))]
+                    walk[kept] += m.gains[arc[kept]]
+                key = np.concatenate([tokens[~known], _pair(ahead[~kept], tokens[~kept])])
+                row = np.concatenate([rows[~known], rows[~kept]])
+                order = np.lexsort((key, row))
+                key, row = key[order], row[order]
                 new = np.ones(len(order), bool)
-                new[1:] = (tokens[order][1:] != tokens[order][:-1]) | (rows[order][1:] != rows[order][:-1])
+                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
                 first = np.flatnonzero(new)
                 times = np.diff(np.append(first, len(order)))
-                per = np.concatenate([[0], np.cumsum(np.bincount(rows[order][first], minlength=n))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(per), pa.array(x)) for x in (tokens[order][first].view(np.int64), times.astype(np.int32))]
+                per = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=n))]).astype(np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(per), pa.array(x)) for x in (key[first].view(np.int64), times.astype(np.int32))]
                 columns = [pa.array(np.arange(task + made, task + made + n)), *(batch.column(c) for c in keep)]
                 columns += [pa.array(np.bincount(rows, minlength=n)), pa.array(np.bincount(rows[known], minlength=n)), pa.array(np.bincount(rows, flat, n)), pa.array(np.bincount(rows, walk, n)), *lists]
                 made += n
-                yield pa.RecordBatch.from_arrays(columns, ["__row", *keep, "n_tokens", "n_known", "base_score", "score", "__words", "__times"])
+                yield pa.RecordBatch.from_arrays(columns, ["__row", *keep, "n_tokens", "n_known", "base_score", "score", "__keys", "__times"])
 
     kinds = dict(docs.dtypes)
     fields = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    first = materialize(docs.select(*keep, "text").mapInArrow(run, f"__row long, {fields}n_tokens long, n_known long, base_score double, score double, __words array<long>, __times array<int>"), "lm-heads")
-    rare = first.select("__row", F.explode(F.arrays_zip("__words", "__times")).alias("x")).select("__row", F.col("x.__words").alias("w"), F.col("x.__times").alias("t"))
-    count = F.coalesce("c", F.lit(0))
-    tail = rare.join(counts, "w", "left").groupBy("__row").agg(
-        F.sum(F.when(count > 0, F.col("t")).otherwise(0)).alias("known"),
-        F.sum(F.col("t") * F.log10((count + 0.5) / F.lit(float(model.n + 0.5 * (model.v + 1))))).alias("log"),
-    )
-    out = first.drop("__words", "__times").join(tail, "__row", "left")
-    more = F.coalesce("log", F.lit(0.0))
-    return out.select(*keep, "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    first = materialize(docs.select(*keep, "text").mapInArrow(run, f"__row long, {fields}n_tokens long, n_known long, base_score double, score double, __keys array<long>, __times array<int>"), "lm-heads")
+    far = first.select("__row", F.explode(F.arrays_zip("__keys", "__times")).alias("x")).select("__row", F.col("x.__keys").alias("key"), F.col("x.__times").alias("t"))
+    total = lambda c: F.sum(F.col("t") * F.col(c)).alias(f"__{c}")
+    tail = far.join(counts, "key").groupBy("__row").agg(total("known"), total("base"), total("gain"))
+    out = first.drop("__keys", "__times").join(tail, "__row", "left")
+    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
+    return out.select(*keep, "n_tokens", plus("n_known", "__known"), plus("base_score", "__base"), plus("score", "__gain"))
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:

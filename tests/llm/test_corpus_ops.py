@@ -198,6 +198,30 @@ def test_language_model(spark, docs, odd):
     assert not lm.score(table.limit(0), empty, counts, ["doc_id"]).count()
 
 
+def test_language_model_keeps_all_bigrams(docs):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(["the", "cat", "sat", f"r{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "new r1 the words"]
+    table = docs(texts).select("doc_id", "text")
+    train = [i for i in range(len(texts)) if i % 5 != 1]
+    tokens = lambda i: [*(texts[i] or "").split(), None]
+    known = collections.Counter(w for i in train for w in tokens(i))
+    both = collections.Counter(p for i in train for p in zip(["<s>", *tokens(i)], tokens(i)))
+    total, kinds = sum(known.values()), len(known)
+    p = lambda w: (known[w] + 0.5) / (total + 0.5 * (kinds + 1))
+    times = known + collections.Counter({"<s>": len(train)})
+    follow = collections.defaultdict(list)
+    for v, w in both:
+        follow[v].append(w)
+    rest = {v: 0.5 * len(ws) / times[v] / (1 - sum(map(p, ws))) for v, ws in follow.items()}
+    p2 = lambda v, w: (both[v, w] - 0.5) / times[v] if both[v, w] else rest.get(v, 1) * p(w)
+    for rates in ({}, {"head": 1e-2, "context": 1e-2, "bigram": 1e-2}, {"head": 1e-2, "context": 1e-1, "bigram": 2e-3}, {"head": 0.5, "context": 0.5, "bigram": 0.5}):
+        model, counts = lm.train(table.filter("doc_id % 5 <> 1"), **rates)
+        for r in lm.score(table, model, counts, ["doc_id"]).collect():
+            w = tokens(r.doc_id)
+            assert math.isclose(r.score, sum(math.log10(p2(*x)) for x in zip(["<s>", *w], w)), rel_tol=1e-9)
+            assert r.n_known == sum(known[x] > 0 for x in w) and math.isclose(r.base_score, sum(math.log10(p(x)) for x in w), rel_tol=1e-9)
+
+
 def test_language_id(spark, sf_dir, docs, odd):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(table.filter("doc_id % 5 <> 0"))
