@@ -1,7 +1,7 @@
 r"""Personal data: regular expressions propose spans, checksums and ranges confirm them, words nearby adjust the score.
 
 Base kinds, each leftmost and without overlaps: email, ip (parts up to 255), card (13 to 19 digits that pass Luhn), phone (9
-to 15 digits). The method adds two: iban (its number is 1 modulo 97) and ssn (three, two and four digits, none of them zero
+to 15 digits). The method adds two: iban (as long as its country sets, 1 modulo 97) and ssn (three, two and four digits, none of them zero
 throughout). Each span has a score: a prior of its kind, more where its checksum holds, more where a word of its kind stands
 in the code points before it. Spans of the added kinds need THRESHOLD; base spans always stay.
 
@@ -21,13 +21,23 @@ from .spans import count_kind, joined, with_spans
 
 THRESHOLD = 0.6
 
+#: Characters of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+_OF_LENGTH = "|".join(rf"(?:{codes})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, codes in IBAN_LENGTHS.items())
+_IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_OF_LENGTH}|(?!{'|'.join(IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+)(?![A-Za-z0-9])"
+
 #: kind: pattern, prior score, score of a passed checksum, words nearby and their score.
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", 0.8, 0.0, r"(?i)mail|contact|write to", 0.15),
     "ip": (r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", 0.6, 0.0, r"(?i)\bip\b|address|host|server", 0.2),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", 0.3, 0.4, r"(?i)card|credit|debit|visa|master|pay", 0.2),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", 0.6, 0.0, r"(?i)phone|call|tel|mobile|fax", 0.2),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.3, 0.5, r"(?i)iban|account|bank|konto|compte|cuenta", 0.15),
+    "iban": (_IBAN, 0.3, 0.5, r"(?i)iban|account|bank|konto|compte|cuenta", 0.15),
     "ssn": (r"(?<![0-9-])(?!000|666)[0-8][0-9]{2}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", 0.4, 0.0, r"(?i)\bssn\b|social security|tax id", 0.4),
 }
 BASE = ("email", "ip", "card", "phone")

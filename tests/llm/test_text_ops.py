@@ -76,6 +76,12 @@ def test_personal_data(docs, odd):
     assert kinds.count("iban") == 1 and kinds.count("ssn") == 1 and not pii.find_personal_data(docs([])).count()
 
 
+def test_account_numbers_before_other_words(docs):
+    texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024", "GB82WEST12345698765432 A", "NO93 8601 1117 947 X1", "DE89 3704 0044 0532 0130 01 BIC", "DE89370400440532013000X"]
+    rows = {r.doc_id: [s.text for s in r.found if s.kind == "iban"] for r in pii.find_personal_data(docs(texts)).collect()}
+    assert rows == {0: ["DE89 3704 0044 0532 0130 00"], 1: ["DE89 3704 0044 0532 0130 00"], 2: ["GB82WEST12345698765432"], 3: ["NO93 8601 1117 947"], 4: [], 5: []}
+
+
 SECRETS = [
     ("assign", r"""(?a:(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
     ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
