@@ -1,23 +1,29 @@
 """Language-model scores by a weighted backoff automaton over words.
 
-States are the empty context and each word as a context, the start of a text among them. Each bigram of the training documents
-is an arc of weight log10 of its discounted probability; any other word takes the failure arc to the empty context, whose weight
-is the backoff, and then the arc of the word there, its smoothed unigram. A text is traversed once from left to right.
+States are the empty context and each word as a context, the start of a text among them. Each bigram of the training documents is
+an arc of a state, weighted with the logarithm of its smoothed probability; any other word takes the failure arc to the empty
+context, whose weight is the backoff, and then the arc of the word there, its smoothed unigram:
 
-    p(w | v) = (c(v, w) - 0.5) / c(v) for seen bigrams, else backoff(v) * p(w);  p(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    p(w)     = (c(w) + 0.5) / (N + 0.5 * (V + 1))
+    p(w | v) = (c(v, w) + m(v) * p(w)) / (c(v) + m(v)) for seen bigrams, else backoff(v) * p(w)
+    backoff(v) = m(v) / (c(v) + m(v)),  m(v) = SCALE * c(v) ** POWER;  1 for a word never seen as a context
 
-so p(. | v) sums to one over the V known words and one unknown word. Counts are exact and cover all training documents; no word,
-context or bigram is left out at any size.
+so p(. | v) sums to one over the V known words and one unknown word. Counts are exact and cover all training documents: no word and
+no bigram is left out, however rare and at any size.
 
-What is broadcast is bounded by proof, whatever the size of the corpus: words of relative frequency min(HEAD, CONTEXT, BIGRAM) or
-more with their backoffs, and bigrams of BIGRAM or more. The rest is scored by a join with a table of all other words and bigrams,
-each document's equal ones being one row of it: a word's part log p(w) + backoff(w) is the same in every text, and a seen bigram
-adds log p(w | v) - log p(w) - backoff(v) to those of its words. The keys of that join are rare by definition, so none is hot.
+A text is traversed once from left to right with the part of the automaton that is broadcast: words of relative frequency HEAD or
+more (1 / HEAD at most, since counts sum to N), and of their bigrams those that occur HOT times or more in a bounded sample (at most
+HOT_PAIRS), counted exactly over all documents. What is chosen there decides where an arc is met, never its weight. All other arcs
+meet the texts in one exchange: the traversal hands on the bigrams whose arcs it lacks, those of all documents are dealt by
+their key, counted over the training documents, weighed, and summed by document. Their keys are rare, so none is hot, and they
+travel as arrays of eight bytes a bigram. A word outside the broadcast part is counted by the bigrams that end in it, in its
+bucket; where both words of a bigram are such, the count of the first is joined from the table of counts.
 
 Words are runs of non-white bytes with A-Z in lower case, known by a 64-bit hash; then comes one end.
 
 Defined results: a null text is an empty one, just the end. A null doc_id counts as training. Rows are scored one by one,
-repeated ones too. Without training documents every token is unknown. Columns that bear a result's name are replaced.
+repeated ones too. Without training documents every token is unknown and each has probability 1. An empty table gives no rows. Very
+long texts are steps of their own. Columns that bear a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -25,16 +31,27 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import BASE, materialize, mix, steps, training_part, utf8, word_hashes, words
+from .shared import materialize, mix, steps, training_part, utf8, word_hashes, words
 
-HEAD, CONTEXT, BIGRAM = 3e-7, 1e-5, 1e-6
-DISCOUNT = 0.5
+#: Relative frequency of the words that are broadcast.
+HEAD = 3e-7
+#: Prior weight of the unigram in a context that was seen c times: SCALE * c ** POWER.
+SCALE, POWER = 3.0, 0.8
+#: Tokens of the sample in which bigrams to broadcast are sought, and how often they must occur there.
+SAMPLE_TOKENS, HOT = 4_000_000, 16
+HOT_PAIRS = SAMPLE_TOKENS // HOT
 END, START = np.uint64(0), np.uint64(1)
 #: Tokens that a task counts at once before it sends counts on.
 COUNT_TOKENS = 4_000_000
+#: Text bytes whose bigrams a task deals at once.
+DEAL_BYTES = 8 << 20
+#: Kinds of dealt rows: documents, bigrams of two broadcast words, those that end in another word, those that begin with one.
+DOCUMENT, NEAR, ENDS, BEGINS = range(4)
+_ID = 24  # bits of a broadcast word's number
 
 
 def _tokens(batch, text: str = "text"):
@@ -60,32 +77,27 @@ def _before(tokens: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each bigram."""
-    return mix(mix(v + BASE) + w)
-
-
-def _tally_words(parts: list) -> pa.RecordBatch:
-    found, n = np.unique(np.concatenate([x[0] for x in parts]), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "c"])
-
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key in a sorted table, and whether it is there."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
-def _tally_pairs(parts: list) -> pa.RecordBatch:
-    w = np.concatenate([x[0] for x in parts])
-    v = np.concatenate([_before(*x) for x in parts])
-    _, first, n = np.unique(_pair(v, w), return_index=True, return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(v[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(n.astype(np.int64))], ["v", "w", "c"])
 
+def _counter(keys_of):
+    """A task that counts what keys_of finds in batches, many at a time: rows (key, c)."""
 
-def _tally(counted):
-    """A task that counts the tokens of many batches at a time."""
+    def counted(parts):
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "c"])
 
     def run(batches):
         parts, held = [], 0
         for whole in batches:
             for batch in steps(whole, "text"):
-                parts.append(_tokens(batch))
-                held += len(parts[-1][0])
+                parts.append(keys_of(batch))
+                held += len(parts[-1])
                 if held >= COUNT_TOKENS:
                     yield counted(parts)
                     parts, held = [], 0
@@ -95,152 +107,265 @@ def _tally(counted):
     return run
 
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each key in a sorted table, and whether it is there."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
 class Automaton:
-    """Arrays of the part that is broadcast: words with counts and backoffs, and bigram arcs. Words of `near` need no join."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n: int, v: int, n_docs: int, head: float = HEAD) -> None:
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        self.n, self.v, self.n_docs = n, v, n_docs
-        self.words = np.unique(np.concatenate([words, np.array([END, START], np.uint64)]))
-        at, known = _find(words, self.words)
-        self.word_counts = np.where(known, counts[at] if len(counts) else 0, 0)
-        self.near = known & (self.word_counts >= head * n)
-        self.start = int(np.searchsorted(self.words, START))
-        self.word_counts[self.start] = n_docs
-        self.backoff = np.zeros(len(self.words))
-        self.set_bigrams(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    """The part that is broadcast: words with counts and backoffs, and arcs of bigrams of theirs."""
+
+    def __init__(self, found: np.ndarray, counts: np.ndarray, n: int, v: int, n_docs: int) -> None:
+        order = np.argsort(found)
+        found, counts = found[order], counts[order]
+        self.n, self.v = n, v
+        self.words = np.unique(np.concatenate([found, np.array([END, START], np.uint64)]))
+        at, known = _find(found, self.words)
+        self.counts = np.where(known, counts[at] if len(counts) else 0, 0)
+        self.counts[np.searchsorted(self.words, END)] = n_docs  # each document has one end
+        self.log_p = self.log_unigram(self.counts)
+        contexts = self.counts.copy()
+        contexts[np.searchsorted(self.words, START)] = n_docs
+        self.prior, self.log_backoff = prior(contexts), log_backoff(contexts)
+        self.set_arcs(np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def log_unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
-    def set_backoff(self, words: np.ndarray, backoff: np.ndarray) -> None:
-        at, known = _find(self.words, words)
-        self.backoff[at[known]] = backoff[known]
+    def codes_of(self, batch) -> np.ndarray:
+        """The bigrams of a batch whose words are both here: number of the first, then of the second."""
+        tokens, rows = _tokens(batch)
+        (at, near), (before, after) = _find(self.words, tokens), _find(self.words, _before(tokens, rows))
+        return ((before << _ID) | at)[near & after]
+
+    def gain(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """What bigrams seen so often add to backoff and unigram."""
+        return gain(counts, self.prior[codes >> _ID], self.log_p[codes & ((1 << _ID) - 1)])
 
-    def set_bigrams(self, v: np.ndarray, w: np.ndarray, counts: np.ndarray) -> None:
-        """Arcs, and what each adds to the backoff of v and the unigram of w."""
-        codes = (_find(self.words, v)[0] << 32) | _find(self.words, w)[0]
+    def set_arcs(self, codes: np.ndarray, counts: np.ndarray) -> None:
         order = np.argsort(codes)
-        self.codes, counts = codes[order], counts[order]
-        v, w = self.codes >> 32, self.codes & 0xFFFFFFFF
-        self.arcs = np.log10((counts - DISCOUNT) / np.maximum(self.word_counts[v], 1))
-        self.gains = self.arcs - self.backoff[v] - self.log_unigram(self.word_counts[w])
+        self.codes = codes[order]
+        self.gains = self.gain(self.codes, counts[order])
+
+
+def prior(counts: np.ndarray) -> np.ndarray:
+    return SCALE * np.asarray(counts, float) ** POWER
+
+
+def log_backoff(counts: np.ndarray) -> np.ndarray:
+    weight = np.maximum(prior(counts), 1e-300)
+    return np.where(counts > 0, np.log10(weight / (counts + weight)), 0.0)
+
 
+def gain(counts: np.ndarray, weight: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """log10 of (c + m p) / (m p): a seen bigram's probability over that by backoff."""
+    return np.log10(1 + counts / np.maximum(weight * 10.0**log_p, 1e-300)) * (counts > 0)
 
-def train(docs: DataFrame, head: float = HEAD, context: float = CONTEXT, bigram: float = BIGRAM) -> tuple[Automaton, DataFrame]:
-    """The automaton, and the table (key, known, base, gain) of all words and bigrams that it does not hold: what each adds to
-    n_known, base_score and score, beside an unknown word. From all of docs (a column text); the rates say what is held only."""
-    counts = materialize(docs.select("text").mapInArrow(_tally(_tally_words), "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-counts")
+
+def train(docs: DataFrame, head: float = HEAD, hot: int = HOT) -> tuple[Automaton, DataFrame]:
+    """The automaton's broadcast part and the exact counts (w, c) of all words of docs (a column text)."""
+    counts = materialize(docs.select("text").mapInArrow(_counter(lambda b: _tokens(b)[0]), "key long, c long").groupBy(F.col("key").alias("w")).agg(F.sum("c").alias("c")), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    least = min(head, context, bigram) * n
-    top = counts.filter(F.col("c") >= least).toArrow()  # 1 / min(...) rows at most, since counts sum to n
-    keys, sums = top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy()
+    top = counts.filter(F.col("c") >= head * n).toArrow()  # 1 / head rows at most, since counts sum to n
     n_docs = counts.filter(F.col("w") == int(END)).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    model = Automaton(keys, sums, n, v, n_docs, head)
-    words = docs.sparkSession.sparkContext.broadcast(model)
-
-    def marked(batches):
-        m = words.value
-        for batch in batches:
-            x, y = (batch.column(k).to_numpy().view(np.uint64) for k in ("v", "w"))
-            (at, near), (before, known) = _find(m.words, y), _find(m.words, x)
-            near &= m.near[at]
-            known &= m.near[before] | (x == START)
-            yield pa.RecordBatch.from_arrays([pa.array(_pair(x, y).view(np.int64)), batch.column("v"), pa.array(y.view(np.int64), mask=near), batch.column("c"), pa.array(m.word_counts[at], pa.int64(), mask=~near), pa.array(known)], ["key", "v", "w", "c", "cw", "known"])
-
-    tallied = materialize(docs.select("text").mapInArrow(_tally(_tally_pairs), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c")), "lm-bigrams")
-    pairs = tallied.mapInArrow(marked, "key long, v long, w long, c long, cw long, known boolean")
-    rare = pairs.filter("cw is null").drop("cw").join(counts.withColumnRenamed("c", "cw"), "w")
-    columns = ["key", "v", "c", "cw", "known"]
-    full = pairs.filter("cw is not null").select(columns).union(rare.select(columns))
-    z, empty = float(n + 0.5 * (v + 1)), float(model.log_unigram(np.zeros(1))[0])
-    seen = full.groupBy("v").agg(F.count("*").alias("k"), F.sum((F.col("cw") + 0.5) / z).alias("s"))
-    start = docs.sparkSession.range(1).select(F.lit(int(START)).cast("long").alias("w"), F.lit(int(n_docs)).cast("long").alias("c"))
-    rest = F.log10((DISCOUNT * F.col("k") / F.col("c")) / F.greatest(1 - F.col("s"), F.lit(1e-12)))
-    lexicon = materialize(counts.union(start).join(seen.withColumnRenamed("v", "w"), "w", "left").select("w", "c", F.coalesce(rest, F.lit(0.0)).alias("backoff")), "lm-words")
-    held = lexicon.filter((F.col("c") >= least) | (F.col("w") == int(START))).select("w", "backoff").toArrow()
-    model.set_backoff(held.column("w").to_numpy().view(np.uint64), held.column("backoff").to_numpy())
-    arcs = tallied.filter(F.col("c") >= bigram * n).toArrow()  # 1 / bigram rows at most; both words have as many
-    model.set_bigrams(*(arcs.column(k).to_numpy().view(np.uint64) for k in ("v", "w")), arcs.column("c").to_numpy())
-    words.unpersist()
-    whole = docs.sparkSession.sparkContext.broadcast(model)
-
-    def gains(batches):
-        m = whole.value
-        for batch in batches:
-            at, _ = _find(m.words, batch.column("v").to_numpy().view(np.uint64))
-            c, cw = batch.column("c").to_numpy(), batch.column("cw").to_numpy()
-            gain = np.log10((c - DISCOUNT) / np.maximum(m.word_counts[at], 1)) - m.backoff[at] - m.log_unigram(cw)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(gain)], ["key", "gain"])
-
-    far = full.filter(F.col("c") < bigram * n)
-    log = lambda count: F.log10((F.col(count) + 0.5) / z)
-    of_near = far.filter("known").select("key", "v", "c", "cw").mapInArrow(gains, "key long, gain double")
-    of_rare = far.filter("not known").join(lexicon.select(F.col("w").alias("v"), F.col("c").alias("cv"), "backoff"), "v")
-    of_rare = of_rare.select("key", (F.log10((F.col("c") - DISCOUNT) / F.col("cv")) - F.col("backoff") - log("cw")).alias("gain"))
-    bigrams = of_near.union(of_rare).select("key", F.lit(0).alias("known"), F.lit(0.0).alias("base"), "gain")
-    more = log("c") - empty
-    singles = lexicon.filter((F.col("c") < head * n) & (F.col("w") != int(START)))
-    return model, singles.select(F.col("w").alias("key"), F.lit(1).alias("known"), more.alias("base"), (more + F.col("backoff")).alias("gain")).union(bigrams)
-
-
-def score(docs: DataFrame, model: Automaton, counts: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns `keep` of docs and n_tokens, n_known, base_score, score; model and counts are those of train."""
+    model = Automaton(top.column("w").to_numpy().view(np.uint64), top.column("c").to_numpy(), n, v, n_docs)
+    if not n:
+        return model, counts
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    sample = docs.select("text").sample(min(1.0, SAMPLE_TOKENS / n), 11)
+    often = sample.mapInArrow(_counter(lambda b: shared.value.codes_of(b)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= hot)
+    wanted = np.sort(often.orderBy(F.desc("c"), "key").limit(HOT_PAIRS).toArrow().column("key").to_numpy())
+
+    def counted(batch):
+        codes = shared.value.codes_of(batch)
+        return codes[_find(wanted, codes)[1]]
+
+    exact = docs.select("text").mapInArrow(_counter(counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).toArrow()  # the keys are those of wanted
+    shared.unpersist()
+    model.set_arcs(exact.column("key").to_numpy(), exact.column("c").to_numpy())
+    return model, counts
+
+
+_PAIRS = "a array<long>, b array<long>, rows array<int>, times array<int>"
+_DEALT = ["kind", "bucket", "base", "a", "b", "rows", "times", "head"]
+
+
+def _lists(bucket: np.ndarray, n: int, *columns: tuple[np.ndarray, pa.DataType]) -> list[pa.Array]:
+    at = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=n))]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(at), pa.array(x, t)) for x, t in columns]
+
+
+def _dealer(shared, keep: list[str], head: pa.DataType, buckets: int):
+    """Texts to rows for the exchange: one for each document, and for each kind and bucket the bigrams that are to be weighed."""
+    listed = [pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+
+    def dealt(kind, base, row, learn, a, b):
+        """Equal bigrams of a document are one, with the number of times."""
+        if not len(a):
+            return
+        order = np.lexsort((a, row) if b is None else (b, a, row))
+        row, a, b = row[order], a[order], None if b is None else b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
+        if b is not None:
+            new[1:] |= b[1:] != b[:-1]
+        first = np.flatnonzero(new)
+        times, row, a, b = np.diff(np.append(first, len(a))), row[first], a[first], None if b is None else b[first]
+        bucket = (mix(a.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, row = bucket[order], row[order]
+        full, place = np.unique(bucket, return_inverse=True)
+        arrays = _lists(place, len(full), (a[order], pa.int64()), *([] if b is None else [(b[order], pa.int64())]), (row * 2 + learn[row], pa.int32()), (times[order], pa.int32()))
+        if b is None:
+            arrays.insert(1, pa.array([[]] * len(full), listed[1]))
+        columns = [pa.array(np.full(len(full), kind), pa.int32()), pa.array(full, pa.int32()), pa.array(np.full(len(full), base)), *arrays, pa.nulls(len(full), head)]
+        yield pa.RecordBatch.from_arrays(columns, _DEALT)
 
     def run(batches):
         m = shared.value
-        task, made = TaskContext.get().partitionId() << 36, 0
+        base = TaskContext.get().partitionId() << 36
         for whole in batches:
-            for batch in steps(whole, "text"):
-                tokens, rows = _tokens(batch)
+            for batch in steps(whole, "text", DEAL_BYTES):
                 n = batch.num_rows
+                tokens, rows = _tokens(batch)
                 ahead = _before(tokens, rows)
-                (at, found), (before, after) = _find(m.words, tokens), _find(m.words, ahead)
-                known = found & m.near[at]
-                flat = m.log_unigram(np.where(known, m.word_counts[at], 0))
-                arc, kept = _find(m.codes, (before << 32) | at)
-                kept &= found & after
-                walk = flat + np.where(after & (m.near[before] | (before == m.start)), m.backoff[before], 0.0)
-                if kept.any():
-                    walk[kept] += m.gains[arc[kept]]
-                key = np.concatenate([tokens[~known], _pair(ahead[~kept], tokens[~kept])])
-                row = np.concatenate([rows[~known], rows[~kept]])
-                order = np.lexsort((key, row))
-                key, row = key[order], row[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                per = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=n))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(pa.array(per), pa.array(x)) for x in (key[first].view(np.int64), times.astype(np.int32))]
-                columns = [pa.array(np.arange(task + made, task + made + n)), *(batch.column(c) for c in keep)]
-                columns += [pa.array(np.bincount(rows, minlength=n)), pa.array(np.bincount(rows[known], minlength=n)), pa.array(np.bincount(rows, flat, n)), pa.array(np.bincount(rows, walk, n)), *lists]
-                made += n
-                yield pa.RecordBatch.from_arrays(columns, ["__row", *keep, "n_tokens", "n_known", "base_score", "score", "__keys", "__times"])
-
-    kinds = dict(docs.dtypes)
-    fields = "".join(f"`{c}` {kinds[c]}, " for c in keep)
-    first = materialize(docs.select(*keep, "text").mapInArrow(run, f"__row long, {fields}n_tokens long, n_known long, base_score double, score double, __keys array<long>, __times array<int>"), "lm-heads")
-    far = first.select("__row", F.explode(F.arrays_zip("__keys", "__times")).alias("x")).select("__row", F.col("x.__keys").alias("key"), F.col("x.__times").alias("t"))
-    total = lambda c: F.sum(F.col("t") * F.col(c)).alias(f"__{c}")
-    tail = far.join(counts, "key").groupBy("__row").agg(total("known"), total("base"), total("gain"))
-    out = first.drop("__keys", "__times").join(tail, "__row", "left")
-    plus = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-    return out.select(*keep, "n_tokens", plus("n_known", "__known"), plus("base_score", "__base"), plus("score", "__gain"))
+                (at, near), (before, after) = _find(m.words, tokens), _find(m.words, ahead)
+                codes = (before << _ID) | at
+                arc, met = _find(m.codes, codes)
+                met &= near & after
+                flat = np.where(near, m.log_p[at], 0.0)
+                walk = flat + np.where(after, m.log_backoff[before], 0.0)
+                if met.any():
+                    walk[met] += m.gains[arc[met]]
+                known = near & (m.counts[at] > 0)
+                values = [*(batch.column(c) for c in keep), pa.array(np.bincount(rows, minlength=n)), pa.array(np.bincount(rows[known], minlength=n)), pa.array(np.bincount(rows, flat, n)), pa.array(np.bincount(rows, walk, n))]
+                struct = pa.StructArray.from_arrays(values, fields=list(head))
+                places = np.arange(base, base + n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, DOCUMENT), pa.int32()), pa.array(places % buckets, pa.int32()), pa.array(places), *[pa.nulls(n, t) for t in listed], struct], _DEALT)
+                learn = batch.column("__learn").to_numpy(zero_copy_only=False).astype(np.int64)
+                signed = tokens.view(np.int64), ahead.view(np.int64)
+                open_, ends, begins = near & after & ~met, ~near, near & ~after
+                yield from dealt(NEAR, base, rows[open_], learn, codes[open_], None)
+                yield from dealt(ENDS, base, rows[ends], learn, signed[0][ends], signed[1][ends])
+                yield from dealt(BEGINS, base, rows[begins], learn, signed[1][begins], at[begins])
+                base += n
+
+    return run
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Number of the run of equal rows that each row is in."""
+    new = np.zeros(len(columns[0]), bool)
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.cumsum(new)
+
+
+def _weigher(shared, head: pa.DataType):
+    """Bigrams, sorted by a, kind and b within their buckets, to sums by document (row, known, base, gain), and to bigrams of two words
+    that are not broadcast (v, q, t). A task holds a batch and the last run of equal a."""
+    names = ["row", "known", "base", "gain", "v", "q", "t", "head"]
+    numbers = ["kind", "row", "a", "b", "times", "learned"]
+
+    def sums(parts):
+        row = np.concatenate([p[0] for p in parts])
+        found, where = np.unique(row, return_inverse=True)
+        total = [np.bincount(where, np.concatenate([p[k] for p in parts]), len(found)) for k in (1, 2, 3)]
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, head)], names)
+
+    def weighed(m, kind, row, a, b, t, learned):
+        """The sums of whole runs, and their bigrams of two words that are not broadcast."""
+        pair = _runs(a, kind, b)
+        c = np.bincount(pair, learned)[pair].astype(np.int64)
+        known, base, more = np.zeros(len(kind), np.int64), np.zeros(len(kind)), np.zeros(len(kind))
+        i = kind == NEAR
+        more[i] = t[i] * m.gain(a[i], c[i])
+        far = ~i
+        if not far.any():
+            return (row, known, base, more), None
+        word = _runs(a)
+        ca = np.bincount(word, learned * (kind == ENDS))[word].astype(np.int64)
+        i = kind == BEGINS
+        more[i] = t[i] * gain(c[i], prior(ca[i]), m.log_p[b[i]])
+        i = kind == ENDS
+        log_p = m.log_unigram(ca[i])
+        at, near = _find(m.words, b[i].view(np.uint64))
+        known[i], base[i] = t[i] * (ca[i] > 0), t[i] * log_p
+        more[i] = t[i] * (log_p + log_backoff(ca[i]) + np.where(near, gain(c[i], m.prior[at], log_p), 0.0))
+        both = np.flatnonzero(i)[~near & (c[i] > 0)]
+        return (row, known, base, more), (row[both], b[both], c[both] / 10.0 ** m.log_unigram(ca[both]), t[both])
+
+    def run(batches):
+        m = shared.value
+        parts, held, kept = [], 0, None
+        for batch in batches:
+            kind = batch.column("kind").to_numpy()
+            if (whole := np.flatnonzero(kind == DOCUMENT)).size:
+                some = batch.take(pa.array(whole))
+                none = [pa.nulls(len(whole), t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int32())]
+                yield pa.RecordBatch.from_arrays([some.column("row"), *none, some.column("head")], names)
+            part = np.flatnonzero(kind != DOCUMENT)
+            if not len(part):
+                continue
+            now = [batch.column(x).fill_null(0).to_numpy()[part] for x in numbers]
+            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
+            last = int(np.flatnonzero(now[2] != now[2][-1])[-1]) + 1 if (now[2] != now[2][-1]).any() else 0
+            kept = [x[last:] for x in now]
+            if last:
+                done, both = weighed(m, *(x[:last] for x in now))
+                parts.append(done)
+                held += last
+                if both is not None and len(both[0]):
+                    yield rest(*both)
+                if held >= COUNT_TOKENS:
+                    yield sums(parts)
+                    parts, held = [], 0
+        if kept is not None:
+            done, both = weighed(m, *kept)
+            parts.append(done)
+            if both is not None and len(both[0]):
+                yield rest(*both)
+        if parts:
+            yield sums(parts)
+
+    def rest(row, v, q, t):
+        zero = np.zeros(len(row))
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(v), pa.array(q), pa.array(t, pa.int32()), pa.nulls(len(row), head)], names)
+
+    return run
+
+
+def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None = None, text: str = "text", head: float = HEAD, hot: int = HOT) -> tuple[DataFrame, Automaton]:
+    """Columns `keep` of docs (all by default) and n_tokens, n_known, base_score, score of every row, by a model of the rows for
+    which `learn` holds; and the broadcast part of the model. Texts to be scored by a model of others are united with them."""
+    own = ["n_tokens", "n_known", "base_score", "score"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
+    spark = docs.sparkSession
+    given = docs.select(*[F.col(c) for c in keep if c != "text"], *([F.col("text").alias("__kept_text")] if "text" in keep else []), F.col(text).alias("text"), F.coalesce(learn, F.lit(False)).alias("__learn"))
+    kept = ["__kept_text" if c == "text" else c for c in keep]
+    model, counts = train(given.filter("__learn").select("text"), head, hot)
+    shared = spark.sparkContext.broadcast(model)
+    kinds = given.select(*kept).schema.fields
+    fields = T.StructType([*kinds, *T.StructType.fromDDL("n_tokens long, n_known long, base_score double, score double").fields])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    arrow = to_arrow_type(fields)
+    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*T.StructType.fromDDL(f"kind int, bucket int, base long, {_PAIRS}").fields, T.StructField("head", fields)])
+    dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition("bucket")
+    flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
+    row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
+    flat = flat.select("kind", "bucket", row.alias("row"), "a", "b", "times", (F.col("rows").bitwiseAND(1) * F.col("times")).alias("learned"), "head").sortWithinPartitions("bucket", "a", "kind", "b")
+    out = T.StructType([*T.StructType.fromDDL("row long, known long, base double, gain double, v long, q double, t int").fields, T.StructField("head", fields)])
+    weighed = flat.drop("bucket").mapInArrow(_weigher(shared, arrow), out)
+    rest = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "q", "t")))
+    scored = materialize(weighed.groupBy("row").agg(F.first("head", True).alias("head"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"), rest.alias("rest")), "lm-scores")
+    weight = SCALE * F.pow(F.col("c").cast("double"), F.lit(POWER))
+    both = scored.filter(F.size("rest") > 0).select("row", F.inline("rest")).join(counts.select(F.col("w").alias("v"), "c"), "v")
+    both = both.groupBy("row").agg(F.sum(F.col("t") * F.log10(1 + F.col("q") / weight)).alias("more"))
+    done = scored.drop("rest").join(both, "row", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    total = [F.col("head.n_tokens"), F.col("head.n_known") + zero("known"), F.col("head.base_score") + zero("base"), F.col("head.score") + zero("gain") + zero("more")]
+    return done.select(*[F.col(f"head.`{k}`").alias(c) for k, c in zip(kept, keep)], *[x.alias(c) for x, c in zip(total, own)]), model
 
 
 def op5_language_model(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (~training_part(F.col("doc_id"), 1)).alias("held_out"))
-    model, counts = train(docs.filter(~F.col("held_out")))
-    scored = score(docs, model, counts, ["doc_id", "held_out"])
+    scored, model = language_model_scores(docs, ~F.col("held_out"), ["doc_id", "held_out"])
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.n)).cast("long").alias("train_tokens"), "base_score", "score")

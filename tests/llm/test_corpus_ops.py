@@ -172,54 +172,54 @@ def test_write_shards(spark, docs, tmp_path):
 
 def test_language_model(spark, docs, odd):
     rng = random.Random(4)
-    texts = [" ".join(rng.choice(["the", "cat", "The", "sat", "on", "mat", f"r{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + odd
-    table = docs(texts).select("doc_id", "text")
+    texts = [" ".join(rng.choice(["the", "cat", "The", "sat", "on", "mat", f"r{rng.randint(0, 99)}"]) for _ in range(rng.randint(0, 60))) for _ in range(200)] + odd + [None, "new r1 the words new r1", "q1 q2 q1 q2"]
+    table = docs(texts)
     tokens = lambda t: [w.translate({i: i + 32 for i in range(65, 91)}) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")] + [None]
-    for head in (lm.HEAD, 1e-2):  # with rare words joined, too
-        model, counts = lm.train(table.filter("doc_id % 5 <> 1"), head=head, context=1e-3, bigram=1e-4)
-        known = collections.Counter(w for i, t in enumerate(texts) if i % 5 != 1 for w in tokens(t))
-        total, kinds = sum(known.values()), len(known)
-        assert (model.n, model.v) == (total, kinds)
-        rows = lm.score(table, model, counts, ["doc_id"]).collect()
-        assert len(rows) == len(texts)
-        for r in rows:
-            w = tokens(texts[r.doc_id])
-            base = sum(math.log10((known[x] + 0.5) / (total + 0.5 * (kinds + 1))) for x in w)
-            assert (r.n_tokens, r.n_known) == (len(w), sum(known[x] > 0 for x in w)) and math.isclose(r.base_score, base, rel_tol=1e-9)
-        # for each context the probabilities of all known words and one unknown sum to one
-        lower = 10 ** model.log_unigram(np.array([*known.values(), 0]))
-        for v in range(len(model.words)):
-            mine = model.codes >> 32 == v
-            kept = model.codes[mine] & 0xFFFFFFFF
-            rest = lower.sum() - (10 ** model.log_unigram(model.word_counts[kept])).sum()
-            assert math.isclose((10 ** model.arcs[mine]).sum() + 10 ** model.backoff[v] * rest, 1, rel_tol=1e-6)
-    empty, counts = lm.train(table.limit(0))
-    assert all(math.isclose(r.base_score, 0, abs_tol=1e-9) and r.n_known == 0 for r in lm.score(table, empty, counts, ["doc_id"]).collect())
-    assert not lm.score(table.limit(0), empty, counts, ["doc_id"]).count()
-
-
-def test_language_model_keeps_all_bigrams(docs):
-    rng = random.Random(7)
-    texts = [" ".join(rng.choice(["the", "cat", "sat", f"r{rng.randint(0, 60)}"]) for _ in range(rng.randint(0, 30))) for _ in range(150)] + [None, "new r1 the words"]
-    table = docs(texts).select("doc_id", "text")
     train = [i for i in range(len(texts)) if i % 5 != 1]
-    tokens = lambda i: [*(texts[i] or "").split(), None]
-    known = collections.Counter(w for i in train for w in tokens(i))
-    both = collections.Counter(p for i in train for p in zip(["<s>", *tokens(i)], tokens(i)))
+    known = collections.Counter(w for i in train for w in tokens(texts[i]))
+    both = collections.Counter(p for i in train for p in zip(["<s>", *tokens(texts[i])], tokens(texts[i])))
     total, kinds = sum(known.values()), len(known)
     p = lambda w: (known[w] + 0.5) / (total + 0.5 * (kinds + 1))
     times = known + collections.Counter({"<s>": len(train)})
-    follow = collections.defaultdict(list)
-    for v, w in both:
-        follow[v].append(w)
-    rest = {v: 0.5 * len(ws) / times[v] / (1 - sum(map(p, ws))) for v, ws in follow.items()}
-    p2 = lambda v, w: (both[v, w] - 0.5) / times[v] if both[v, w] else rest.get(v, 1) * p(w)
-    for rates in ({}, {"head": 1e-2, "context": 1e-2, "bigram": 1e-2}, {"head": 1e-2, "context": 1e-1, "bigram": 2e-3}, {"head": 0.5, "context": 0.5, "bigram": 0.5}):
-        model, counts = lm.train(table.filter("doc_id % 5 <> 1"), **rates)
-        for r in lm.score(table, model, counts, ["doc_id"]).collect():
-            w = tokens(r.doc_id)
+
+    def p2(v, w):
+        if not times[v]:
+            return p(w)
+        m = lm.SCALE * times[v] ** lm.POWER
+        return (both[v, w] + m * p(w)) / (times[v] + m)
+
+    for v in ["<s>", "the", "r5", "nobody"]:
+        assert math.isclose(sum(p2(v, w) for w in known) + p2(v, "unknown"), 1, rel_tol=1e-9)
+    # all words held in tasks, some, the frequent ones, none; arcs met in tasks or all dealt
+    for head, hot in ((lm.HEAD, 2), (lm.HEAD, 10**6), (2e-3, 3), (0.03, 3), (0.9, 10**6)):
+        scored, model = lm.language_model_scores(table, F.col("doc_id") % 5 != 1, ["doc_id", "n_words"], head=head, hot=hot)
+        assert (model.n, model.v) == (total, kinds) and (hot == 10**6) == (len(model.codes) == 0)
+        rows = scored.collect()
+        assert len(rows) == len(texts) and {r.n_words for r in rows} == {"x"}
+        for r in rows:
+            w = tokens(texts[r.doc_id])
+            assert (r.n_tokens, r.n_known) == (len(w), sum(known[x] > 0 for x in w))
+            assert math.isclose(r.base_score, sum(math.log10(p(x)) for x in w), rel_tol=1e-9)
             assert math.isclose(r.score, sum(math.log10(p2(*x)) for x in zip(["<s>", *w], w)), rel_tol=1e-9)
-            assert r.n_known == sum(known[x] > 0 for x in w) and math.isclose(r.base_score, sum(math.log10(p(x)) for x in w), rel_tol=1e-9)
+
+
+def test_language_model_without_training_or_rows(docs):
+    table = docs(["a b", "a b", None, ""], [1, 1, None, 4])
+    scored, _ = lm.language_model_scores(table, F.lit(False))
+    rows = scored.collect()
+    assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 3] and all(r.n_known == 0 and abs(r.base_score) + abs(r.score) < 1e-9 for r in rows)
+    assert set(scored.columns) == {*table.columns, "n_tokens", "n_known", "base_score", "score"} and {r.text for r in rows} == {"a b", None, ""}
+    same = lm.language_model_scores(table, F.lit(True))[0].collect()
+    assert len(same) == 4 and len({r.score for r in same if r.text == "a b"}) == 1
+    assert lm.language_model_scores(table.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_held_out_perplexity(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scored, _ = lm.language_model_scores(table, lm.training_part(F.col("doc_id"), 1), ["doc_id"])
+    held = scored.join(table.filter(~lm.training_part(F.col("doc_id"), 1)).select("doc_id"), "doc_id")
+    base, full = held.agg(F.expr("pow(10, -sum(base_score) / sum(n_tokens))"), F.expr("pow(10, -sum(score) / sum(n_tokens))")).first()
+    assert full < 0.6 * base
 
 
 def test_language_id(spark, sf_dir, docs, odd):
