@@ -257,7 +257,7 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _weigher(shared, head: pa.DataType):
-    """Bigrams, sorted by a, kind and b within their buckets, to sums by document (row, known, base, gain), and to bigrams of two words
+    """Bigrams, sorted by a, to sums by document (row, known, base, gain), and to bigrams of two words
     that are not broadcast (v, q, t). A task holds a batch and the last run of equal a."""
     names = ["row", "known", "base", "gain", "v", "q", "t", "head"]
     numbers = ["kind", "row", "a", "b", "times", "learned"]
@@ -271,25 +271,27 @@ def _weigher(shared, head: pa.DataType):
 
     def weighed(m, kind, row, a, b, t, learned):
         """The sums of whole runs, and their bigrams of two words that are not broadcast."""
-        pair = _runs(a, kind, b)
-        c = np.bincount(pair, learned)[pair].astype(np.int64)
         known, base, more = np.zeros(len(kind), np.int64), np.zeros(len(kind)), np.zeros(len(kind))
-        i = kind == NEAR
-        more[i] = t[i] * m.gain(a[i], c[i])
-        far = ~i
-        if not far.any():
+        i = np.flatnonzero(kind == NEAR)
+        pair = _runs(a[i])
+        more[i] = t[i] * m.gain(a[i], np.bincount(pair, learned[i])[pair].astype(np.int64))
+        i = np.flatnonzero(kind != NEAR)
+        if not len(i):
             return (row, known, base, more), None
-        word = _runs(a)
-        ca = np.bincount(word, learned * (kind == ENDS))[word].astype(np.int64)
-        i = kind == BEGINS
-        more[i] = t[i] * gain(c[i], prior(ca[i]), m.log_p[b[i]])
-        i = kind == ENDS
-        log_p = m.log_unigram(ca[i])
-        at, near = _find(m.words, b[i].view(np.uint64))
-        known[i], base[i] = t[i] * (ca[i] > 0), t[i] * log_p
-        more[i] = t[i] * (log_p + log_backoff(ca[i]) + np.where(near, gain(c[i], m.prior[at], log_p), 0.0))
-        both = np.flatnonzero(i)[~near & (c[i] > 0)]
-        return (row, known, base, more), (row[both], b[both], c[both] / 10.0 ** m.log_unigram(ca[both]), t[both])
+        i = i[np.lexsort((b[i], kind[i], a[i]))]
+        word, pair = _runs(a[i]), _runs(a[i], kind[i], b[i])
+        c = np.bincount(pair, learned[i])[pair].astype(np.int64)
+        ca = np.bincount(word, learned[i] * (kind[i] == ENDS))[word].astype(np.int64)
+        begins, ends = kind[i] == BEGINS, kind[i] == ENDS
+        j = i[begins]
+        more[j] = t[j] * gain(c[begins], prior(ca[begins]), m.log_p[b[j]])
+        j, c, ca = i[ends], c[ends], ca[ends]
+        log_p = m.log_unigram(ca)
+        at, near = _find(m.words, b[j].view(np.uint64))
+        known[j], base[j] = t[j] * (ca > 0), t[j] * log_p
+        more[j] = t[j] * (log_p + log_backoff(ca) + np.where(near, gain(c, m.prior[at], log_p), 0.0))
+        both = ~near & (c > 0)
+        return (row, known, base, more), (row[j][both], b[j][both], c[both] / 10.0 ** log_p[both], t[j][both])
 
     def run(batches):
         m = shared.value
@@ -346,14 +348,14 @@ def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(fields)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = T.StructType([*T.StructType.fromDDL(f"kind int, bucket int, base long, {_PAIRS}").fields, T.StructField("head", fields)])
     dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition("bucket")
     flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
     row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
-    flat = flat.select("kind", "bucket", row.alias("row"), "a", "b", "times", (F.col("rows").bitwiseAND(1) * F.col("times")).alias("learned"), "head").sortWithinPartitions("bucket", "a", "kind", "b")
+    flat = flat.select("kind", row.alias("row"), "a", "b", "times", (F.col("rows").bitwiseAND(1) * F.col("times")).alias("learned"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
     out = T.StructType([*T.StructType.fromDDL("row long, known long, base double, gain double, v long, q double, t int").fields, T.StructField("head", fields)])
-    weighed = flat.drop("bucket").mapInArrow(_weigher(shared, arrow), out)
+    weighed = flat.mapInArrow(_weigher(shared, arrow), out)
     rest = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "q", "t")))
     scored = materialize(weighed.groupBy("row").agg(F.first("head", True).alias("head"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"), rest.alias("rest")), "lm-scores")
     weight = SCALE * F.pow(F.col("c").cast("double"), F.lit(POWER))
