@@ -8,36 +8,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import values as V
+from .text import nfc
 
 # The steps of a run, in order.
 STEPS = ["DOWNLOAD", "TRANSCRIPTION", "TRANSLATION", "MODERATION", "TTS"]
 SUBTITLE, VIDEO, BURN = "SUBTITLE", "VIDEO", "BURN"
 
-# Words by which a failure is known to be about a model.
-MODEL_WORDS = ["model", "vieneu", "trọng số", "tokenizer", "weights"]
-
 
 def classify_error(kind: Column, code: Column, message: Column, errno: Column) -> Column:
     """An error's code, by the first rule that holds. `code` is one the error brings along, or null."""
     text = F.lower(F.coalesce(message, F.lit("")))
     has = lambda *words: functools.reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
-    licence = ["UNACTIVATED", "EXPIRED", "CLOCK_ROLLBACK", "TRUSTED_TIME_UNAVAILABLE", "WRONG_MACHINE", "INVALID", "RENEWAL_REQUIRED", "VOICE_MISSING"]
     return (
-        F.when(code.isin(licence), code)
+        F.when(code.isin(V.LICENCE_CODES), code)
         .when((kind == "VideoError") & code.isin("VIDEO_TYPE", "VIDEO_INVALID"), "VIDEO_UNREADABLE")
         .when((kind == "VideoError") & code.isNotNull(), code)
         .when(kind == "YouTubeSessionError", "YOUTUBE_AUTH")
         .when(kind == "ModuleNotFoundError", "DEPENDENCY_MISSING")
-        .when((F.coalesce(errno, F.lit(0)) == 28) | has("no space left", "disk full"), "DISK_FULL")
+        .when((F.coalesce(errno, F.lit(0)) == 28) | has(*V.DISK_WORDS), "DISK_FULL")
         .when(kind == "PermissionError", "FILE_PERMISSION")
         .when(has("out of memory") & has("cuda"), "CUDA_OOM")
-        .when(has("cuda", "not compiled with", "invalid device"), "CUDA_CONFIG")
-        .when(has("cookie", "sign in", "xác thực"), "YOUTUBE_AUTH")
+        .when(has(*V.DEVICE_WORDS), "CUDA_CONFIG")
+        .when(has(*V.SIGN_IN_WORDS), "YOUTUBE_AUTH")
         .when(has("429"), "RATE_LIMIT")
-        .when(has("ffmpeg", "ffprobe") & (kind == "FileNotFoundError"), "FFMPEG_MISSING")
-        .when(has(*MODEL_WORDS) & has("not found", "không tìm", "load"), "MODEL_MISSING")
+        .when(has(*V.TOOL_WORDS) & (kind == "FileNotFoundError"), "FFMPEG_MISSING")
+        .when(has(*V.MODEL_WORDS) & has(*V.MISSING_WORDS), "MODEL_MISSING")
         .when(kind == "FileNotFoundError", "PATH_MISSING")
-        .when((kind == "ValueError") & has("invalid literal", "environment", "device", "batch", "results_root"), "ENV_CONFIG")
+        .when((kind == "ValueError") & has(*V.SETTING_WORDS), "ENV_CONFIG")
         .otherwise("STEP_FAILED")
     )
 
@@ -50,9 +47,8 @@ def with_error_id(errors: DataFrame, ids: DataFrame, guides: DataFrame, default:
 
 def redact(message: Column) -> Column:
     """URLs, lines that look secret and key=value masked; 2000 characters at most."""
-    text = F.regexp_replace(message, r"(?U)https?://[^\s]+", "[URL]")
-    text = F.regexp_replace(text, r"(?im)^.*(?:cookie|authorization|bearer|password|secret|token|api[_-]?key|\bSID=|\bSAPISID=).*$", "[Sensitive detail removed]")
-    text = F.regexp_replace(text, r"(?U)\b[\w-]{2,}=[^\s;,]+", "[REDACTED]")
+    text = F.regexp_replace(message, V.MASK_URL, "[URL]")
+    text = F.regexp_replace(F.regexp_replace(text, V.MASK_LINE, "[Sensitive detail removed]"), V.MASK_PAIR, "[REDACTED]")
     return F.substring(text, 1, 2000)
 
 
@@ -113,20 +109,17 @@ def character_problems(df: DataFrame, key: str = "job_id", most: int = 200) -> D
     return df.withColumn("problems", reasons)
 
 
-def rule_problem(source: Column, replacement: Column, same: Column) -> Column:
-    """Why a rule is refused; `same` counts the rules of its normalised source."""
-    return (
-        F.when(F.coalesce(F.length(F.trim(source)), F.lit(0)) == 0, "empty source")
-        .when(replacement.isNull(), "no replacement")
-        .when((F.length(source) > 1000) | (F.length(replacement) > 10000), "too long")
+def validate_rules(rules: DataFrame, source: str = "source", replacement: str = "replacement") -> DataFrame:
+    """rules with `problem`, why one is refused; sources are compared in NFC, the form in which they are matched."""
+    marked = rules.withColumn("_nfc", nfc(F.col(source)))
+    same = F.count("*").over(Window.partitionBy("_nfc"))
+    problem = (
+        F.when(F.coalesce(F.length(F.trim("_nfc")), F.lit(0)) == 0, "empty source")
+        .when(F.col(replacement).isNull(), "no replacement")
+        .when((F.length("_nfc") > 1000) | (F.length(replacement) > 10000), "too long")
         .when(same > 1, "duplicate source")
     )
-
-
-def validate_rules(rules: DataFrame, source: str = "source", replacement: str = "replacement") -> DataFrame:
-    """rules with `problem`."""
-    same = F.count("*").over(Window.partitionBy(source))
-    return rules.withColumn("problem", rule_problem(F.col(source), F.col(replacement), same))
+    return marked.withColumn("problem", problem).drop("_nfc")
 
 
 # Limits of subtitle settings.
@@ -141,6 +134,12 @@ def validate_subtitle_settings(max_chars: int = 84, min_seconds: float = 1.0) ->
     return int(max_chars), float(min_seconds)
 
 
+def subtitle_problem(max_chars: Column, min_seconds: Column) -> Column:
+    """Why the settings of a row are refused; null if they are not."""
+    (a, b), (c, d) = SUBTITLE_LIMITS["max_chars"], SUBTITLE_LIMITS["min_seconds"]
+    return F.when(~F.coalesce(max_chars.between(a, b), F.lit(False)), "max_chars").when(~F.coalesce(min_seconds.between(c, d), F.lit(False)), "min_seconds")
+
+
 def validate_style(style: str | None) -> tuple[int, int, bool] | None:
     """The values of a narration style; None for the default."""
     if style in (None, "", "default"):

@@ -2,6 +2,30 @@
 
 from __future__ import annotations
 
+import re
+
+# Ends of sentences, emphatic ends, ends and breaks inside them, a bracketed label at a text's start.
+SENTENCE_END = r"[.!?…。！？][\"”’)\]]*$"
+LONG_END = r"(?:[!?…！？]|\.\.\.)[\"”’)\]]*$"
+SENTENCE_BREAK, CLAUSE_BREAK = r"(?<=[.!?…])\s+", r"(?<=[,;:])\s+"
+SOURCE_BOUNDARY = r"[。！？!?；，;,:：\s]+[”’\"）)]*"
+LABEL = r"(?U)^\s*[\[【][^\]】\n]{1,40}[\]】]"
+
+# What is masked in messages.
+MASK_URL = r"(?U)https?://[^\s]+"
+MASK_LINE = r"(?im)^.*(?:cookie|authorization|bearer|password|secret|token|api[_-]?key|\bSID=|\bSAPISID=).*$"
+MASK_PAIR = r"(?U)\b[\w-]{2,}=[^\s;,]+"
+
+# Words by which a failure is known.
+LICENCE_CODES = ["UNACTIVATED", "EXPIRED", "CLOCK_ROLLBACK", "TRUSTED_TIME_UNAVAILABLE", "WRONG_MACHINE", "INVALID", "RENEWAL_REQUIRED", "VOICE_MISSING"]
+DISK_WORDS = ["no space left", "disk full"]
+DEVICE_WORDS = ["cuda", "not compiled with", "invalid device"]
+SIGN_IN_WORDS = ["cookie", "sign in", "xác thực"]
+TOOL_WORDS = ["ffmpeg", "ffprobe"]
+MODEL_WORDS = ["model", "vieneu", "trọng số", "tokenizer", "weights"]
+MISSING_WORDS = ["not found", "không tìm", "load"]
+SETTING_WORDS = ["invalid literal", "environment", "device", "batch", "results_root"]
+
 # Third-person singular forms and their genders.
 MALE_FORMS = ["anh ấy", "anh ta", "ông ấy", "ông ta", "cậu ấy", "cậu ta", "hắn", "gã"]
 FEMALE_FORMS = ["cô ấy", "cô ta", "chị ấy", "chị ta", "bà ấy", "bà ta", "ả"]
@@ -15,6 +39,12 @@ TO_MALE = {"cô ấy": "anh ấy", "cô ta": "anh ta", "chị ấy": "anh ấy",
 MALE_NOUNS = "哥|爸|弟|叔|爷|父亲|儿子|男友|男朋友|男人|男孩|男生(?!宿舍)|老公|丈夫|帅哥|小伙"
 FEMALE_NOUNS = "妈|姐|妹|姨|婆|嫂|母亲|女儿|女友|女朋友|女人|女孩|女生|老婆|妻|闺蜜|姑娘|美女"
 
+# Singular and plural source pronouns, one that ends a row, a bare call at a row's start, the vocative and its compounds.
+PRONOUN, PLURAL_PRONOUN = "[他她](?!们)", "[他她]们"
+LAST_PRONOUN = r"(?U)[他她][，,。！!？?…\s]*$"
+CALL = r"(?U)^\s*([^，,！!。？?\s]{1,6}?)[啊呀]?[，,！!]"
+YOU = r"(?iU)(?<!\w)(?<!các )(?<!những )(?<!người )bạn(?! (?:trai|gái|bè|cùng|học|thân|đời|đồng)\b)(?!\w)"
+
 # Cues and name characters from which a gender is inferred.
 FEMALE_CUES = ["女", "妈", "姐", "妹", "姨", "婆", "嫂", "媳", "妻", "老婆", "姑娘", "美女", "小姐", "闺蜜"]
 MALE_CUES = ["男", "爸", "哥", "弟", "叔", "爷", "夫", "老公", "先生", "帅", "兄"]
@@ -99,7 +129,9 @@ PROMPT_LABELS = ["[Background Information]", "[Source Text]", "[Draft to correct
 LAUGHS = r"(?:ha(?:[ -]?ha)+|hà(?:[ -]?hà)+|hô(?:[ -]?hô)+|he(?:[ -]?he)+|hi(?:[ -]?hi)+|hì(?:[ -]?hì)+|khà(?:[ -]?khà)+|khì(?:[ -]?khì)+)"
 SIGHS = r"(?:hai+z+|ai+z+|hầy+|haizz+|ai da|hây da)"
 
-# Source cleanup.
+# Source cleanup: marks that alone make no row, and marks that may end one.
+ONLY_MARKS = re.compile(r"[\s，,。．.！!？?、；;：:…“”\"'‘’（）()]*")
+ROW_ENDS = "。！？!?…，,"
 BOILERPLATE = [r"(?:好看小?[，,。\s]*)*小说千千万[，,。\s]*悠悠[，,。\s]*这里占一半[，,。\s]*连好\s*wifi[，,。\s]*备好瓜子饮料[，,。！!\s]*精彩故事[，,。\s]*现在开始[，,。！!\s]*"]
 CORRECTIONS = [("煤运", "霉运"), ("苦苦婆心", "苦口婆心"), ("撒比", "傻逼"), ("全闻完", "全文完")]
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .scan import scan_ordered
+from .scan import scan_ordered, with_running
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 
@@ -123,41 +121,34 @@ def sentence_groups(rows: DataFrame, most: int = 6, chars: int = 120, row_chars:
     return scan_ordered(rows.select("job_id", "idx", "text", cached.alias("cached")), ["job_id"], ["idx"], fold, f"job_id {kind}, idx long, group_no int, place int, grouped boolean")
 
 
-_END, _LONG = re.compile(X.SENTENCE_END), re.compile(X.LONG_END)
-
-
 def narration_units(rows: DataFrame, style: tuple[int, int, bool] | None, most: int = 220, scene: int = 1500) -> DataFrame:
-    """Units (job_id, index, rows, text, gap_after_ms, start_ms, end_ms) of rows (job_id, idx, start_ms, end_ms, text)."""
+    """Units (job_id, index, rows, text, gap_after_ms, start_ms, end_ms) of rows (job_id, idx, start_ms, end_ms, text).
+
+    A unit ends with a sentence, before a new scene, or before the row that would make it longer than `most` characters, a space
+    counted after each row. Units are numbered by a running sum of these breaks and put together by their number; a unit is
+    never longer than `most` and a row."""
     if style is None:
         return rows.select("job_id", F.col("idx").alias("index"), F.lit(1).alias("rows"), "text", F.lit(None).cast("int").alias("gap_after_ms"), "start_ms", "end_ms")
     gap, long_gap, cues = style
-
-    def unit(held, following):
-        job, idx, start = held[0][:3]
-        text = " ".join(t for r in held if (t := r[4].strip()))
-        end = held[-1][3]
-        pause = 0 if following is None else long_gap if following[2] - end >= scene or _LONG.search(text) else gap
-        return job, idx, len(held), text, pause, start, end
-
-    def fold(group):
-        held: list[tuple] = []
-        for row in group:
-            if held:
-                before = held[-1]
-                if _END.search(before[4].strip()) or sum(len(r[4]) + 1 for r in held) + len(row[4].strip()) > most or row[2] - before[3] >= scene:
-                    yield unit(held, row)
-                    held = []
-            held.append(row)
-        if held:
-            yield unit(held, None)
-
-    kind = dict(rows.dtypes)["job_id"]
-    out = scan_ordered(rows.select("job_id", "idx", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text")), ["job_id"], ["idx"], fold, f"job_id {kind}, index long, rows int, text string, gap_after_ms int, start_ms long, end_ms long")
-    if not cues:
-        return out
-    # the pause follows the cued text, whose end decides between the two gaps
-    cued = X.add_cues(F.col("text"))
-    return out.withColumn("gap_after_ms", F.when((F.col("gap_after_ms") == long_gap) & ~X.long_end(cued) & X.long_end(F.col("text")), gap).otherwise(F.col("gap_after_ms"))).withColumn("text", cued)
+    w = Window.partitionBy("job_id").orderBy("idx")
+    df = rows.select("job_id", "idx", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text")).withColumn("_bare", X.strip(F.col("text")))
+    ended = X.sentence_end(F.lag("_bare").over(w)) | (F.col("start_ms") - F.lag("end_ms").over(w) >= scene)
+    df = df.withColumn("_must", F.coalesce(ended, F.lit(True))).withColumn("_size", F.length("text") + 1).withColumn("_own", F.length("_bare"))
+
+    def step(state, row):
+        must, size, own = row
+        if must or state[0] + own > most:
+            state[:] = [0, state[1] + 1]
+        state[0] += size
+        return (state[1],)
+
+    df = with_running(df, "job_id", ["idx"], ["_must", "_size", "_own"], "_unit long", lambda: [0, 0], step)
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_own") > 0, F.struct("idx", "_bare")))), lambda x: x["_bare"]), " ")
+    units = df.groupBy("job_id", "_unit").agg(F.min("idx").alias("index"), F.count("*").cast("int").alias("rows"), text.alias("text"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"))
+    spoken = units.withColumn("text", X.add_cues(F.col("text"))) if cues else units
+    following = F.lead("start_ms").over(Window.partitionBy("job_id").orderBy("index"))
+    pause = F.when(following.isNull(), 0).when((following - F.col("end_ms") >= scene) | X.long_end(F.col("text")), long_gap).otherwise(gap)
+    return spoken.select("job_id", "index", "rows", "text", pause.cast("int").alias("gap_after_ms"), "start_ms", "end_ms")
 
 
 def unit_offsets(units: DataFrame) -> DataFrame:
@@ -176,40 +167,46 @@ def share_unknown_lengths(units: DataFrame) -> DataFrame:
     return units.withColumn("length_ms", F.coalesce(F.col("length_ms").cast("long"), share))
 
 
-def layout_cues(pieces: DataFrame, least: int) -> DataFrame:
-    """Cues of pieces (job_id, index, piece, text, length_ms, start_ms, end_ms, optional total_ms): edges in proportion to characters,
-    short ones longer but never into the next, none beyond the total."""
-    unit = Window.partitionBy("job_id", "index").orderBy("piece")
-    whole = Window.partitionBy("job_id", "index")
-    part = F.bround(F.col("length_ms") * F.length("text") / F.sum(F.length("text")).over(whole)).cast("long")
-    df = pieces.withColumn("_part", part)
-    before = F.coalesce(F.sum("_part").over(unit.rowsBetween(*ALL_BEFORE)), F.lit(0)).cast("long")
-    last = F.row_number().over(unit) == F.count("*").over(whole)
-    df = df.withColumn("_from", F.col("start_ms") + before).withColumn("_last", last)
-    df = df.withColumn("_to", F.when(F.col("_last"), F.col("end_ms")).otherwise(F.col("_from") + F.col("_part")))
-    following = F.lead("_from").over(Window.partitionBy("job_id").orderBy("index", "piece"))
-    wanted = F.col("_from") + least
-    longer = F.when(following.isNull(), wanted).otherwise(F.greatest(F.col("_to"), F.least(wanted, following)))
-    df = df.withColumn("_to", F.when(F.col("_to") < wanted, longer).otherwise(F.col("_to")))
-    if "total_ms" in pieces.columns:
+def build_cues(units: DataFrame, max_chars: int = 84, min_seconds: float = 1.0, normalize: bool = True) -> DataFrame:
+    """Subtitle cues of units (job_id, index, text, length_ms, gap_ms, optional total_ms).
+
+    A unit's pieces share its time by their characters, the last one ends with it; short cues last `min_seconds`, but never into the
+    next; none goes beyond the total; empty ones go. All is by job: one exchange, one order. `normalize` as in split_text."""
+    known = share_unknown_lengths(units) if "total_ms" in units.columns else units
+    laid = unit_offsets(known).withColumn("_pieces", X.split_text(F.col("text"), max_chars, normalize)).filter(F.size("_pieces") > 0)
+    chars = F.aggregate("_pieces", F.lit(0), lambda a, p: a + F.length(p))
+    share = lambda p: F.bround(F.col("length_ms") * F.length(p) / F.col("_chars")).cast("long")
+
+    def lay(state, p):
+        cue = F.struct(state["at"].alias("start"), (state["at"] + share(p)).alias("end"), p.alias("text"))
+        return F.struct((state["at"] + share(p)).alias("at"), F.array_append(state["out"], cue).alias("out"))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
+    total = ["total_ms"] if "total_ms" in units.columns else []
+    df = laid.withColumn("_chars", chars).withColumn("_cues", F.aggregate("_pieces", F.struct(F.col("start_ms").alias("at"), none.alias("out")), lay, lambda s: s["out"]))
+    df = df.select("job_id", "index", "end_ms", *total, F.size("_cues").alias("_n"), F.posexplode("_cues").alias("piece", "_cue")).withColumn("_from", F.col("_cue.start"))
+    order = Window.partitionBy("job_id").orderBy("index", "piece")
+    following, wanted = F.lead("_from").over(order), F.col("_from") + int(min_seconds * 1000)
+    own = F.when(F.col("piece") == F.col("_n") - 1, F.col("end_ms")).otherwise(F.col("_cue.end"))
+    end = F.when(own >= wanted, own).otherwise(F.greatest(own, F.least(wanted, following)))
+    df = df.withColumn("_to", end)
+    if total:
         df = df.withColumn("_to", F.when(F.col("total_ms") > 0, F.least("_to", "total_ms")).otherwise(F.col("_to")))
     kept = df.filter(F.col("_to") > F.col("_from"))
-    return kept.select("job_id", F.row_number().over(Window.partitionBy("job_id").orderBy("index", "piece")).alias("cue_no"), F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), X.two_lines(F.col("text")).alias("text"))
+    return kept.select("job_id", F.row_number().over(order).alias("cue_no"), F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), X.two_lines(F.col("_cue.text")).alias("text"))
 
 
-def build_cues(units: DataFrame, max_chars: int = 84, min_seconds: float = 1.0) -> DataFrame:
-    """Subtitle cues of units (job_id, index, text, length_ms, gap_ms, optional total_ms)."""
-    known = share_unknown_lengths(units) if "total_ms" in units.columns else units
-    laid = unit_offsets(known)
-    parts = laid.select(*[c for c in laid.columns if c != "text"], F.posexplode(X.split_text(F.col("text"), max_chars)).alias("piece", "text"))
-    return layout_cues(parts, int(min_seconds * 1000))
+def rolling_context(rows: DataFrame, n: int = 512) -> DataFrame:
+    """rows with the last n characters of all earlier text of the job, whatever rows hold it; rows pass in order with a state of n
+    characters. A null text is an empty one."""
 
+    def step(state, row):
+        before = state[0]
+        if row[0]:
+            state[0] = (before + row[0])[-n:] if n else ""
+        return (before,)
 
-def rolling_context(rows: DataFrame, n: int = 512, frame: int = 512) -> DataFrame:
-    """rows with the last n characters of the job's earlier text; rows hold a character at least, so `frame` rows suffice."""
-    w = Window.partitionBy("job_id").orderBy("idx").rowsBetween(-frame, -1)
-    filled = F.when(F.length("text") > 0, F.col("text"))
-    return rows.withColumn("context", F.right(F.array_join(F.collect_list(filled).over(w), ""), F.lit(n)))
+    return with_running(rows.repartition("job_id"), "job_id", ["idx"], ["text"], "context string", lambda: [""], step)
 
 
 def contiguous_prefix(rows: DataFrame, done: str = "done") -> DataFrame:

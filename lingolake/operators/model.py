@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.store import materialize
 
 #: Texts in, texts out, as many.
 Model = Callable[[list[str]], list[str]]
@@ -41,33 +43,34 @@ def map_batches(df: DataFrame, fn: Model, column: str = "text", out: str = "outp
 def map_groups(groups: DataFrame, fn: Model, batch_size: int = 4) -> tuple[DataFrame, DataFrame]:
     """Rows aligned from marked replies, and rows of groups that could not be aligned, for another try row by row.
 
-    groups have job_id, group_no, ids and texts (arrays). A group is sent as one marked text."""
+    groups have job_id, group_no, ids and texts (arrays). A group is sent as one marked text, once: replies are written to the shared
+    folder before either result is made of them."""
     sent = map_batches(groups.withColumn("prompt", X.group_prompt(F.col("texts"))), fn, "prompt", "reply", batch_size)
-    split = sent.withColumn("_s", X.split_group(F.col("reply"), F.col("texts")))
-    good = split.filter("_s.problem is null").select("job_id", "group_no", F.explode(F.arrays_zip("ids", F.col("texts"), F.col("_s.values").alias("values"))).alias("x"))
-    bad = split.filter("_s.problem is not null").select("job_id", "group_no", F.col("_s.problem").alias("problem"), F.explode(F.arrays_zip("ids", "texts")).alias("x"))
-    return good.select("job_id", "group_no", F.col("x.ids").alias("idx"), F.col("x.texts").alias("text"), F.col("x.values").alias("output")), bad.select("job_id", "group_no", F.col("x.ids").alias("idx"), F.col("x.texts").alias("text"), "problem")
+    split = materialize(sent.drop("prompt"), "replies").withColumn("_s", X.split_group(F.col("reply"), F.col("texts")))
+    rows = split.select("job_id", "group_no", F.col("_s.problem").alias("problem"), F.explode(F.arrays_zip("ids", "texts", F.coalesce("_s.values", F.array().cast("array<string>")).alias("values"))).alias("x"))
+    rows = rows.select("job_id", "group_no", F.col("x.ids").alias("idx"), F.col("x.texts").alias("text"), F.col("x.values").alias("output"), "problem")
+    return rows.filter("problem is null").drop("problem"), rows.filter("problem is not null").drop("output")
 
 
 def with_retries(df: DataFrame, fns: list[Callable[[str, int], str]], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted rows (output, attempt, soft) and failures (attempts array), after each strategy has seen what is left.
 
     df has job_id, idx, text. A strategy takes a text and its seed. A draft whose pronouns disagree is kept in case nothing better
-    comes, and then made to follow the source."""
+    comes, and then made to follow the source. Each strategy is called once for a row: its drafts are written to the shared folder,
+    and both results and the next strategy read them there."""
     known = F.array(*[F.lit(n) for n in names or []]).cast("array<string>")
     left = df.withColumn("_soft", F.lit(None).cast("string")).withColumn("attempts", F.array().cast("array<struct<seed:bigint,draft:string,reason:string,strategy:int>>"))
-    done = None
+    accepted = []
     for k, fn in enumerate(fns):
-        tried = _seeded(left.withColumn("_seed", X.attempt_seed(F.col("text"), 0, k)), fn)
+        tried = materialize(_seeded(left.withColumn("_seed", X.attempt_seed(F.col("text"), 0, k)), fn), "drafts")
         reason = X.output_problem(F.col("_draft"), F.col("text"))
         soft = F.when(reason.isNull(), X.gender_problem(F.col("text"), F.col("_draft"), known))
         tried = tried.withColumn("_why", F.coalesce(reason, soft)).withColumn("_soft", F.coalesce("_soft", F.when(soft.isNotNull(), F.col("_draft"))))
-        good = tried.filter("_why is null").select("job_id", "idx", "text", F.col("_draft").alias("output"), F.lit(k).alias("attempt"), F.lit(False).alias("soft"))
-        done = good if done is None else done.unionByName(good)
+        accepted.append(tried.filter("_why is null").select("job_id", "idx", "text", F.col("_draft").alias("output"), F.lit(k).alias("attempt"), F.lit(False).alias("soft")))
         note = F.struct(F.col("_seed").alias("seed"), F.col("_draft").alias("draft"), F.col("_why").alias("reason"), F.lit(k).alias("strategy"))
         left = tried.filter("_why is not null").withColumn("attempts", F.concat("attempts", F.array(note))).drop("_seed", "_draft", "_why")
-    kept = left.filter("_soft is not null").select("job_id", "idx", "text", X.harmonize_gender(F.col("text"), F.col("_soft")).alias("output"), F.lit(len(fns)).alias("attempt"), F.lit(True).alias("soft"))
-    return done.unionByName(kept), left.filter("_soft is null").drop("_soft")
+    accepted.append(left.filter("_soft is not null").select("job_id", "idx", "text", X.harmonize_gender(F.col("text"), F.col("_soft")).alias("output"), F.lit(len(fns)).alias("attempt"), F.lit(True).alias("soft")))
+    return functools.reduce(DataFrame.unionByName, accepted), left.filter("_soft is null").drop("_soft")
 
 
 def _seeded(df: DataFrame, fn: Callable[[str, int], str]) -> DataFrame:

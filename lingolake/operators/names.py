@@ -36,9 +36,11 @@ def mine_names(rows: DataFrame, compound: dict[str, str], surnames: dict[str, st
     top = c.withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("count"), "gram"))).filter(F.col("_n") <= most)
     # given names that also stand alone
     alias = top.withColumn("given", F.when(w2, F.substring("gram", 3, 4)).otherwise(F.substring("gram", 2, 4))).filter(F.length("given") >= 2)
-    pairs = alias.select("job_id", "gram", "given", F.col("_n").alias("_rank"))
-    times = lambda part: F.sum(F.floor((F.length("text") - F.length(F.replace(F.col("text"), F.col(part), F.lit("")))) / F.length(part))).cast("long")
-    seen = pairs.join(rows.select("job_id", "text"), "job_id").groupBy("job_id", "gram", "given", "_rank").agg((times("given") - times("gram")).alias("count"))
+    pairs = alias.groupBy("job_id").agg(F.collect_list(F.struct("gram", "given", F.col("_n").alias("_rank"))).alias("_pairs"))  # `most` of a job at most
+    times = lambda part: F.floor((F.length("text") - F.length(F.replace(F.col("text"), part, F.lit("")))) / F.length(part)).cast("long")
+    here = F.filter("_pairs", lambda p: F.contains(F.col("text"), p["given"]))
+    met = rows.select("job_id", "text").join(pairs, "job_id").select("job_id", F.inline(F.transform(here, lambda p: F.struct(p["gram"].alias("gram"), p["given"].alias("given"), p["_rank"].alias("_rank"), (times(p["given"]) - times(p["gram"])).alias("n")))))
+    seen = met.groupBy("job_id", "gram", "given", "_rank").agg(F.sum("n").alias("count"))
     of_given = X.literal_map(given)
     spelled = F.transform(F.filter(F.split("given", ""), lambda x: x != ""), lambda x: F.try_element_at(of_given, x))
     alone = seen.filter("count >= 2").withColumn("_parts", spelled).filter(~F.exists("_parts", lambda x: x.isNull()))

@@ -90,6 +90,19 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.select("rule_id", F.when(changed, F.col("_s")).otherwise(F.col("source")).alias("source"), F.when(changed, F.col("_r")).otherwise(F.col("replacement")).alias("replacement"))
 
 
+def checked_rule_changes(rules: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rules after changes, and the changes refused with their problem (no source, no replacement, too long, or a source that another
+    rule has): a refused edit leaves the rule as it was, a refused addition adds nothing."""
+    after = J.validate_rules(apply_rule_changes(rules, changes))
+    touched = changes.filter(F.col("action") != "delete").select("rule_id").distinct().withColumn("_touched", F.lit(True))
+    old = rules.select("rule_id", F.col("source").alias("_s"), F.col("replacement").alias("_r"), F.lit(True).alias("_old"))
+    both = after.join(touched, "rule_id", "left").join(old, "rule_id", "left")
+    bad = F.col("problem").isNotNull() & F.coalesce("_touched", F.lit(False))
+    kept = both.filter(~bad | F.coalesce("_old", F.lit(False)))
+    pick = lambda c, o: F.when(bad, F.col(o)).otherwise(F.col(c)).alias(c)
+    return kept.select("rule_id", pick("source", "_s"), pick("replacement", "_r")), both.filter(bad).select("rule_id", "source", "replacement", "problem")
+
+
 def same_output(a: DataFrame, b: DataFrame, tolerance: int = 30) -> DataFrame:
     """Per job whether two transcripts have the same rows, with times within a tolerance."""
     r = b.select("job_id", "idx", F.col("start_ms").alias("_s"), F.col("end_ms").alias("_e"), F.col("text").alias("_t"), F.lit(True).alias("_there"))
@@ -141,8 +154,19 @@ def join_telemetry(jobs: DataFrame, *sides: DataFrame) -> DataFrame:
 
 def overall_progress(steps: DataFrame) -> DataFrame:
     """Mean of a job's step percents (job_id, step, state, percent), completed ones 100; null if an active one is unknown."""
-    value = F.when(F.col("state") == "COMPLETED", 100.0).otherwise(F.col("percent"))
-    return steps.withColumn("_v", value).groupBy("job_id").agg(F.when(~F.bool_or(F.col("_v").isNull()), F.bround(F.avg("_v"), 2)).alias("progress"))
+    return steps.groupBy("job_id").agg(progress_of(F.col("percent"), F.col("state")).alias("progress"))
+
+
+def progress_of(percent: Column, state: Column) -> Column:
+    """overall_progress as an aggregate of the caller's groups."""
+    value = F.when(state == "COMPLETED", 100.0).otherwise(percent)
+    return F.when(~F.bool_or(value.isNull()), F.bround(F.avg(value), 2))
+
+
+def rule_counts(hits: Column, rule_ids: list[str]) -> Column:
+    """An aggregate: how often each rule occurs in arrays of hits, zeros included, as a map."""
+    times = [F.coalesce(F.sum(F.size(F.filter(hits, lambda h: h == r)).cast("long")), F.lit(0)) for r in rule_ids]
+    return F.map_from_arrays(F.array(*[F.lit(r) for r in rule_ids]), F.array(*times))
 
 
 def translation_report(rows: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import re
+import unicodedata
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,14 @@ def replace_terms(df: DataFrame, column: str, rules: list[Rule], out: str | None
     """df with the replaced text and `hits`, an array of the ids of the rules used, in order.
 
     At each place the longest literal wins, the leftmost first; what comes out is not matched again. Rules are a small list that
-    becomes one literal pattern and one literal map."""
+    becomes one literal pattern and one literal map. They are normalised as texts are; an empty source, or two that are equal
+    once normalised, are refused."""
     out = out or column
+    form = (lambda x: unicodedata.normalize("NFC", x)) if normalize else (lambda x: x)
+    rules = [(i, form(source), form(to)) for i, source, to in rules]
+    sources = [r[1] for r in rules]
+    if not all(s.strip() for s in sources) or len(set(sources)) < len(sources):
+        raise ValueError("rules need sources that are not empty and differ")
     body = X.nfc(F.col(column)) if normalize else F.col(column)
     if not rules:
         return df.withColumn(out, body).withColumn("hits", F.array().cast("array<string>"))
@@ -47,35 +55,28 @@ def moderation_stats(replaced: DataFrame, rule_ids: list[str], changed: Column)
 def clean_source(rows: DataFrame, corrections: list[tuple[str, str]] = V.CORRECTIONS, patterns: list[str] = V.BOILERPLATE, head: int = 80) -> DataFrame:
     """Changed rows only (job_id, idx, text): corrections, and boilerplate found across the first rows of a job; '' drops a row."""
     compiled = [re.compile(p, re.I) for p in patterns]
-    blank = re.compile(r"[\s，,。．.！!？?、；;：:…“”\"'‘’（）()]*")
-    ends = "。！？!?…，,"
+
+    def cut(text: str, gone: list[bool]) -> str:
+        left = "".join(c for c, g in zip(text, gone) if not g)
+        if V.ONLY_MARKS.fullmatch(left):
+            return ""
+        left = left.lstrip("，,。 ")
+        swallowed = left and text[-1] in V.ROW_ENDS and left[-1] not in V.ROW_ENDS
+        return left + text[-1] if swallowed else left
 
     def fold(group):
-        held = []
-        for row in group:
-            held.append(row)
-            if len(held) == head:
-                break
-        joined = "".join(r[3] for r in held)
-        gone = bytearray(len(joined))
-        for p in compiled:
-            for m in p.finditer(joined):
-                gone[m.start() : m.end()] = b"\1" * (m.end() - m.start())
-        at = 0
-        for job, idx, before, text in held:
-            mark = gone[at : at + len(text)]
-            at += len(text)
-            left = text
-            if any(mark):
-                left = "".join(c for c, g in zip(text, mark) if not g)
-                left = "" if blank.fullmatch(left) else left.lstrip("，,。 ")
-                if left and text[-1] in ends and left[-1] not in ends:
-                    left += text[-1]
-            if left != before:
-                yield job, idx, left
-        for job, idx, before, text in group:
+        first = list(itertools.islice(group, head))
+        joined = "".join(fixed for *_, fixed in first)
+        gone = [False] * len(joined)
+        for m in itertools.chain.from_iterable(p.finditer(joined) for p in compiled):
+            gone[m.start() : m.end()] = [True] * (m.end() - m.start())
+        ends = list(itertools.accumulate(len(fixed) for *_, fixed in first))
+        for (job, idx, before, fixed), end in zip(first, ends):
+            mine = gone[end - len(fixed) : end]
+            text = cut(fixed, mine) if any(mine) else fixed
             if text != before:
                 yield job, idx, text
+        yield from ((job, idx, fixed) for job, idx, before, fixed in group if fixed != before)
 
     kind = dict(rows.dtypes)["job_id"]
     base = rows.select("job_id", "idx", F.coalesce("text", F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 #: A fold takes the rows of one key, in order, as tuples of the input's columns, and yields rows of the result.
 Fold = Callable[[Iterator[tuple]], Iterator[tuple]]
@@ -52,3 +52,24 @@ def scan_ordered(df: DataFrame, keys: list[str], order: list[str], fold: Fold, s
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), target)], schema=target)
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
+def with_running(df: DataFrame, key: str, order: list[str], reads: list[str], schema: str, start: Callable[[], object], step: Callable[[object, tuple], tuple]) -> DataFrame:
+    """df with the columns of `schema`, which `step` makes of a state and the columns `reads`, row by row of each key in order.
+
+    df must be partitioned by key (it is not exchanged here). Other columns pass as they are; what is held is one state."""
+    fields = T._parse_datatype_string(schema).fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def run(batches):
+        last, state = object(), None
+        for batch in batches:
+            made = []
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in (key, *reads))):
+                if k != last:
+                    last, state = k, start()
+                made.append(step(state, tuple(row)))
+            columns = zip(*made) if made else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, kinds))], [*batch.schema.names, *(f.name for f in fields)])
+
+    return df.sortWithinPartitions(key, *order).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

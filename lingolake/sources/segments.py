@@ -78,10 +78,12 @@ def accept_upload(path: Column, mime: Column | None = None) -> Column:
 
 
 def write_transcript(rows: DataFrame, path: str, text_col: str = "text") -> None:
-    """JSON rows and Markdown paragraphs of every job, both in order."""
-    ordered = rows.repartitionByRange("job_id", "idx").sortWithinPartitions("job_id", "idx")
-    ordered.write.json(f"{path}/rows")
-    ordered.select(F.concat(F.coalesce(text_col, F.lit("")), F.lit("\n")).alias("value")).write.text(f"{path}/markdown")
+    """JSON rows and Markdown paragraphs, a pair of folders job_id=... for each job, both in order of idx.
+
+    A job's rows go through one task and are one file, unless Spark is told to cut files by spark.sql.files.maxRecordsPerFile."""
+    ordered = rows.repartition("job_id").sortWithinPartitions("job_id", "idx")
+    ordered.write.partitionBy("job_id").json(f"{path}/rows")
+    ordered.select("job_id", F.concat(F.coalesce(text_col, F.lit("")), F.lit("\n")).alias("value")).write.partitionBy("job_id").text(f"{path}/markdown")
 
 
 def to_srt(cues: DataFrame) -> DataFrame:
@@ -98,19 +100,22 @@ def manifest_units(rows: DataFrame, rate: int = 48_000) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Units of manifest files; an empty one is an error."""
+    """Units of manifest files, a job for each; an empty one among them is an error."""
     rows = spark.read.schema("index bigint, text string, file string, frames bigint, gap_after_ms int").json(path).withColumn("job_id", F.input_file_name())
-    if rows.isEmpty():
-        raise ValueError("the voice manifest is empty")
+    files = rows.inputFiles()  # the listing that Spark's driver has made, empty files included
+    listed = spark.createDataFrame([(f,) for f in files], "job_id string")
+    empty = listed.join(rows.filter("index is not null").select("job_id").distinct(), "job_id", "left_anti").first()
+    if empty is not None or not files:
+        raise ValueError(f"the voice manifest is empty: {path if empty is None else empty.job_id}")
     return manifest_units(rows)
 
 
 JOB = "id string, workflow_no long, name string, url string, status string, progress double, created_at string, completed_at string, steps map<string, struct<state:string, attempt:int, retry_count:int, progress:double, started_at:string, completed_at:string, duration_ms:long>>"
 
 
-def read_jobs(spark: SparkSession, path: str, schema: str = JOB) -> DataFrame:
-    """One job per job.json under a folder; scope is workflows or tools by the folder."""
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "job.json").option("recursiveFileLookup", True).json(path)
+def read_jobs(spark: SparkSession, path: str, schema: str = JOB, name: str = "job.json") -> DataFrame:
+    """One job per file of that name (a glob) under a folder; scope is workflows or tools by the folder."""
+    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).json(path)
     return df.withColumn("scope", F.when(F.input_file_name().contains("/tools/"), "tools").otherwise("workflows")).withColumn("created_at", F.to_timestamp("created_at"))
 
 

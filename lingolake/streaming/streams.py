@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import address, relations, rewrite
+from ..sources.store import materialize
 
 
 def _stateful(stream: DataFrame, columns: list[str], step: Callable[[tuple, dict, list[tuple]], Iterator[tuple]], schema: str, start: Callable[[], dict]) -> DataFrame:
@@ -28,23 +29,49 @@ def _stateful(stream: DataFrame, columns: list[str], step: Callable[[tuple, dict
     return stream.groupBy("job_id").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def ordered_release(stream: DataFrame, first: int = 1, most_held: int = 100_000) -> DataFrame:
-    """Rows (job_id, idx, text) in order: those up to the first that is missing, as soon as they are.
+#: The state store that keeps maps and lists; others keep one value for a key.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    A job that would hold more than `most_held` rows back fails, since one row that never comes would hold all later ones."""
 
-    def step(key, held, rows):
-        waiting = held["waiting"]
-        for idx, text in rows:
-            if int(idx) >= held["next"]:
-                waiting[str(int(idx))] = text
-        while (k := str(held["next"])) in waiting:
-            yield key[0], held["next"], waiting.pop(k)
-            held["next"] += 1
-        if len(waiting) > most_held:
-            raise ValueError(f"job {key[0]} waits for row {held['next']}")
+class _Release(StatefulProcessor):
+    """Per job the next row to go out, and the rows that wait for it, each an entry of its own."""
+
+    def __init__(self, first: int) -> None:
+        self.first = first
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ahead = handle.getValueState("ahead", "idx long")
+        self.waiting = handle.getMapState("waiting", "idx long", "text string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        start = ahead = self.ahead.get()[0] if self.ahead.exists() else self.first
+        early = {r.idx: r.text for r in rows if r.idx >= ahead}
+        while True:
+            if ahead in early:
+                text = early.pop(ahead)
+            elif self.waiting.containsKey((ahead,)):
+                text = self.waiting.getValue((ahead,))[0]
+                self.waiting.removeKey((ahead,))
+            else:
+                break
+            yield Row(job_id=key[0], idx=ahead, text=text)
+            ahead += 1
+        for idx, text in early.items():
+            self.waiting.updateValue((idx,), (text,))
+        if ahead != start:
+            self.ahead.update((ahead,))
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_release(stream: DataFrame, first: int = 1) -> DataFrame:
+    """Rows (job_id, idx, text) in order: those up to the first that is missing, as soon as they are.
 
-    return _stateful(stream, ["idx", "text"], step, "job_id long, idx long, text string", lambda: {"next": first, "waiting": {}})
+    Rows that wait are entries of a map on disk, so a row that never comes costs space, and each batch costs what it brings. A row
+    that comes again after it went out is dropped; of two that wait the last holds. Sets the session's state store to STORE."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return stream.groupBy("job_id").transformWithState(_Release(first), "job_id long, idx long, text string", "Append", "None")
 
 
 def stream_speech_intervals(stream: DataFrame, most: int = 30_000) -> DataFrame:
@@ -63,19 +90,30 @@ def stream_speech_intervals(stream: DataFrame, most: int = 30_000) -> DataFrame:
     return _stateful(stream, ["seq", "start_ms", "end_ms"], step, "job_id long, seq long, start_ms long, end_ms long", lambda: {"open": None})
 
 
-def stream_pronouns(stream: DataFrame, sheet: list[dict]) -> DataFrame:
-    """rewrite_pronouns over ordered rows (job_id, idx, text_zh, text_vi) for jobs that share a sheet of people with their forms."""
+_TRAIL = "job_id long, idx long, text_zh string, _given array<string>"
 
-    def step(key, held, rows):
-        scene = address._Scene(sheet)
-        scene.said, scene.marks, scene.nouns = deque(held["said"], 4), deque(held["marks"], 6), deque(held["nouns"], 4)
-        scene.before = held["before"]
-        for idx, source, target in rows:
-            text, changes = address._rewritten(scene, source or "", target or "")
-            yield key[0], int(idx), text, changes
-        held.update(said=list(scene.said), marks=list(scene.marks), nouns=list(scene.nouns), before=scene.before)
 
-    return _stateful(stream, ["idx", "text_zh", "text_vi"], step, "job_id long, idx long, text string, changes int", lambda: {"said": [], "marks": [], "nouns": [], "before": ""})
+def stream_pronouns(stream: DataFrame, characters: DataFrame, profile: str, out: str, trail: str):
+    """A writer of rewrite_pronouns over ordered rows (job_id, idx, text_zh, text_vi), each job by its own sheet.
+
+    A batch is rewritten together with the last rows of its jobs, which the Parquet table `trail` keeps as later rows are to see
+    them; results go to `out`. Both are folders epoch=N that a repeated batch overwrites."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        kept = spark.createDataFrame([], f"{_TRAIL}, epoch long")
+        if epoch:
+            kept = spark.read.schema(f"{_TRAIL}, epoch long").parquet(trail).filter(F.col("epoch") < epoch)
+        kept = kept.join(batch.select("job_id").distinct(), "job_id", "left_semi").withColumn("_last", F.max("epoch").over(Window.partitionBy("job_id")))
+        before = kept.filter("epoch = _last").select("job_id", "idx", "text_zh", F.lit("").alias("text_vi"), "_given", F.lit(False).alias("_new"))
+        now = batch.select("job_id", "idx", "text_zh", "text_vi", F.lit(None).cast("array<string>").alias("_given"), F.lit(True).alias("_new"))
+        done = materialize(address._rewritten(now.unionByName(before), characters, profile, ("_new",)), "pronouns")
+        done.filter("_new").select("job_id", "idx", "text", "changes").write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        recent = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("idx")))
+        last = done.select("job_id", "idx", "text_zh", F.col("_reads").alias("_given"), recent.alias("_n")).filter(F.col("_n") <= address.TRAIL)
+        last.drop("_n").write.mode("overwrite").parquet(f"{trail}/epoch={epoch}")
+
+    return stream.writeStream.foreachBatch(each)
 
 
 def stream_moderate(stream: DataFrame, rules: list[rewrite.Rule], column: str = "text") -> DataFrame:
@@ -125,8 +163,6 @@ def streak_guard(results: DataFrame, most: int = 5) -> DataFrame:
 
 def streak_guard_batch(results: DataFrame, most: int = 5) -> DataFrame:
     """streak_guard over a table, by windows."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("job_id").orderBy("idx")
     run = F.coalesce(F.sum(F.col("ok").cast("int")).over(w), F.lit(0))
     df = results.withColumn("_run", run).withColumn("_n", F.sum((~F.col("ok")).cast("int")).over(Window.partitionBy("job_id", "_run").orderBy("idx")))

@@ -80,14 +80,16 @@ def test_replace_terms(spark):
 
 
 def test_clean_source(spark):
-    df = spark.createDataFrame([("j", 1, "一定能把煤运都洗干净。"), ("j", 2, "医生苦苦婆心的叹了口气，"), ("j", 3, "小说很好看。")], "job_id string, idx long, text string")
-    assert [r[1:] for r in rows(rewrite.clean_source(df), "idx")] == [(1, "一定能把霉运都洗干净。"), (2, "医生苦口婆心的叹了口气，")]
-    intro = ["这一次我袖手旁观好看。", "小说千千万，", "悠悠这里占一半，", "连好wifi，", "备好瓜子饮料，", "精彩故事，", "现在开始。", "我看着她。"]
-    df = spark.createDataFrame([("j", i, t) for i, t in enumerate(intro, 1)], "job_id string, idx long, text string")
-    assert [r[2] for r in rows(rewrite.clean_source(df), "idx")] == ["这一次我袖手旁观。", "", "", "", "", "", ""]
-    late = df.filter("idx > 1").withColumn("idx", F.col("idx") + 1)
-    early = spark.createDataFrame([("j", 1, "一。"), ("j", 2, "二。")], "job_id string, idx long, text string")
-    assert rewrite.clean_source(early.union(late), head=2).count() == 0
+    df = spark.createDataFrame([("j", 1, "今天真煤运。"), ("j", 2, "他苦苦婆心，"), ("j", 3, "没有错字。")], "job_id string, idx long, text string")
+    assert [r[1:] for r in rows(rewrite.clean_source(df), "idx")] == [(1, "今天真霉运。"), (2, "他苦口婆心，")]
+    # a phrase that runs over four rows and begins inside the first
+    lines = ["甲乙丙欢迎收听，", "本台广播。", "请勿走开", "谢谢。", "正文开始。"]
+    df = spark.createDataFrame([("j", i, t) for i, t in enumerate(lines, 1)] + [("k", 1, None), ("k", 2, "请勿走开")], "job_id string, idx long, text string")
+    phrase = [r"欢迎收听[，。]*本台广播[，。]*请勿走开[，。]*谢谢"]
+    assert [r[1:] for r in rows(rewrite.remove_boilerplate(df, phrase), "idx")] == [(1, "甲乙丙，"), (2, ""), (3, ""), (4, "")]
+    assert rewrite.remove_boilerplate(df, phrase, head=3).count() == 0
+    two = rewrite.remove_boilerplate(df, ["甲乙", "乙丙"]).first()
+    assert two.text == "欢迎收听，"
 
 
 def test_flow(spark):
@@ -106,11 +108,11 @@ def test_foreign_report(spark):
 
 
 def test_names(spark):
-    texts = ["张倩倩来了", "张倩倩走了", "张倩倩说", "倩倩笑了", "倩倩哭了", "李强来了", "李强家", "李强走了", "李强说", "那天", "那天那天"]
+    texts = ["罗静雯推门", "罗静雯坐下", "罗静雯问", "静雯哭", "静雯睡", "高飞到", "高飞家", "高飞看", "高飞问", "那年", "那年那年"]
     df = spark.createDataFrame([("j", t) for t in texts], "job_id string, text string")
-    tables = ({"欧阳": "Âu Dương"}, {"张": "Trương", "李": "Lý", "那": "Na"}, {"倩": "Thiến", "强": "Cường", "家": "Gia", "天": "Thiên", "来": "Lai"}, ["那"])
-    got = [r["source"] for r in names.mine_names(df, *tables).orderBy("place").collect()]
-    assert got[0] == "张倩倩" and "李强" in got and "倩倩" in got and "李强家" not in got and "那天" not in got
+    tables = ({"司马": "Tư Mã"}, {"罗": "La", "高": "Cao", "那": "Na"}, {"静": "Tĩnh", "雯": "Văn", "飞": "Phi", "家": "Gia", "年": "Niên"}, ["那"])
+    got = {r["source"]: (r["target"], r["count"]) for r in names.mine_names(df, *tables).collect()}
+    assert got == {"罗静雯": ("La Tĩnh Văn", 3), "高飞": ("Cao Phi", 4), "静雯": ("Tĩnh Văn", 2)}
 
 
 def test_incremental(spark):
@@ -142,6 +144,46 @@ def test_retries(spark):
     assert [(r["idx"], [a["reason"] for a in r["attempts"]]) for r in failed.collect()] == [(3, ["untranslated Chinese"] * 2)]
 
 
+def test_a_strategy_sees_a_row_once(spark):
+    import tempfile
+
+    seen = tempfile.mkdtemp()
+
+    def calls(k, answer):
+        def fn(text, seed):
+            with open(f"{seen}/{k}", "a") as f:
+                f.write(f"{text}\n")
+            return answer(text)
+
+        return fn
+
+    df = spark.createDataFrame([(1, i, f"t{i}") for i in range(30)], "job_id long, idx long, text string")
+    done, failed = model.with_retries(df, [calls(0, lambda t: ""), calls(1, lambda t: "ok" if t < "t2" else ""), calls(2, lambda t: "")])
+    for _ in range(2):
+        assert done.count() + failed.count() == 30
+    assert [sum(1 for _ in open(f"{seen}/{k}")) for k in range(3)] == [30, 30, done.filter("attempt = 1").count() * -1 + 30]
+    groups = spark.createDataFrame([(1, g, [g], [f"t{g}"]) for g in range(10)], "job_id long, group_no int, ids array<long>, texts array<string>")
+    good, bad = model.map_groups(groups, lambda texts: [calls(3, lambda t: t)(t, 0) for t in texts])
+    assert good.count() == 10 and bad.count() == 0 and sum(1 for _ in open(f"{seen}/3")) == 10
+
+
+def test_rolling_context(spark):
+    texts = ["first text"] + [""] * 700 + [None, "x" * 600, "y", "z"]
+    df = spark.createDataFrame([("j", i, t) for i, t in enumerate(texts)] + [("k", 0, "other"), ("k", 1, "a")], "job_id string, idx long, text string")
+    got = {(r.job_id, r.idx): r.context for r in folds.rolling_context(df).collect()}
+    for i in range(len(texts)):
+        assert got["j", i] == "".join(t or "" for t in texts[:i])[-512:]
+    assert got["k", 1] == "other" and len(got) == len(texts) + 2
+
+
+def test_checked_rule_changes(spark):
+    rules = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "rule_id int, source string, replacement string")
+    changes = spark.createDataFrame([(1, "edit", "b", "z", 1), (2, "delete", None, None, 2), (3, "add", "", "z", 3), (4, "add", "d", "w", 4), (5, "add", "d", "v", 5)], "rule_id int, action string, source string, replacement string, seq int")
+    good, bad = relations.checked_rule_changes(rules, changes)
+    assert rows(good, "rule_id") == [(1, "b", "z")]
+    assert [(r.rule_id, r.problem) for r in bad.orderBy("rule_id").collect()] == [(3, "empty source"), (4, "duplicate source"), (5, "duplicate source")]
+
+
 def test_groups_and_batches(spark):
     df = spark.createDataFrame([(1, 0, [1, 2], ["一", "二"]), (1, 1, [3], ["bad"])], "job_id long, group_no int, ids array<long>, texts array<string>")
     good, bad = model.map_groups(df, lambda texts: ["oops" if "bad" in t else t.replace("一", "a").replace("二", "b") for t in texts])
@@ -176,11 +218,17 @@ def test_sources(spark, tmp_path):
     (job / "x.txt").write_text("  one \n\n two\n")
     good, _ = S.ingest_text(spark, f"{job}/x.txt")
     assert [(r[1], r[2], r[4]) for r in rows(good, "idx")] == [(1, 0, "one"), (2, 1, "two")]
-    S.write_transcript(S.read_segments(spark, f"{job}/t.jsonl"), str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out/rows")).count() == 2
+    second = S.read_segments(spark, f"{job}/t.jsonl").withColumn("job_id", F.lit("job2")).withColumn("text", F.upper("text"))
+    S.write_transcript(S.read_segments(spark, f"{job}/t.jsonl").union(second), str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/rows")).count() == 4
+    for name, text in (("job1", "a\n\nb\n\n"), ("job2", "A\n\nB\n\n")):
+        assert "".join(f.read_text() for f in (tmp_path / f"out/markdown/job_id={name}").glob("*.txt")) == text
     (job / "m.jsonl").write_text('{"index": 1, "text": "a", "frames": 96000, "gap_after_ms": 500}\n{"index": 2, "text": "b", "frames": 144000}\n')
     units = S.read_manifest(spark, f"{job}/m.jsonl")
     assert [r[3:5] for r in rows(units, "index")] == [(2000, 500), (3000, 0)]
     assert relations.manifest_adds_up(units.withColumn("total_ms", F.lit(5500))).first().adds_up
     assert not relations.manifest_adds_up(units.withColumn("total_ms", F.lit(60000))).first().adds_up
-    assert S.scan_binary_digests(spark, str(job)).count() == 4
+    (job / "n.jsonl").write_text("")
+    with pytest.raises(ValueError, match="n.jsonl"):
+        S.read_manifest(spark, f"{job}/[mn].jsonl")
+    assert S.scan_binary_digests(spark, str(job)).count() == 4  # Spark passes empty files over

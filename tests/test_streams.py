@@ -33,15 +33,32 @@ def test_intervals_keep_state(spark, tmp_path):
     assert [tuple(r)[2:] for r in drain(spark, streams.stream_speech_intervals(s), "intervals").orderBy("seq").collect()] == [(100, 900), (0, 950)]
 
 
+def test_release_keeps_what_waits(spark, tmp_path):
+    rows = [{"job_id": j, "idx": i, "text": f"{j}-{i}"} for i in (4, 2, 6, 3, 1, 5, 2) for j in (1, 2) if (j, i) != (2, 3)]
+    s = batches(spark, tmp_path, "job_id long, idx long, text string", *[rows[k : k + 3] for k in range(0, len(rows), 3)])
+    got = sorted((r.job_id, r.idx, r.text) for r in drain(spark, streams.ordered_release(s), "released_late").collect())
+    assert got == [(1, i, f"1-{i}") for i in range(1, 7)] + [(2, i, f"2-{i}") for i in (1, 2)]
+
+
 def test_pronouns_equal_batch(spark, tmp_path):
-    people = [("j", "嫂子", "嫂子", ["嫂子"], "x", "female", "antagonist", "senior", "", "", False, False)]
-    rows = [(1, 1, "嫂子没有工作，", "x"), (1, 2, "她又找了老公。", "Cô ấy lại tìm chồng.")]
-    sheet = spark.createDataFrame([(1, *p[1:]) for p in people], "job_id long, " + address.CHARACTER)
+    """Two jobs with sheets of their own, rows in batches that cut scenes."""
+    names = [f.split(" ")[0] for f in address.CHARACTER.split(", ")]
+    person = lambda job, source, gender: (job, *[{"id": source, "source": source, "aliases": [source], "target": "x", "gender": gender, "role": "antagonist", "rank": "peer", "third": "", "you": "", "auto": False, "sure": False}[n] for n in names])
+    sheet = spark.createDataFrame([person(1, "苏梨", "female"), person(2, "陈默", "male")], "job_id long, " + address.CHARACTER)
+    said = [("苏梨和陈默推开门。", "x"), ("他没说话。", "Anh ấy im lặng."), ("他走了。", "Anh ấy đi."), ("雨停了。", "x"), ("苏梨！", "x"), ("你饿吗？", "Bạn đói à?"), ("她走了。", "Cô ấy đi."), ("他坐下。", "Anh ấy ngồi.")]
+    rows = [(j, i, *t) for j in (1, 2) for i, t in enumerate(said, 1)]
     df = spark.createDataFrame(rows, "job_id long, idx long, text_zh string, text_vi string")
-    want = [tuple(r) for r in address.rewrite_pronouns(df, sheet, "drama").orderBy("idx").collect()]
-    formed = [r.asDict() for r in address.forms(sheet, "drama").collect()]
-    s = batches(spark, tmp_path, df.schema, *[[dict(zip(df.columns, r))] for r in rows])
-    assert [tuple(r) for r in drain(spark, streams.stream_pronouns(s, formed), "pronouns").orderBy("idx").collect()] == want
+    want = sorted(tuple(r) for r in address.rewrite_pronouns(df, sheet, "survival").collect())
+    assert sum(r[3] for r in want) >= 5
+    (tmp_path / "in").mkdir()
+    for k, size in enumerate((1, 2, 3)):
+        parts = [[dict(zip(df.columns, r)) for r in rows if (r[1] - 1) // size == n] for n in range(-(-len(said) // size))]
+        folder = tmp_path / f"in{k}"
+        folder.mkdir()
+        s = batches(spark, folder, df.schema, *parts)
+        out = str(tmp_path / f"out{k}")
+        streams.stream_pronouns(s, sheet, "survival", out, out + "-trail").option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+        assert sorted(tuple(r)[:4] for r in spark.read.schema("job_id long, idx long, text string, changes int").parquet(out).collect()) == want
 
 
 def test_streak(spark, tmp_path):
@@ -52,7 +69,7 @@ def test_streak(spark, tmp_path):
     assert [tuple(r) for r in got] == [tuple(r) for r in want] == [(1, 5)]
 
 
-@pytest.mark.parametrize("name", ["c1_replace_terms", "e1_moderation_stats", "f2_group_spans", "f4_dedupe_overlaps", "d3_pending_rows", "i5_stream_progress", "g1_history"])
+@pytest.mark.parametrize("name", ["c1_replace_terms", "e1_moderation_stats", "f2_group_spans", "f4_dedupe_overlaps", "d3_pending_rows", "i5_stream_progress", "g1_history", "f7_narration_units", "f10_build_cues", "f11_rolling_context", "c2_remove_boilerplate", "a6_write_transcript", "i1_ordered_release", "i3_stream_pronouns", "j2_map_groups"])
 def test_queries_equal_sql(spark, sf_dir, name):
     import duckdb
 

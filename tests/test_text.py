@@ -49,14 +49,26 @@ def test_cues(spark):
     assert got == ["[cười], cô ta thua rồi.", "[thở dài], lại nữa.", "Hà Nội và Hải Phòng.", "[cười] haizz"]
 
 
-def test_pieces():
-    assert X.pieces_of("A" * 19 + ". " + "B" * 60 + ".", 62) == ["A" * 19 + ".", "B" * 60 + "."]
-    text = "Một hai ba, bốn năm sáu; bảy. " * 20
+def test_pieces(spark):
+    texts = ["Gió nổi lên. Mây kéo về, trời tối; rồi mưa. " * 12, "x" * 25, "một " + "y" * 23 + " hai", " \n", None, "", "A. B. C. D. E.", "e\u0301" * 9]
     for limit in (10, 25, 84):
-        got = X.pieces_of(text, limit)
-        assert all(len(p) <= limit for p in got) and " ".join(got) == text.strip()
-    assert X.pieces_of(None, 10) == [] and X.pieces_of("x" * 25, 10) == ["x" * 10, "x" * 10, "x" * 5]
-    assert "".join(X.budget_parts("一二三，四五六。七八", 5)) == "一二三，四五六。七八"
+        got = column(spark, texts, lambda c: X.split_text(c, limit))
+        for text, pieces in zip(texts, got):
+            flat = " ".join(unicodedata.normalize("NFC", text or "").split())
+            assert all(0 < len(p) <= limit for p in pieces) and "".join(pieces).replace(" ", "") == flat.replace(" ", "")
+            assert all(len(a) + 1 + len(b) > limit for a, b in zip(pieces, pieces[1:]) if len(b) < limit)
+    assert column(spark, ["x" * 25, "Một câu dài. Hai câu ngắn hơn, nhé. Ba."], lambda c: X.split_text(c, 20)) == [["x" * 20, "x" * 5], ["Một câu dài.", "Hai câu ngắn hơn,", "nhé. Ba."]]
+    with_words = column(spark, ["một hai ba bốn năm sáu"], lambda c: X.split_text(c, 11))
+    assert with_words == [["một hai ba", "bốn năm sáu"]]
+
+
+def test_parts_lose_nothing(spark):
+    texts = ["一二三，四五六。七八", "没有标点的一行字" * 9, "a, b; c: d " * 8, "", None, "。。。。。。"]
+    for limit in (1, 5, 7, 30):
+        for text, parts in zip(texts, column(spark, texts, lambda c: X.split_source(c, limit))):
+            assert "".join(parts) == (text or "") and all(len(p) <= limit for p in parts)
+    assert X.budget_parts("一二三，四五六", 5) == ["一二三，", "四五六"] and X.budget_parts("一，三四五六", 5) == ["一，", "三四五六"] and X.budget_parts("，二三四五六", 5) == ["，二三四五", "六"]
+    assert X.budget_parts("aabb", 4, cost=lambda t: 2 * len(t)) == ["aa", "bb"]
     with pytest.raises(ValueError):
         X.budget_parts("ab", 0)
 
@@ -105,6 +117,27 @@ def test_progress_and_urls(spark):
     assert column(spark, urls, J.valid_video_url) == [True, True, False, False, False, True, False]
 
 
+def test_rules_are_compared_in_nfc(spark):
+    df = spark.createDataFrame([(1, "é", "x"), (2, "e\u0301", "y"), (3, " ", "z"), (4, "a", None), (5, "b", ""), (6, None, "x")], "i int, source string, replacement string")
+    got = [r.problem for r in J.validate_rules(df).orderBy("i").collect()]
+    assert got == ["duplicate source", "duplicate source", "empty source", "no replacement", None, "empty source"]
+
+
+def test_sql_functions(spark):
+    from lingolake.functions import tables
+
+    tables.register(spark)
+    texts = ["Gió nổi lên. Mây kéo về, trời tối; rồi mưa. " * 5, "x" * 25, "", None, "short", "một " + "y" * 23 + " hai"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for limit in (10, 30):
+        rows = spark.sql("SELECT d.i, t.piece, t.text FROM {d} d, LATERAL split_text(d.text, {n}) t ORDER BY 1, 2", d=df, n=limit).collect()
+        want = column(spark, texts, lambda c: X.split_text(c, limit))
+        assert [[r.text for r in rows if r.i == i] for i in range(len(texts))] == want
+    assert [tuple(r) for r in spark.sql("SELECT * FROM ngrams('abcd', 3)").collect()] == [(1, "abc"), (2, "bcd")]
+    got = spark.sql("SELECT overall_progress(x) FROM VALUES (10.0D), (20.0D) v(x)").first()[0], spark.sql("SELECT overall_progress(x) FROM VALUES (10.0D), (NULL) v(x)").first()[0]
+    assert got == (15.0, None)
+
+
 def test_settings():
     assert J.validate_subtitle_settings(84, 1) == (84, 1.0)
     with pytest.raises(ValueError):
