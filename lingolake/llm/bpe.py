@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding by speculation: longest matches propose tokens, pairs are verified, failures merged.
 
 Text is split into words by the vocabulary's pattern. For the new words of a batch, greedy longest match proposes tokens. A
-proposal is the exact encoding if, for each adjacent pair of tokens, merging the bytes of the two alone gives these two; the
+proposal is the exact encoding if, for each adjacent pair of tokens, merging the bytes of the two alone gives these two (of a
+word that is one token: if its bytes merge to that); the
 distinct pairs of a batch are checked in one vectorised step against those known, and only pairs not met before are merged.
 Words with a failing pair undergo exact merging, by rank and then from the left, on a heap. Words already encoded are kept,
 CACHE_WORDS of them at most.
 
 Defined results: a null text is an empty one and has no tokens. The special tokens of the file are recognised in text, as
 its library does by default. Decoding joins the bytes of tokens; bytes that are not UTF-8 become U+FFFD. Repeated rows are
-encoded alike. Columns that bear the name of a result column are replaced.
+encoded alike, very long texts whole. An empty table gives no rows. Columns that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import struct
 import uuid
 
 import numpy as np
@@ -27,7 +29,10 @@ from pyspark.sql import types as T
 
 from .shared import steps
 
-CACHE_WORDS = 300_000
+#: Words whose tokens a worker remembers, about 200 bytes each.
+CACHE_WORDS = 500_000
+#: Bytes of a word up to which merges are found by a look at all ranks.
+SHORT, NEVER = 24, 1 << 60
 #: The split of byte-level BPE; white space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -39,6 +44,11 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes with one vocabulary file."""
 
@@ -47,52 +57,73 @@ class Codec:
         of = byte_of_char()
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         vocab = {bytes(of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.vocab, self.longest = vocab, max(map(len, vocab))
+        self.vocab = vocab
+        self.reach: dict[bytes, int] = {}  # the longest token that begins with three bytes
+        for t in vocab:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         self.tokens = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for t, i in vocab.items():
             self.tokens[i] = t
         for t, i in self.special.items():
             self.tokens[i] = t.encode()
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = (bytes(of[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.ranks[vocab[a], vocab[b]] = rank
+            self.made.append(vocab[a + b])
         self.single = [vocab[bytes([b])] for b in range(256)]
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         self.pairs: dict[int, bool] = {}
+        self.singles: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
 
     def exact(self, word: bytes) -> list[int]:
         """Merge by least rank, then leftmost, until no pair merges."""
-        ids: list[int] = [self.single[b] for b in word]
-        n = len(ids)
+        ids = [self.single[b] for b in word]
+        return self._merge_short(ids) if len(ids) <= SHORT else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        """By a look at all ranks for each merge, which costs less than a heap while they are few."""
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) != NEVER:
+            i = ranks.index(least)
+            ids[i : i + 2] = [made[least]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), NEVER)
+        return ids
+
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """On a heap of places, with links to the neighbours that are left."""
+        n, ranks, made = len(ids), self.ranks, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(*self.merges[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in self.merges]
-        heap = [(rank, i, p, new) for rank, new, i, p in heap]
+        heap = [(ranks[p], i, p) for i in range(n - 1) if (p := (ids[i], ids[i + 1])) in ranks]
         heapq.heapify(heap)
         while heap:
-            _, i, pair, new = heapq.heappop(heap)
+            rank, i, pair = heapq.heappop(heap)
             j = after[i]
-            if j >= n or ids[i] != pair[0] or ids[j] != pair[1]:
+            if j >= n or (ids[i], ids[j]) != pair:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = made[rank], -1
             after[i] = k = after[j]
             after[j] = n
             if k < n:
                 before[k] = i
-                if (p := (new, ids[k])) in self.merges:
-                    rank, made = self.merges[p]
-                    heapq.heappush(heap, (rank, i, p, made))
-            if (h := before[i]) >= 0 and (p := (ids[h], new)) in self.merges:
-                rank, made = self.merges[p]
-                heapq.heappush(heap, (rank, h, p, made))
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b < n and (p := (ids[a], ids[b])) in ranks:
+                    heapq.heappush(heap, (ranks[p], a, p))
         return [x for x in ids if x >= 0]
 
     def longest_match(self, word: bytes) -> list[int]:
-        out, i, n, vocab = [], 0, len(word), self.vocab
+        out, i, n, vocab, reach = [], 0, len(word), self.vocab, self.reach.get
         while i < n:
-            j = min(n, i + self.longest)
+            j = min(n, i + reach(word[i : i + 3], 2))
             while (t := vocab.get(word[i:j])) is None:
                 j -= 1
             out.append(t)
@@ -110,21 +141,28 @@ class Codec:
         codes = ((flat[:-1] << 32) | flat[1:])[inner]
         kinds, which = np.unique(codes, return_inverse=True)
         fits = np.array([self.fits(int(c)) for c in kinds], bool)
-        wrong = np.zeros(len(new), bool)
+        wrong = sizes == 1  # a token need not be what its bytes merge to
+        wrong[sizes == 1] = [not self.alone(x[0]) for x in proposed if len(x) == 1]
         wrong[word[1:][inner][~fits[which]]] = True
         for k, w in enumerate(new):
             ids = self.exact(raw[k]) if wrong[k] else proposed[k]
-            self.words[w] = np.array(ids, "<u4").tobytes()
+            self.words[w] = pack(ids)
 
     def fits(self, code: int) -> bool:
         """Whether merging the bytes of two tokens gives just these two."""
         if (known := self.pairs.get(code)) is None:
             a, b = code >> 32, code & 0xFFFFFFFF
-            if len(self.pairs) >= 4 * CACHE_WORDS:
+            if len(self.pairs) >= 2 * CACHE_WORDS:
                 self.pairs.clear()
             known = self.pairs[code] = self.exact(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
+    def alone(self, token: int) -> bool:
+        """Whether the bytes of a token merge to it."""
+        if (known := self.singles.get(token)) is None:
+            known = self.singles[token] = self.exact(self.tokens[token]) == [token]
+        return known
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
         pieces: list[list[str | int]] = []
@@ -146,7 +184,7 @@ class Codec:
             try:
                 out.append(b"".join(map(known.__getitem__, p)))
             except KeyError:  # it holds ids of special tokens
-                out.append(b"".join(known[x] if isinstance(x, str) else np.array([x], "<u4").tobytes() for x in p))
+                out.append(b"".join(known[x] if isinstance(x, str) else pack([x]) for x in p))
         return out
 
     def decode(self, ids: bytes) -> str:

@@ -1,163 +1,213 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of all benchmark items.
 
-Texts are scanned once. A-Z become lower case and words are runs of digits, letters a-z and non-ASCII bytes, so text and
-windows meet as single-spaced words; word positions are mapped back to code points of the original.
-
-Defined results: a null or empty text has no words and no hits. A null or wordless item has no window. Items that share a
-window are all named. Repeated rows are judged one by one. Columns of the input that bear the name of a result column are
-replaced. An empty benchmark hits nothing.
-
-The automaton is bounded: items are taken in blocks of BLOCK_BYTES of text, and each block is one more pass through the
-same tasks, without a shuffle; one block is the usual case.
+Texts are scanned once. A-Z become lower case and words are runs of digits, letters a-z and non-ASCII bytes; words are known by
+64-bit hashes and numbered by the benchmark's vocabulary, and word positions are mapped back to code points of the original.
+
+The automaton's states are the prefixes of windows, in arrays: an edge for each state, a failure link to the longest suffix that
+is a prefix too, and a link to the longest window that ends there. It is built once, level by level, and broadcast once, whatever
+the benchmark: 13 states of 20 bytes for a word of it at most, which MAX_WORDS bounds. Tasks run it over many texts in step: texts are cut into
+lanes of LANE words, each led in by the words before it that a window can reach back to, so that lanes meet all windows and
+long texts cost no more than short ones.
+
+Defined results: a null or empty text has no words and no hits. A null or wordless item has no window; an item without an id hits
+and is not named. Items that share a window are all named. Repeated rows are judged one by one, very long texts whole. Columns of the
+input that bear the name of a result column are replaced. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
-import bisect
-import uuid
-
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import utf8
+from .shared import LOWER, steps, utf8, word_hashes, words
 
 WINDOW = 13
-BLOCK_BYTES = 256 << 10
+#: Words of a benchmark at most; its automaton then has 260 MB for each million.
+MAX_WORDS = 8_000_000
+#: Words that a lane adds to what leads it in, and text bytes that a task scans at once.
+LANE, SCAN_BYTES = 500, 8 << 20
 
-_NORMAL = bytes(c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
-_IS_WORD = np.array([c != 32 for c in _NORMAL])
+_IS_WORD = np.array([c >= 0x80 or 48 <= LOWER[c] <= 57 or 97 <= LOWER[c] <= 122 for c in range(256)])
 _SPAN = "array<struct<start:int,end:int>>"
 _ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def windows(items: list[tuple[str, str]], size: int = WINDOW) -> dict[bytes, tuple[int, list[str]]]:
-    """Each window as ` w1 w2 ... `, with its number of words and the items that have it."""
-    found: dict[bytes, tuple[int, list[str]]] = {}
-    for item, text in items:
-        parts = text.encode().translate(_NORMAL).split()
-        for i in range(max(1, len(parts) - size + 1) if parts else 0):
-            part = parts[i : i + size]
-            _, names = found.setdefault(b" " + b" ".join(part) + b" ", (len(part), []))
-            if item not in names:
-                names.append(item)
-    return found
-
-
-def automaton(items: list[tuple[str, str]], size: int) -> ahocorasick.Automaton:
-    made = ahocorasick.Automaton()
-    for key, value in windows(items, size).items():
-        made.add_word(key.decode("latin-1"), value)
-    made.make_automaton()
-    return made
-
-
-_made: dict[str, ahocorasick.Automaton] = {}
-
-
-def _automaton_of(broadcast, name: str, size: int) -> ahocorasick.Automaton:
-    """A worker builds each automaton once, and keeps the last only."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = automaton(broadcast.value, size)
-    return _made[name]
-
-
-def scan(raw: bytes, machine: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Words of a text, merged ranges of hit words, items hit."""
-    parts = raw.translate(_NORMAL).split()
-    if not parts or not len(machine):
-        return len(parts), [], set()
-    text = (b" " + b" ".join(parts) + b" ").decode("latin-1")
-    ranges: list[tuple[int, int]] = []
-    items: set[str] = set()
-    blanks = None
-    for end, (n, names) in machine.iter(text):
-        if blanks is None:
-            blanks = np.flatnonzero(np.frombuffer(text.encode("latin-1"), np.uint8) == 32).tolist()
-        last = bisect.bisect_left(blanks, end)
-        ranges.append((last - n, last))
-        items.update(names)
-    return len(parts), merge(ranges), items
-
-
-def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(ranges):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((start, end))
-    return out
-
-
-def places(raw: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Code points of the original that ranges of words cover."""
-    data = np.frombuffer(raw, np.uint8)
-    inside = np.concatenate([[False], _IS_WORD[data], [False]])
-    turns = np.flatnonzero(inside[1:] != inside[:-1])
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return [(int(chars[turns[2 * a]]), int(chars[turns[2 * b - 1]])) for a, b in ranges]
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+class Automaton:
+    """Windows of items (lists of word hashes) as arrays; state 0 is the root, -1 stands for none."""
+
+    def __init__(self, items: list[np.ndarray], size: int = WINDOW) -> None:
+        self.size = size
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *items]))
+        starts, item, lengths, flat, base = [], [], [], [], 0
+        for k, x in enumerate(items):
+            n = max(1, len(x) - size + 1) if len(x) else 0
+            starts.append(base + np.arange(n))
+            item.append(np.full(n, k))
+            lengths.append(np.full(n, min(size, len(x))))
+            flat.append(np.searchsorted(self.vocabulary, x))
+            base += len(x)
+        join = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int64)
+        starts, item, lengths, flat = map(join, (starts, item, lengths, flat))
+        here = np.zeros(len(starts), np.int64)  # the state of each window's prefix
+        edges, self.depth, fail, first = [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)], 1
+        terminal = {}
+        for d in range(size):
+            longer = lengths > d
+            key = (here[longer] << 32) | flat[starts[longer] + d]
+            kinds, which = np.unique(key, return_inverse=True)
+            here[longer] = first + which
+            edges.append(kinds)
+            self.depth.append(np.full(len(kinds), d + 1))
+            first += len(kinds)
+            terminal[d] = here[longer & (lengths == d + 1)]
+        self.edges = join(edges)  # ascending: states of a level come after those of the one before, and an edge leads to its place + 1
+        self.depth = np.concatenate(self.depth)
+        self.fail = np.zeros(len(self.depth), np.int64)
+        self.root = np.full(len(self.vocabulary) + 1, 0, np.int64)
+        if size and len(edges) and len(edges[0]):
+            self.root[edges[0] & 0xFFFFFFFF] = 1 + np.arange(len(edges[0]))
+        at = len(edges[0]) if edges else 0
+        for level in edges[1:]:
+            self.fail[1 + at : 1 + at + len(level)] = self.step(self.fail[level >> 32], level & 0xFFFFFFFF)
+            at += len(level)
+        ends = np.zeros(len(self.depth), bool)
+        ends[join(terminal.values())] = True
+        self.longest = np.where(ends, np.arange(len(self.depth)), -1)  # the longest window that ends in a state
+        self.shorter = np.full(len(self.depth), -1)
+        for d in range(1, size + 1):
+            level = np.flatnonzero(self.depth == d)
+            below = self.longest[self.fail[level]]
+            self.shorter[level] = below
+            self.longest[level] = np.where(ends[level], level, below)
+        order = np.unique((here << 32) | item)  # items of each window
+        self.owner, self.items = order >> 32, order & 0xFFFFFFFF
+        for name in ("depth", "fail", "longest", "shorter", "root"):
+            setattr(self, name, getattr(self, name).astype(np.int32))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where states go on a word each: along its edge, or that of the first failure link that has one."""
+        out, open_ = self.root[word].astype(np.int64), np.flatnonzero(state)
+        state = state.astype(np.int64)
+        while len(open_):
+            key = (state[open_] << 32) | word[open_]
+            at = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            found = self.edges[at] == key
+            out[open_[found]] = at[found] + 1
+            open_ = open_[~found]
+            state[open_] = self.fail[state[open_]]
+            open_ = open_[state[open_] > 0]
+        return out
+
+    def scan(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End (place of the last word) and state of every window in texts: numbers of their words, -1 for others, and the place of
+        each text's first word (with the end)."""
+        sizes = np.diff(first)
+        lanes = -(-sizes // LANE)
+        text = np.repeat(np.arange(len(sizes)), lanes)
+        begin = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        end = np.minimum(begin + LANE, first[text + 1])
+        begin = np.maximum(begin - (self.size - 1), first[text])
+        order = np.argsort(begin - end, kind="stable")  # the longest first, so that those still open are a head
+        begin, width = begin[order], (end - begin)[order]
+        state, ends, states = np.zeros(len(begin), np.int64), [], []
+        still = np.searchsorted(-width, -np.arange(width[0] if len(width) else 0))  # lanes wider than each step
+        for t, n in enumerate(still.tolist()):
+            w = word[begin[:n] + t]
+            now = np.zeros(n, np.int64)
+            known = np.flatnonzero(w >= 0)
+            now[known] = self.step(state[known], w[known])
+            state = now
+            hit = np.flatnonzero(self.longest[now] >= 0)
+            if len(hit):
+                ends.append(begin[hit] + t)
+                states.append(self.longest[now[hit]])
+        if not ends:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate(ends), np.concatenate(states).astype(np.int64)
+
+    def named(self, states: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Distinct text << 32 | item of windows found, with those that end there inside them."""
+        found = np.unique((texts << 32) | states)
+        pairs = []
+        while len(found):
+            text, state = found >> 32, found & 0xFFFFFFFF
+            low, high = np.searchsorted(self.owner, state), np.searchsorted(self.owner, state, "right")
+            n = high - low
+            place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append((np.repeat(text, n) << 32) | self.items[place])
+            below = self.shorter[state]
+            found = np.unique((text[below >= 0] << 32) | below[below >= 0])
+        return np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
+
+
+def automaton(items: list[str], size: int = WINDOW) -> Automaton:
+    raw, offsets = utf8(pa.array(items, pa.string()))
+    starts, ends, row = words(raw, offsets, _IS_WORD)
+    hashes = word_hashes(raw, starts, ends)
+    return Automaton(np.split(hashes, np.cumsum(np.bincount(row, minlength=len(items)))[:-1]) if items else [], size)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
     """Columns `keep` of docs (all by default) and n_words, hits (ranges of words), items, spans (code points), n_hit, contaminated."""
     own = ["n_words", "hits", "items", "spans", "n_hit", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
-    items = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).dropna().filter(F.length("body") > 0)
-    blocks = _blocks(items, block_bytes)
-    temporary = "__scanned_text"
-    df = docs.select(*keep, F.col(text).alias(temporary))
-    spark = docs.sparkSession
-    for k, block in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(block)
-        more = "n_words long, hits array<struct<start:int,end:int>>, items array<string>, spans array<struct<start:int,end:int>>"
-        fields = [*(df.schema if not k else df.select(*keep, temporary).schema).fields, *T.StructType.fromDDL(more).fields]
-        df = df.mapInArrow(_scanner(shared, window, temporary, keep), T.StructType(fields))
-    df = df.drop(temporary).withColumn("n_hit", F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"]))
-    return df.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def _blocks(items: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, in the order of a hash; a single large item is a block of its own."""
-    total = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    n = max(1, -(-total // block_bytes))
-    if n == 1:
-        return [sorted((r.item, r.body) for r in items.collect())]
-    marked = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [sorted((r.item, r.body) for r in marked.filter(F.col("block") == b).collect()) for b in range(n)]
-
-
-def _scanner(shared, window: int, text: str, keep: list[str]):
-    name = uuid.uuid4().hex
+    bodies = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).filter(F.length("body") > 0)
+    size = bodies.agg(F.coalesce(F.sum(F.size(F.split("body", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))), F.lit(0))).first()[0]
+    if size > MAX_WORDS:
+        raise ValueError(f"the benchmark has {size} words, more than {MAX_WORDS}: give its parts to separate calls and unite their hits")
+    rows = sorted(((r.item, r.body) for r in bodies.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))  # MAX_WORDS words at most
+    shared = docs.sparkSession.sparkContext.broadcast((automaton([r[1] for r in rows], window), [r[0] for r in rows]))
+    fields = [*docs.select(*keep).schema.fields, *T.StructType.fromDDL(f"n_words long, hits {_SPAN}, items array<string>, spans {_SPAN}, n_hit long, contaminated boolean").fields]
+    return docs.select(*keep, F.col(text).alias("__body")).mapInArrow(_scanner(shared, keep, own), T.StructType(fields))
 
+
+def _scanner(shared, keep: list[str], own: list[str]):
     def run(batches):
-        machine = _automaton_of(shared, name, window)
-        for batch in batches:
-            raw, offsets = utf8(batch.column(text))
-            data = raw.tobytes()
-            earlier = batch.column("hits").to_pylist() if "hits" in batch.schema.names else None
-            named = batch.column("items").to_pylist() if earlier is not None else None
-            counts, hits, items, spans = [], [], [], []
-            for i in range(batch.num_rows):
-                body = data[offsets[i] : offsets[i + 1]]
-                n, ranges, names = scan(body, machine)
-                if earlier is not None:
-                    ranges = merge([*ranges, *((x["start"], x["end"]) for x in earlier[i])])
-                    names = names.union(named[i])
-                counts.append(n)
-                hits.append([{"start": a, "end": b} for a, b in ranges])
-                items.append(sorted(names))
-                spans.append([{"start": a, "end": b} for a, b in places(body, ranges)] if ranges else [])
-            columns = [batch.column(c) for c in keep] + [batch.column(text), pa.array(counts, pa.int64()), pa.array(hits, _ranges), pa.array(items, pa.list_(pa.string())), pa.array(spans, _ranges)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, text, "n_words", "hits", "items", "spans"])
+        machine, names = shared.value
+        for whole in batches:
+            for batch in steps(whole, "__body", SCAN_BYTES):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *_judged(batch, machine, names)], [*keep, *own])
 
     return run
 
 
+def _judged(batch: pa.RecordBatch, machine: Automaton, names: list[str | None]) -> list[pa.Array]:
+    n = batch.num_rows
+    raw, offsets = utf8(batch.column("__body"))
+    starts, ends, row = words(raw, offsets, _IS_WORD)
+    counts = np.bincount(row, minlength=n)
+    first = np.concatenate([[0], np.cumsum(counts)])
+    hit, items, ranges, spans = np.zeros(n, np.int64), [[]] * n, [[]] * n, [[]] * n
+    if len(starts) and len(machine.edges):
+        hashes = word_hashes(raw, starts, ends)
+        at = np.minimum(np.searchsorted(machine.vocabulary, hashes), len(machine.vocabulary) - 1)
+        last, state = machine.scan(np.where(machine.vocabulary[at] == hashes, at, -1), first)
+        if len(last):
+            change = np.zeros(len(starts) + 1, np.int64)
+            np.add.at(change, last + 1 - machine.depth[state], 1)
+            np.add.at(change, last + 1, -1)
+            covered = np.cumsum(change)[:-1] > 0
+            hit = np.bincount(row[covered], minlength=n)
+            for pair in machine.named(state, row[last]).tolist():
+                if (name := names[pair & 0xFFFFFFFF]) is not None:
+                    items[pair >> 32] = [*items[pair >> 32], name]
+            # ranges of hit words end with a text, and where the next word is not hit
+            before = np.concatenate([[False], covered[:-1] & (row[1:] == row[:-1])])
+            after = np.concatenate([covered[1:] & (row[1:] == row[:-1]), [False]])
+            a, b = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
+            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            for d, x, y in zip(row[a].tolist(), a.tolist(), b.tolist()):
+                zero, base = int(first[d]), int(chars[offsets[d]])
+                ranges[d] = [*ranges[d], {"start": x - zero, "end": y + 1 - zero}]
+                spans[d] = [*spans[d], {"start": int(chars[starts[x]]) - base, "end": int(chars[ends[y]]) - base}]
+    contaminated = (hit > 0) & (20 * hit >= counts)
+    named = [sorted(set(x)) for x in items]
+    return [pa.array(counts, pa.int64()), pa.array(ranges, _ranges), pa.array(named, pa.list_(pa.string())), pa.array(spans, _ranges), pa.array(hit, pa.int64()), pa.array(contaminated)]
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
@@ -165,8 +215,10 @@ def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of which a twentieth or more lies in benchmark windows go."""
-    return find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(~F.col("contaminated")).select(*docs.columns)
+    """Pipeline stage: documents of which a twentieth or more lies in benchmark windows go; all others stay as they are, nulls and
+    empty texts too. All columns of docs come out as they went in, whatever their names; repeated rows stay or go together."""
+    whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
+    return find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["__row"]).filter(~F.col("contaminated")).select("__row.*")
 
 
 OP1_SQL = r"""
@@ -185,7 +237,7 @@ doc_windows AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc_words, sizes WHERE len(w) >= n)),
 hits AS (SELECT d.doc_id, d.i, d.n, t.item FROM doc_windows d JOIN item_windows t ON d.n = t.n AND d.win = t.win),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(n.items, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
 FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)

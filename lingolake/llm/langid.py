@@ -7,7 +7,8 @@ least hash, of which a fifth is kept to fit the temperature and the rejection th
 Spark, so the driver holds at most BUCKETS counts for each. For prediction the layers are one table of BUCKETS rows.
 
 Defined results: a null text or one without a letter is `und` with score 0. If there is nothing to learn from, all are `und`.
-Rows are predicted one by one, repeated ones too. Columns that bear the name of a result column are replaced.
+Rows are predicted one by one, repeated ones too, whole texts whatever their length; equal rows count once in the
+sample. A null doc_id is predicted and not learned from. An empty table gives no rows. Columns that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -128,9 +129,11 @@ def _histograms(batches):
 def train(docs: DataFrame, fit_docs: int = FIT_DOCS) -> Model | None:
     """A model from at most `fit_docs` documents (doc_id, text, lang) with a language."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    chosen = labelled.select("doc_id", F.xxhash64("doc_id").alias("__order")).orderBy("__order", "doc_id").limit(fit_docs).select("doc_id").distinct()
-    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id", "left_semi")  # fit_docs ids at most
-    found = sample.select("text", "lang").mapInArrow(_histograms, "lang string, buckets array<int>, counts array<int>").limit(fit_docs).toArrow()
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.xxhash64("lang")]  # all rows that tie are equal
+    chosen = labelled.select(F.xxhash64("doc_id", "text", "lang").alias("__row"), *[x.alias(f"__{k}") for k, x in enumerate(order)])
+    chosen = chosen.orderBy("__0", "__1", "__2", "__3").limit(fit_docs).select("__row").distinct()
+    sample = labelled.select("doc_id", "text", "lang").join(F.broadcast(chosen), F.xxhash64("doc_id", "text", "lang") == F.col("__row"), "left_semi").dropDuplicates()  # fit_docs hashes at most
+    found = sample.select("text", "lang").mapInArrow(_histograms, "lang string, buckets array<int>, counts array<int>").toArrow()  # fit_docs rows at most
     langs, buckets, counts = (found.column(c).to_pylist() for c in ("lang", "buckets", "counts"))
     return fit(sorted(((np.array(b), np.array(c, float), x) for x, b, c in zip(langs, buckets, counts)), key=lambda r: (r[2], len(r[0]), r[0].tobytes())))
 

@@ -7,7 +7,8 @@ copy of any line stays.
 Defined results: lines are what \n separates, compared as they are; all blank lines are alike, and windows of blank lines
 alone do not count. A text of one or two lines is one window of those, which only other such texts can repeat. A null text
 stays null, an empty one empty. A null doc_id comes before all others. Rows that repeat doc_id and text are one document,
-and all get the same result. Columns that bear the name of a result column are replaced.
+and all get the same result. An empty table gives no rows; very long texts are cut whole. Columns that bear the name of a result column
+are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def occurrences(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 def later_windows(found: DataFrame) -> DataFrame:
     """Per document the windows that occur earlier: __id, __text_hash, __later (first lines)."""
     place = F.struct(*_KEY, "pos")
-    first = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    # written first: where a window is in very many documents, Spark can split the join with a table, not with an aggregate below it
+    first = materialize(found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "line-firsts")
     later = found.join(first, ["h1", "h2"]).filter(place > F.col("first"))
     return later.groupBy(*_KEY).agg(F.collect_set("pos").alias("__later"))
 
@@ -66,10 +68,14 @@ def op4_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: repeated windows of lines go, and documents of which nothing remains; n_chars is counted anew."""
-    done = dedup_lines(docs)
+    """Pipeline stage: repeated windows of lines go, and documents of which nothing remains; n_chars is counted anew.
+
+    All other columns come out as they went in, whatever their names. A null text stays, and so does an empty or blank one of which
+    nothing was removed. Repeated rows are one document, and all get the same result."""
+    done = dedup_lines(docs.select("doc_id", "text", F.struct(*docs.columns).alias("__row")))
     done = where(done, (F.col("n_removed") == 0) | (F.length(F.btrim("text", F.lit(_WHITE + "\n"))) > 0))
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return done.select(*[new.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 OP4_SQL = r"""

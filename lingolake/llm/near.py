@@ -18,8 +18,8 @@ Blocks of a bucket's largest class do not meet each other, so a large class cost
 blocks of other members. Classes are connected components of the links.
 
 Defined results: a text without words (null, empty, blank) is alone in its class. A text of one to four words is one shingle.
-A null doc_id is not compared and has a null class. Rows that share a doc_id are one document. Columns that bear the name of
-a result column are replaced.
+A null doc_id is not compared and has a null class; ids are integers, others are refused. Rows that share a doc_id are one document.
+An empty table gives no rows; ties go to the least id. Columns that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize, mix, steps, utf8, word_hashes, words
 
@@ -216,10 +217,13 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id (as `key`), copy_of (the representative of equal texts), class_id (the least id of the class) for every row."""
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
+        raise ValueError(f"{key} must be an integer, since classes are named by their least id")
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = materialize(given.filter(F.col("id").isNotNull()).mapInArrow(_sign, "id long, n_words long, t1 long, t2 long, bands array<long>, brief binary"), "near-signatures")
     worded = signed.filter("n_words > 0")
-    least = worded.groupBy("t1", "t2").agg(F.min("id").alias("rep"))
+    # written first: a text that very many documents share is then a large key of a table, which Spark can split in the join
+    least = materialize(worded.groupBy("t1", "t2").agg(F.min("id").alias("rep")), "near-least")
     own = F.col("id") == F.col("rep")
     member = materialize(worded.join(least, ["t1", "t2"]).select("id", "rep", F.when(own, F.col("bands")).alias("bands"), F.when(own, F.col("brief")).alias("brief")), "near-members")
 
@@ -338,8 +342,9 @@ def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of least id of each class stays, once; rows without an id stay."""
-    classes = materialize(near_classes(docs), "near-classes")
+    """Pipeline stage: the document of least id of each class stays, once; rows without an id stay, and so do texts without words, null ones
+    among them. All columns come out as they went in, whatever their names; of rows that share an id one stays."""
+    classes = materialize(near_classes(docs.select("doc_id", "text")), "near-classes")
     gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
     again = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     left = by_ids(docs, "doc_id", gone, "left_anti")

@@ -3,12 +3,13 @@ r"""Personal data: regular expressions propose spans, checksums and ranges confi
 Base kinds, each leftmost and without overlaps: email, ip (parts up to 255), card (13 to 19 digits that pass Luhn), phone (9
 to 15 digits). The method adds two: iban (as long as its country sets, 1 modulo 97) and ssn (three, two and four digits, none of them zero
 throughout). Each span has a score: a prior of its kind, more where its checksum holds, more where a word of its kind stands
-in the code points before it. Spans of the added kinds need THRESHOLD; base spans always stay.
+in the 40 code points before or after it. Spans of the added kinds need THRESHOLD; base spans always stay.
 
 All is native. Patterns are the contract's, with two changes that leave the matches as they are and make the time linear:
 repeated groups are possessive, and a match starts where a run starts or where the last match ended.
 
-Defined results: a null text is an empty one and has no spans. Repeated rows are judged alike. Columns that bear the name of
+Defined results: a null text is an empty one and has no spans. Repeated rows are judged alike, very long texts whole. An empty
+table gives no rows. Columns that bear the name of
 a result column are replaced.
 """
 
@@ -92,7 +93,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | No
     def kept(kind: str) -> Column:
         _, prior, passed, near, more = KINDS[kind]
         good = F.col(f"__{kind}") if kind not in CHECKS else F.filter(f"__{kind}", lambda s: CHECKS[kind](s["text"]))
-        scored = F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), (F.lit(prior + passed) + F.when(s["before"].rlike(near), more).otherwise(0.0)).alias("score")))
+        scored = F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), (F.lit(prior + passed) + F.when(s["before"].rlike(near) | s["after"].rlike(near), more).otherwise(0.0)).alias("score")))
         return scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
 
     return df.select(*keep, F.concat(*[kept(k) for k in KINDS]).alias("found"))

@@ -9,7 +9,8 @@ The fit uses at most FIT_ROWS labelled documents, those of least hash, so the dr
 
 Defined results: a null text has no words, as an empty one, and fails the base test. A document with several labels counts
 as poor if one of them is 0; null labels are left out. No labels, or labels of one kind only: no rules, so the base test
-alone decides. Repeated rows are judged alike. Columns that bear the name of a statistic are replaced.
+alone decides. Repeated rows are judged alike, very long texts whole. An empty table gives no rows.
+Columns that bear the name of a statistic are replaced.
 """
 
 from __future__ import annotations
@@ -60,12 +61,16 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.size("__words").cast("long").alias("n_words"),
         F.size("__lines").cast("long").alias("n_lines"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"),
+        F.size("__words").alias("__n"),
+        F.when(F.size("__words") >= WINDOW, F.transform("__words", lambda w: F.xxhash64(w))).alias("__hashes"),
     )
     plain += ["n_words", "n_lines", "n_dup_lines"]
-    n = F.size("__hashes")
-    windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get("__hashes", i + k) for k in range(WINDOW)]))
-    df = df.select(*plain, F.when(n >= WINDOW, windows).alias("__windows"))
+    # windows of 2, 4 and 8 words, each of two halves, so that a window costs three hashes
+    for half in (1, 2, 4):
+        later = F.slice("__hashes", half + 1, F.greatest(F.size("__hashes") - half, F.lit(0)))
+        joined = F.zip_with("__hashes", later, lambda a, b: F.xxhash64(a, b))
+        df = df.select(*plain, "__n", F.when(F.col("__n") >= WINDOW, F.slice(joined, 1, F.size("__hashes") - half)).alias("__hashes"))
+    df = df.select(*plain, F.col("__hashes").alias("__windows"))
     repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
     df = df.select(*plain, F.when(repeated, F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("__sorted"))
     same = lambda x, j: (x["h"] == F.get("__sorted", j - 1)["h"]) | (x["h"] == F.get("__sorted", j + 1)["h"])
@@ -179,7 +184,8 @@ def op9_quality(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the base test or a rule rejects go."""
+    """Pipeline stage: documents that the base test or a rule rejects go, null and empty texts among them. All columns come out as they
+    went in, whatever their names; repeated rows stay or go together."""
     rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = judge(docs.select(F.struct(*docs.columns).alias("__row"), "text"), rules, keep=["__row"])
     return where(kept, F.col("kept")).select("__row.*")

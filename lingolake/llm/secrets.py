@@ -7,7 +7,8 @@ is scanned again, an unchanged one is not.
 
 Base rules: assign, access, hex; the method adds private_key, jwt and vcs_token. All is native.
 
-Defined results: a null text is an empty one and has no findings. Repeated rows each get the findings of their content.
+Defined results: a null text is an empty one and has no findings. Repeated rows each get the findings of their content. An empty table
+gives no rows and adds nothing to the ledger; very long texts are scanned whole.
 Columns that bear the name of a result column are replaced.
 """
 
@@ -81,7 +82,8 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, text: st
         lacking = texts.select("blob").distinct().join(seen, "blob", "left").select("blob", F.array_except(names, F.coalesce("seen", F.array().cast("array<string>"))).alias("todo")).filter(F.size("todo") > 0)
         todo = texts.join(lacking.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.first("text").alias("text")).join(lacking, "blob")
     gained = materialize(scan(todo, rules), "secret-ledger")
-    known = gained if ledger is None else ledger.unionByName(gained).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found"))
+    # written first where a ledger was given: a blob of very many paths is then a large key of a table, which Spark can split in the join
+    known = gained if ledger is None else materialize(ledger.unionByName(gained).groupBy("blob").agg(F.flatten(F.collect_list("found")).alias("found")), "secret-known")
     now = F.filter("found", lambda s: F.concat_ws("@", s["kind"], s["version"].cast("string")).isin(*[r.name for r in rules]))
     order = F.array(*[F.lit(r.kind) for r in rules])
     sorted_ = F.transform(F.sort_array(F.transform(now, lambda s: F.struct(s["start"].alias("start"), F.array_position(order, s["kind"]).alias("place"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))

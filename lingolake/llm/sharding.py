@@ -11,16 +11,17 @@ Law: `bytes`. A single document larger than the tolerance stays whole, and the n
 cut into ranges of about ROWS_PER_RANGE rows by the same search; a row's slot is its place in its range plus the counts of the
 ranges before it.
 
-Defined results: a null text has no bytes and its hash is that of an empty text. A null doc_id comes first. Repeated rows are
-told apart by row number. Empty tables give no rows. Columns that bear the name of a result column are replaced.
+Defined results: a null text has no bytes and its hash is that of an empty text. A null doc_id comes first; ids that are not
+integers are ordered by their hash. Repeated rows are told apart by row number. Empty tables give no rows. Columns that bear the name of a result column are replaced.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize
 
@@ -35,6 +36,12 @@ LOW, HIGH = -(1 << 63), (1 << 63) - 1
 Splitter = tuple[int, ...]
 
 
+def _order(docs: DataFrame, key: str) -> Column:
+    """An id as a number: itself, or its hash where it is not an integer; null comes first."""
+    number = F.col(key).cast("long") if isinstance(docs.schema[key].dataType, T.IntegralType) else F.xxhash64(key)
+    return F.when(F.col(key).isNull(), LOW).otherwise(number)
+
+
 def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The compact table that is searched: doc_id, size, text_crc32, h, d, r."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -43,7 +50,7 @@ def keyed(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
         (F.octet_length(body) + EXTRA).cast("long").alias("size"),
         F.crc32(body).alias("text_crc32"),
         F.xxhash64(body).alias("h"),
-        F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("d"),
+        _order(docs, key).alias("d"),
         F.monotonically_increasing_id().alias("r"),
     )
 
@@ -168,7 +175,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: fl
 
         return pd.Series(ranges_of(splitters, [h.to_numpy(), d.to_numpy(), r.to_numpy()]))
 
-    names = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), F.coalesce(F.col(key).cast("long"), F.lit(LOW)).alias("__d"), F.monotonically_increasing_id().alias("__r")]
+    names = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), _order(docs, key).alias("__d"), F.monotonically_increasing_id().alias("__r")]
     rows = docs.select("*", *names).withColumn("shard", shard_of("__h", "__d", "__r"))
     rows.repartition(shards, "shard").sortWithinPartitions("shard", "__h", "__d").drop("__h", "__d", "__r").write.partitionBy("shard").parquet(path)
 

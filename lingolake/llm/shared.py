@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import materialize  # noqa: F401  the operators take it from here
+
 #: Text bytes that one numpy step handles; a longer document is a step of its own.
 STEP_BYTES = 2 << 20
 
@@ -19,22 +19,6 @@ STEP_BYTES = 2 << 20
 WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="lingolake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: the lineage ends there, so a lost executor costs one stage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def where(df: DataFrame, condition: Column) -> DataFrame:
     """df.filter that stays where it is. A filter would be pushed below the projections that its columns come from and repeat
     them, array by array, inside each other's lambdas; one that also reads a nondeterministic column is not."""
@@ -99,12 +83,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(max(int(n).bit_length(), STEP_BYTES.bit_length()))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end byte and row of every word."""
+def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end byte and row of every word, a run of bytes of which is_word is true."""
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = IS_WORD[raw]
+    inside = is_word[raw]
     edge = np.zeros(len(raw) + 1, bool)  # a row starts here
     edge[offsets] = True
     before, after = np.empty_like(inside), np.empty_like(inside)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = "struct<start:int,end:int,text:string,before:string>"
-#: Code points kept from before a match, for its context.
+SPAN = "struct<start:int,end:int,text:string,before:string,after:string>"
+#: Code points kept from before and after a match, for its context.
 CONTEXT = 40
 _BLOCK = 256
 
@@ -17,7 +17,7 @@ def _placed(pieces: Column, start: Column) -> Column:
     def add(state, x):
         first = state["at"] + x["gap"]
         last = first + F.length(x["hit"])
-        span = F.struct(first.alias("start"), last.alias("end"), x["hit"].alias("text"), x["before"].alias("before"))
+        span = F.struct(first.alias("start"), last.alias("end"), x["hit"].alias("text"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct(last.alias("at"), F.concat(state["out"], F.array(span).cast(f"array<{SPAN}>")).alias("out"))
 
     return F.aggregate(pieces, F.struct(start.cast("int").alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")), add, lambda s: s["out"])
@@ -34,8 +34,14 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column |
     hits = {c: F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)) for c, (p, _) in patterns.items()}
     df = df.select(*others, *[(hits[c] if test is None else F.when(test, hits[c])).alias(f"__hits_{c}") for c, (_, test) in patterns.items()])
     gaps = {c: F.arrays_zip(F.split(text, p, -1).alias("piece"), F.col(f"__hits_{c}").alias("hit")) for c, (p, _) in patterns.items()}
-    cut = lambda x: F.struct(F.length(x["piece"]).alias("gap"), F.right(x["piece"], F.lit(CONTEXT)).alias("before"), x["hit"].alias("hit"))
-    df = df.select(*others, *[F.when(F.size(f"__hits_{c}") > 0, F.filter(F.transform(gaps[c], cut), lambda x: x["hit"].isNotNull())).alias(f"__pieces_{c}") for c in patterns])
+    df = df.select(*others, *[F.when(F.size(f"__hits_{c}") > 0, gaps[c]).alias(f"__gaps_{c}") for c in patterns])
+
+    def cut(c):
+        after = lambda i: F.left(F.get(f"__gaps_{c}", i + 1)["piece"], F.lit(CONTEXT))
+        piece = lambda x, i: F.when(x["hit"].isNotNull(), F.struct(F.length(x["piece"]).alias("gap"), F.right(x["piece"], F.lit(CONTEXT)).alias("before"), x["hit"].alias("hit"), after(i).alias("after")))
+        return F.array_compact(F.transform(f"__gaps_{c}", piece))
+
+    df = df.select(*others, *[cut(c).alias(f"__pieces_{c}") for c in patterns])
     block = lambda c: F.transform(F.sequence(F.lit(0), F.floor((F.size(f"__pieces_{c}") - 1) / _BLOCK).cast("int")), lambda b: F.slice(f"__pieces_{c}", b * _BLOCK + 1, F.lit(_BLOCK)))
     df = df.select(*others, *[F.when(F.size(f"__pieces_{c}") > 0, block(c)).alias(f"__blocks_{c}") for c in patterns])
     length = lambda pieces: F.aggregate(pieces, F.lit(0), lambda a, x: a + x["gap"] + F.length(x["hit"]))

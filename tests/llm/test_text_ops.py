@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from lingolake.llm import bpe, decontaminate, pii, secrets
@@ -27,15 +28,20 @@ def contaminated(text, items):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("block", [256 << 10, 60])
-def test_decontaminate(spark, docs, odd, block):
+@pytest.mark.parametrize("lane", [500, 3])
+def test_decontaminate(spark, docs, odd, lane, monkeypatch):
+    monkeypatch.setattr(decontaminate, "LANE", lane)
     rng = random.Random(1)
     vocabulary = ["Alpha", "beta", "γάμμα", "delta", "eps-1", "zeta"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(str(i), say(rng.choice([3, 12, 13, 14, 20]))) for i in range(12)] + [("n", None), ("e", ""), ("p", "...")]
     texts = [f"{say(rng.randint(0, 30))} {rng.choice(items[:12])[1].upper() if k % 2 else say(30)}! {say(5)}" for k in range(60)] + odd
     bench = spark.createDataFrame(items, "item_id string, text string")
-    rows = decontaminate.find_contamination(docs(texts), bench, block_bytes=block).collect()
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["__body"])
+    made = decontaminate.automaton([b for _, b in items if b])
+    near = [x.to_pylist() for x in decontaminate._judged(batch, made, [i for i, b in items if b])]
+    rows = decontaminate.find_contamination(docs(texts), bench).collect()
+    assert [[list(map(tuple, r.hits)) for r in sorted(rows, key=lambda r: r.doc_id)], [r["items"] for r in sorted(rows, key=lambda r: r.doc_id)]] == [[[(x["start"], x["end"]) for x in h] for h in near[1]], near[2]]
     assert len(rows) == len(texts)
     for r in rows:
         n, hit, names = contaminated(texts[r.doc_id], items)
@@ -47,6 +53,27 @@ def test_decontaminate(spark, docs, odd, block):
     assert [r.n_hit for r in empty] == [0, 0, 0] and not decontaminate.find_contamination(docs([]), bench).count()
 
 
+def test_decontaminate_without_ids_and_with_a_large_benchmark(spark, docs):
+    bench = spark.createDataFrame([(None, "one two three"), ("a", "three four"), ("b", None)], "item_id string, text string")
+    r = decontaminate.find_contamination(docs(["zero one two three four"]), bench).first()
+    assert (r.n_hit, r["items"], r.contaminated) == (4, ["a"], True)
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randint(0, 50_000)}" for _ in range(n))
+    many = [(str(i), say(400)) for i in range(2000)]  # 5 MB
+    found = decontaminate.find_contamination(docs([say(100), f"{say(50)} {' '.join(many[77][1].split()[30:60])} {say(50)}", many[1999][1]]), spark.createDataFrame(many, "item_id string, text string"))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert [(x.n_hit, x["items"]) for x in found.orderBy("doc_id").collect()] == [(0, []), (30, ["77"]), (400, ["1999"])]
+
+
+def test_decontaminate_stage(spark, docs, odd, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").first().text
+    table = docs([*odd, item, item]).selectExpr("*", "array('keep') as items", "1 as n_hit")
+    kept = decontaminate.drop_contaminated(spark, table, sf_dir)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == list(range(len(odd)))
+    assert {(tuple(r["items"]), r.n_hit, r.spans) for r in kept.collect()} == {(("keep",), 1, "y")}
+    assert decontaminate.drop_contaminated(spark, table.limit(0), sf_dir).count() == 0
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -76,6 +103,11 @@ def test_personal_data(docs, odd):
     assert kinds.count("iban") == 1 and kinds.count("ssn") == 1 and not pii.find_personal_data(docs([])).count()
 
 
+def test_words_on_either_side_confirm(docs):
+    rows = {r.doc_id: [s.kind for s in r.found] for r in pii.find_personal_data(docs(["123-45-6789 (SSN)", "ssn: 123-45-6789", "123-45-6789", "123-45-6789" + " x" * 30 + " ssn"])).collect()}
+    assert rows == {0: ["ssn"], 1: ["ssn"], 2: [], 3: []}
+
+
 def test_account_numbers_before_other_words(docs):
     texts = ["DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89 3704 0044 0532 0130 00 2024", "GB82WEST12345698765432 A", "NO93 8601 1117 947 X1", "DE89 3704 0044 0532 0130 01 BIC", "DE89370400440532013000X"]
     rows = {r.doc_id: [s.text for s in r.found if s.kind == "iban"] for r in pii.find_personal_data(docs(texts)).collect()}
