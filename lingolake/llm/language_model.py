@@ -47,8 +47,8 @@ HOT_PAIRS = SAMPLE_TOKENS // HOT
 END, START = np.uint64(0), np.uint64(1)
 #: Tokens that a task counts at once before it sends counts on.
 COUNT_TOKENS = 4_000_000
-#: Text bytes whose bigrams a task deals at once.
-DEAL_BYTES = 8 << 20
+#: Text bytes whose bigrams a task deals at once, and rows of sums that it holds before it puts them together.
+DEAL_BYTES, SUM_ROWS = 4 << 20, 1_000_000
 #: Kinds of dealt rows: documents, bigrams of two broadcast words, those that end in another word, those that begin with one.
 DOCUMENT, NEAR, ENDS, BEGINS = range(4)
 _ID = 24  # bits of a broadcast word's number
@@ -260,17 +260,19 @@ def _weigher(shared, head: pa.DataType):
     """Bigrams, sorted by a, to sums by document (row, known, base, gain), and to bigrams of two words
     that are not broadcast (v, q, t). A task holds a batch and the last run of equal a."""
     names = ["row", "known", "base", "gain", "v", "q", "t", "head"]
-    numbers = ["kind", "row", "a", "b", "times", "learned"]
+    numbers = ["kind", "row", "a", "b", "times"]
 
-    def sums(parts):
-        row = np.concatenate([p[0] for p in parts])
-        found, where = np.unique(row, return_inverse=True)
-        total = [np.bincount(where, np.concatenate([p[k] for p in parts]), len(found)) for k in (1, 2, 3)]
-        n = len(found)
-        return pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[0].astype(np.int64)), pa.array(total[1]), pa.array(total[2]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, head)], names)
+    def summed(parts):
+        found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return (found, *(np.bincount(where, np.concatenate([p[k] for p in parts]), len(found)) for k in (1, 2, 3)))
 
-    def weighed(m, kind, row, a, b, t, learned):
-        """The sums of whole runs, and their bigrams of two words that are not broadcast."""
+    def sums(part):
+        n = len(part[0])
+        return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int64)), pa.array(part[2]), pa.array(part[3]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, head)], names)
+
+    def weighed(m, kind, row, a, b, times):
+        """The sums of whole runs, and their bigrams of two words that are not broadcast; times are negative in texts not learned from."""
+        t, learned = np.abs(times), np.maximum(times, 0)
         known, base, more = np.zeros(len(kind), np.int64), np.zeros(len(kind)), np.zeros(len(kind))
         i = np.flatnonzero(kind == NEAR)
         pair = _runs(a[i])
@@ -315,16 +317,19 @@ def _weigher(shared, head: pa.DataType):
                 held += last
                 if both is not None and len(both[0]):
                     yield rest(*both)
-                if held >= COUNT_TOKENS:
-                    yield sums(parts)
-                    parts, held = [], 0
+                if held >= SUM_ROWS:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held >= SUM_ROWS // 2:
+                        yield sums(parts[0])
+                        parts, held = [], 0
         if kept is not None:
             done, both = weighed(m, *kept)
             parts.append(done)
             if both is not None and len(both[0]):
                 yield rest(*both)
         if parts:
-            yield sums(parts)
+            yield sums(summed(parts))
 
     def rest(row, v, q, t):
         zero = np.zeros(len(row))
@@ -353,7 +358,7 @@ def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None
     dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition("bucket")
     flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
     row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
-    flat = flat.select("kind", row.alias("row"), "a", "b", "times", (F.col("rows").bitwiseAND(1) * F.col("times")).alias("learned"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
+    flat = flat.select("kind", row.alias("row"), "a", "b", F.when(F.col("rows").bitwiseAND(1) == 1, F.col("times")).otherwise(-F.col("times")).alias("times"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
     out = T.StructType([*T.StructType.fromDDL("row long, known long, base double, gain double, v long, q double, t int").fields, T.StructField("head", fields)])
     weighed = flat.mapInArrow(_weigher(shared, arrow), out)
     rest = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "q", "t")))
