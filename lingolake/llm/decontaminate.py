@@ -28,7 +28,7 @@ WINDOW = 13
 #: Words of a benchmark at most; its automaton then has 260 MB for each million.
 MAX_WORDS = 8_000_000
 #: Words that a lane adds to what leads it in, and text bytes that a task scans at once.
-LANE, SCAN_BYTES = 500, 8 << 20
+LANE, SCAN_BYTES = 500, 2 << 20
 
 _IS_WORD = np.array([c >= 0x80 or 48 <= LOWER[c] <= 57 or 97 <= LOWER[c] <= 122 for c in range(256)])
 _SPAN = "array<struct<start:int,end:int>>"

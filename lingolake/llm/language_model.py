@@ -46,9 +46,9 @@ SAMPLE_TOKENS, HOT = 4_000_000, 16
 HOT_PAIRS = SAMPLE_TOKENS // HOT
 END, START = np.uint64(0), np.uint64(1)
 #: Tokens that a task counts at once before it sends counts on.
-COUNT_TOKENS = 4_000_000
+COUNT_TOKENS = 2_000_000
 #: Text bytes whose bigrams a task deals at once, and rows of sums that it holds before it puts them together.
-DEAL_BYTES, SUM_ROWS = 4 << 20, 1_000_000
+DEAL_BYTES, SUM_ROWS = 2 << 20, 1_000_000
 #: Kinds of dealt rows: documents, bigrams of two broadcast words, those that end in another word, those that begin with one.
 DOCUMENT, NEAR, ENDS, BEGINS = range(4)
 _ID = 24  # bits of a broadcast word's number

@@ -80,7 +80,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of BASE and of its inverse modulo 2**64, n or more of each."""
-    return _powers(max(int(n).bit_length(), STEP_BYTES.bit_length()))
+    return _powers(max(int(n - 1).bit_length(), (STEP_BYTES - 1).bit_length()))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
