@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, mix, steps, training_part, utf8, word_hashes, words
+from .shared import give_back, materialize, mix, steps, training_part, utf8, word_hashes, words
 
 #: Relative frequency of the words that are broadcast.
 HEAD = 3e-7
@@ -49,6 +49,8 @@ END, START = np.uint64(0), np.uint64(1)
 COUNT_TOKENS = 2_000_000
 #: Text bytes whose bigrams a task deals at once, and rows of sums that it holds before it puts them together.
 DEAL_BYTES, SUM_ROWS = 2 << 20, 1_000_000
+#: Training tokens for each task that weighs dealt bigrams, so that tasks grow in number and not in size.
+DEALT_TOKENS = 3_000_000
 #: Kinds of dealt rows: documents, bigrams of two broadcast words, those that end in another word, those that begin with one.
 DOCUMENT, NEAR, ENDS, BEGINS = range(4)
 _ID = 24  # bits of a broadcast word's number
@@ -103,6 +105,8 @@ def _counter(keys_of):
                     parts, held = [], 0
         if parts:
             yield counted(parts)
+        parts = None
+        give_back()
 
     return run
 
@@ -244,6 +248,7 @@ def _dealer(shared, keep: list[str], head: pa.DataType, buckets: int):
                 yield from dealt(ENDS, base, rows[ends], learn, signed[0][ends], signed[1][ends])
                 yield from dealt(BEGINS, base, rows[begins], learn, signed[1][begins], at[begins])
                 base += n
+        give_back()
 
     return run
 
@@ -330,6 +335,8 @@ def _weigher(shared, head: pa.DataType):
                 yield rest(*both)
         if parts:
             yield sums(summed(parts))
+        parts = kept = None
+        give_back()
 
     def rest(row, v, q, t):
         zero = np.zeros(len(row))
@@ -353,9 +360,10 @@ def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(fields)
-    buckets = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.n // DEALT_TOKENS))
+    buckets = 8 * parts
     schema = T.StructType([*T.StructType.fromDDL(f"kind int, bucket int, base long, {_PAIRS}").fields, T.StructField("head", fields)])
-    dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition("bucket")
+    dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition(parts, "bucket")
     flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
     row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
     flat = flat.select("kind", row.alias("row"), "a", "b", F.when(F.col("rows").bitwiseAND(1) == 1, F.col("times")).otherwise(-F.col("times")).alias("times"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
