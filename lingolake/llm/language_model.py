@@ -51,6 +51,9 @@ COUNT_TOKENS = 2_000_000
 DEAL_BYTES, SUM_ROWS = 2 << 20, 1_000_000
 #: Training tokens for each task that weighs dealt bigrams, so that tasks grow in number and not in size.
 DEALT_TOKENS = 3_000_000
+#: Documents whose sums are put together at once, as a power of two.
+BLOCK = 12
+_IN_BLOCK = (1 << BLOCK) - 1
 #: Kinds of dealt rows: documents, bigrams of two broadcast words, those that end in another word, those that begin with one.
 DOCUMENT, NEAR, ENDS, BEGINS = range(4)
 _ID = 24  # bits of a broadcast word's number
@@ -262,9 +265,9 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _weigher(shared, head: pa.DataType):
-    """Bigrams, sorted by a, to sums by document (row, known, base, gain), and to bigrams of two words
-    that are not broadcast (v, q, t). A task holds a batch and the last run of equal a."""
-    names = ["row", "known", "base", "gain", "v", "q", "t", "head"]
+    """Bigrams, sorted by a, to sums by document, in arrays for each block of documents, to bigrams of two words that are not
+    broadcast (v, q, t), and to the documents themselves. A task holds a batch, the last run of equal a, and sums."""
+    names = ["block", "at", "known", "base", "gain", "v", "q", "t", "head"]
     numbers = ["kind", "row", "a", "b", "times"]
 
     def summed(parts):
@@ -272,8 +275,21 @@ def _weigher(shared, head: pa.DataType):
         return (found, *(np.bincount(where, np.concatenate([p[k] for p in parts]), len(found)) for k in (1, 2, 3)))
 
     def sums(part):
-        n = len(part[0])
-        return pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1].astype(np.int64)), pa.array(part[2]), pa.array(part[3]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, head)], names)
+        """A row for each block of documents: places in it and sums as arrays."""
+        row = part[0]
+        blocks, first = np.unique(row >> BLOCK, return_index=True)
+        per = pa.array(np.append(first, len(row)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(per, pa.array(x)) for x in ((row & _IN_BLOCK).astype(np.int32), part[1].astype(np.int64), part[2], part[3])]
+        n = len(blocks)
+        return pa.RecordBatch.from_arrays([pa.array(blocks), *lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), pa.nulls(n, head)], names)
+
+    def alone(row, v, q, t, heads):
+        """Rows of one document each."""
+        n = len(row)
+        per = pa.array(np.arange(n + 1, dtype=np.int32))
+        at = pa.ListArray.from_arrays(per, pa.array((row & _IN_BLOCK).astype(np.int32)))
+        none = [pa.nulls(n, pa.list_(k)) for k in (pa.int64(), pa.float64(), pa.float64())]
+        return pa.RecordBatch.from_arrays([pa.array(row >> BLOCK), at, *none, v, q, t, heads], names)
 
     def weighed(m, kind, row, a, b, times):
         """The sums of whole runs, and their bigrams of two words that are not broadcast; times are negative in texts not learned from."""
@@ -307,8 +323,8 @@ def _weigher(shared, head: pa.DataType):
             kind = batch.column("kind").to_numpy()
             if (whole := np.flatnonzero(kind == DOCUMENT)).size:
                 some = batch.take(pa.array(whole))
-                none = [pa.nulls(len(whole), t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64(), pa.int32())]
-                yield pa.RecordBatch.from_arrays([some.column("row"), *none, some.column("head")], names)
+                n = len(whole)
+                yield alone(some.column("row").to_numpy(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), some.column("head"))
             part = np.flatnonzero(kind != DOCUMENT)
             if not len(part):
                 continue
@@ -339,12 +355,69 @@ def _weigher(shared, head: pa.DataType):
         give_back()
 
     def rest(row, v, q, t):
-        zero = np.zeros(len(row))
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(v), pa.array(q), pa.array(t, pa.int32()), pa.nulls(len(row), head)], names)
+        return alone(row, pa.array(v), pa.array(q), pa.array(t, pa.int32()), pa.nulls(len(row), head))
 
     return run
 
 
+def _gatherer(head: pa.DataType):
+    """Rows sorted by block to one row for each document: row, head, sums, and its bigrams of two words that are not broadcast."""
+    item = pa.struct([("v", pa.int64()), ("q", pa.float64()), ("t", pa.int32())])
+
+    def gathered(block, sums, heads, places, rest, owners):
+        whole = pa.concat_arrays(heads)
+        at = np.concatenate(places).astype(np.int64)
+        order = np.argsort(at)
+        at, whole = at[order], whole.take(pa.array(order))
+        if rest:
+            owner = np.concatenate(owners)
+            mine = np.argsort(owner, kind="stable")
+            parts = pa.concat_arrays(rest).take(pa.array(mine))
+            per = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=1 << BLOCK))])
+            # documents without any have equal ends, so the ends of those that are there follow each other
+            lists = pa.ListArray.from_arrays(pa.array(np.append(per[at], per[-1]).astype(np.int32)), parts)
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(np.zeros(len(at) + 1, np.int32)), pa.array([], item))
+        return pa.RecordBatch.from_arrays([pa.array((block << BLOCK) | at), whole, *(pa.array(x[at]) for x in sums), lists], ["row", "head", "known", "base", "gain", "rest"])
+
+    def run(batches):
+        block, sums, heads, places, rest, owners = None, [], [], [], [], []
+        for batch in batches:
+            key = batch.column("block").to_numpy()
+            for first, last in _stretches(key):
+                if key[first] != block:
+                    if block is not None:
+                        yield gathered(block, sums, heads, places, rest, owners)
+                    block, heads, places, rest, owners = int(key[first]), [], [], [], []
+                    sums = [np.zeros(1 << BLOCK, np.int64), np.zeros(1 << BLOCK), np.zeros(1 << BLOCK)]
+                part = batch.slice(first, last - first)
+                at, alone = part.column("at"), part.column("known").is_null()
+                one, many = np.flatnonzero(alone.to_numpy(zero_copy_only=False)), pa.array(np.flatnonzero(~alone.to_numpy(zero_copy_only=False)))
+                places_of = at.take(many).flatten().to_numpy()
+                for total, name in zip(sums, ("known", "base", "gain")):
+                    np.add.at(total, places_of, part.column(name).take(many).flatten().to_numpy())
+                if len(one):
+                    some, where = part.take(pa.array(one)), at.take(pa.array(one)).flatten().to_numpy()
+                    doc = some.column("head").is_valid().to_numpy(zero_copy_only=False)
+                    if doc.any():
+                        heads.append(some.column("head").filter(pa.array(doc)))
+                        places.append(where[doc])
+                    if not doc.all():
+                        pairs = some.filter(pa.array(~doc))
+                        rest.append(pa.StructArray.from_arrays([pairs.column(c) for c in ("v", "q", "t")], fields=list(item)))
+                        owners.append(where[~doc])
+        if block is not None:
+            yield gathered(block, sums, heads, places, rest, owners)
+
+    return run
+
+
+def _stretches(key: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of each run of equal keys."""
+    edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return list(zip(edge.tolist(), np.append(edge[1:], len(key)).tolist()))
+
+
 def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None = None, text: str = "text", head: float = HEAD, hot: int = HOT) -> tuple[DataFrame, Automaton]:
     """Columns `keep` of docs (all by default) and n_tokens, n_known, base_score, score of every row, by a model of the rows for
     which `learn` holds; and the broadcast part of the model. Texts to be scored by a model of others are united with them."""
@@ -367,10 +440,10 @@ def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None
     flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
     row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
     flat = flat.select("kind", row.alias("row"), "a", "b", F.when(F.col("rows").bitwiseAND(1) == 1, F.col("times")).otherwise(-F.col("times")).alias("times"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
-    out = T.StructType([*T.StructType.fromDDL("row long, known long, base double, gain double, v long, q double, t int").fields, T.StructField("head", fields)])
-    weighed = flat.mapInArrow(_weigher(shared, arrow), out)
-    rest = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("v", "q", "t")))
-    scored = materialize(weighed.groupBy("row").agg(F.first("head", True).alias("head"), F.sum("known").alias("known"), F.sum("base").alias("base"), F.sum("gain").alias("gain"), rest.alias("rest")), "lm-scores")
+    out = T.StructType([*T.StructType.fromDDL("block long, at array<int>, known array<long>, base array<double>, gain array<double>, v long, q double, t int").fields, T.StructField("head", fields)])
+    weighed = flat.mapInArrow(_weigher(shared, arrow), out).repartition("block").sortWithinPartitions("block")
+    whole = T.StructType([T.StructField("row", T.LongType()), T.StructField("head", fields), *T.StructType.fromDDL("known long, base double, gain double, rest array<struct<v:long,q:double,t:int>>").fields])
+    scored = materialize(weighed.mapInArrow(_gatherer(arrow), whole), "lm-scores")
     weight = SCALE * F.pow(F.col("c").cast("double"), F.lit(POWER))
     both = scored.filter(F.size("rest") > 0).select("row", F.inline("rest")).join(counts.select(F.col("w").alias("v"), "c"), "v")
     both = both.groupBy("row").agg(F.sum(F.col("t") * F.log10(1 + F.col("q") / weight)).alias("more"))
