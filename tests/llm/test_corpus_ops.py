@@ -153,9 +153,8 @@ def test_shards(docs, odd):
         assert (r.size, r.text_crc32) == (len(body) + 16, zlib.crc32(body))
         by[r.shard].append(r)
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
-    sizes = [sum(r.size for r in by[k] if r.size < 10_000) for k in range(10)]
     whole = sum(len((t or "").encode()) + 16 for t in texts)
-    assert max(sum(r.size for r in v) for v in by.values()) <= whole / 10 + max(r.size for r in rows) and min(sizes) >= 0
+    assert max(sum(r.size for r in v) for v in by.values()) <= whole / 10 + max(r.size for r in rows)
     assert sharding.shard_documents(docs([])).count() == 0
     even = sharding.shard_documents(docs(["y" * rng.randint(50, 150) for _ in range(4000)]), shards=8).groupBy("shard").agg(F.sum("size").alias("s")).collect()
     sizes = [r.s for r in even]
@@ -247,3 +246,65 @@ def test_pipeline(spark, sf_dir):
         before = after
     done = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in done.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
+
+
+def test_pipeline_stages_against_brute_force(spark, docs):
+    """A small corpus through the stages that have an exact answer: lines, near copies, encoding; odd rows and clashing names stay whole."""
+    from lingolake.llm import bpe
+    from lingolake.llm.lines import drop_repeated_lines
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(f"w{rng.randint(0, 900)}" for _ in range(n))
+    header = "licence line one\nlicence line two\nlicence line three"
+    texts = [f"{header}\n{say(20)}\n{say(20)}" if k % 3 else say(60) for k in range(60)]
+    texts += [texts[1], texts[0] + " tail", header, None, "", "one"]
+    table = docs(texts).selectExpr("*", "array('keep') as removed", "7 as rule")
+    want = removed_lines([(i, t) for i, t in enumerate(texts) if t])
+    stay = {i: want.get(i, t) for i, t in enumerate(texts) if not (want.get(i, t) != t and not (want.get(i) or "").strip())}
+    cut = drop_repeated_lines(spark, table, "")
+    rows = cut.collect()
+    assert cut.columns == table.columns and {r.doc_id: r.text for r in rows} == stay
+    assert all((r.removed, r.rule, r.n_words, r.spans) == (["keep"], 7, "x", "y") and r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+    found = classes([(i, t) for i, t in stay.items()])
+    kept = near.keep_one(spark, cut, "")
+    assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i in stay if found.get(i, i) == i}
+    ids = bpe.encode_stage(spark, kept, "")
+    assert ids.count() == kept.count() and ids.columns[0] == "doc_id"
+    for stage in (drop_repeated_lines, near.keep_one, bpe.encode_stage):
+        assert stage(spark, table.limit(0), "").count() == 0
+
+
+def test_ids_of_other_kinds(spark):
+    table = spark.createDataFrame([("a", "x y z"), ("b", "x y z"), (None, "q"), ("a", None)], "doc_id string, text string")
+    rows = sharding.shard_documents(table, shards=2).collect()
+    assert len(rows) == 4 and {r.doc_id for r in rows} == {"a", "b", None}
+    assert lines.dedup_lines(table).count() == 4
+    import pytest
+
+    with pytest.raises(ValueError, match="integer"):
+        near.near_classes(table)
+
+
+def test_aggregates_that_hot_keys_meet_are_tables(docs):
+    """What a hot key is joined with is read from a written table, so that Spark can split the join."""
+    texts = docs(["a\nb\nc\nd"] * 20 + ["x\ny\nz"])
+    plan = lines.later_windows(lines.materialize(lines.occurrences(texts), "t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # the one that gathers windows by document, above the join
+
+
+def test_language_id_repeats_and_calibration(docs):
+    texts = ["le chat dort sur la table " * 3, "der hund schläft unter dem tisch " * 3] * 30
+    table = docs(texts, [1] * 60).withColumn("lang", F.when(F.col("text").startswith("le"), "fr").otherwise("de"))
+    first, again = langid.train(table), langid.train(table.repartition(3))
+    assert first.langs == ["de", "fr"] and (first.table == again.table).all()
+    rng = np.random.default_rng(3)
+    rows = [(np.array([k % 7, 7 + rng.integers(50)]), np.array([3.0, 1.0]), "ab"[(k % 7) > 3] if rng.random() < 0.9 else "ab"[rng.integers(2)]) for k in range(400)]
+    model = langid.fit(rows)
+    assert 0.2 <= model.temperature <= 20 and 0 <= model.reject <= 1
+    # the softmax of the mean of embedded features, by hand
+    raw, offsets = langid.utf8(langid.pa.array(["le chat", "", "12"]))
+    bucket, row = langid.features(raw, offsets)
+    logits = first.table[bucket[row == 0]].mean(0) + first.bias
+    e = np.exp((logits - logits.max()) / first.temperature)
+    best, p = first.predict(raw, offsets)
+    assert math.isclose(p[0], (e / e.sum()).max(), rel_tol=1e-5) and best[0] == int(logits.argmax())
