@@ -1,29 +1,36 @@
 """Quality rules: a decision list learned from labelled documents, as ordered Spark conditional expressions.
 
 Statistics of each document are native expressions. Sequential covering learns conjunctions of thresholds that find the
-documents labelled as poor: a rule grows by the condition of best information gain on one part of the sample, is pruned
+documents labelled as poor, and then those labelled as toxic among the rest: a rule grows by the condition of best information gain on one part of the sample, is pruned
 from its end on the other part, and is kept while it is precise there; the documents that it covers leave the sample and the
 next rule follows. The list is applied as CASE WHEN: the first rule that holds rejects, and what no rule covers is kept.
 
+Toxic documents are told by how many of their words are listed. Half of the sample makes the list, of LISTED words at most: those
+that LISTED_DOCS toxic documents or more hold, and hardly any other document. Rules on it are learned on the other half, where the list
+is as good as on documents never seen.
+
 The fit uses at most FIT_ROWS labelled documents, those of least hash, so the driver holds a bounded table of numbers.
 
 Defined results: a null text has no words, as an empty one, and fails the base test. A document with several labels counts
-as poor if one of them is 0; null labels are left out. No labels, or labels of one kind only: no rules, so the base test
-alone decides. Repeated rows are judged alike, very long texts whole. An empty table gives no rows.
+as poor if one of them is 0, as toxic if one is 1; null labels are left out. No labels, or labels of one kind only: no rules, so the
+base test alone decides. Repeated rows are judged alike, very long texts whole. An empty table gives no rows.
 Columns that bear the name of a statistic are replaced.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import where
+from .shared import materialize, where
 
 FIT_ROWS = 20_000
+#: Words listed at most, toxic documents that hold one at least, and the least share of toxic ones among its documents (and one more).
+LISTED, LISTED_DOCS, LISTED_SHARE = 400, 5, 0.9
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 _WHITE = " \t\n\x0b\x0c\r"
@@ -37,12 +44,22 @@ FEATURES = {
     "repeat_share": lambda: F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
     "words_per_line": lambda: F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
     "digit_share": lambda: F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
+    "n_listed": lambda: F.col("n_listed"),
+    "listed_share": lambda: F.col("n_listed") / F.greatest(F.col("n_words"), F.lit(1)),
 }
+#: What rules for poor documents may test, and those for toxic ones.
+OF_POOR, OF_TOXIC = list(FEATURES)[:-2], list(FEATURES)[-2:]
+
+
+def letter_words(text: Column) -> Column:
+    """Runs of letters in lower case, as an array; some may be empty."""
+    return F.split(F.lower(text), r"\P{L}+")
 
 
-def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Columns `keep` of docs (all by default) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_digits."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits"]
+def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None, listed: tuple[str, ...] = ()) -> DataFrame:
+    """Columns `keep` of docs (all by default) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_digits, and
+    n_listed, the words of `listed`."""
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_listed"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     body = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim("__body", F.lit(_WHITE))
@@ -54,8 +71,9 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.length(F.translate("__body", _WHITE, "")).cast("long").alias("word_chars"),
         (F.length("__body") - F.length(F.translate("__body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("__body") - F.length(F.translate("__body", "0123456789", ""))).cast("long").alias("n_digits"),
+        (F.size(F.filter(letter_words(F.col("__body")), lambda w: w.isin(*listed))) if listed else F.lit(0)).cast("long").alias("n_listed"),
     )
-    plain = [*keep, "word_chars", "n_symbols", "n_digits"]
+    plain = [*keep, "word_chars", "n_symbols", "n_digits", "n_listed"]
     df = df.select(
         *plain,
         F.size("__words").cast("long").alias("n_words"),
@@ -149,14 +167,41 @@ def _prune(rule, values, poor, rows) -> list[Condition]:
     return best
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[list[Condition]]:
-    """Rules for documents with quality 0, from at most `fit_rows` labelled documents."""
-    graded = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    chosen = graded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    sample = with_statistics(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=["doc_id", "__quality"])  # chosen has fit_rows rows at most
-    rows = sample.select("__quality", *[make().cast("double").alias(k) for k, make in FEATURES.items()]).orderBy("doc_id").limit(fit_rows).collect()
-    values = {k: np.array([r[k] for r in rows]) for k in FEATURES}
-    return learn_rules(values, np.array([r["__quality"] == 0 for r in rows], bool))
+class Model(NamedTuple):
+    """Rules in their order, and the listed words that their statistics count."""
+
+    rules: list[list[Condition]]
+    listed: tuple[str, ...] = ()
+
+
+def toxic_words(sample: DataFrame) -> tuple[str, ...]:
+    """Words to list, from rows (text, __toxic): those that toxic documents hold and hardly any other; LISTED at most."""
+    held = sample.select("__toxic", F.explode(F.array_distinct(letter_words(F.col("text")))).alias("word")).filter(F.length("word") > 0)
+    counts = held.groupBy("word").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("n"))
+    chosen = counts.filter((F.col("toxic") >= LISTED_DOCS) & (F.col("toxic") >= LISTED_SHARE * (F.col("n") + 1))).orderBy(F.desc("toxic"), "word")
+    return tuple(r.word for r in chosen.limit(LISTED).collect())
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    """Rules for documents with quality 0, then for those with toxic 1, from at most `fit_rows` labelled documents."""
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None).cast("int")
+    graded = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality"), F.max(toxic).alias("__toxic"))
+    chosen = graded.filter(F.coalesce("__quality", "__toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+    half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("__half")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has fit_rows rows at most
+    sample = materialize(sample.select("doc_id", "text", "__quality", "__toxic", half), "quality-sample")
+    listed = toxic_words(sample.filter("__half = 0 and __toxic is not null"))
+    known = ["__quality", "__toxic", "__half"]
+    numbers = with_statistics(sample, keep=["doc_id", *known], listed=listed)
+    rows = numbers.select(*known, *[make().cast("double").alias(k) for k, make in FEATURES.items()]).orderBy("doc_id").limit(fit_rows).collect()
+    rules = _learn([r for r in rows if r["__quality"] is not None], OF_POOR, lambda r: r["__quality"] == 0)
+    if listed:
+        rules += _learn([r for r in rows if r["__toxic"] is not None and r["__half"] == 1], OF_TOXIC, lambda r: r["__toxic"] == 1)
+    return Model(rules, listed)
+
+
+def _learn(rows: list, features: list[str], bad) -> list[list[Condition]]:
+    return learn_rules({k: np.array([r[k] for r in rows]) for k in features}, np.array([bad(r) for r in rows], bool))
 
 
 def first_rule(rules: list[list[Condition]]) -> Column:
@@ -171,21 +216,21 @@ def first_rule(rules: list[list[Condition]]) -> Column:
     return F.lit(0) if out is None else out.otherwise(F.lit(0))
 
 
-def judge(docs: DataFrame, rules: list[list[Condition]], keep: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """with_statistics, and base_failed, rule (the first that holds) and kept."""
-    df = with_statistics(docs, keep=keep).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(rules))
+    df = with_statistics(docs, keep=keep, listed=model.listed).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(model.rules))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, rules, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judge(docs, model, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "n_listed")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base test or a rule rejects go, null and empty texts among them. All columns come out as they
     went in, whatever their names; repeated rows stay or go together."""
-    rules = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    kept = judge(docs.select(F.struct(*docs.columns).alias("__row"), "text"), rules, keep=["__row"])
+    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    kept = judge(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, keep=["__row"])
     return where(kept, F.col("kept")).select("__row.*")

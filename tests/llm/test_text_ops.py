@@ -6,6 +6,7 @@ import re
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lingolake.llm import bpe, decontaminate, pii, secrets
 from lingolake.llm import quality as Q
@@ -166,9 +167,9 @@ def statistics(text):
 def test_quality_statistics(docs, odd):
     rng = random.Random(4)
     texts = ["".join(rng.choice(["a ", "b ", "c\n", "#", "| ", "a b c d e f g h ", "é\t"]) for _ in range(rng.randint(0, 60))) for _ in range(300)] + odd
-    for r in Q.judge(docs(texts), []).collect():
+    for r in Q.judge(docs(texts), Q.Model([], ("a", "é"))).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == statistics(texts[r.doc_id])
-        assert r.kept == (not r.base_failed)
+        assert r.kept == (not r.base_failed) and r.n_listed == sum(w in ("a", "é") for w in re.findall(r"[^\W\d_]+", (texts[r.doc_id] or "").lower()))
 
 
 def test_decision_list(spark, docs):
@@ -176,10 +177,35 @@ def test_decision_list(spark, docs):
     bad = [" ".join(f"w{i}###{k}" for k in range(40)) for i in range(60)]
     table = docs(good + bad)
     labels = spark.createDataFrame([(i, int(i < 60), 0) for i in range(120)] + [(None, 0, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
-    rules = Q.fit(table, labels)
-    kept = {r.doc_id for r in Q.judge(table, rules).filter("kept").collect()}
+    model = Q.fit(table, labels)
+    kept = {r.doc_id for r in Q.judge(table, model).filter("kept").collect()}
     assert kept == set(range(60))
-    assert Q.fit(table, labels.limit(0)) == [] and Q.fit(table, labels.filter("quality = 1")) == []
+    none = Q.Model([], ())
+    assert Q.fit(table, labels.limit(0)) == none and Q.fit(table, labels.filter("quality = 1")) == none
+    assert Q.fit(table, labels.drop("toxic")) == model and Q.fit(table.limit(0), labels) == none
+
+
+def test_toxic_words(spark, docs):
+    rng = random.Random(6)
+    say = lambda *more: " ".join(rng.sample([*(f"w{chr(97 + rng.randint(0, 25))}x" for _ in range(40)), *more], 40 + len(more)))
+    texts = [say("Fiend,", "(ogre)") if k % 4 == 0 else say("friend", "ogres") for k in range(480)] + [None, "", "fiend ogre"]
+    table = docs(texts)
+    labels = spark.createDataFrame([(k, 1 if k % 3 else None, int(k % 4 == 0)) for k in range(240)] + [(1, 1, None), (481, 1, 0)], "doc_id long, quality int, toxic int")
+    model = Q.fit(table, labels)
+    assert set(model.listed) == {"fiend", "ogre"} and model.rules
+    out = {r.doc_id: r for r in Q.judge(table, model).collect()}
+    assert all(out[k].kept == (k % 4 > 0) and out[k].n_listed == 2 * (k % 4 == 0) for k in range(480))
+    assert not any(out[k].kept for k in (480, 481, 482))
+    assert Q.fit(table, labels.filter("toxic = 0")) == Q.Model([], ())
+
+
+def test_toxic_documents_are_found_on_held_out_labels(spark, sf_dir):
+    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels")}
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0
+    model = Q.fit(tables["documents"], tables["labels"].filter(~held))
+    seen = Q.judge(tables["documents"], model, keep=["doc_id", "lang"]).join(tables["labels"].filter(held), "doc_id").filter("lang = 'en' and quality = 1 and not base_failed").collect()
+    toxic, clean = [r for r in seen if r.toxic], [r for r in seen if not r.toxic]
+    assert sum(not r.kept for r in toxic) >= 0.8 * len(toxic) and sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
 def test_bpe(docs, odd):
