@@ -199,13 +199,13 @@ def test_toxic_words(spark, docs):
     assert Q.fit(table, labels.filter("toxic = 0")) == Q.Model([], ())
 
 
-def test_toxic_documents_are_found_on_held_out_labels(spark, sf_dir):
-    tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels")}
+def test_toxic_documents_are_found_on_held_out_labels(spark):
+    tables = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0
     model = Q.fit(tables["documents"], tables["labels"].filter(~held))
-    seen = Q.judge(tables["documents"], model, keep=["doc_id", "lang"]).join(tables["labels"].filter(held), "doc_id").filter("lang = 'en' and quality = 1 and not base_failed").collect()
-    toxic, clean = [r for r in seen if r.toxic], [r for r in seen if not r.toxic]
-    assert sum(not r.kept for r in toxic) >= 0.8 * len(toxic) and sum(r.kept for r in clean) >= 0.97 * len(clean)
+    seen = Q.judge(tables["documents"], model, keep=["doc_id", "lang"]).join(tables["labels"].filter(held & (F.col("quality") == 1)), "doc_id").filter("lang = 'en'").collect()
+    toxic, clean = ([r for r in seen if r.toxic == k and not r.base_failed] for k in (1, 0))
+    assert sum(not r.kept for r in toxic) >= 0.9 * len(toxic) and sum(r.kept for r in clean) >= 0.97 * len(clean)
 
 
 def test_bpe(docs, odd):
