@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, language_model, lines, near, pii, quality, secrets, sharding
+from . import bpe, decontaminate, langid, language_model, lines, near, pii, quality, resample, secrets, sharding, spelling, warc
 
 
 def queries():
@@ -17,8 +17,17 @@ def queries():
         "op8_bpe": bpe.op8_bpe,
         "op9_quality": quality.op9_quality,
         "op10_language_id": langid.op10_language_id,
+        "op11_spelling": spelling.op11_spelling,
+        "op12_resampling": resample.op12_resampling,
+        "op13_archive": warc.op13_archive,
     }
 
 
 def oracle_sql():
-    return {"op1_decontaminate": decontaminate.OP1_SQL, "op4_line_dedup": lines.OP4_SQL}
+    return {
+        "op1_decontaminate": decontaminate.OP1_SQL,
+        "op4_line_dedup": lines.OP4_SQL,
+        "op11_spelling": spelling.OP11_SQL,
+        "op12_resampling": resample.OP12_SQL,
+        "op13_archive": warc.OP13_SQL,
+    }
