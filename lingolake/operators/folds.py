@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .scan import scan_ordered, with_running
+from .ranks import LONG, carried, long_keys, ranged, with_places
+from .scan import scan_islands, scan_ordered, with_running
 
 ALL_BEFORE = (Window.unboundedPreceding, -1)
 
@@ -27,8 +28,10 @@ def pair_speech_events(events: DataFrame, most: int = 30_000) -> DataFrame:
     return closed.filter("end_ms > start_ms")
 
 
-def group_spans(spans: DataFrame, gap: int = 700, cap: int = 30_000) -> DataFrame:
-    """Greedy groups of spans (job_id, start_ms, end_ms): a span joins while its gap is small and the group stays within the cap."""
+def group_spans(spans: DataFrame, gap: int = 700, cap: int = 30_000, long: int = LONG) -> DataFrame:
+    """Greedy groups of spans (job_id, start_ms, end_ms): a span joins while its gap is small and the group stays within the cap.
+
+    A span that starts more than `gap` after every earlier one has ended begins a group; jobs of more than `long` spans are cut there."""
 
     def fold(rows):
         job = first = last = None
@@ -46,7 +49,8 @@ def group_spans(spans: DataFrame, gap: int = 700, cap: int = 30_000) -> DataFram
 
     kind = dict(spans.dtypes)["job_id"]
     good = spans.filter("end_ms > start_ms").select("job_id", F.col("start_ms").cast("long"), F.col("end_ms").cast("long"))
-    return scan_ordered(good, ["job_id"], ["start_ms", "end_ms"], fold, f"job_id {kind}, chunk_no int, start_ms long, end_ms long")
+    far = lambda reach: F.col("start_ms") - reach > gap
+    return scan_islands(good, ["start_ms", "end_ms"], fold, f"job_id {kind}, chunk_no int, start_ms long, end_ms long", far, F.col("end_ms"), "chunk_no", 0, long)
 
 
 def chunk_overlap(groups: DataFrame, extra: int = 2500, near: int = 100) -> DataFrame:
@@ -64,8 +68,10 @@ def chunk_overlap(groups: DataFrame, extra: int = 2500, near: int = 100) -> Data
     )
 
 
-def dedupe_overlaps(rows: DataFrame) -> DataFrame:
-    """Rows (job_id, start_ms, end_ms, text) in time order without those that repeat a stretch already covered; idx from 1."""
+def dedupe_overlaps(rows: DataFrame, long: int = LONG) -> DataFrame:
+    """Rows (job_id, start_ms, end_ms, text) in time order without those that repeat a stretch already covered; idx from 1.
+
+    A row that starts when every earlier one has ended is kept, and all that matters from then on; jobs of more than `long` rows are cut there."""
 
     def fold(group):
         prev_start = prev_end = -1
@@ -79,27 +85,30 @@ def dedupe_overlaps(rows: DataFrame) -> DataFrame:
             yield job, n, start, end, text
 
     kind = dict(rows.dtypes)["job_id"]
-    return scan_ordered(rows.select("job_id", "start_ms", "end_ms", "text"), ["job_id"], ["start_ms", "end_ms", "text"], fold, f"job_id {kind}, idx long, start_ms long, end_ms long, text string")
+    apart = lambda reach: F.least("start_ms", "end_ms") >= reach
+    return scan_islands(rows.select("job_id", "start_ms", "end_ms", "text"), ["start_ms", "end_ms", "text"], fold, f"job_id {kind}, idx long, start_ms long, end_ms long, text string", apart, F.col("end_ms"), "idx", 1, long)
 
 
-def paragraphs(rows: DataFrame, gap: int = 1500, span: int = 60_000, chars: int = 240) -> DataFrame:
-    """Paragraph texts of rows (job_id, idx, start_ms, end_ms, text)."""
+def paragraphs(rows: DataFrame, gap: int = 1500, span: int = 60_000, chars: int = 240, long: int = LONG) -> DataFrame:
+    """Paragraph texts of rows (job_id, idx, start_ms, end_ms, text). A row more than `gap` after every earlier end begins one; jobs of
+    more than `long` rows are cut there."""
 
     def fold(group):
-        job, parts, first, last, n = None, [], 0, -1, 0
+        job, parts, size, first, last, n = None, [], 0, 0, -1, 0
         for key, _, start, end, text in group:
-            if parts and (start - last > gap or start - first > span or sum(map(len, parts)) > chars):
+            if parts and (start - last > gap or start - first > span or size > chars):
                 yield job, n, first, "".join(parts)
-                parts, n = [], n + 1
+                parts, size, n = [], 0, n + 1
             if not parts:
                 first = start
-            job, last = key, max(last, end)
+            job, last, size = key, max(last, end), size + len(text)
             parts.append(text)
         if parts:
             yield job, n, first, "".join(parts)
 
     kind = dict(rows.dtypes)["job_id"]
-    return scan_ordered(rows.select("job_id", "idx", "start_ms", "end_ms", "text"), ["job_id"], ["idx"], fold, f"job_id {kind}, paragraph int, start_ms long, text string")
+    far = lambda reach: (F.col("start_ms") - F.greatest(reach, F.lit(-1)) > gap) & (F.col("end_ms") >= reach)
+    return scan_islands(rows.select("job_id", "idx", "start_ms", "end_ms", "text"), ["idx"], fold, f"job_id {kind}, paragraph int, start_ms long, text string", far, F.col("end_ms"), "paragraph", 0, long)
 
 
 def sentence_groups(rows: DataFrame, most: int = 6, chars: int = 120, row_chars: int = 80, ends: str = "。！？!?…") -> DataFrame:
@@ -121,19 +130,19 @@ def sentence_groups(rows: DataFrame, most: int = 6, chars: int = 120, row_chars:
     return scan_ordered(rows.select("job_id", "idx", "text", cached.alias("cached")), ["job_id"], ["idx"], fold, f"job_id {kind}, idx long, group_no int, place int, grouped boolean")
 
 
-def narration_units(rows: DataFrame, style: tuple[int, int, bool] | None, most: int = 220, scene: int = 1500) -> DataFrame:
+def narration_units(rows: DataFrame, style: tuple[int, int, bool] | None, most: int = 220, scene: int = 1500, long: int = LONG) -> DataFrame:
     """Units (job_id, index, rows, text, gap_after_ms, start_ms, end_ms) of rows (job_id, idx, start_ms, end_ms, text).
 
     A unit ends with a sentence, before a new scene, or before the row that would make it longer than `most` characters, a space
-    counted after each row. Units are numbered by a running sum of these breaks and put together by their number; a unit is
-    never longer than `most` and a row."""
+    counted after each row. Rows are first cut where a sentence or scene must end, then by a running length within such a stretch; a unit
+    is never longer than `most` and a row. In jobs of more than `long` rows the row before, the stretch and the unit after are
+    carried between ranges of rows, and stretches are tasks' work of their own."""
     if style is None:
         return rows.select("job_id", F.col("idx").alias("index"), F.lit(1).alias("rows"), "text", F.lit(None).cast("int").alias("gap_after_ms"), "start_ms", "end_ms")
-    gap, long_gap, cues = style
-    w = Window.partitionBy("job_id").orderBy("idx")
     df = rows.select("job_id", "idx", "start_ms", "end_ms", F.coalesce("text", F.lit("")).alias("text")).withColumn("_bare", X.strip(F.col("text")))
-    ended = X.sentence_end(F.lag("_bare").over(w)) | (F.col("start_ms") - F.lag("end_ms").over(w) >= scene)
-    df = df.withColumn("_must", F.coalesce(ended, F.lit(True))).withColumn("_size", F.length("text") + 1).withColumn("_own", F.length("_bare"))
+    df = df.withColumn("_size", F.length("text") + 1).withColumn("_own", F.length("_bare"))
+    must = F.coalesce(X.sentence_end(F.col("_before")) | (F.col("start_ms") - F.col("_ended") >= scene), F.lit(True))
+    job = ["job_id"]
 
     def step(state, row):
         must, size, own = row
@@ -142,13 +151,32 @@ def narration_units(rows: DataFrame, style: tuple[int, int, bool] | None, most:
         state[0] += size
         return (state[1],)
 
-    df = with_running(df, "job_id", ["idx"], ["_must", "_size", "_own"], "_unit long", lambda: [0, 0], step)
-    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_own") > 0, F.struct("idx", "_bare")))), lambda x: x["_bare"]), " ")
-    units = df.groupBy("job_id", "_unit").agg(F.min("idx").alias("index"), F.count("*").cast("int").alias("rows"), text.alias("text"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"))
-    spoken = units.withColumn("text", X.add_cues(F.col("text"))) if cues else units
-    following = F.lead("start_ms").over(Window.partitionBy("job_id").orderBy("index"))
-    pause = F.when(following.isNull(), 0).when((following - F.col("end_ms") >= scene) | X.long_end(F.col("text")), long_gap).otherwise(gap)
-    return spoken.select("job_id", "index", "rows", "text", pause.cast("int").alias("gap_after_ms"), "start_ms", "end_ms")
+    def units_of(cut: DataFrame, *keys: str) -> DataFrame:
+        text = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_own") > 0, F.struct("idx", "_bare")))), lambda x: x["_bare"]), " ")
+        return cut.groupBy("job_id", *keys, "_unit").agg(F.min("idx").alias("index"), F.count("*").cast("int").alias("rows"), text.alias("text"), F.min_by("start_ms", "idx").alias("start_ms"), F.max_by("end_ms", "idx").alias("end_ms"))
+
+    def finished(units: DataFrame) -> DataFrame:
+        gap, long_gap, cues = style
+        spoken = units.withColumn("text", X.add_cues(F.col("text"))) if cues else units
+        pause = F.when(F.col("_next").isNull(), 0).when((F.col("_next") - F.col("end_ms") >= scene) | X.long_end(F.col("text")), long_gap).otherwise(gap)
+        return spoken.select("job_id", "index", "rows", "text", pause.cast("int").alias("gap_after_ms"), "start_ms", "end_ms")
+
+    def whole(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy("job_id").orderBy("idx")
+        cut = df.withColumn("_before", F.lag("_bare").over(w)).withColumn("_ended", F.lag("end_ms").over(w)).withColumn("_must", must)
+        units = units_of(with_running(cut, "job_id", ["idx"], ["_must", "_size", "_own"], "_unit long", lambda: [0, 0], step))
+        return finished(units.withColumn("_next", F.lead("start_ms").over(Window.partitionBy("job_id").orderBy("index"))))
+
+    def in_ranges(df: DataFrame) -> DataFrame:
+        cut = carried(ranged(df, job, ["idx"]), job, lags={"_before": F.col("_bare"), "_ended": F.col("end_ms")}).withColumn("_must", must)
+        cut = carried(cut, job, sums={"_stretch": F.col("_must").cast("long")}).withColumn("_key", F.struct("job_id", "_stretch"))
+        units = units_of(with_running(cut.repartition("_key"), "_key", ["idx"], ["_must", "_size", "_own"], "_unit long", lambda: [0, 0], step), "_stretch")
+        return finished(carried(ranged(units, job, ["index"]), job, leads={"_next": F.col("start_ms")}))
+
+    known = long_keys(df, "job_id", long)
+    if known is None:
+        return whole(df)
+    return whole(df.join(known, "job_id", "left_anti")).unionByName(in_ranges(df.join(known, "job_id", "left_semi")))
 
 
 def unit_offsets(units: DataFrame) -> DataFrame:
@@ -171,29 +199,23 @@ def build_cues(units: DataFrame, max_chars: int = 84, min_seconds: float = 1.0,
     """Subtitle cues of units (job_id, index, text, length_ms, gap_ms, optional total_ms).
 
     A unit's pieces share its time by their characters, the last one ends with it; short cues last `min_seconds`, but never into the
-    next; none goes beyond the total; empty ones go. All is by job: one exchange, one order. `normalize` as in split_text."""
+    next; none goes beyond the total; empty ones go. Pieces become rows at once, so a text is split once; all else are windows over the
+    pieces of a job or unit, which share one exchange by job. `normalize` as in split_text."""
     known = share_unknown_lengths(units) if "total_ms" in units.columns else units
-    laid = unit_offsets(known).withColumn("_pieces", X.split_text(F.col("text"), max_chars, normalize)).filter(F.size("_pieces") > 0)
-    chars = F.aggregate("_pieces", F.lit(0), lambda a, p: a + F.length(p))
-    share = lambda p: F.bround(F.col("length_ms") * F.length(p) / F.col("_chars")).cast("long")
-
-    def lay(state, p):
-        cue = F.struct(state["at"].alias("start"), (state["at"] + share(p)).alias("end"), p.alias("text"))
-        return F.struct((state["at"] + share(p)).alias("at"), F.array_append(state["out"], cue).alias("out"))
-
-    none = F.array().cast("array<struct<start:bigint,end:bigint,text:string>>")
     total = ["total_ms"] if "total_ms" in units.columns else []
-    df = laid.withColumn("_chars", chars).withColumn("_cues", F.aggregate("_pieces", F.struct(F.col("start_ms").alias("at"), none.alias("out")), lay, lambda s: s["out"]))
-    df = df.select("job_id", "index", "end_ms", *total, F.size("_cues").alias("_n"), F.posexplode("_cues").alias("piece", "_cue")).withColumn("_from", F.col("_cue.start"))
-    order = Window.partitionBy("job_id").orderBy("index", "piece")
+    pieces = unit_offsets(known).select("job_id", "index", "start_ms", "end_ms", "length_ms", *total, F.posexplode(X.split_text(F.col("text"), max_chars, normalize)).alias("piece", "text"))
+    chars = F.length("text")
+    unit, order = Window.partitionBy("job_id", "index"), Window.partitionBy("job_id").orderBy("index", "piece")
+    df = pieces.withColumn("_part", F.bround(F.col("length_ms") * chars / F.sum(chars).over(unit)).cast("long"))
+    since = F.coalesce(F.sum("_part").over(unit.orderBy("piece").rowsBetween(*ALL_BEFORE)), F.lit(0))
+    df = df.withColumn("_from", F.col("start_ms") + since).withColumn("_last", F.col("piece") == F.max("piece").over(unit))
     following, wanted = F.lead("_from").over(order), F.col("_from") + int(min_seconds * 1000)
-    own = F.when(F.col("piece") == F.col("_n") - 1, F.col("end_ms")).otherwise(F.col("_cue.end"))
-    end = F.when(own >= wanted, own).otherwise(F.greatest(own, F.least(wanted, following)))
-    df = df.withColumn("_to", end)
+    own = F.when(F.col("_last"), F.col("end_ms")).otherwise(F.col("_from") + F.col("_part"))
+    df = df.withColumn("_to", F.when(own >= wanted, own).otherwise(F.greatest(own, F.least(wanted, following))))
     if total:
         df = df.withColumn("_to", F.when(F.col("total_ms") > 0, F.least("_to", "total_ms")).otherwise(F.col("_to")))
     kept = df.filter(F.col("_to") > F.col("_from"))
-    return kept.select("job_id", F.row_number().over(order).alias("cue_no"), F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), X.two_lines(F.col("_cue.text")).alias("text"))
+    return kept.select("job_id", F.row_number().over(order).alias("cue_no"), F.col("_from").alias("start_ms"), F.col("_to").alias("end_ms"), X.two_lines(F.col("text")).alias("text"))
 
 
 def rolling_context(rows: DataFrame, n: int = 512) -> DataFrame:
@@ -216,13 +238,15 @@ def contiguous_prefix(rows: DataFrame, done: str = "done") -> DataFrame:
 
 
 def assign_numbers(jobs: DataFrame, scope: str = "scope") -> DataFrame:
-    """Jobs without workflow_no are numbered by (created_at, id) after the largest number (or column last_no) of their scope."""
-    new = F.col("workflow_no").isNull()
-    most = F.coalesce(F.max("workflow_no").over(Window.partitionBy(scope)), F.lit(0))
-    if "last_no" in jobs.columns:
-        most = F.greatest(most, F.coalesce("last_no", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(scope, new).orderBy("created_at", "id"))
-    return jobs.withColumn("workflow_no", F.coalesce(F.col("workflow_no").cast("long"), (most + place).cast("long")))
+    """Jobs without workflow_no are numbered by (created_at, id) after the largest number (or column last_no) of their scope.
+
+    Scopes are few and large: places come from ranges of jobs, the largest numbers from one aggregate."""
+    last = [F.max("workflow_no"), *([F.max("last_no")] if "last_no" in jobs.columns else [])]
+    most = jobs.groupBy(scope).agg(F.coalesce(F.greatest(*last) if len(last) > 1 else last[0], F.lit(0)).alias("_most")).withColumnRenamed(scope, "_scope")
+    placed = with_places(jobs.withColumn("_new", F.col("workflow_no").isNull()), [scope, "_new"], ["created_at", "id"])
+    numbered = placed.join(most, F.col(scope).eqNullSafe(F.col("_scope")), "left")
+    number = F.coalesce(F.col("workflow_no").cast("long"), (F.col("_most") + F.col("_place")).cast("long"))
+    return numbered.select(*[number.alias(c) if c == "workflow_no" else F.col(c) for c in jobs.columns])
 
 
 def chunk_rows(rows: DataFrame, size: int = 100) -> DataFrame:
@@ -238,10 +262,9 @@ def attempt_cutoff(attempts: DataFrame, final: str = "final") -> DataFrame:
 
 
 def lru_keep(entries: DataFrame, key: str = "scope", most_bytes: int = 1 << 30, most: int = 1000) -> DataFrame:
-    """The most recent entries (used_at, name, size) of each key within both limits."""
-    w = Window.partitionBy(key).orderBy(F.desc("used_at"), "name")
-    kept = entries.withColumn("_n", F.row_number().over(w)).withColumn("_b", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return kept.filter((F.col("_n") <= most) & (F.col("_b") <= most_bytes)).drop("_n", "_b")
+    """The most recent entries (used_at, name, size) of each key within both limits, by running counts and sums over ranges of entries."""
+    kept = with_places(entries, [key], [F.desc("used_at"), F.asc("name")], ["size"])
+    return kept.filter((F.col("_place") <= most) & (F.col("_sum_size") <= most_bytes)).drop("_place", "_sum_size")
 
 
 def last_state(transitions: DataFrame) -> DataFrame:
