@@ -140,13 +140,14 @@ class _Reader:
     def find(self, place: int, end: int) -> int:
         """The first place from here, before `end`, where a gzip member may begin; or -1."""
         while place < end:
-            view = self.at(place, min(_WINDOW, end + len(_MAGIC) - 1 - place))
-            found = bytes(view).find(_MAGIC)
+            n = len(self.at(place, min(_WINDOW, end + len(_MAGIC) - 1 - place)))
+            low = place - self.start
+            found = self.data.find(_MAGIC, low, low + n)  # in the window itself, which is not copied
             if found >= 0:
-                return place + found
-            if len(view) < len(_MAGIC):
+                return self.start + found
+            if n < len(_MAGIC):
                 return -1
-            place += len(view) - len(_MAGIC) + 1
+            place += n - len(_MAGIC) + 1
         return -1
 
     def member(self, place: int) -> tuple[bytes, int] | None:
