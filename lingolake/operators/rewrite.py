@@ -44,6 +44,24 @@ def replace_terms(df: DataFrame, column: str, rules: list[Rule], out: str | None
     return df.withColumn(out, X.nfc(text) if normalize else text).withColumn("hits", F.coalesce(F.transform("_hits", lambda h: F.element_at(ids, h)), F.array().cast("array<string>"))).drop("_body", "_hits")
 
 
+def replace_by_snapshot(df: DataFrame, column: str, rules: DataFrame) -> DataFrame:
+    """replace_terms where each row names its rules: df has snapshot_id, and rules are a table (snapshot_id, rule_id, source, replacement).
+
+    A snapshot's rules become one pattern and one map, joined to the rows of it. Rows of an unknown snapshot keep their text. Rules are
+    normalised as texts are; those with an empty source are left out, and of equal sources the one of the smallest id holds."""
+    each = rules.select("snapshot_id", "rule_id", X.nfc(F.col("source")).alias("source"), X.nfc(F.coalesce("replacement", F.lit(""))).alias("to")).filter(F.length(X.strip(F.col("source"))) > 0)
+    each = each.groupBy("snapshot_id", "source").agg(F.min(F.struct("rule_id", "to")).alias("rule"))
+    safe = F.regexp_replace("source", r"([\\.^$|?*+()\[\]{}])", r"\\$1")
+    longest = F.transform(F.sort_array(F.collect_list(F.struct((-F.length("source")).alias("short"), safe.alias("safe")))), lambda x: x["safe"])
+    sets = each.groupBy("snapshot_id").agg(F.array_join(longest, "|").alias("_pattern"), F.map_from_entries(F.collect_list(F.struct("source", "rule"))).alias("_rules"))
+    rows = df.join(sets, "snapshot_id", "left").withColumn("_body", X.nfc(F.col(column)))
+    rows = rows.withColumn("_hits", F.when(F.col("_pattern").isNotNull(), F.regexp_extract_all("_body", F.col("_pattern"), F.lit(0))))
+    joined = F.array_join(F.zip_with(F.split("_body", F.col("_pattern"), -1), "_hits", lambda p, h: F.concat(p, F.coalesce(F.try_element_at("_rules", h)["to"], F.lit("")))), "")
+    text = X.nfc(F.when(F.size("_hits") > 0, joined).otherwise(F.col("_body")))
+    hits = F.coalesce(F.transform("_hits", lambda h: F.element_at("_rules", h)["rule_id"]), F.array().cast("array<string>"))
+    return rows.withColumn(column, text).withColumn("hits", hits).select(*df.columns, "hits")
+
+
 def moderation_stats(replaced: DataFrame, rule_ids: list[str], changed: Column) -> DataFrame:
     """Per job and rule the hits, zeros included, with totals: segments, modified segments, all replacements."""
     totals = replaced.groupBy("job_id").agg(F.count("*").alias("segments"), F.sum(changed.cast("long")).alias("modified"), F.sum(F.size("hits").cast("long")).alias("replacements"))

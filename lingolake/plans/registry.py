@@ -977,18 +977,38 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return s.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in s.columns else s
 
 
-def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read what it wrote: to the shared folder in append mode, one table in complete mode."""
+def _run(writer, spark: SparkSession) -> None:
+    """Run a stream's writer over what is there now, with its state in a folder that store.clear() knows."""
+    writer.option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+
+
+def _drained(stream: DataFrame) -> DataFrame:
+    """What a stream appends to a table in the shared folder."""
     spark = stream.sparkSession
     out = new_path(spark, "stream")
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", out + "-state").trigger(availableNow=True).start()
-    q.awaitTermination()
+    _run(stream.writeStream.format("parquet").option("path", out), spark)
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _kept(stream: DataFrame, keys: list[str]):
+    """The keyed table that a stream in update mode keeps."""
+    from ..streaming import streams, tables
+
+    spark = stream.sparkSession
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+    table = tables.KeyedTable(spark, new_path(spark, "kept"), keys, schema, 8)
+    _run(streams.upsert_writer(stream, table), spark)
+    return table
+
+
+def _parts(spark: SparkSession, rows: DataFrame, name: str, part, n: int) -> DataFrame:
+    """Rows as a stream of n files in order of `part`, a file for each batch."""
+    path = new_path(spark, name)
+    for k in range(n):
+        rows.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 def _as_transitions(e: DataFrame) -> DataFrame:
     state = F.create_map(*[F.lit(x) for kv in T.STATES.items() for x in kv])[F.col("event_type")]
     return e.select(F.col("user_id").alias("job_id"), F.concat(F.lit("S"), (F.col("event_id") % 4).cast("string")).alias("step"), "ts", F.col("event_id").alias("seq"), state.alias("state"), F.col("value").alias("percent"))
@@ -1018,37 +1038,57 @@ def i2(spark, d):
 
 @query("i3_stream_pronouns", "SELECT conv_id AS job_id, count(*) AS n, CAST(0 AS BIGINT) AS differ FROM conversations GROUP BY 1")
 def i3(spark, d):
-    """Rows of each job that the stream gives, and how many of them differ from the batch form."""
+    """Rows come in no order and are released, then rewritten, in one query; rows of each job, and how many differ from the batch form."""
     from ..operators import address
     from ..streaming import streams
 
     said, people = _said(spark, d), _people(spark, d)
-    path = new_path(spark, "pronouns-in")
-    # turns of a job in order, a few at a time
-    for k in range(3):
-        said.filter(F.least(F.floor((F.col("idx") - 1) / 3), F.lit(2)) == k).coalesce(1).write.mode("append").parquet(path)
-    stream = spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = new_path(spark, "pronouns-out")
-    streams.stream_pronouns(stream, people, "survival", out, f"{out}-trail").option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema("job_id long, idx long, text string, changes int").parquet(out)
+    rows = _parts(spark, said, "pronouns-in", F.pmod(F.xxhash64("idx"), 3), 3)
+    sheets = people.groupBy("job_id").agg(F.collect_list(F.struct(*[c for c in people.columns if c != "job_id"])).alias("people"))
+    opened = _parts(spark, sheets, "pronouns-sheets", F.pmod("job_id", F.lit(2)), 2)
+    got = _drained(streams.stream_pronouns(streams.ordered_release(rows), opened, "survival"))
     want = address.rewrite_pronouns(said, people, "survival").select("job_id", "idx", F.struct("text", "changes").alias("want"))
     both = got.join(want, ["job_id", "idx"], "full")
     return both.groupBy("job_id").agg(F.count("*").alias("n"), F.sum((~F.struct("text", "changes").eqNullSafe(F.col("want"))).cast("long")).alias("differ"))
 
 
-@query("i4_stream_moderate", f"WITH {_REPLACED} SELECT job_id, idx, text, CAST(len(h) AS BIGINT) AS n_hits FROM replaced")
+@query("i4_stream_moderate", f"""WITH {_REPLACED} SELECT job_id, idx, CASE WHEN job_id % 2 = 0 THEN text ELSE replace(before, 'the', '(t+)') END AS text,
+  CAST(CASE WHEN job_id % 2 = 0 THEN len(h) ELSE len(string_split(before, 'the')) - 1 END AS BIGINT) AS n_hits, 1 + job_id % 2 AS snapshot_id FROM replaced""")
 def i4(spark, d):
+    """Jobs open with one of two versions of the rules, and again with the other, which changes nothing for them."""
     from ..streaming import streams
 
-    s = _stream(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), (F.col("turn") + 1).alias("idx"), "text")
-    return _drained(streams.stream_moderate(s, RULES)).select("job_id", "idx", "text", F.size("hits").cast("long").alias("n_hits"))
+    first = T.read(spark, d, "conversations").select(F.col("conv_id").alias("job_id")).distinct()
+    opens = first.select("job_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("n")).select("job_id", (1 + (F.col("job_id") + F.col("n")) % 2).alias("snapshot_id"), "n")
+    opened = _parts(spark, opens, "opens", F.col("n"), 2)
+    versions = [(i, s, t, 1) for i, s, t in RULES] + [("x1", "the", "(t+)", 2)]
+    rules = new_path(spark, "rules")
+    spark.createDataFrame(versions, "rule_id string, source string, replacement string, snapshot_id long").write.partitionBy("snapshot_id").parquet(rules)
+    s = T.segments(spark, d).select("job_id", "idx", "text")
+    out = new_path(spark, "moderated-out")
+    _run(streams.stream_moderate(_parts(spark, s, "moderate-in", F.pmod("idx", F.lit(3)), 3), opened, rules, out), spark)
+    got = spark.read.schema("job_id long, idx long, text string, snapshot_id long, hits array<string>").parquet(out)
+    return got.select("job_id", "idx", "text", F.size("hits").cast("long").alias("n_hits"), "snapshot_id")
+
+
+def _progress(spark, d, whole: bool = False):
+    from ..streaming import streams
+
+    t = _as_transitions(_stream(spark, d, "events"))
+    return _kept(streams.stream_progress(t.withColumn("percent", F.floor("percent").cast("double")) if whole else t), ["job_id", "step"])
 
 
 @query("i5_stream_progress", f"WITH {T.TRANSITIONS} SELECT job_id, step, max(tm) AS ts, arg_max(state, tm) AS state, arg_max(percent, tm) AS percent FROM transitions GROUP BY 1, 2")
 def i5(spark, d):
+    return _progress(spark, d).read()
+
+
+@query("i5_job_progress", f"""WITH {T.TRANSITIONS}, l AS (SELECT job_id, step, arg_max(state, tm) AS state, arg_max(floor(percent), tm) AS percent FROM transitions GROUP BY 1, 2)
+SELECT job_id, CASE WHEN bool_or(state <> 'COMPLETED' AND percent IS NULL) THEN NULL ELSE round_even(avg(CASE WHEN state = 'COMPLETED' THEN 100.0 ELSE percent END), 2)::DOUBLE END AS progress FROM l GROUP BY 1""")
+def i5b(spark, d):
     from ..streaming import streams
 
-    return _drained(streams.stream_progress(_as_transitions(_stream(spark, d, "events"))), "complete")
+    return streams.job_progress(_progress(spark, d, whole=True))
 
 
 @query("i6_stream_throughput", """WITH w AS (SELECT user_id AS job_id, value, ts, unnest([0, 600, 1200]) AS back FROM events), s AS (SELECT job_id, value, make_timestamp((epoch_us(ts) // 600000000) * 600000000 - back * 1000000) AS start FROM w)
@@ -1057,28 +1097,30 @@ def i6(spark, d):
     from ..streaming import streams
 
     e = _stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts", F.col("value").alias("amount"))
-    return _drained(streams.stream_throughput(e, "30 minutes", "10 minutes"), "complete")
+    return _kept(streams.stream_throughput(e, "30 minutes", "10 minutes"), ["job_id", "start"]).read()
 
 
 @query("i7_stale_heartbeats", """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM g)
-SELECT job_id, min(ts) AS first, max(ts) AS last, max(ts) + INTERVAL 3600 SECONDS AS stale_at, count(*) AS beats FROM s GROUP BY job_id, k""")
+SELECT job_id, min(ts) AS first, max(ts) AS last, max(ts) + INTERVAL 3600 SECONDS AS stale_at, count(*) AS beats FROM s GROUP BY job_id, k HAVING max(ts) + INTERVAL 3600 SECONDS <= (SELECT max(ts) - INTERVAL 600 SECONDS FROM events)""")
 def i7(spark, d):
+    """Runs that the watermark has left behind; those still open when the table ends do not come."""
     from ..streaming import streams
 
-    return _drained(streams.stale_heartbeats(_stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"), "3600 seconds"), "complete")
+    return _drained(streams.stale_heartbeats(_stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"), "3600 seconds"))
 
 
-@query("i8_incremental_apply", f"WITH {_KEYED} SELECT job_id, idx, fingerprint FROM keyed UNION ALL SELECT job_id, idx, fingerprint FROM cached WHERE idx % 3 = 0")
+@query("i8_incremental_apply", f"WITH {_KEYED} SELECT job_id, idx, fingerprint, text || '?' AS output FROM keyed JOIN segments USING (job_id, idx)")
 def i8(spark, d):
+    """Half of the rows have outputs, a third of which are of other texts; the table ends with one of every row's own text."""
     from ..streaming import streams
 
     _, old = _keyed(spark, d)
-    path = new_path(spark, "checkpoints")
-    old.write.parquet(path)
+    table = streams.checkpoint_table(spark, new_path(spark, "checkpoints"), 8)
+    table.upsert(old, 0)
     s = _stream(spark, d, "conversations").select(F.col("conv_id").alias("job_id"), F.lit("translation").alias("stage"), (F.col("turn") + 1).alias("idx"), F.sha2("text", 256).alias("fingerprint"), "text")
     made = lambda df: df.select("job_id", "stage", "idx", "fingerprint", F.concat("text", F.lit("?")).alias("output"))
-    streams.incremental_apply(s, path, made).option("checkpointLocation", path + "-state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("job_id long, stage string, idx long, fingerprint string, output string").parquet(path).select("job_id", "idx", "fingerprint")
+    _run(streams.incremental_apply(s, table, made, first_epoch=1), spark)
+    return table.read().select("job_id", "idx", "fingerprint", "output")
 
 
 _STREAK = f"""{T.TRANSITIONS}, r AS (SELECT job_id, seq AS idx, state NOT IN ('FAILED', 'PAUSED', 'RUNNING') AS ok FROM transitions),
