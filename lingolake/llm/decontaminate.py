@@ -32,7 +32,7 @@ LANE, SCAN_BYTES = 500, 2 << 20
 
 _IS_WORD = np.array([c >= 0x80 or 48 <= LOWER[c] <= 57 or 97 <= LOWER[c] <= 122 for c in range(256)])
 _SPAN = "array<struct<start:int,end:int>>"
-_ranges = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_NAMELESS = 0xFFFFFFFF
 
 
 class Automaton:
@@ -150,8 +150,9 @@ def automaton(items: list[str], size: int = WINDOW) -> Automaton:
     return Automaton(np.split(hashes, np.cumsum(np.bincount(row, minlength=len(items)))[:-1]) if items else [], size)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW) -> DataFrame:
-    """Columns `keep` of docs (all by default) and n_words, hits (ranges of words), items, spans (code points), n_hit, contaminated."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", keep: list[str] | None = None, window: int = WINDOW, ranges: bool = True) -> DataFrame:
+    """Columns `keep` of docs (all by default) and n_words, hits (ranges of words), items, spans (code points), n_hit, contaminated. Without
+    `ranges`, hits and spans are empty."""
     own = ["n_words", "hits", "items", "spans", "n_hit", "contaminated"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     bodies = benchmark.select(F.col(item).cast("string").alias("item"), F.col(item_text).alias("body")).filter(F.length("body") > 0)
@@ -161,26 +162,41 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     rows = sorted(((r.item, r.body) for r in bodies.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1]))  # MAX_WORDS words at most
     shared = docs.sparkSession.sparkContext.broadcast((automaton([r[1] for r in rows], window), [r[0] for r in rows]))
     fields = [*docs.select(*keep).schema.fields, *T.StructType.fromDDL(f"n_words long, hits {_SPAN}, items array<string>, spans {_SPAN}, n_hit long, contaminated boolean").fields]
-    return docs.select(*keep, F.col(text).alias("__body")).mapInArrow(_scanner(shared, keep, own), T.StructType(fields))
+    return docs.select(*keep, F.col(text).alias("__body")).mapInArrow(_scanner(shared, keep, own, ranges), T.StructType(fields))
 
 
-def _scanner(shared, keep: list[str], own: list[str]):
+def _scanner(shared, keep: list[str], own: list[str], ranges: bool):
     def run(batches):
         machine, names = shared.value
+        known = _known(names)
         for whole in batches:
             for batch in steps(whole, "__body", SCAN_BYTES):
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *_judged(batch, machine, names)], [*keep, *own])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *_judged(batch, machine, names, ranges, known)], [*keep, *own])
 
     return run
 
 
-def _judged(batch: pa.RecordBatch, machine: Automaton, names: list[str | None]) -> list[pa.Array]:
+def _lists(row: np.ndarray, n: int, values: pa.Array) -> pa.Array:
+    """A list for each of n rows, of the values whose rows (ascending) are given."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)), pa.int32()), values)
+
+
+def _known(names: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+    """Distinct names of items in order, and the place of each item's name among them, or _NAMELESS."""
+    found = sorted({x for x in names if x is not None})
+    place = {x: k for k, x in enumerate(found)}
+    return pa.array(found, pa.string()), np.array([_NAMELESS if x is None else place[x] for x in names], np.int64)
+
+
+def _judged(batch: pa.RecordBatch, machine: Automaton, names: list[str | None], ranges: bool = True, known: tuple[pa.Array, np.ndarray] | None = None) -> list[pa.Array]:
     n = batch.num_rows
+    named, same = known or _known(names)
     raw, offsets = utf8(batch.column("__body"))
     starts, ends, row = words(raw, offsets, _IS_WORD)
     counts = np.bincount(row, minlength=n)
     first = np.concatenate([[0], np.cumsum(counts)])
-    hit, items, ranges, spans = np.zeros(n, np.int64), [[]] * n, [[]] * n, [[]] * n
+    hit, none = np.zeros(n, np.int64), np.zeros(0, np.int64)
+    pairs, a, b = none, none, none
     if len(starts) and len(machine.edges):
         hashes = word_hashes(raw, starts, ends)
         at = np.minimum(np.searchsorted(machine.vocabulary, hashes), len(machine.vocabulary) - 1)
@@ -191,34 +207,35 @@ def _judged(batch: pa.RecordBatch, machine: Automaton, names: list[str | None])
             np.add.at(change, last + 1, -1)
             covered = np.cumsum(change)[:-1] > 0
             hit = np.bincount(row[covered], minlength=n)
-            for pair in machine.named(state, row[last]).tolist():
-                if (name := names[pair & 0xFFFFFFFF]) is not None:
-                    items[pair >> 32] = [*items[pair >> 32], name]
-            # ranges of hit words end with a text, and where the next word is not hit
-            before = np.concatenate([[False], covered[:-1] & (row[1:] == row[:-1])])
-            after = np.concatenate([covered[1:] & (row[1:] == row[:-1]), [False]])
-            a, b = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
-            chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-            for d, x, y in zip(row[a].tolist(), a.tolist(), b.tolist()):
-                zero, base = int(first[d]), int(chars[offsets[d]])
-                ranges[d] = [*ranges[d], {"start": x - zero, "end": y + 1 - zero}]
-                spans[d] = [*spans[d], {"start": int(chars[starts[x]]) - base, "end": int(chars[ends[y]]) - base}]
+            pairs = machine.named(state, row[last])
+            pairs = np.unique((pairs & ~np.int64(0xFFFFFFFF)) | same[pairs & 0xFFFFFFFF])
+            pairs = pairs[(pairs & 0xFFFFFFFF) != _NAMELESS]
+            if ranges:  # they end with a text, and where the next word is not hit
+                before = np.concatenate([[False], covered[:-1] & (row[1:] == row[:-1])])
+                after = np.concatenate([covered[1:] & (row[1:] == row[:-1]), [False]])
+                a, b = np.flatnonzero(covered & ~before), np.flatnonzero(covered & ~after)
+    items = _lists(pairs >> 32, n, named.take(pa.array(pairs & 0xFFFFFFFF)))
+    zero = first[row[a]]
+    chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if len(a) else none
+    base = chars[offsets[row[a]]] if len(a) else none
+    struct = lambda low, high: _lists(row[a], n, pa.StructArray.from_arrays([pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["start", "end"]))
+    hits, spans = (struct(a - zero, b + 1 - zero), struct(chars[starts[a]] - base, chars[ends[b]] - base)) if len(a) else (struct(a, b), struct(a, b))
     contaminated = (hit > 0) & (20 * hit >= counts)
-    named = [sorted(set(x)) for x in items]
-    return [pa.array(counts, pa.int64()), pa.array(ranges, _ranges), pa.array(named, pa.list_(pa.string())), pa.array(spans, _ranges), pa.array(hit, pa.int64()), pa.array(contaminated)]
+    return [pa.array(counts, pa.int64()), hits, items, spans, pa.array(hit, pa.int64()), pa.array(contaminated)]
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"], ranges=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"), "contaminated")
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of which a twentieth or more lies in benchmark windows go; all others stay as they are, nulls and
-    empty texts too. All columns of docs come out as they went in, whatever their names; repeated rows stay or go together."""
+    empty texts too, and very long texts are judged whole. All columns of docs come out as they went in, whatever their names; repeated
+    rows stay or go together. An empty table stays empty; an empty benchmark drops nothing."""
     whole = docs.select(F.struct(*docs.columns).alias("__row"), "text")
-    return find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["__row"]).filter(~F.col("contaminated")).select("__row.*")
+    return find_contamination(whole, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["__row"], ranges=False).filter(~F.col("contaminated")).select("__row.*")
 
 
 OP1_SQL = r"""

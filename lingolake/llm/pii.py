@@ -102,5 +102,6 @@ def find_personal_data(docs: DataFrame, text: str = "text", keep: list[str] | No
 def op2_personal_data(spark, sf_dir: str) -> DataFrame:
     found = find_personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=["doc_id"])
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
-    counts = [count_kind(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
+    counts = {k: count_kind(k).alias(f"n_{k}") for k in KINDS}
+    more = [c for k, c in counts.items() if k not in BASE]
+    return found.select("doc_id", *[counts[k] for k in BASE], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), *more, F.coalesce(F.array_max(F.transform("found", lambda s: s["score"])), F.lit(0.0)).alias("top_score"))
