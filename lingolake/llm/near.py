@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ranks import with_places
 from .shared import materialize, mix, steps, utf8, word_hashes, words
 
 SHINGLE = 5
@@ -343,12 +344,15 @@ def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the document of least id of each class stays, once; rows without an id stay, and so do texts without words, null ones
-    among them. All columns come out as they went in, whatever their names; of rows that share an id one stays."""
-    classes = materialize(near_classes(docs.select("doc_id", "text")), "near-classes")
-    gone = classes.filter("class_id <> doc_id").select("doc_id").distinct()
-    again = classes.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = by_ids(docs, "doc_id", gone, "left_anti")
-    if not again.limit(1).count():
-        return left.select(*docs.columns)
-    once = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+    among them. All columns come out as they went in, whatever their names. Rows that share an id are documents of their own, in order of
+    their texts' hashes: equal ones leave one row, different ones stay apart. An empty table stays empty."""
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        classes = materialize(near_classes(docs.select("doc_id", "text")), "near-classes")
+        return by_ids(docs, "doc_id", classes.filter("class_id <> doc_id").select("doc_id").distinct(), "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text")
+    placed = with_places(rows, [], ["doc_id", F.xxhash64("text")]).withColumn("__place", F.when(F.col("doc_id").isNotNull(), F.col("_place")))
+    placed = materialize(placed.select("__row", "__place", "text"), "near-places")
+    classes = materialize(near_classes(placed.select("__place", "text"), key="__place"), "near-classes")
+    gone = classes.filter("class_id <> __place").select("__place").distinct()
+    return by_ids(placed, "__place", gone, "left_anti").select("__row.*")

@@ -5,9 +5,10 @@ documents labelled as poor, and then those labelled as toxic among the rest: a r
 from its end on the other part, and is kept while it is precise there; the documents that it covers leave the sample and the
 next rule follows. The list is applied as CASE WHEN: the first rule that holds rejects, and what no rule covers is kept.
 
-Toxic documents are told by how many of their words are listed. Half of the sample makes the list, of LISTED words at most: those
-that LISTED_DOCS toxic documents or more hold, and hardly any other document. Rules on it are learned on the other half, where the list
-is as good as on documents never seen.
+Toxic documents are told by how many of their words are listed, and how many are hinted at. Half of the sample makes the two lists, of
+LISTED entries at most each. Listed are words that LISTED_DOCS toxic documents or more hold, and hardly any other document. Hints are
+weaker: words and heads of words (their first letters) that stand mostly in toxic documents, so that languages with few labels, or with many
+forms of a word, have some. Rules on both are learned on the other half, where the lists are as good as on documents never seen.
 
 The fit uses at most FIT_ROWS labelled documents, those of least hash, so the driver holds a bounded table of numbers.
 
@@ -31,6 +32,8 @@ from .shared import materialize, where
 FIT_ROWS = 20_000
 #: Words listed at most, toxic documents that hold one at least, and the least share of toxic ones among its documents (and one more).
 LISTED, LISTED_DOCS, LISTED_SHARE = 400, 5, 0.9
+#: The same of hints, and the lengths of heads.
+HINT_DOCS, HINT_SHARE, HEADS = 4, 0.6, (3, 4, 5, 6, 7)
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 _WHITE = " \t\n\x0b\x0c\r"
@@ -46,9 +49,11 @@ FEATURES = {
     "digit_share": lambda: F.col("n_digits") / F.greatest(F.col("word_chars"), F.lit(1)),
     "n_listed": lambda: F.col("n_listed"),
     "listed_share": lambda: F.col("n_listed") / F.greatest(F.col("n_words"), F.lit(1)),
+    "n_hinted": lambda: F.col("n_hinted"),
+    "hinted_share": lambda: F.col("n_hinted") / F.greatest(F.col("n_words"), F.lit(1)),
 }
 #: What rules for poor documents may test, and those for toxic ones.
-OF_POOR, OF_TOXIC = list(FEATURES)[:-2], list(FEATURES)[-2:]
+OF_POOR, OF_TOXIC = list(FEATURES)[:-4], list(FEATURES)[-4:]
 
 
 def letter_words(text: Column) -> Column:
@@ -56,14 +61,31 @@ def letter_words(text: Column) -> Column:
     return F.split(F.lower(text), r"\P{L}+")
 
 
-def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None, listed: tuple[str, ...] = ()) -> DataFrame:
+def units(word: Column) -> Column:
+    """A word, and its heads where it goes on after them."""
+    heads = [F.when(F.length(word) > k, F.concat(F.left(word, F.lit(k)), F.lit("*"))) for k in HEADS]
+    return F.array_compact(F.array(word, *heads))
+
+
+def is_hinted(word: Column, hinted: tuple[str, ...]) -> Column:
+    """Whether a word or a head of it is in the list. Nearly all words are told by their first letters, in one look-up."""
+    test = word.isin(*[u for u in hinted if not u.endswith("*")] or [""])
+    for k in HEADS:
+        if heads := [u[:-1] for u in hinted if u.endswith("*") and len(u) == k + 1]:
+            test = test | ((F.length(word) > k) & F.left(word, F.lit(k)).isin(*heads))
+    return F.left(word, F.lit(HEADS[0])).isin(*sorted({u.rstrip("*")[: HEADS[0]] for u in hinted})) & test
+
+
+def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None = None, listed: tuple[str, ...] = (), hinted: tuple[str, ...] = ()) -> DataFrame:
     """Columns `keep` of docs (all by default) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_digits, and
-    n_listed, the words of `listed`."""
-    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_listed"]
+    n_listed and n_hinted, the words of either list."""
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits", "n_listed", "n_hinted"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in own]
     body = F.coalesce(F.col(text), F.lit(""))
     bare = F.btrim("__body", F.lit(_WHITE))
-    df = docs.select(*keep, body.alias("__body"))
+    letters = letter_words(body) if listed or hinted else F.lit(None).cast("array<string>")
+    df = docs.select(*keep, body.alias("__body"), letters.alias("__letters"))
+    among = lambda test: F.coalesce(F.size(F.filter("__letters", test)), F.lit(0)).cast("long")
     df = df.select(
         *keep,
         F.when(F.length(bare) == 0, F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")).alias("__words"),
@@ -71,9 +93,10 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: list[str] | None
         F.length(F.translate("__body", _WHITE, "")).cast("long").alias("word_chars"),
         (F.length("__body") - F.length(F.translate("__body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.length("__body") - F.length(F.translate("__body", "0123456789", ""))).cast("long").alias("n_digits"),
-        (F.size(F.filter(letter_words(F.col("__body")), lambda w: w.isin(*listed))) if listed else F.lit(0)).cast("long").alias("n_listed"),
+        (among(lambda w: w.isin(*listed)) if listed else F.lit(0).cast("long")).alias("n_listed"),
+        (among(lambda w: is_hinted(w, hinted)) if hinted else F.lit(0).cast("long")).alias("n_hinted"),
     )
-    plain = [*keep, "word_chars", "n_symbols", "n_digits", "n_listed"]
+    plain = [*keep, "word_chars", "n_symbols", "n_digits", "n_listed", "n_hinted"]
     df = df.select(
         *plain,
         F.size("__words").cast("long").alias("n_words"),
@@ -151,7 +174,7 @@ def _grow(values, cuts, poor, rows, most) -> list[Condition]:
         below, above = mine[mine <= t], mine[mine > t]
         if len(below) and len(above):  # midway between the values on either side, so that neither side is favoured
             best = (name, sign, float(below.max() + above.min()) / 2)
-        rule.append(best)
+        rule = [c for c in rule if c[:2] != best[:2]] + [best]  # a tighter threshold takes the place of a looser one
         rows = rows & holds([best], values)
     return rule
 
@@ -168,18 +191,23 @@ def _prune(rule, values, poor, rows) -> list[Condition]:
 
 
 class Model(NamedTuple):
-    """Rules in their order, and the listed words that their statistics count."""
+    """Rules in their order, and the lists of words and of hints that their statistics count."""
 
     rules: list[list[Condition]]
     listed: tuple[str, ...] = ()
+    hinted: tuple[str, ...] = ()
+
+
+def toxic_words(sample: DataFrame) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Words to list and hints, from rows (text, __toxic); LISTED at most of each, those of most toxic documents."""
+    held = sample.select("__toxic", F.explode(F.array_distinct(F.flatten(F.transform(letter_words(F.col("text")), units)))).alias("unit")).filter(F.length("unit") > 0)
+    counts = materialize(held.groupBy("unit").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic > 1"), "toxic-units")
 
+    def chosen(docs: int, share: float, rows: DataFrame) -> tuple[str, ...]:
+        good = rows.filter((F.col("toxic") >= docs) & (F.col("toxic") >= share * (F.col("n") + 1)))
+        return tuple(r.unit for r in good.orderBy(F.desc("toxic"), "unit").limit(LISTED).collect())
 
-def toxic_words(sample: DataFrame) -> tuple[str, ...]:
-    """Words to list, from rows (text, __toxic): those that toxic documents hold and hardly any other; LISTED at most."""
-    held = sample.select("__toxic", F.explode(F.array_distinct(letter_words(F.col("text")))).alias("word")).filter(F.length("word") > 0)
-    counts = held.groupBy("word").agg(F.sum("__toxic").alias("toxic"), F.count("*").alias("n"))
-    chosen = counts.filter((F.col("toxic") >= LISTED_DOCS) & (F.col("toxic") >= LISTED_SHARE * (F.col("n") + 1))).orderBy(F.desc("toxic"), "word")
-    return tuple(r.word for r in chosen.limit(LISTED).collect())
+    return chosen(LISTED_DOCS, LISTED_SHARE, counts.filter(~F.col("unit").endswith("*"))), chosen(HINT_DOCS, HINT_SHARE, counts)
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
@@ -189,15 +217,16 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     chosen = graded.filter(F.coalesce("__quality", "__toxic").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     half = F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).alias("__half")
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # chosen has fit_rows rows at most
+    sample = sample.groupBy("doc_id", "__quality", "__toxic").agg(F.min("text").alias("text"))  # of rows that share an id one, the same each time
     sample = materialize(sample.select("doc_id", "text", "__quality", "__toxic", half), "quality-sample")
-    listed = toxic_words(sample.filter("__half = 0 and __toxic is not null"))
+    listed, hinted = toxic_words(sample.filter("__half = 0 and __toxic is not null"))
     known = ["__quality", "__toxic", "__half"]
-    numbers = with_statistics(sample, keep=["doc_id", *known], listed=listed)
-    rows = numbers.select(*known, *[make().cast("double").alias(k) for k, make in FEATURES.items()]).orderBy("doc_id").limit(fit_rows).collect()
+    numbers = with_statistics(sample, keep=["doc_id", *known], listed=listed, hinted=hinted)
+    rows = numbers.select(*known, *[make().cast("double").alias(k) for k, make in FEATURES.items()]).collect()  # rows of fit_rows documents
     rules = _learn([r for r in rows if r["__quality"] is not None], OF_POOR, lambda r: r["__quality"] == 0)
-    if listed:
+    if listed or hinted:
         rules += _learn([r for r in rows if r["__toxic"] is not None and r["__half"] == 1], OF_TOXIC, lambda r: r["__toxic"] == 1)
-    return Model(rules, listed)
+    return Model(rules, listed, hinted)
 
 
 def _learn(rows: list, features: list[str], bad) -> list[list[Condition]]:
@@ -218,19 +247,20 @@ def first_rule(rules: list[list[Condition]]) -> Column:
 
 def judge(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """with_statistics, and base_failed, rule (the first that holds) and kept."""
-    df = with_statistics(docs, keep=keep, listed=model.listed).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(model.rules))
+    df = with_statistics(docs, keep=keep, listed=model.listed, hinted=model.hinted).withColumn("base_failed", base_failed()).withColumn("rule", first_rule(model.rules))
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judge(docs, model, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "n_listed")
+    return judge(docs, model, keep=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule", "n_listed", "n_hinted")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the base test or a rule rejects go, null and empty texts among them. All columns come out as they
-    went in, whatever their names; repeated rows stay or go together."""
+    went in, whatever their names; repeated rows stay or go together. Very long texts are judged whole, an empty table stays empty, and
+    without labels the base test alone decides."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = judge(docs.select(F.struct(*docs.columns).alias("__row"), "text"), model, keep=["__row"])
     return where(kept, F.col("kept")).select("__row.*")

@@ -142,6 +142,15 @@ def test_near_stage(spark, docs):
     assert near.near_classes(docs([])).count() == 0
 
 
+def test_texts_that_share_an_id_are_kept_apart(docs):
+    """No text goes but copies of one that stays, whatever ids repeat."""
+    a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
+    table = docs([a, b, a, b, a, c, None, None, "", c], [1, 1, 2, 3, 1, 4, 4, 4, None, None])
+    kept = near.keep_one(None, table, "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (1, b), (4, c), (4, ""), (4, ""), (0, ""), (0, c)])
+    assert kept[0].__fields__ == table.columns
+
+
 def test_shards(docs, odd):
     rng = random.Random(3)
     texts = odd + ["hot" * 20] * 300 + ["x" * rng.randint(0, 400) for _ in range(700)]

@@ -200,12 +200,35 @@ def test_toxic_words(spark, docs):
 
 
 def test_toxic_documents_are_found_on_held_out_labels(spark):
+    """A third of the labels of each of three cuts is held out; languages of 50 toxic labels or more, and all of the others together."""
     tables = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
-    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0
-    model = Q.fit(tables["documents"], tables["labels"].filter(~held))
-    seen = Q.judge(tables["documents"], model, keep=["doc_id", "lang"]).join(tables["labels"].filter(held & (F.col("quality") == 1)), "doc_id").filter("lang = 'en'").collect()
-    toxic, clean = ([r for r in seen if r.toxic == k and not r.base_failed] for k in (1, 0))
-    assert sum(not r.kept for r in toxic) >= 0.9 * len(toxic) and sum(r.kept for r in clean) >= 0.97 * len(clean)
+    known = tables["labels"].groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    seen = []
+    for k in range(3):
+        held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == k
+        model = Q.fit(tables["documents"], tables["labels"].filter(~held))
+        part = tables["documents"].join(known.filter(held & (F.col("quality") == 1)), "doc_id")
+        seen += [r for r in Q.judge(part, model, keep=["doc_id", "lang", "toxic"]).collect() if not r.base_failed]
+    share = lambda rows: sum(not r.kept for r in rows) / len(rows)
+    figures = {lang: (share([r for r in seen if r.lang == lang and r.toxic == 1]), share([r for r in seen if r.lang == lang and r.toxic == 0])) for lang in ("en", "de", "fr", "es")}
+    print(figures)
+    assert all(figures[lang][0] >= 0.9 for lang in ("en", "fr")) and figures["de"][0] >= 0.8 and figures["es"][0] >= 0.5, figures
+    assert all(clean <= 0.03 for _, clean in figures.values()), figures
+
+
+def test_hints(docs):
+    """Heads stand for words that go on after them; a word counts once."""
+    hinted = ("bad", "awf*", "awful*", "horr*", "él")
+    texts = ["Bad badly awf awfu awfully, horrible horr él éla hor", None, ""]
+    got = {r.doc_id: r.n_hinted for r in Q.judge(docs(texts), Q.Model([], (), hinted)).collect()}
+    assert got == {0: 5, 1: 0, 2: 0}
+    assert {r.u for r in docs(["badness"]).selectExpr("text").select(Q.units(F.col("text")).alias("u")).selectExpr("explode(u) as u").collect()} == {"badness", "bad*", "badn*", "badne*", "badnes*"}
+
+
+def test_a_repeated_id_counts_once(spark, docs):
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    twice = docs(["a # b", "z", "c d", None], [1, 1, 2, 2])
+    assert Q.fit(twice, labels) == Q.fit(docs(["a # b", "c d"], [1, 2]), labels) == Q.Model([])
 
 
 def test_bpe(docs, odd):
