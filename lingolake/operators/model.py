@@ -7,11 +7,14 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 from ..sources.store import materialize
+from . import relations
 
 #: Texts in, texts out, as many.
 Model = Callable[[list[str]], list[str]]
@@ -52,6 +55,19 @@ def map_groups(groups: DataFrame, fn: Model, batch_size: int = 4) -> tuple[DataF
     return rows.filter("problem is null").drop("problem"), rows.filter("problem is not null").drop("output")
 
 
+def map_groups_with_fallback(groups: DataFrame, fn: Model, fns: list[Callable[[str, int], str]], names: list[str] | None = None, batch_size: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """map_groups, then the rows of groups that could not be aligned each on its own through with_retries.
+
+    Rows (job_id, idx, text, output, alone), the failures of with_retries, and per job groups, grouped rows and fallbacks. Each group is sent once, and
+    a row on its own once for each strategy that it needs."""
+    good, bad = map_groups(groups, fn, batch_size)
+    alone, failed = with_retries(bad.select("job_id", "idx", "text"), fns, names)
+    done = good.select("job_id", "idx", "text", "output", F.lit(False).alias("alone")).unionByName(alone.select("job_id", "idx", "text", "output", F.lit(True).alias("alone")))
+    lost = bad.select("job_id", "group_no").distinct().withColumn("fell_back", F.lit(True))
+    sizes = groups.select("job_id", "group_no", F.size("ids").alias("rows")).join(lost, ["job_id", "group_no"], "left").withColumn("fell_back", F.coalesce("fell_back", F.lit(False)))
+    return done, failed, relations.group_stats(sizes)
+
+
 def with_retries(df: DataFrame, fns: list[Callable[[str, int], str]], names: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Accepted rows (output, attempt, soft) and failures (attempts array), after each strategy has seen what is left.
 
@@ -117,3 +133,80 @@ def translate_chunks(rows: DataFrame, fn: Callable[[list[dict], list[dict]], dic
 
     chunks = chunk_rows(rows, size).select("job_id", "idx", "chunk_no", "text")
     return scan_ordered(chunks, ["job_id"], ["idx"], fold, f"job_id {kind}, idx long, chunk_no int, text string, output string, flagged boolean")
+
+
+#: A character card, the one seen last at the end; and what a round of chunks leaves for each job.
+CARD = "array<struct<name:string,target:string,gender:string,note:string>>"
+_ROUND = f"job_id {{kind}}, chunk_no int, done array<struct<idx:bigint,text:string,output:string,flagged:boolean>>, card {CARD}, recent array<struct<idx:bigint,text:string,target:string>>, billed long"
+_LONGEST = 200
+
+
+def merged_card(card: list[dict], updates: list[dict], limit: int) -> list[dict]:
+    """merge_cards for one job: an update takes the place of its name's entry and moves to the end; the last `limit` stay."""
+    found = {c["name"]: c for c in card}
+    for u in updates:
+        if isinstance(u.get("name"), str) and u["name"].strip():
+            found.pop(u["name"], None)
+            found[u["name"]] = {k: str(u.get(k) or ("unknown" if k == "gender" else ""))[:_LONGEST] for k in ("name", "target", "gender", "note")}
+    return list(found.values())[-limit:]
+
+
+def translate_chunks_with_card(rows: DataFrame, cards: DataFrame, fn: Callable[[list[dict], list[dict], list[dict]], dict], path: str, size: int = 100, context: int = 12, limit: int = 30) -> DataFrame:
+    """translate_chunks where each chunk also sees its job's card of characters and changes it for the next one.
+
+    rows are (job_id, idx, text), cards (job_id, name, target, gender; as initial_card makes them, in order of name). fn takes a chunk's rows (id, text),
+    the rows before it (id, text, and target unless flagged) and the card, and returns {"rows": [{"id", "text", "ok"}], "characters": [...],
+    "billed": n}; another set of ids is refused. Result: job_id, idx, chunk_no, text, output, flagged, billed (of the chunk).
+
+    Chunks of a job depend on each other, jobs do not: round k sends the k-th chunk of every job, in parallel, and writes results, cards and
+    the last `context` rows to path/round=k. A run that starts again goes on after the last whole round, so no chunk of it is sent twice."""
+    from . import folds
+
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["job_id"]
+    schema = _ROUND.format(kind=kind)
+    row = F.struct(F.col("idx").cast("long").alias("idx"), "text")
+    chunked = folds.chunk_rows(rows, size).groupBy("job_id", "chunk_no").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # `size` rows at most
+    if not _written(spark, f"{path}/chunks"):
+        chunked.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    entry = F.struct("name", F.coalesce("target", F.lit("")).alias("target"), F.coalesce("gender", F.lit("unknown")).alias("gender"), F.lit("").alias("note"))
+    first = cards.groupBy("job_id").agg(F.sort_array(F.collect_list(entry)).cast(CARD).alias("card"))
+    target = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def call(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            out = []
+            for job, number, todo, card, recent in zip(*(batch.column(c).to_pylist() for c in ("job_id", "chunk_no", "rows", "card", "recent"))):
+                before = [{"id": r["idx"], "text": r["text"]} | ({} if r["target"] is None else {"target": r["target"]}) for r in recent or []]
+                reply = fn([{"id": r["idx"], "text": r["text"]} for r in todo], before, (card or [])[-limit:])
+                got = {r["id"]: r for r in reply.get("rows", [])}
+                if set(got) != {r["idx"] for r in todo}:
+                    raise ValueError("the model returned another set of rows")
+                done = []
+                for r in todo:
+                    text = got[r["idx"]].get("text")
+                    good = got[r["idx"]].get("ok") is True and isinstance(text, str) and bool(text.strip())
+                    draft = " ".join(_FOREIGN.sub("", str(text or "")).split()) or "…"
+                    done.append({"idx": r["idx"], "text": r["text"], "output": text.strip() if good else draft, "flagged": not good})
+                kept = [*(recent or []), *({"idx": r["idx"], "text": r["text"], "target": None if r["flagged"] else r["output"]} for r in done)]
+                out.append((job, number, done, merged_card(card or [], reply.get("characters", []), limit), kept[-context:] if context else [], int(reply.get("billed") or 0)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(target)], schema=target)
+
+    rounds = chunks.agg(F.coalesce(F.max("chunk_no"), F.lit(-1))).first()[0] + 1
+    for k in range(rounds):
+        here = f"{path}/round={k}"
+        if _written(spark, here):
+            continue
+        state = first.withColumn("recent", F.lit(None).cast("array<struct<idx:bigint,text:string,target:string>>")) if not k else spark.read.schema(schema).parquet(f"{path}/round={k - 1}").select("job_id", "card", "recent")
+        chunks.filter(F.col("chunk_no") == k).join(state, "job_id", "left").mapInArrow(call, schema).write.mode("overwrite").parquet(here)
+    if not rounds:
+        done = spark.createDataFrame([], schema)
+    else:
+        done = spark.read.schema(schema).parquet(*[f"{path}/round={k}" for k in range(rounds)])
+    return done.select("job_id", "chunk_no", "billed", F.inline("done")).select("job_id", "idx", "chunk_no", "text", "output", "flagged", "billed")
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)

@@ -13,12 +13,15 @@ def mine_names(rows: DataFrame, compound: dict[str, str], surnames: dict[str, st
 
     `words` (word) are dictionary words that are no names; `tags` (job_id, word) are words that a tagger took for names."""
     w2 = F.substring("gram", 1, 2).isin(list(compound) or [""])
-    # one row for each gram of two to four characters that starts with a surname
-    size = F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))
-    text = rows.select("job_id", F.col("text"), size.alias("n")).filter(F.length("text") >= F.col("n"))
-    grams = text.select("job_id", F.explode(F.transform(F.sequence(F.lit(1), F.length("text") - F.col("n") + 1), lambda i: F.substring(F.col("text"), i, F.col("n")))).alias("gram"))
-    grams = grams.filter((F.substring("gram", 1, 1).isin(list(surnames) or [""]) | w2) & ~F.contains("gram", F.lit("\n")))
-    counts = grams.groupBy("job_id", "gram").agg(F.count("*").alias("count"))
+    # One row for each place at which a surname stands, with up to four characters from there. Equal ones are counted before they are
+    # exchanged; the counts of shorter grams are sums over them, since each begins at such a place.
+    head = lambda i: F.substring(F.col("text"), i, F.lit(1)).isin(list(surnames) or [""]) | F.substring(F.col("text"), i, F.lit(2)).isin(list(compound) or [""])
+    places = F.filter(F.sequence(F.lit(1), F.length("text") - 1), head)
+    windows = rows.filter(F.length("text") > 1).select("job_id", F.explode(F.transform(places, lambda i: F.substring(F.col("text"), i, F.lit(4)))).alias("window"))
+    windows = windows.groupBy("job_id", "window").agg(F.count("*").alias("n"))
+    sizes = F.filter(F.array(F.lit(2), F.lit(3), F.lit(4)), lambda k: k <= F.length("window"))
+    grams = windows.select("job_id", "n", F.explode(F.transform(sizes, lambda k: F.substring(F.col("window"), F.lit(1), k))).alias("gram")).filter(~F.contains("gram", F.lit("\n")))
+    counts = grams.groupBy("job_id", "gram").agg(F.sum("n").alias("count"))
     counts = counts.withColumn("target", X.reading(F.col("gram"), compound, surnames, given)).filter(F.col("target").isNotNull())
     plain = counts if words is None else counts.join(words.select(F.col("word").alias("gram")), "gram", "left_anti")
     found = plain.filter((F.col("count") >= least) & (w2 | ((F.length("gram") != 4) & ~F.substring("gram", 1, 1).isin(list(ambiguous) or [""]))))

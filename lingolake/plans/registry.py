@@ -1167,6 +1167,22 @@ def j2(spark, d):
     return good.select("job_id", "idx", "output").unionByName(bad.select("job_id", "idx", F.lit(None).cast("string").alias("output")))
 
 
+_LOST = "CASE WHEN job_id % 3 = 0 THEN 'LOSE ' || text ELSE text END"
+
+
+@query("j2_map_groups_fallback", f"""WITH {T.SEGMENTS} SELECT job_id, idx, CASE WHEN job_id % 3 <> 0 THEN trim(regexp_replace(text || '!', '\\s+', ' ', 'g')) ELSE {_LOST} || '?' END AS output, job_id % 3 = 0 AS alone FROM segments""")
+def j2b(spark, d):
+    """Rows of groups that come back without a marker are sent again, each on its own."""
+    from ..operators import model
+
+    g = T.segments(spark, d).groupBy("job_id", F.floor((F.col("idx") - 1) / 3).cast("int").alias("group_no")).agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("r"))
+    marked = F.transform("r", lambda x: F.when(F.col("job_id") % 3 == 0, F.concat(F.lit("LOSE "), x["text"])).otherwise(x["text"]))
+    g = g.select("job_id", "group_no", F.transform("r", lambda x: x["idx"]).alias("ids"), marked.alias("texts"))
+    reply = lambda t: "lost" if "LOSE " in t else t.replace("</s", "!</s")
+    done, _, _ = model.map_groups_with_fallback(g, lambda texts: [reply(t) for t in texts], [lambda t, seed: "" if len(t) % 2 else t + "?", lambda t, seed: t + "?"])
+    return done.select("job_id", "idx", "output", "alone")
+
+
 @query("j3_with_retries", f"WITH {T.SEGMENTS} SELECT job_id, idx, text || '?' AS output, CAST(length(text) % 2 AS INT) AS attempt FROM segments")
 def j3(spark, d):
     from ..operators import model
@@ -1185,6 +1201,26 @@ def j4(spark, d):
     return done.select("job_id", "idx", "chunk_no", "output", "flagged")
 
 
+@query("j4_translate_chunks_card", f"""WITH {T.SEGMENTS}, c AS (SELECT *, (row_number() OVER (PARTITION BY job_id ORDER BY idx) - 1) // 3 AS k FROM segments WHERE trim(text) <> ''),
+f AS (SELECT job_id, k, list_prepend('seed', list('c' || i) OVER (PARTITION BY job_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS card FROM (SELECT job_id, k, min(idx) AS i FROM c GROUP BY 1, 2)),
+o AS (SELECT c.job_id, idx, c.k, text || '/' || array_to_string(coalesce(card, ['seed'])[-3:], '+') || '/' || least(2, 3 * c.k) AS t FROM c JOIN f ON c.job_id = f.job_id AND c.k = f.k)
+SELECT job_id, idx, CAST(k AS INT) AS chunk_no, CASE WHEN idx % 4 = 0 THEN trim(regexp_replace(t, '\\s+', ' ', 'g')) ELSE trim(t, ' ' || chr(9) || chr(10) || chr(13)) END AS output, idx % 4 = 0 AS flagged FROM o""")
+def j4b(spark, d):
+    """Each chunk answers with the names on its card, and puts its own first row on it for the next one."""
+    from ..operators import model
+
+    s = T.segments(spark, d).select("job_id", "idx", "text")
+    people = s.select("job_id").distinct().select("job_id", F.lit("seed").alias("source"), F.lit("S").alias("target"), F.lit(None).cast("string").alias("gender"))
+    cards = relations.initial_card(people.drop("gender"), people.limit(0))
+
+    def reply(rows, before, card):
+        names = "+".join(c["name"] for c in card)
+        return {"rows": [{"id": r["id"], "text": f"{r['text']}/{names}/{len(before)}", "ok": r["id"] % 4 != 0} for r in rows], "characters": [{"name": f"c{rows[0]['id']}"}], "billed": len(rows)}
+
+    done = model.translate_chunks_with_card(s, cards, reply, new_path(spark, "chunks"), 3, 2, 3)
+    return done.select("job_id", "idx", "chunk_no", "output", "flagged")
+
+
 @query("j5_split_text_sql", f"WITH {T.SEGMENTS}, {_pieces(40)} SELECT job_id, idx, piece, text FROM pieces")
 def j5(spark, d):
     from ..functions import tables
