@@ -84,6 +84,22 @@ def a1(spark, d):
     return S.read_segments(spark, f"{_written(spark, d)}/rows/*/*.json", job_pattern=r"job_id=([^/]+)/")
 
 
+@query("a3_read_lines", f"WITH {T.DOC_LINES} SELECT part, row_number() OVER (PARTITION BY part ORDER BY job_id, line) - 1 AS line, value FROM (SELECT job_id % 3 AS part, * FROM doc_lines)")
+def a3b(spark, d):
+    """Documents of a remainder as one long file of lines each, read in splits of 64 KB; the numbers are those in the file."""
+    docs, path = T.read(spark, d, "documents"), new_path(spark, "long-files")
+    for part in range(3):
+        body = docs.filter(F.col("doc_id") % 3 == part).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(1, "doc_id").sortWithinPartitions("doc_id").select("text")
+        body.write.text(f"{path}/part={part}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        lines = S.read_lines(spark, f"{path}/*/*.txt")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return lines.select(F.regexp_extract("file", r"part=(\d+)/", 1).cast("long").alias("part"), "line", "value")
+
+
 @query("a4_ingest_jsonl", f"""WITH {T.SEGMENTS}, l AS (SELECT *, CASE WHEN idx % 3 = 0 THEN NULL ELSE idx % 5 <> 0 END AS timed FROM segments)
 SELECT job_id, idx, CASE WHEN timed THEN start_ms END AS start_ms, CASE WHEN timed THEN CASE WHEN idx % 2 = 0 THEN 'M:' || text ELSE text END END AS text, coalesce(timed, false) AS taken FROM l""")
 def a4(spark, d):
@@ -148,6 +164,16 @@ def a8(spark, d):
     return S.manifest_units(f).drop("text")
 
 
+@query("a8_read_manifest", f"WITH {T.FILES} SELECT supplier AS job_id, job_id * 8 + pos AS index, 'n' || pos AS text, CAST(round_even(length_ms * 7 * 1000 / 48000, 0) AS BIGINT) AS length_ms, CAST(CASE WHEN pos % 2 = 0 THEN gap_ms ELSE 0 END AS INT) AS gap_ms FROM files")
+def a8b(spark, d):
+    """Manifests written as JSON lines, a folder for each job, and read back."""
+    f, path = T.files(spark, d), new_path(spark, "manifests")
+    rows = f.select(F.col("supplier").alias("job_id"), (F.col("job_id") * 8 + F.col("pos")).alias("index"), F.concat(F.lit("n"), F.col("pos").cast("string")).alias("text"), (F.col("length_ms") * 7).alias("frames"), F.when(F.col("pos") % 2 == 0, F.col("gap_ms")).alias("gap_after_ms"))
+    rows.repartition("job_id").sortWithinPartitions("job_id", "index").write.partitionBy("job_id").json(path)
+    units = S.read_manifest(spark, f"{path}/*/*.json")
+    return units.withColumn("job_id", F.regexp_extract("job_id", r"job_id=(\d+)/", 1).cast("long"))
+
+
 _OLD = f"""{T.FILES},
 old AS (SELECT job_id, type, max(size) AS size, sha256(CAST(max(size) AS VARCHAR)) AS sha256, min(created_at) AS created_at, 'STALE' AS status FROM files WHERE pos % 3 <> 0 GROUP BY 1, 2),
 new AS (SELECT job_id, type, max(size) AS size, sha256(CAST(max(size) AS VARCHAR)) AS sha256, min(created_at) AS created_at FROM files WHERE pos % 2 = 0 GROUP BY 1, 2)"""

@@ -2,26 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .store import materialize
 
 MOST_CHARS = 65_536
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files with their file and their place in it.
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files (file, line from 0, value), whatever the size of a file: long ones are read in many tasks.
+
+    Spark cuts files by spark.sql.files.maxPartitionBytes and gives a line to the split in which it begins. A line's number is its place in
+    its split, plus the lines of the splits before it, which a first pass counts. A carriage return before the line feed goes; a last
+    line feed ends the line before it; an empty file has no lines."""
+    return lines_of(spark.read.option("lineSep", "\n").text(path).select("value", "_metadata.file_path", "_metadata.file_block_start"))
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """read_lines of what a text source has read (value, file_path, file_block_start), for instance of a batch of a stream of files."""
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "lines")  # ascending within a split, whichever task reads it
+    splits = rows.groupBy("file_path", "file_block_start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file_path").orderBy("file_block_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file_path", "file_block_start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    placed = rows.join(splits, ["file_path", "file_block_start"])
+    return placed.select(F.col("file_path").alias("file"), (F.col("id") + F.col("shift")).alias("line"), F.regexp_replace("value", "\r$", "").alias("value"))
+
 
-    A file's line order is the order of the reader's byte offsets: files are read whole, one row each, and cut into lines, since
-    a transcript is small; many files are many tasks."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "value"))
+def stream_lines(spark: SparkSession, path: str, write: Callable[[DataFrame, int], None], files: int = 100):
+    """A writer that hands the lines of new files of a folder, `files` of them at a time, to write(lines, epoch)."""
+    source = spark.readStream.option("lineSep", "\n").option("maxFilesPerTrigger", files).text(path)
+    return source.select("value", "_metadata.file_path", "_metadata.file_block_start").writeStream.foreachBatch(lambda batch, epoch: write(lines_of(batch), epoch))
 
 
 def read_segments(spark: SparkSession, path: str, text_col: str = "text", job_pattern: str = r"([^/]+)/[^/]*$") -> DataFrame:
     """JSONL segments (job_id, idx from 1, start_ms, end_ms, text); a bad row stops the read with its place."""
-    parsed = _lines(spark, path).select(F.regexp_extract("file", job_pattern, 1).alias("job_id"), (F.col("line") + 1).cast("long").alias("idx"), F.from_json("value", f"start_ms bigint, end_ms bigint, `{text_col}` string").alias("r"))
+    parsed = read_lines(spark, path).select(F.regexp_extract("file", job_pattern, 1).alias("job_id"), (F.col("line") + 1).cast("long").alias("idx"), F.from_json("value", f"start_ms bigint, end_ms bigint, `{text_col}` string").alias("r"))
     rows = parsed.select("job_id", "idx", "r.start_ms", "r.end_ms", F.col(f"r.{text_col}").alias("text"))
     checked = validate_segments(rows, keep_all=True)
     reason = F.concat_ws(" ", F.lit("bad segment"), "job_id", F.col("idx").cast("string"), F.col("problem"))
@@ -53,7 +72,7 @@ def text_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def ingest_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return text_rows(_lines(spark, path).select(F.col("file").alias("job_id"), "line", "value"))
+    return text_rows(read_lines(spark, path).select(F.col("file").alias("job_id"), "line", "value"))
 
 
 # The text column that each stage takes.
