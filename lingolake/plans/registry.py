@@ -540,6 +540,17 @@ def d6(spark, d):
     return relations.match_terms(T.segments(spark, d), WORDS).select("job_id", "idx", "term")
 
 
+@query("d6_match_job_terms", f"""WITH {T.SEGMENTS}, t AS (SELECT DISTINCT job_id, unnest(regexp_extract_all(text, '[A-Za-z]{{3,}}')) AS term FROM segments WHERE idx <= 2)
+SELECT s.job_id, s.idx, t.term FROM segments s JOIN t ON s.job_id = t.job_id AND contains(s.text, t.term)""")
+def d6b(spark, d):
+    """Each conversation's list is the words of its first two turns."""
+    from ..operators import terms
+
+    s = T.segments(spark, d).select("job_id", "idx", "text")
+    lists = s.filter("idx <= 2").select("job_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0))).alias("term"))
+    return terms.match_job_terms(s, lists)
+
+
 @query("d7_assign_files", f"WITH {T.FILES} SELECT job_id, pos, type FROM files WHERE (type = 'A' AND pos = 1) OR (type = 'R' AND pos = 2)")
 def d7(spark, d):
     f = T.files(spark, d).withColumn("path", F.col("pos").cast("string"))
