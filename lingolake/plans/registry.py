@@ -116,6 +116,19 @@ def a6(spark, d):
     return files.select(F.regexp_extract(F.input_file_name(), r"job_id=([^/]+)/", 1).alias("job_id"), F.col("value").alias("markdown"))
 
 
+@query("a6_publish_transcripts", f"""WITH {T.SEGMENTS} SELECT 'job_id=' || job_id || '/transcript.md' AS file, string_agg(text || chr(10) || chr(10), '' ORDER BY idx) AS text FROM segments GROUP BY job_id
+UNION ALL SELECT 'job_id=' || job_id || '/transcript.jsonl', string_agg('{{"idx":' || idx || ',"start_ms":' || start_ms || '}}' || chr(10), '' ORDER BY idx) FROM segments GROUP BY job_id""")
+def a6b(spark, d):
+    """Half of the jobs are published, then the others; each time both files of all of them at once."""
+    from ..sources import sink
+
+    s, path = T.segments(spark, d), new_path(spark, "published")
+    for part in (0, 1):
+        sink.publish_transcripts(s.filter(F.col("job_id") % 2 == part).select("job_id", "idx", "start_ms", "text"), path)
+    whole = sink.written_files(spark, path)
+    return whole.withColumn("text", F.when(F.col("file").endswith(".jsonl"), F.regexp_replace("text", r',"text":".*?"}\n', "}\n")).otherwise(F.col("text")))
+
+
 @query("a9_read_jobs", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS progress, CASE WHEN s_suppkey % 3 = 0 THEN 'tools' ELSE 'workflows' END AS scope FROM supplier")
 def a9(spark, d):
     s = T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("progress"), F.col("s_suppkey").alias("run"))
