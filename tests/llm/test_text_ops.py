@@ -200,20 +200,16 @@ def test_toxic_words(spark, docs):
 
 
 def test_toxic_documents_are_found_on_held_out_labels(spark):
-    """A third of the labels of each of three cuts is held out; languages of 50 toxic labels or more, and all of the others together."""
+    """A third of the labels is held out; figures by language, of documents that the base test passes."""
     tables = {n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels")}
     known = tables["labels"].groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    seen = []
-    for k in range(3):
-        held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == k
-        model = Q.fit(tables["documents"], tables["labels"].filter(~held))
-        part = tables["documents"].join(known.filter(held & (F.col("quality") == 1)), "doc_id")
-        seen += [r for r in Q.judge(part, model, keep=["doc_id", "lang", "toxic"]).collect() if not r.base_failed]
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(3)) == 0
+    model = Q.fit(tables["documents"], tables["labels"].filter(~held))
+    part = tables["documents"].join(known.filter(held & (F.col("quality") == 1)), "doc_id")
+    seen = [r for r in Q.judge(part, model, keep=["doc_id", "lang", "toxic"]).collect() if not r.base_failed]
     share = lambda rows: sum(not r.kept for r in rows) / len(rows)
-    figures = {lang: (share([r for r in seen if r.lang == lang and r.toxic == 1]), share([r for r in seen if r.lang == lang and r.toxic == 0])) for lang in ("en", "de", "fr", "es")}
-    print(figures)
-    assert all(figures[lang][0] >= 0.9 for lang in ("en", "fr")) and figures["de"][0] >= 0.8 and figures["es"][0] >= 0.5, figures
-    assert all(clean <= 0.03 for _, clean in figures.values()), figures
+    figures = {lang: [share([r for r in seen if r.lang == lang and r.toxic == t]) for t in (1, 0)] for lang in ("en", "de", "fr", "es")}
+    assert all(toxic >= 0.9 and clean <= 0.03 for toxic, clean in figures.values()), figures
 
 
 def test_hints(docs):
