@@ -1396,11 +1396,29 @@ def c7(spark, d):
     return address.forms(c, "survival").select("id", "form_third", "form_you")
 
 
-@query("e2_mine_names")
+_GIVEN = "abcdefghilmnoprstuvwy"
+_SPELLED = "array_to_string(list_transform(string_split({}, ''), lambda x: upper(x)), ' ')"
+_TIMES = "((length(text) - length(replace(text, {0}, ''))) // length({0}))"
+
+
+@query("e2_mine_names", f"""WITH {T.SEGMENTS}, places AS (SELECT job_id, text, unnest(range(1, length(text))) AS i FROM segments),
+grams AS (SELECT job_id, substr(text, i, n) AS gram FROM (SELECT *, unnest([2, 3, 4]) AS n FROM places WHERE substr(text, i, 1) IN ('t', 'q') OR substr(text, i, 2) = 'ei') WHERE i + n - 1 <= length(text)),
+counts AS (SELECT job_id, gram, count(*) AS c, left(gram, 2) = 'ei' AS double FROM grams WHERE NOT contains(gram, chr(10)) GROUP BY 1, 2),
+spelled AS (SELECT *, CASE WHEN double AND length(gram) > 2 THEN CASE WHEN regexp_full_match(substr(gram, 3), '[{_GIVEN}]+') THEN 'EI ' || {_SPELLED.format("substr(gram, 3)")} END
+  WHEN left(gram, 1) IN ('t', 'q') THEN CASE WHEN regexp_full_match(substr(gram, 2), '[{_GIVEN}]+') THEN {_SPELLED.format("gram")} END END AS target FROM counts),
+found AS (SELECT * FROM spelled WHERE target IS NOT NULL AND c >= 3 AND (double OR (length(gram) <> 4 AND left(gram, 1) <> 'q'))),
+taken AS (SELECT job_id, left(gram, k) AS gram, sum(c) AS t FROM (SELECT *, unnest(range(2, length(gram))) AS k FROM found) GROUP BY 1, 2),
+own AS (SELECT f.* FROM found f LEFT JOIN taken t ON f.job_id = t.job_id AND f.gram = t.gram WHERE t IS NULL OR c - t >= 3),
+whole AS (SELECT o.* FROM own o LEFT JOIN own h ON h.job_id = o.job_id AND length(o.gram) = 3 AND h.gram = left(o.gram, 2) WHERE h.c IS NULL OR h.c < 4 * o.c),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY c DESC, gram) AS n, CASE WHEN double THEN substr(gram, 3) ELSE substr(gram, 2) END AS given FROM whole) WHERE n <= 40),
+alone AS (SELECT t.job_id, gram, given, n, sum({_TIMES.format("given")} - {_TIMES.format("gram")}) AS c FROM top t JOIN segments s ON s.job_id = t.job_id AND length(given) >= 2 AND contains(text, given) GROUP BY 1, 2, 3, 4),
+aliases AS (SELECT job_id, given, min(n) AS n, arg_min(c, n) AS c FROM alone a WHERE c >= 2 AND NOT EXISTS (SELECT 1 FROM top t WHERE t.job_id = a.job_id AND t.gram = a.given) GROUP BY 1, 2),
+both_ AS (SELECT job_id, gram AS source, target, c, n FROM top UNION ALL SELECT job_id, given, {_SPELLED.format("given")}, c, n + 1000 FROM aliases)
+SELECT job_id, source, target, CAST(c AS BIGINT) AS count, true AS auto, CAST(row_number() OVER (PARTITION BY job_id ORDER BY length(source) DESC, c DESC, n) AS INT) AS place FROM both_""")
 def e2(spark, d):
     from ..operators import names
 
-    given = {c: c.upper() for c in "abcdefghilmnoprstuvwy"}
+    given = {c: c.upper() for c in _GIVEN}
     return names.mine_names(T.segments(spark, d).select("job_id", "text"), {"ei": "EI"}, {"t": "T", "q": "Q"}, given, ["q"])
 
 
