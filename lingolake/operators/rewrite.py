@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import re
 import unicodedata
 
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import values as V
-from .scan import scan_ordered
+from ..sources.store import materialize
 
 Rule = tuple[str, str, str]  # id, source, replacement
 
@@ -70,35 +69,55 @@ def moderation_stats(replaced: DataFrame, rule_ids: list[str], changed: Column)
     return grid.join(counts, ["job_id", "rule_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
+def _mask(text: Column, pattern: str) -> Column:
+    """A text of the same length: 1 where the pattern matches, 0 elsewhere."""
+    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    run = lambda digit, part: F.repeat(F.lit(digit), F.coalesce(F.length(part), F.lit(0)))
+    return F.array_join(F.zip_with(between, hits, lambda b, h: F.concat(run("0", b), run("1", h))), "")
+
+
+def _heads(base: DataFrame, head: int) -> DataFrame:
+    """A row for each job: its first rows in order, as an array of (idx, before, fixed, n). A map task sends `head` rows of a job at most."""
+    place = F.rank().over(Window.partitionBy("job_id").orderBy("idx", "before"))
+    first = base.withColumn("_place", place).filter(F.col("_place") <= head).groupBy("job_id", "idx", "before", "fixed").agg(F.count("*").alias("n"))
+    return first.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("idx", "before", "fixed", "n"))).alias("rows"))
+
+
 def clean_source(rows: DataFrame, corrections: list[tuple[str, str]] = V.CORRECTIONS, patterns: list[str] = V.BOILERPLATE, head: int = 80) -> DataFrame:
-    """Changed rows only (job_id, idx, text): corrections, and boilerplate found across the first rows of a job; '' drops a row."""
-    compiled = [re.compile(p, re.I) for p in patterns]
-
-    def cut(text: str, gone: list[bool]) -> str:
-        left = "".join(c for c, g in zip(text, gone) if not g)
-        if V.ONLY_MARKS.fullmatch(left):
-            return ""
-        left = left.lstrip("，,。 ")
-        swallowed = left and text[-1] in V.ROW_ENDS and left[-1] not in V.ROW_ENDS
-        return left + text[-1] if swallowed else left
-
-    def fold(group):
-        first = list(itertools.islice(group, head))
-        joined = "".join(fixed for *_, fixed in first)
-        gone = [False] * len(joined)
-        for m in itertools.chain.from_iterable(p.finditer(joined) for p in compiled):
-            gone[m.start() : m.end()] = [True] * (m.end() - m.start())
-        ends = list(itertools.accumulate(len(fixed) for *_, fixed in first))
-        for (job, idx, before, fixed), end in zip(first, ends):
-            mine = gone[end - len(fixed) : end]
-            text = cut(fixed, mine) if any(mine) else fixed
-            if text != before:
-                yield job, idx, text
-        yield from ((job, idx, fixed) for job, idx, before, fixed in group if fixed != before)
-
-    kind = dict(rows.dtypes)["job_id"]
-    base = rows.select("job_id", "idx", F.coalesce("text", F.lit("")).alias("text"))
-    return scan_ordered(base.select("job_id", "idx", "text", X.correct_terms(F.col("text"), corrections).alias("fixed")), ["job_id"], ["idx"], fold, f"job_id {kind}, idx long, text string")
+    """Changed rows only (job_id, idx, text): corrections, and boilerplate found across the first rows of a job; '' drops a row.
+
+    Only first rows meet in a job's group. Each pattern makes a mask of their joined text, and a row is cut by its range of the masks. All
+    other rows stay where they are; those that a correction changes are told from first rows by a join with one row for each job.
+    Patterns are matched whatever the case and must not match empty text. A null text is an empty one; rows that repeat job, idx and
+    text stand once in the joined text, and each gets the result. A null job is a job."""
+    if any(re.search(p, "") for p in patterns):
+        raise ValueError("a pattern matches empty text")
+    base = rows.select("job_id", "idx", F.coalesce("text", F.lit("")).alias("before"))
+    base = base.withColumn("fixed", X.correct_terms(F.col("before"), corrections))
+    heads = materialize(_heads(base, head), "heads")
+
+    joined = F.array_join(F.transform("rows", lambda r: r["fixed"]), "")
+    masks = heads.select("job_id", "rows", joined.alias("_joined")).select("job_id", "rows", F.array(*[_mask(F.col("_joined"), f"(?iuU){p}") for p in patterns]).cast("array<string>").alias("_masks"))
+    start = lambda i: F.aggregate(F.slice("rows", 1, i), F.lit(0), lambda n, r: n + F.length(r["fixed"]))
+    cut = lambda r, i: F.filter(F.transform("_masks", lambda m: F.substring(m, start(i) + 1, F.length(r["fixed"]))), lambda m: m.contains("1"))
+    marked = F.transform("rows", lambda r, i: F.named_struct(F.lit("row"), r, F.lit("cuts"), cut(r, i)))
+    strike = lambda chars, m: F.zip_with(chars, F.split(m, ""), lambda c, gone: F.when(gone == "0", c).otherwise(""))
+    kept = lambda e: F.when(F.size(e["cuts"]) > 0, F.aggregate(e["cuts"], F.split(e["row"]["fixed"], ""), strike, lambda chars: F.array_join(chars, "")))
+    each = F.transform(marked, lambda e: F.named_struct(F.lit("row"), e["row"], F.lit("left"), kept(e)))
+    left = masks.select("job_id", F.explode(each).alias("e")).select("job_id", "e.row.*", F.col("e.left").alias("_left"))
+    left = left.withColumn("_bare", F.when(F.col("_left").rlike(rf"(?U)\A(?:{V.ONLY_MARKS.pattern})\z"), "").otherwise(F.regexp_replace("_left", "^[，,。 ]+", "")))
+    ends = lambda c: F.coalesce(F.instr(F.lit(V.ROW_ENDS), F.right(c, F.lit(1))) > 0, F.lit(False)) & (F.length(c) > 0)
+    swallowed = (F.length("_bare") > 0) & ends(F.col("fixed")) & ~ends(F.col("_bare"))
+    rest = F.when(swallowed, F.concat("_bare", F.right("fixed", F.lit(1)))).otherwise(F.col("_bare"))
+    text = F.when(F.col("_left").isNotNull(), rest).otherwise(F.col("fixed"))
+    changed = left.select("job_id", "idx", "before", text.alias("text"), "n").filter("text <> before")
+    changed = changed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("job_id", "idx", "text")
+    if not corrections:
+        return changed
+    last = heads.select(F.col("job_id").alias("_job"), F.element_at("rows", -1).alias("_last"))
+    beyond = F.struct("idx", "before") > F.struct(F.col("_last.idx"), F.col("_last.before"))
+    later = base.filter("fixed <> before").join(last, F.col("job_id").eqNullSafe(F.col("_job")) & beyond)
+    return changed.union(later.select("job_id", "idx", F.col("fixed").alias("text")))
 
 
 def remove_boilerplate(rows: DataFrame, patterns: list[str] = V.BOILERPLATE, head: int = 80) -> DataFrame:

@@ -92,6 +92,40 @@ def test_clean_source(spark):
     assert two.text == "欢迎收听，"
 
 
+def test_clean_source_of_random_jobs(spark, capsys):
+    """Against single characters kept or not, row by row; a long job sends few rows to its group."""
+    import random
+    import re
+
+    rng, made, want = random.Random(5), [], []
+    patterns, fixes = ["ab+c", "CA。?", "b。a"], [("aab", "cc")]
+    for job in [None, "j", "k", "l"]:
+        texts = {i: "".join(rng.choices("abc。， ", k=rng.randrange(9))) for i in range(rng.choice([3, 40, 90]))}
+        made += [(job, i, t) for i, t in texts.items()]
+        fixed = {i: t.replace(*fixes[0]) for i, t in texts.items()}
+        head = "".join(fixed[i] for i in sorted(fixed)[:20])
+        cut, at = {k for p in patterns for m in re.finditer(p, head, re.I) for k in range(*m.span())}, 0
+        for i in sorted(fixed):
+            t, own = fixed[i], range(at, at + len(fixed[i])) if i < 20 else range(0)
+            at += len(own)
+            if cut & set(own):
+                t = "".join(c for c, k in zip(t, own) if k not in cut)
+                t = t.lstrip("，,。 ") if t.strip("。， ") else ""
+                t += fixed[i][-1] if t and fixed[i][-1] in "。，" and t[-1] not in "。，" else ""
+            if t != texts[i]:
+                want.append((job, i, t))
+    df = spark.createDataFrame(made + [("l", 0, made[-len(texts)][2])], "job_id string, idx long, text string").repartition(5)
+    got = [tuple(r) for r in rewrite.clean_source(df, fixes, patterns, head=20).collect()]
+    assert sorted(set(got), key=str) == sorted(want, key=str)
+    assert sum(r[:2] == ("l", 0) for r in got) == 2 * sum(r[:2] == ("l", 0) for r in want)
+    with pytest.raises(ValueError):
+        rewrite.clean_source(df, fixes, ["a*"])
+    rewrite._heads(df.select("job_id", "idx", F.col("text").alias("before"), F.col("text").alias("fixed")), 20).explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")  # below the exchange too
+    assert rewrite.clean_source(df.limit(0), fixes, patterns).count() == 0 and rewrite.clean_source(df, fixes, []).count() > 0
+
+
 def test_flow(spark):
     corpus = [("j", i, "tôi chạy rồi cuối cùng ngã") for i in range(6)]
     for before, text, want in [("qua sông,", "Rồi tôi chết.", "rồi tôi chết."), ("qua sông,", "Lý Cường đến.", "Lý Cường đến."), ("qua sông,", "Mumu đến.", "Mumu đến."), ("qua sông.", "Rồi tôi chết.", "Rồi tôi chết."), ("qua sông:", "Rồi tôi.", "Rồi tôi.")]:
