@@ -163,21 +163,28 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, tolerance: float = TO
     return placed.select("doc_id", "size", "text_crc32", F.floor(F.col("range") / cut).cast("int").alias("shard"), (start + F.row_number().over(order) - 1).cast("long").alias("slot"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, text: str = "text", key: str = "doc_id") -> None:
-    """Write whole rows as shard=N folders in shard order: one exchange of the rows, after the search on the compact table."""
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, text: str = "text", key: str = "doc_id", rows_per_range: int = ROWS_PER_RANGE) -> None:
+    """Write whole rows as shard=N folders: one exchange of the rows, after the search on the compact table.
+
+    A shard is as many ranges as it has `rows_per_range` rows. Each range is sorted and is one file, and files come in the order of their
+    names within a shard, so a task holds a range and never a shard. Rows that repeat an id and its text are told apart by their place in this
+    reading. An empty table writes no shard; a column called shard is replaced."""
     keys = materialize(keyed(docs, text, key), "shard-keys")
     total, n = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
-    splitters = find_splitters(keys, total, n, shards, tolerance * total / shards) if n else []
+    cut = max(1, -(-n // (shards * rows_per_range)))
+    splitters = find_splitters(keys, total, n, shards * cut, tolerance * total / (shards * cut)) if n else []
 
     @F.pandas_udf("int")
-    def shard_of(h, d, r):
+    def range_of(h, d, r):
         import pandas as pd
 
         return pd.Series(ranges_of(splitters, [h.to_numpy(), d.to_numpy(), r.to_numpy()]))
 
     names = [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__h"), _order(docs, key).alias("__d"), F.monotonically_increasing_id().alias("__r")]
-    rows = docs.select("*", *names).withColumn("shard", shard_of("__h", "__d", "__r"))
-    rows.repartition(shards, "shard").sortWithinPartitions("shard", "__h", "__d").drop("__h", "__d", "__r").write.partitionBy("shard").parquet(path)
+    placed = docs.drop("shard").select("*", *names).withColumn("__range", range_of("__h", "__d", "__r")).withColumn("shard", F.floor(F.col("__range") / cut).cast("int"))
+    # the number of a partition is that of its range, so no two ranges share a task and a shard's files are in order
+    dealt = placed.repartitionById(shards * cut, F.col("__range")).sortWithinPartitions("shard", "__h", "__d", "__r")
+    dealt.drop("__h", "__d", "__r", "__range").write.partitionBy("shard").parquet(path)
 
 
 def op3_sharding(spark, sf_dir: str) -> DataFrame:

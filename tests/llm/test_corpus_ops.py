@@ -172,10 +172,39 @@ def test_shards(docs, odd):
     assert sorted(r["count"] for r in same) == [100] * 4
 
 
+def test_shards_by_a_sorted_running_sum(docs, odd):
+    """Shards and slots against all rows in order: a boundary is within the tolerance, or no row boundary is nearer to its target."""
+    rng = random.Random(8)
+    texts = odd + ["hot" * 20] * 400 + ["w" * rng.choice([3, 50, 700, 9000]) for _ in range(300)] + [f"t{rng.randint(0, 300)}" for _ in range(500)]
+    table = docs(texts, [*range(len(texts) - 60), *[7] * 60])
+    order = sorted((r.h, r.d, r.size, r.text_crc32, r.doc_id) for r in sharding.keyed(table).collect())
+    for shards, per in ((7, 20), (16, 1000)):
+        found = collections.defaultdict(list)
+        for r in sharding.shard_documents(table, shards=shards, rows_per_range=per).collect():
+            found[r.shard].append((r.slot, r.size, r.text_crc32, r.doc_id))
+        flat = [x for k in range(shards) for x in sorted(found[k])]
+        assert [x[1:] for x in flat] == [x[2:] for x in order]  # shards one after the other, slots in order, are the sorted table
+        assert all([x[0] for x in sorted(v)] == list(range(len(v))) for v in found.values())
+        sums = np.cumsum([0, *[x[2] for x in order]])
+        cut = max(1, -(-len(order) // (shards * per)))
+        ends = np.cumsum([len(found[k]) for k in range(shards)])[:-1]
+        for i, end in enumerate(ends, 1):
+            target = sums[-1] * i / shards
+            assert abs(sums[end] - target) <= max(sharding.TOLERANCE * sums[-1] / (shards * cut), abs(sums - target).min())
+
+
 def test_write_shards(spark, docs, tmp_path):
-    sharding.write_shards(docs(["abc" * k for k in range(200)]), str(tmp_path / "out"), shards=4)
+    table = docs(["abc" * (k % 50) for k in range(200)]).withColumn("shard", F.lit("mine"))
+    sharding.write_shards(table, str(tmp_path / "out"), shards=4, rows_per_range=10)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and back.select("shard").distinct().count() == 4
+    want = sharding.shard_documents(table, shards=4, rows_per_range=10).orderBy("shard", "slot").select("doc_id").collect()
+    got = []
+    for folder in sorted((tmp_path / "out").glob("shard=*")):
+        files = sorted(folder.glob("*.parquet"))
+        assert len(files) == 5
+        got += [r for f in files for r in spark.read.parquet(str(f)).select("doc_id").collect()]
+    assert got == want
 
 
 def test_language_model(spark, docs, odd):
