@@ -950,9 +950,16 @@ def g1b(spark, d):
     return relations.history(j, "1-URG")[1]
 
 
-@query("g2_merge_sorted", f"WITH {T.SPANS} SELECT job_id, seq, start_ms, end_ms FROM spans")
+def _places(df, *value: str):
+    """Where a row comes in its job as the rows are given out; those of equal `value` share the first place."""
+    given = df.withColumn("_given", F.monotonically_increasing_id())
+    numbered = given.withColumn("_n", F.row_number().over(Window.partitionBy("job_id").orderBy("_given")))
+    return numbered.withColumn("place", F.min("_n").over(Window.partitionBy("job_id", *value)))
+
+
+@query("g2_merge_sorted", f"WITH {T.SPANS} SELECT job_id, seq, start_ms, end_ms, rank() OVER (PARTITION BY job_id ORDER BY start_ms, end_ms)::INT AS place FROM spans")
 def g2(spark, d):
-    return relations.merge_sorted(T.spans(spark, d)).select("job_id", "seq", "start_ms", "end_ms")
+    return _places(relations.merge_sorted(T.spans(spark, d)), "start_ms", "end_ms").select("job_id", "seq", "start_ms", "end_ms", "place")
 
 
 @query("g3_latest_errors", f"WITH {T.TRANSITIONS} SELECT job_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY tm DESC, seq DESC) AS n FROM transitions WHERE state = 'FAILED') WHERE n <= 10")
@@ -972,9 +979,10 @@ def g5(spark, d):
     return relations.first_pending(j)
 
 
-@query("g6_manifest_order", f"WITH {T.FILES} SELECT job_id, pos AS index, length_ms FROM files")
+@query("g6_manifest_order", f"WITH {T.FILES} SELECT job_id, pos AS index, length_ms, rank() OVER (PARTITION BY job_id ORDER BY pos)::INT AS place FROM files")
 def g6(spark, d):
-    return relations.manifest_order(T.files(spark, d).withColumnRenamed("pos", "index")).select("job_id", "index", "length_ms")
+    units = relations.manifest_order(T.files(spark, d).withColumnRenamed("pos", "index"))
+    return _places(units, "index").select("job_id", "index", "length_ms", "place")
 
 
 # Sets
