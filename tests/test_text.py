@@ -73,6 +73,32 @@ def test_parts_lose_nothing(spark):
         X.budget_parts("ab", 0)
 
 
+def test_two_lines_of_random_texts(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab  é𝄞", k=rng.randrange(120))) for _ in range(400)] + ["x" * 60, "a" * 50 + " ", " " * 50, "a b" * 20, None]
+
+    def broken(t):
+        spaces = [(abs(2 * i - len(t)), i) for i, c in enumerate(t or "") if c == " "]
+        return f"{t[:min(spaces)[1]]}\n{t[min(spaces)[1] + 1:]}" if spaces and len(t) > 42 else t
+
+    assert column(spark, texts, X.two_lines) == [broken(t) for t in texts]
+
+
+def test_parts_are_found_near_their_length():
+    seen = []
+
+    def cost(t):
+        seen.append(len(t))
+        return len(t) // 3
+
+    text = "một hai, ba. " * 4000
+    parts = X.budget_parts(text, 20, cost)
+    assert "".join(parts) == text and all(len(x) // 3 <= 20 for x in parts) and max(seen) <= 2 * 63
+    assert parts == X.budget_parts(text, 62)  # 62 characters are the most that cost 20
+
+
 def test_two_lines_and_stamp(spark):
     long_ = "abcdefghij " * 5
     assert column(spark, ["short one", long_.strip()], X.two_lines) == ["short one", "abcdefghij abcdefghij abcdefghij\nabcdefghij abcdefghij"]
