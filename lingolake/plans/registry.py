@@ -1048,6 +1048,14 @@ def _drained(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def _complete(stream: DataFrame) -> DataFrame:
+    """What a stream in complete mode holds at its end; each batch writes it anew."""
+    spark = stream.sparkSession
+    out = new_path(spark, "stream")
+    _run(stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(out)), spark)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def _kept(stream: DataFrame, keys: list[str]):
     """The keyed table that a stream in update mode keeps."""
     from ..streaming import streams, tables
@@ -1159,12 +1167,11 @@ def i6(spark, d):
 
 
 @query("i7_stale_heartbeats", """WITH g AS (SELECT user_id AS job_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 3600 SECONDS THEN 0 ELSE 1 END AS b FROM events), s AS (SELECT *, sum(b) OVER (PARTITION BY job_id ORDER BY ts) AS k FROM g)
-SELECT job_id, min(ts) AS first, max(ts) AS last, max(ts) + INTERVAL 3600 SECONDS AS stale_at, count(*) AS beats FROM s GROUP BY job_id, k HAVING max(ts) + INTERVAL 3600 SECONDS <= (SELECT max(ts) - INTERVAL 600 SECONDS FROM events)""")
+SELECT job_id, min(ts) AS first, max(ts) AS last, max(ts) + INTERVAL 3600 SECONDS AS stale_at, count(*) AS beats FROM s GROUP BY job_id, k""")
 def i7(spark, d):
-    """Runs that the watermark has left behind; those still open when the table ends do not come."""
     from ..streaming import streams
 
-    return _drained(streams.stale_heartbeats(_stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"), "3600 seconds"))
+    return _complete(streams.stale_heartbeats(_stream(spark, d, "events").select(F.col("user_id").alias("job_id"), "ts"), "3600 seconds", late=None))
 
 
 @query("i8_incremental_apply", f"WITH {_KEYED} SELECT job_id, idx, fingerprint, text || '?' AS output FROM keyed JOIN segments USING (job_id, idx)")

@@ -314,10 +314,16 @@ def stream_throughput(events: DataFrame, window: str = "30 seconds", slide: str
     return events.withWatermark("ts", late).groupBy("job_id", F.window("ts", window, slide).alias("w")).agg(F.sum("amount").alias("amount"), F.count("*").alias("n")).select("job_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "amount", "n")
 
 
-def stale_heartbeats(beats: DataFrame, silence: str = "30 seconds", late: str = "10 minutes") -> DataFrame:
-    """Runs of beats (job_id, ts) that a silence ended: first and last beat, and the time from which the key is stale. In append mode a run
-    comes once the watermark has passed that time; beats later than the watermark are dropped."""
-    return beats.withWatermark("ts", late).groupBy("job_id", F.session_window("ts", silence).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("beats")).select("job_id", "first", "last", F.col("w.end").alias("stale_at"), "beats")
+def stale_heartbeats(beats: DataFrame, silence: str = "30 seconds", late: str | None = "10 minutes") -> DataFrame:
+    """Runs of beats (job_id, ts) with no silence inside: first and last beat, and the time from which the key is stale, when a beat begins
+    a new run. In append mode a run comes once the watermark has passed that time; beats later than the watermark are dropped. With
+    late=None, for complete mode, no beat is late and all runs come, those still open too; all stay in the state, which is on disk."""
+    if late is None:
+        beats.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    else:
+        beats = beats.withWatermark("ts", late)
+    gap = f"{silence} -1 microseconds"  # a window also takes a beat at its end
+    return beats.groupBy("job_id", F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("beats")).select("job_id", "first", "last", (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("stale_at"), "beats")
 
 
 CHECKPOINT = "job_id long, stage string, idx long, fingerprint string, output string"

@@ -132,6 +132,26 @@ def test_late_windows_and_silence(spark, tmp_path):
     assert sorted((r.job_id, str(r.start)[11:], r.n) for r in got) == want
 
 
+def test_all_runs_of_beats(spark, tmp_path):
+    """The last run of a key, still open, comes as well; no beat is late, and one may join two runs; a silence of full length ends a run."""
+    at = lambda m, s=0: f"2024-01-01T{m // 60:02d}:{m % 60:02d}:{s:02d}"
+    beat = lambda j, *t: {"job_id": j, "ts": at(*t)}
+    parts = [[beat(1, 100), beat(1, 100, 40), beat(2, 10)], [beat(1, 150), beat(1, 150, 30)], [beat(1, 100, 20), beat(2, 151)], [beat(None, 1), beat(None, 1, 29)]]
+    whole = registry._complete(streams.stale_heartbeats(batches(spark, tmp_path, "job_id long, ts timestamp", *parts), "30 seconds", late=None))
+    got = [(r.job_id, *(str(t)[11:] for t in (r.first, r.last, r.stale_at)), r.beats) for r in whole.orderBy("job_id", "first").collect()]
+    assert got == [(None, "00:01:00", "00:01:29", "00:01:59", 2), (1, "01:40:00", "01:40:40", "01:41:10", 3), (1, "02:30:00", "02:30:00", "02:30:30", 1), (1, "02:30:30", "02:30:30", "02:31:00", 1), (2, "00:10:00", "00:10:00", "00:10:30", 1), (2, "02:31:00", "02:31:00", "02:31:30", 1)]
+
+
+def test_each_event_is_in_a_run(spark, sf_dir):
+    import duckdb
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    assert registry.queries()["i7_stale_heartbeats"](spark, sf_dir).agg(F.sum("beats")).first()[0] == events
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf_dir}/events.parquet'")
+    assert con.execute(f"select sum(beats) from ({registry.oracle_sql()['i7_stale_heartbeats']})").fetchone()[0] == events
+
+
 def test_a_keyed_table_opens_few_files(spark, tmp_path):
     """A lookup reads the buckets of its keys; parts are put together, also while a batch is written again."""
     table = tables.KeyedTable(spark, str(tmp_path / "t"), ["k"], "k long, v string", 16)
