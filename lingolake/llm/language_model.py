@@ -16,8 +16,9 @@ more (1 / HEAD at most, since counts sum to N), and of their bigrams those that
 HOT_PAIRS), counted exactly over all documents. What is chosen there decides where an arc is met, never its weight. All other arcs
 meet the texts in one exchange: the traversal hands on the bigrams whose arcs it lacks, those of all documents are dealt by
 their key, counted over the training documents, weighed, and summed by document. Their keys are rare, so none is hot, and they
-travel as arrays of eight bytes a bigram. A word outside the broadcast part is counted by the bigrams that end in it, in its
-bucket; where both words of a bigram are such, the count of the first is joined from the table of counts.
+stay in arrays, one for each step, kind and bucket of keys, up to the task that weighs them bucket by bucket. A word outside the
+broadcast part is counted by the bigrams that end in it, in its bucket; where both words of a bigram are such, the count of the first
+is joined from the table of counts.
 
 Words are runs of non-white bytes with A-Z in lower case, known by a 64-bit hash; then comes one end.
 
@@ -49,8 +50,8 @@ END, START = np.uint64(0), np.uint64(1)
 COUNT_TOKENS = 2_000_000
 #: Text bytes whose bigrams a task deals at once, and rows of sums that it holds before it puts them together.
 DEAL_BYTES, SUM_ROWS = 2 << 20, 1_000_000
-#: Training tokens for each task that weighs dealt bigrams, so that tasks grow in number and not in size.
-DEALT_TOKENS = 3_000_000
+#: Training tokens, and text bytes of all documents, for each task that weighs dealt bigrams, so that tasks grow in number and not in size.
+DEALT_TOKENS, DEALT_BYTES = 3_000_000, 32 << 20
 #: Documents whose sums are put together at once, as a power of two.
 BLOCK = 12
 _IN_BLOCK = (1 << BLOCK) - 1
@@ -265,10 +266,18 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
 
 
 def _weigher(shared, head: pa.DataType):
-    """Bigrams, sorted by a, to sums by document, in arrays for each block of documents, to bigrams of two words that are not
-    broadcast (v, q, t), and to the documents themselves. A task holds a batch, the last run of equal a, and sums."""
+    """Arrays of bigrams, sorted by bucket, to sums by document, in arrays for each block of documents, to bigrams of two words that
+    are not broadcast (v, q, t), and to the documents themselves. A task holds a batch, one bucket, and sums."""
     names = ["block", "at", "known", "base", "gain", "v", "q", "t", "head"]
-    numbers = ["kind", "row", "a", "b", "times"]
+
+    def numbers(part):
+        """kind, row, a, b and times of the bigrams in the arrays; b is 0 where a says both words."""
+        a, rows, times = (part.column(c).flatten().to_numpy() for c in ("a", "rows", "times"))
+        per = part.column("a").value_lengths().to_numpy()
+        kind = np.repeat(part.column("kind").to_numpy(), per)
+        b = np.zeros(len(a), np.int64)
+        b[kind != NEAR] = part.column("b").flatten().to_numpy()
+        return kind, np.repeat(part.column("base").to_numpy(), per) + (rows >> 1), a, b, np.where(rows & 1, times, -times)
 
     def summed(parts):
         found, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
@@ -292,12 +301,14 @@ def _weigher(shared, head: pa.DataType):
         return pa.RecordBatch.from_arrays([pa.array(row >> BLOCK), at, *none, v, q, t, heads], names)
 
     def weighed(m, kind, row, a, b, times):
-        """The sums of whole runs, and their bigrams of two words that are not broadcast; times are negative in texts not learned from."""
+        """The sums of a bucket, and its bigrams of two words that are not broadcast; times are negative in texts not learned from."""
         t, learned = np.abs(times), np.maximum(times, 0)
         known, base, more = np.zeros(len(kind), np.int64), np.zeros(len(kind)), np.zeros(len(kind))
         i = np.flatnonzero(kind == NEAR)
+        i = i[np.argsort(a[i])]
         pair = _runs(a[i])
-        more[i] = t[i] * m.gain(a[i], np.bincount(pair, learned[i])[pair].astype(np.int64))
+        first = np.flatnonzero(np.diff(pair, prepend=-1))
+        more[i] = t[i] * m.gain(a[i[first]], np.bincount(pair, learned[i]))[pair]
         i = np.flatnonzero(kind != NEAR)
         if not len(i):
             return (row, known, base, more), None
@@ -318,37 +329,38 @@ def _weigher(shared, head: pa.DataType):
 
     def run(batches):
         m = shared.value
-        parts, held, kept = [], 0, None
-        for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            if (whole := np.flatnonzero(kind == DOCUMENT)).size:
-                some = batch.take(pa.array(whole))
-                n = len(whole)
-                yield alone(some.column("row").to_numpy(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), some.column("head"))
-            part = np.flatnonzero(kind != DOCUMENT)
-            if not len(part):
-                continue
-            now = [batch.column(x).fill_null(0).to_numpy()[part] for x in numbers]
-            now = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
-            last = int(np.flatnonzero(now[2] != now[2][-1])[-1]) + 1 if (now[2] != now[2][-1]).any() else 0
-            kept = [x[last:] for x in now]
-            if last:
-                done, both = weighed(m, *(x[:last] for x in now))
-                parts.append(done)
-                held += last
-                if both is not None and len(both[0]):
-                    yield rest(*both)
-                if held >= SUM_ROWS:
-                    parts = [summed(parts)]
-                    held = len(parts[0][0])
-                    if held >= SUM_ROWS // 2:
-                        yield sums(parts[0])
-                        parts, held = [], 0
-        if kept is not None:
-            done, both = weighed(m, *kept)
+        parts, held, kept, bucket = [], 0, [], None
+
+        def closed():
+            """What goes on from the bucket that is over."""
+            nonlocal parts, held, kept
+            if not kept:
+                return
+            done, both = weighed(m, *(np.concatenate(x) for x in zip(*kept)))
+            kept = []
             parts.append(done)
+            held += len(done[0])
             if both is not None and len(both[0]):
                 yield rest(*both)
+            if held >= SUM_ROWS:
+                parts = [summed(parts)]
+                held = len(parts[0][0])
+                if held >= SUM_ROWS // 2:
+                    yield sums(parts[0])
+                    parts, held = [], 0
+
+        for batch in batches:
+            whole = batch.column("kind").to_numpy() == DOCUMENT
+            if n := int(whole.sum()):
+                some = batch.filter(pa.array(whole))
+                yield alone(some.column("base").to_numpy(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.nulls(n, pa.int32()), some.column("head"))
+            pairs = batch.select(["kind", "bucket", "base", "a", "b", "rows", "times"]).filter(pa.array(~whole))
+            for first, last in _stretches(pairs.column("bucket").to_numpy()):
+                if pairs.column("bucket")[first].as_py() != bucket:
+                    yield from closed()
+                    bucket = pairs.column("bucket")[first].as_py()
+                kept.append(numbers(pairs.slice(first, last - first)))
+        yield from closed()
         if parts:
             yield sums(summed(parts))
         parts = kept = None
@@ -433,15 +445,13 @@ def language_model_scores(docs: DataFrame, learn: Column, keep: list[str] | None
     from pyspark.sql.pandas.types import to_arrow_type
 
     arrow = to_arrow_type(fields)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.n // DEALT_TOKENS))
-    buckets = 8 * parts
+    size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-model.n // DEALT_TOKENS), -(-size // DEALT_BYTES))
+    buckets = 8 * parts  # a task weighs one at a time
     schema = T.StructType([*T.StructType.fromDDL(f"kind int, bucket int, base long, {_PAIRS}").fields, T.StructField("head", fields)])
-    dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition(parts, "bucket")
-    flat = dealt.select("kind", "bucket", "base", "head", F.inline_outer(F.arrays_zip("a", "b", "rows", "times")))
-    row = F.when(F.col("kind") == DOCUMENT, F.col("base")).otherwise(F.col("base") + F.shiftright("rows", 1))
-    flat = flat.select("kind", row.alias("row"), "a", "b", F.when(F.col("rows").bitwiseAND(1) == 1, F.col("times")).otherwise(-F.col("times")).alias("times"), "head").sortWithinPartitions("a")  # one number, so that the sort is by its bits
+    dealt = given.mapInArrow(_dealer(shared, kept, arrow, buckets), schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
     out = T.StructType([*T.StructType.fromDDL("block long, at array<int>, known array<long>, base array<double>, gain array<double>, v long, q double, t int").fields, T.StructField("head", fields)])
-    weighed = flat.mapInArrow(_weigher(shared, arrow), out).repartition("block").sortWithinPartitions("block")
+    weighed = dealt.mapInArrow(_weigher(shared, arrow), out).repartition("block").sortWithinPartitions("block")
     whole = T.StructType([T.StructField("row", T.LongType()), T.StructField("head", fields), *T.StructType.fromDDL("known long, base double, gain double, rest array<struct<v:long,q:double,t:int>>").fields])
     scored = materialize(weighed.mapInArrow(_gatherer(arrow), whole), "lm-scores")
     weight = SCALE * F.pow(F.col("c").cast("double"), F.lit(POWER))

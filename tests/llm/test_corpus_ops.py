@@ -240,6 +240,31 @@ def test_language_model(spark, docs, odd):
             assert math.isclose(r.score, sum(math.log10(p2(*x)) for x in zip(["<s>", *w], w)), rel_tol=1e-9)
 
 
+def test_bigrams_travel_as_arrays(spark, docs, monkeypatch):
+    """No row for each bigram: those of a bucket stay arrays up to the task that weighs them, also where batches cut a bucket."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(rng.randint(0, 80))) for _ in range(60)]
+    table = docs(texts + [None])
+    plans, write = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or write(df, name))
+    monkeypatch.setattr(lm, "DEALT_BYTES", 500, raising=False)
+    got, rows = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    try:
+        for most in (before, "2"):
+            spark.conf.set(rows, most)
+            got.append({r.doc_id: r for r in lm.language_model_scores(table, F.col("doc_id") % 5 != 1, ["doc_id"], head=5e-3, hot=4)[0].collect()})
+    finally:
+        spark.conf.set(rows, before)
+    assert len(got[0]) == 61 and got[0].keys() == got[1].keys()
+    for k, r in got[0].items():
+        assert r[:3] == got[1][k][:3] and all(math.isclose(x, y, rel_tol=1e-9) for x, y in zip(r[3:], got[1][k][3:]))
+    scores = [plan for name, plan in plans if name == "lm-scores"]
+    assert len(scores) == 2 and not any("Generate" in plan for plan in scores)
+    parts = -(-sum(map(len, texts)) // 500)  # tasks grow in number also with texts that are only scored
+    assert parts > 4 and all(re.search(rf"RepartitionByExpression \[bucket#\d+\], {parts}\b", plan) for plan in scores)
+
+
 def test_language_model_without_training_or_rows(docs):
     table = docs(["a b", "a b", None, ""], [1, 1, None, 4])
     scored, _ = lm.language_model_scores(table, F.lit(False))
