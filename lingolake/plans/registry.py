@@ -131,11 +131,15 @@ def a6b(spark, d):
 
 @query("a9_read_jobs", "SELECT CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_acctbal AS progress, CASE WHEN s_suppkey % 3 = 0 THEN 'tools' ELSE 'workflows' END AS scope FROM supplier")
 def a9(spark, d):
-    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("progress"), F.col("s_suppkey").alias("run"))
+    """A job.json in a folder of its own for each supplier, written by the sink's tasks and read again; a folder's name counts on where a key comes again."""
+    from ..sources import sink
+
+    s = T.read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("progress"), F.when(F.col("s_suppkey") % 3 == 0, "tools").otherwise("workflows").alias("scope"))
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("name", "progress"))
+    run = F.concat_ws("-", F.coalesce("id", F.lit("none")), F.when(nth > 1, nth))
     path = new_path(spark, "jobs")
-    s.filter("run % 3 = 0").write.partitionBy("run").json(f"{path}/tools")
-    s.filter("run % 3 <> 0").write.partitionBy("run").json(f"{path}/workflows")
-    return S.read_jobs(spark, path, name="*.json").select("id", "name", "progress", "scope")
+    sink.write_files(s.select(F.concat_ws("/", "scope", run, F.lit("job.json")).alias("file"), F.lit(0).alias("place"), F.to_json(F.struct("id", "name", "progress")).alias("text")), path)
+    return S.read_jobs(spark, sink.written_folders(path)).select("id", "name", "progress", "scope")
 
 
 @query("a11_append_log", f"WITH {T.TRANSITIONS} SELECT job_id, seq, step FROM transitions WHERE state IN ('FAILED', 'PAUSED')")

@@ -132,10 +132,24 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 JOB = "id string, workflow_no long, name string, url string, status string, progress double, created_at string, completed_at string, steps map<string, struct<state:string, attempt:int, retry_count:int, progress:double, started_at:string, completed_at:string, duration_ms:long>>"
 
 
-def read_jobs(spark: SparkSession, path: str, schema: str = JOB, name: str = "job.json") -> DataFrame:
-    """One job per file of that name (a glob) under a folder; scope is workflows or tools by the folder."""
-    df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).json(path)
-    return df.withColumn("scope", F.when(F.input_file_name().contains("/tools/"), "tools").otherwise("workflows")).withColumn("created_at", F.to_timestamp("created_at"))
+#: Parts of a scan that a task reads together. Spark counts 4 MB for opening a file, so a part holds 32 small ones.
+SCAN_PARTS = 32
+
+
+def read_jobs(spark: SparkSession, path: str | list[str], schema: str = JOB, name: str = "job.json") -> DataFrame:
+    """One job per file of that name (a glob) under a folder, or several; scope is workflows or tools by the folder.
+
+    Runs are many, each a folder with a small file. Left alone, Spark lists every folder in a task of its own (up to 10,000) and reads
+    32 files in a task, so that starting tasks takes longer than their work. Here few tasks list, and a task reads about a thousand files."""
+    key, least = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), least)))
+    try:
+        df = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).json(path)
+    finally:
+        spark.conf.set(key, before)
+    df = df.withColumn("scope", F.when(F.input_file_name().contains("/tools/"), "tools").otherwise("workflows")).withColumn("created_at", F.to_timestamp("created_at"))
+    return df.coalesce(max(least, df.rdd.getNumPartitions() // SCAN_PARTS))
 
 
 def publish_files(existing: DataFrame, staged: DataFrame) -> DataFrame:

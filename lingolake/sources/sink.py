@@ -104,13 +104,18 @@ def write_files(rows: DataFrame, path: str, mode: str = "append") -> None:
     ordered.write.format("files_at_once").option("path", path).mode(mode).save()
 
 
+def written_folders(path: str) -> list[str]:
+    """The folders that the last manifest names, one for each task that wrote; names of files go on from there."""
+    store, root = open_store(path)
+    return [f"{path}/data/{f}" for f in _last(store, root)[1]]
+
+
 def written_files(spark: SparkSession, path: str) -> DataFrame:
     """Name and whole text of each file that the last manifest names; Spark gives no row for an empty file."""
-    store, root = open_store(path)
-    _, folders = _last(store, root)
+    folders = written_folders(path)
     if not folders:
         return spark.createDataFrame([], "file string, text string")
-    texts = spark.read.option("recursiveFileLookup", True).text([f"{path}/data/{f}" for f in folders], wholetext=True)
+    texts = spark.read.option("recursiveFileLookup", True).text(folders, wholetext=True)
     return texts.select(F.url_decode(F.replace(F.regexp_extract(F.input_file_name(), r"/data/[0-9a-f]{32}/(.*)$", 1), F.lit("+"), F.lit("%2B"))).alias("file"), F.col("value").alias("text"))
 
 

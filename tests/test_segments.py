@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lingolake.functions import jobs as J
 from lingolake.operators import folds, model, names, relations, rewrite
+from lingolake.plans import registry
 from lingolake.sources import segments as S
 
 
@@ -266,3 +267,41 @@ def test_sources(spark, tmp_path):
     with pytest.raises(ValueError, match="n.jsonl"):
         S.read_manifest(spark, f"{job}/[mn].jsonl")
     assert S.scan_binary_digests(spark, str(job)).count() == 4  # Spark passes empty files over
+
+
+def test_jobs_of_many_folders(spark, tmp_path):
+    """A few tasks list the folders, and a few read the files, though Spark alone would start one for each."""
+    for n in range(400):
+        run = tmp_path / ("tools" if n % 3 == 0 else "workflows") / str(n)
+        run.mkdir(parents=True)
+        (run / "job.json").write_text(f'{{\n "id": "{n}",\n "progress": {n}.5\n}}')
+        (run / "delete-request.json").write_text('{"id": "none"}')
+    context, confs = spark.sparkContext, {"spark.sql.files.maxPartitionBytes": "4m", "spark.sql.sources.parallelPartitionDiscovery.parallelism": "10000"}
+    before = {k: spark.conf.get(k) for k in confs}
+    context.setJobGroup("list", "list")
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        jobs = S.read_jobs(spark, str(tmp_path))
+        assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+        assert jobs.rdd.getNumPartitions() == 16
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    status = context.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup("list") for s in status.getJobInfo(j).stageIds]
+    assert 0 < sum(s.numTasks for s in stages) <= 32
+    assert rows(jobs.select(F.col("id").cast("int"), "progress", "scope"), "id") == [(n, n + 0.5, "workflows" if n % 3 else "tools") for n in range(400)]
+
+
+def test_jobs_of_odd_suppliers(spark, tmp_path):
+    """Every row comes back: no key, a key that comes again, no name, numbers that JSON has no form for."""
+    given = [(None, "a", 1.0), (None, "b", None), (3, "c", -2.5), (3, "c", -2.5), (3, 'd"\n\\', float("inf")), (-3, None, 0.0), (-4, "e/é", 1e300), (0, "", -0.0), (7, "f", 0.1)]
+    df = spark.createDataFrame(given, "s_suppkey long, s_name string, s_acctbal double")
+    query = registry.queries()["a9_read_jobs"]
+    df.write.parquet(f"{tmp_path}/some/supplier.parquet")
+    want = [(None if k is None else str(k), name, progress, "workflows" if k is None or k % 3 else "tools") for k, name, progress in given]
+    assert sorted(map(repr, rows(query(spark, f"{tmp_path}/some"), "id"))) == sorted(map(repr, want))
+    df.limit(0).write.parquet(f"{tmp_path}/none/supplier.parquet")
+    assert query(spark, f"{tmp_path}/none").collect() == []
